@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from groundplan.llm import packing
+from groundplan.llm import language_id, license_scan, media, packing
 
 QUERIES = {
+    "op3_media": media.query,
+    "op5_language_id": language_id.query,
     "op6_packing": packing.query,
+    "op9_license_scan": license_scan.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
