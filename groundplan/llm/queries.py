@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from groundplan.llm import language_id, license_scan, media, packing
+from groundplan.llm import language_id, license_scan, media, packing, quality, warc
 
 QUERIES = {
     "op3_media": media.query,
+    "op4_quality": quality.query,
     "op5_language_id": language_id.query,
     "op6_packing": packing.query,
+    "op8_warc": warc.query,
     "op9_license_scan": license_scan.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": warc.ORACLE_SQL,
+}
