@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from groundplan.llm import language_id, license_scan, media, packing, quality, warc
+from groundplan.llm import language_id, license_scan, media, packing, quality, simhash, warc
 
 QUERIES = {
+    "op1_simhash": simhash.query,
     "op3_media": media.query,
     "op4_quality": quality.query,
     "op5_language_id": language_id.query,
