@@ -18,7 +18,9 @@ their own, and an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -38,34 +40,75 @@ BINS = 32
 MAX_PARTS = 4
 GROUP_DOCS = 4096
 GROUP_TOKENS = 4_000_000
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 800_000
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, and what it made of chunks and of the words and symbols in them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {"": b""}
+    tokenizer = Tokenizer.from_file(path)
+    last = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    last[[n for token, n in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    return tokenizer, {"": b""}, {}, last
+
+
+#: A word and ASCII symbols behind it, which the vocabulary's pattern always parts.
+_WORD_SYMBOLS = re.compile(r"([^\W\d_]+)([!-&(-/:;=?@\[-`{}~]+)")
+
+
+def _encode(pieces: list[str], tokenizer, into: dict[str, bytes]) -> None:
+    for at in range(0, len(pieces), 20_000):
+        part = pieces[at : at + 20_000]
+        for piece, code in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            into[piece] = array("I", code.ids).tobytes()
+
+
+def _encode_words(words: list[str], tokenizer, last: np.ndarray, into: dict[str, bytes]) -> None:
+    """As ``_encode``, for pieces whose only word end is their last id: many in one call."""
+    for at in range(0, len(words), 1000):
+        part = words[at : at + 1000]
+        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+        ends = (np.nonzero(last[ids])[0] + 1) * 4
+        if len(ends) != len(part) or ends[-1] != 4 * len(ids):
+            _encode(part, tokenizer, into)
+            continue
+        data = ids.tobytes()
+        into.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
 
 
 def token_bytes(texts: list[str | None], path: str, end_id: int | None = END_ID) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers.
 
     This vocabulary drops white space and never joins across it, so the ids of a
-    text are those of its blank-separated chunks; frequent chunks are remembered.
+    text are those of its blank-separated chunks; frequent chunks are remembered. Of
+    a chunk that is a word with symbols behind it the two parts are remembered too.
     """
-    tokenizer, memo = _tokenizer(path)
+    tokenizer, memo, parts, last = _tokenizer(path)
     if len(memo) > MEMO_ENTRIES:
         memo.clear()
         memo[""] = b""
+    if len(parts) > MEMO_ENTRIES:
+        parts.clear()
     split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = list({c for chunks in split for c in chunks if c not in memo})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for chunk, code in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            memo[chunk] = np.array(code.ids, dtype="<u4").tobytes()
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    new = set().union(*split).difference(memo)
+    pairs, single = [], []
+    for chunk in new:
+        found = _WORD_SYMBOLS.fullmatch(chunk)
+        if found and found[1].isalpha():
+            word = found[1].lower() if found[1].isascii() else found[1]
+            pairs.append((chunk, word, found[2]))
+        elif chunk.isascii() and chunk.isalpha():
+            pairs.append((chunk, chunk.lower(), None))
+        else:
+            single.append(chunk)
+    _encode(single, tokenizer, memo)
+    _encode_words(list({p for _, word, symbols in pairs for p in (word, symbols) if p is not None and p not in parts}), tokenizer, last, parts)
+    for chunk, word, symbols in pairs:
+        memo[chunk] = parts[word] + parts[symbols] if symbols else parts[word]
+    end = b"" if end_id is None else array("I", [end_id]).tobytes()
     return [b"".join(map(memo.__getitem__, chunks)) + end for chunks in split]
 
 
