@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundplan.llm import language_id, license_scan, media, packing, quality, simhash, warc
+from groundplan.llm import decontaminate, language_id, license_scan, media, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality": quality.query,
     "op5_language_id": language_id.query,
     "op6_packing": packing.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_warc": warc.query,
     "op9_license_scan": license_scan.query,
 }
