@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from groundplan.llm import decontaminate, language_id, license_scan, media, packing, quality, simhash, warc
+from groundplan.llm import decontaminate, language_id, license_scan, media, packing, quality, simhash, url_filter, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_url_filter": url_filter.query,
     "op3_media": media.query,
     "op4_quality": quality.query,
     "op5_language_id": language_id.query,
