@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundplan.llm import decontaminate, language_id, license_scan, media, packing, quality, simhash, url_filter, warc
+from groundplan.llm import decontaminate, language_id, license_scan, media, packing, quality, repeats, simhash, url_filter, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.query,
     "op8_warc": warc.query,
     "op9_license_scan": license_scan.query,
+    "op10_suffix_dedup": repeats.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
