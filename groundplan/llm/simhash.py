@@ -132,7 +132,7 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         for *key, search, node, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != shard:
                 shard, tree, roots, nodes = key, BKTree(), [], []
-            unsigned = code & 0xFFFFFFFFFFFFFFFF
+            unsigned = int.from_bytes(code, "little") if isinstance(code, bytes) else code & 0xFFFFFFFFFFFFFFFF
             near = set()
             for number in tree.near(unsigned, radius):
                 while roots[number] != number:
@@ -201,6 +201,76 @@ def components(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "d
     return prints.join(linked, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+# Near duplicates by similarity: wide fingerprints, shards by shared shingles.
+
+WIDE = 4
+BANDS, BAND_ROWS = 8, 3
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def _remixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    codes = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * _ODD[1]
+    codes = (codes ^ (codes >> np.uint64(29))) * _ODD[2]
+    return codes ^ (codes >> np.uint64(32))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """WIDE times 64 bits from as many independent rehashes of distinct shingles."""
+    return b"".join(fingerprint(_remixed(hashes, k + 1)).to_bytes(8, "little") for k in range(WIDE))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key per band: the least rehashes of the shingles under BAND_ROWS hash functions."""
+    least = [int(_remixed(hashes, 101 + k).min()) if len(hashes) else 0 for k in range(BANDS * BAND_ROWS)]
+    keys = [xxhash.xxh64_intdigest(np.array([b, *least[b * BAND_ROWS : (b + 1) * BAND_ROWS]], dtype=np.uint64).tobytes()) for b in range(BANDS)]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _wide_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes, shards = [], []
+        for text in batch.column(1):
+            hashes = np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else None, size))
+            codes.append(wide_fingerprint(hashes))
+            shards.append(band_keys(hashes))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(shards, pa.list_(pa.int64()))], names=["id", "fp", "shards"])
+
+
+def radius_for(similarity: float) -> int:
+    """Bits that sets of this Jaccard similarity differ in, by the angle between them."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(64 * WIDE * float(np.arccos(cosine)) / float(np.pi)) + 4
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: the id and ``component_id``, for sets of ``size``-word shingles of about ``similarity`` or more.
+
+    At this similarity most bits agree but no block of them need do, so the shards are
+    bands of least shingle hashes; fingerprints of WIDE times 64 bits estimate the
+    similarity, and the radius has a margin for the estimate's spread.
+    """
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType()))])
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(partial(_wide_rows, size=size), schema)
+    prints = written(rows.select("id", F.xxhash64("fp").alias("node"), "fp", "shards"), "fingerprints")
+    classes = written(prints.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("shards").alias("shards")), "classes")
+    roots = connected(links(classes, radius_for(similarity), F.col("shards")))
+    named = classes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = named.join(names, "root").select("node", "component_id")
+    return prints.select("id", "node").join(linked, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each near-duplicate group, that of the smallest id.
+
+    Rows with equal ids are one document, of which one row stays; rows without an id stay.
+    """
+    found = near_duplicates(docs, size, similarity, id_col, text_col)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col] == gone["_gone"], "left_anti").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
