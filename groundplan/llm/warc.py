@@ -2,8 +2,9 @@
 
 ``write`` stores one record per row. Records with equal payloads of at least
 ``SHARED_BYTES`` bytes share one response, that of the smallest page id; the others are
-revisits without a payload. Only digests and ids are shuffled to find them, the pages
-meet the (smaller) list of revisits once. The files are plain WARC/1.0, written by
+revisits without a payload. Only digests and ids are shuffled to find them. The list of shared payloads
+is broadcast to the pages if its counted rows are at most ``BROADCAST_GROUPS``; beyond
+it the pages are shuffled to it once. The files are plain WARC/1.0, written by
 Spark's text sink, so they can lie in any store that Spark writes to.
 
 ``read`` takes whole files, plain or with a gzip member per record. A record must have
@@ -31,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundplan.llm.common import shared_dir, table
+from groundplan.llm.common import shared_dir, table, written
 
 SHARED_BYTES = 100
 RECORDS_PER_FILE = 2000
+BROADCAST_GROUPS = 200_000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -47,6 +49,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha2(html.cast("binary"), 256).alias("digest")
     )
     groups = rows.where(F.col("n") >= SHARED_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
+    groups = written(groups, "shared-payloads")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     split = rows.join(groups, "digest", "left")
     again = F.col("first").isNotNull() & (F.col("id") > F.col("first"))
     stem = lambda kind: F.concat(F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:"), F.col("id"), F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x1F\x7F]", ""), F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("n"), F.lit("\r\n"))
