@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundplan.operators.lineage_cut import cut
+
 
 def closure(edges: DataFrame, start: int | str, depth: int, source: str = "source_id", target: str = "target_id") -> DataFrame:
     """Distinct edges within ``depth`` steps of ``start`` in either direction, with the least step.
 
     Each step joins the frontier with the edges; the frontier loses what was seen, so
-    cycles end. The number of joins is ``depth`` at most.
+    cycles end, and is checkpointed, so the plan grows by one union a step.
     """
     both = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).union(edges.select(F.col(target).alias("_from"), F.col(source).alias("_to"))).distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], f"node {edges.schema[source].dataType.simpleString()}, step int")
-    frontier = seen
+    seen = frontier = edges.sparkSession.createDataFrame([(start, 0)], f"node {edges.schema[source].dataType.simpleString()}, step int")
     for step in range(1, depth):
-        reached = frontier.join(both, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("step", F.lit(step))
-        seen, frontier = seen.unionByName(reached), reached
+        reached = frontier.join(both, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct()
+        frontier = cut(reached.join(seen.select("node"), "node", "left_anti").withColumn("step", F.lit(step)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
     near = seen.groupBy("node").agg(F.min("step").alias("step"))
     by_source = edges.join(near, F.col(source) == F.col("node")).select(*edges.columns, "step")
     by_target = edges.join(near, F.col(target) == F.col("node")).select(*edges.columns, "step")

@@ -89,7 +89,10 @@ def with_views(sql: str) -> str:
     body = sql.format(**plain)
     if not head:
         return body
-    return f"WITH {head}, {body.strip()[5:]}" if body.strip().upper().startswith("WITH ") else f"WITH {head}\n{body}"
+    body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
+    return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
 
 
 class Silver:
