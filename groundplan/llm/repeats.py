@@ -39,7 +39,7 @@ from groundplan.llm.common import table, written
 
 WINDOW = 400
 GRAM = 32
-GROUP_RUNS = 20_000
+GROUP_RUNS = 2_000
 BATCH_BYTES = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
