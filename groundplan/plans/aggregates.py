@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundplan.functions import rules
 from groundplan.functions.bands import age_band, height_band
 from groundplan.operators import relational as ops
 from groundplan.operators import spatial
@@ -18,6 +19,9 @@ col = F.col
 _AGE = "CASE WHEN build_year IS NULL THEN NULL WHEN build_year < 1919 THEN 'Pre-1919' WHEN build_year < 1945 THEN '1919-1944' WHEN build_year < 1965 THEN '1945-1964' WHEN build_year < 1981 THEN '1965-1980' WHEN build_year < 1991 THEN '1981-1990' WHEN build_year < 2001 THEN '1991-2000' WHEN build_year < 2011 THEN '2001-2010' ELSE 'Post-2010' END"
 
 
+FORM_SQL = f"coalesce({rules.keywords_sql('property_type', rules.DWELLING_FORMS, 'other')}, {rules.keywords_sql('built_form', rules.DWELLING_FORMS, 'other')})"
+
+
 def money(c: Column | str) -> Column:
     return F.round(F.coalesce(F.sum(c), F.lit(0)), 2).cast("double")
 

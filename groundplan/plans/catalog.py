@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from groundplan.plans import aggregates, relational, scores  # noqa: F401
+from groundplan.plans import aggregates, gold, io, relational, scores  # noqa: F401
 from groundplan.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundplan.functions import address, bands, geo, rules, scoring, values
 from groundplan.operators import detect, graph
 from groundplan.operators import relational as ops
+from groundplan.plans.aggregates import FORM_SQL
 from groundplan.plans.registry import query
 from groundplan.plans.relational import ASSESSED, assessed_blocks, near_points
 from groundplan.plans.silver import AS_OF, Silver
@@ -96,11 +97,8 @@ def reason_count(s: Silver) -> DataFrame:
     return assessed_blocks(s).select("block_id", F.size(found).cast("long").alias("reasons"))
 
 
-_FORM = f"coalesce({rules.keywords_sql('property_type', rules.DWELLING_FORMS, 'other')}, {rules.keywords_sql('built_form', rules.DWELLING_FORMS, 'other')})"
-
-
 @query("sco_12", f"""SELECT property_id, form, alone, CASE WHEN form IN ('garage', 'infrastructure', 'commercial') OR (form IN ('house', 'bungalow') AND alone) THEN 'not_required' WHEN form IS NULL OR alone IS NULL THEN 'unknown' ELSE 'required' END AS requirement
- FROM (SELECT property_id, form, CASE WHEN trim(block_reference) <> '' THEN FALSE WHEN form IN ('house', 'bungalow') THEN TRUE END AS alone FROM (SELECT property_id, block_reference, {_FORM} AS form FROM properties) x) y""")
+ FROM (SELECT property_id, form, CASE WHEN trim(block_reference) <> '' THEN FALSE WHEN form IN ('house', 'bungalow') THEN TRUE END AS alone FROM (SELECT property_id, block_reference, {FORM_SQL} AS form FROM properties) x) y""")
 def dwellings(s: Silver) -> DataFrame:
     form = s.properties.select("property_id", "block_reference", rules.dwelling_form(col("property_type"), col("built_form")).alias("form"))
     alone = form.withColumn("alone", rules.is_standalone(col("form"), col("block_reference")))

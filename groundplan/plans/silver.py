@@ -17,8 +17,8 @@ VIEWS: dict[str, str] = {
     "housing_associations": "SELECT concat('ha_', CAST(r_regionkey AS VARCHAR(20))) AS ha_id, r_name AS name FROM {region}",
     "portfolios": """SELECT concat('pf_', CAST(n_nationkey AS VARCHAR(20))) AS portfolio_id, concat('ha_', CAST(n_regionkey AS VARCHAR(20))) AS ha_id, n_name AS name,
         CAST(2020 + n_nationkey % 5 AS INT) AS renewal_year, CAST(n_nationkey AS INT) AS portfolio_no FROM {nation}""",
-    "access_grants": """SELECT ha_id, CASE WHEN portfolio_no % 2 = 0 THEN 'uw_1' ELSE 'uw_2' END AS underwriter_id, renewal_year,
-        CASE WHEN portfolio_no % 3 = 0 THEN 'new' ELSE 'active' END AS status FROM portfolios WHERE portfolio_no % 4 <> 3""",
+    "access_grants": """SELECT ha_id, renewal_year, CASE WHEN min(portfolio_no) % 2 = 0 THEN 'uw_1' ELSE 'uw_2' END AS underwriter_id,
+        CASE WHEN min(portfolio_no) % 3 = 0 THEN 'new' ELSE 'active' END AS status FROM portfolios WHERE portfolio_no % 4 <> 3 GROUP BY ha_id, renewal_year""",
     "blocks": """SELECT c_custkey AS block_id, p.ha_id, p.portfolio_id, c_name AS name, CAST(c_custkey % 30 + 1 AS INT) AS unit_count,
         CAST(CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey % 40 + 1 END AS DECIMAL(8,2)) AS height_max_m,
         CAST(CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey % 14 + 1 END AS INT) AS max_storeys,
