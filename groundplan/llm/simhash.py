@@ -190,14 +190,34 @@ def connected(pairs: DataFrame, most: int = 50) -> DataFrame:
     raise RuntimeError(f"components not found in {most} rounds")
 
 
+def named_classes(prints: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """One row per fingerprint: ``node``, ``keys``, ``carried`` and ``first``, the smallest id.
+
+    Whole-number ids name their class's node, as no two classes share their smallest
+    id; so the smallest node of a component is its name, and needs no search. Classes
+    without an id, or with ids of another type, get hashed nodes above all those.
+    """
+    whole = prints.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    spare = F.shiftrightunsigned(F.xxhash64(*keys), 2).bitwiseOR(F.lit(1 << 62))
+    node = F.coalesce(F.col("first").cast("long"), spare) if whole else spare
+    grouped = prints.groupBy(*keys).agg(F.min("id").alias("first"), *(F.first(c).alias(c) for c in carried))
+    return grouped.withColumn("node", node)
+
+
+def component_names(classes: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` with ``component_id``, the smallest id of the class's component."""
+    named = classes.join(roots, "node", "left").select(*keys, "first", F.coalesce("root", "node").alias("root"))
+    if classes.schema["first"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return named.select(*keys, F.when(F.col("root") < 1 << 62, F.col("root")).cast(classes.schema["first"].dataType).alias("component_id"))
+    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.join(names, "root").select(*keys, "component_id")
+
+
 def components(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``fp`` and ``component_id``."""
     prints = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("id").alias("first")).select(F.xxhash64("fp").alias("node"), "fp", "first"), "classes")
-    roots = connected(links(classes, radius))
-    named = classes.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = named.join(names, "root").select("fp", "component_id")
+    classes = written(named_classes(prints, ["fp"], []), "classes")
+    linked = component_names(classes, connected(links(classes, radius)), ["fp"])
     return prints.join(linked, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -251,13 +271,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     """
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType()))])
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(partial(_wide_rows, size=size), schema)
-    prints = written(rows.select("id", F.xxhash64("fp").alias("node"), "fp", "shards"), "fingerprints")
-    classes = written(prints.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("shards").alias("shards")), "classes")
+    prints = written(rows.select("id", F.xxhash64("fp").alias("code"), "fp", "shards"), "fingerprints")
+    classes = written(named_classes(prints, ["code"], ["fp", "shards"]), "classes")
     roots = connected(links(classes, radius_for(similarity), F.col("shards")))
-    named = classes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = named.join(names, "root").select("node", "component_id")
-    return prints.select("id", "node").join(linked, "node").select(F.col("id").alias(id_col), "component_id")
+    linked = component_names(classes, roots, ["code"])
+    return prints.select("id", "code").join(linked, "code").select(F.col("id").alias(id_col), "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
