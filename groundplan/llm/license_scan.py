@@ -150,3 +150,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """Blocks against templates without filters: every block, every template."""
+    sets = template_sets()
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    word = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    rows = ", ".join(f"({k}, '{label}', {ceil(THRESHOLD * len(t) - 1e-9)}, {len(t)}, [{', '.join(repr(x.decode()) for x in sorted(t))}])" for k, (label, t) in enumerate(sets))
+    nested = [(i, j) for i, (_, a) in enumerate(sets) for j, (_, b) in enumerate(sets) if a < b]
+    inside = " OR ".join(f"(h.k = {i} AND g.k = {j})" for i, j in nested) or "FALSE"
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) x WHERE " + " AND ".join(f"ws[i + {n}] = '{w}'" for n, w in enumerate(phrase.split())) for phrase, label in PHRASES.items()
+    )
+    return f"""WITH d AS (SELECT doc_id, replace({low}, chr(13) || chr(10), chr(10)) AS t, {word.format(low)} AS ws FROM documents),
+ base AS ({places}),
+ b AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi FROM base GROUP BY 1),
+ par AS (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS block FROM d),
+ blocks AS (SELECT doc_id, row_number() OVER () AS bid, {word.format('block')} AS ws FROM (SELECT doc_id, block FROM par UNION ALL SELECT doc_id, unnest(string_split(block, chr(10))) FROM par) x),
+ tpl(k, label, need, size, toks) AS (VALUES {rows}),
+ held AS (SELECT doc_id, bid, k, label, len(list_intersect(list_distinct(ws), toks)) * 1.0 / size AS share FROM blocks CROSS JOIN tpl WHERE len(list_intersect(list_distinct(ws), toks)) >= need),
+ own AS (SELECT DISTINCT doc_id, label FROM held h WHERE NOT EXISTS (SELECT 1 FROM held g WHERE g.bid = h.bid AND ({inside}))),
+ best AS (SELECT doc_id, max(share) AS share FROM held GROUP BY 1),
+ bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM base) x GROUP BY 1),
+ al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM own) x GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.lo AS BIGINT) AS first_word, CAST(b.hi AS BIGINT) AS last_word,
+ coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels, CAST(CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(best.share, 0.0) END AS DOUBLE) AS score
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN bl ON bl.doc_id = d.doc_id LEFT JOIN al ON al.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id"""
+
+
+ORACLE_SQL = _oracle()

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op9_license_scan": license_scan.ORACLE_SQL,
 }

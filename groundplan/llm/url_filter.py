@@ -5,7 +5,7 @@ a URL the longest decides. The others are judged by a tree of path templates per
 
 * A URL's path is cut at ``/`` into at most ``DEPTH`` segments (what lies deeper is one
   more segment), each first reduced to its shape: digits become ``#``, hexadecimal
-  strings of 8 and more ``%``; everything else is kept.
+  strings of 8 and more with digits and letters ``%``; everything else is kept.
 * Going down the tree, a branch becomes a wildcard ``*`` if it is variable (less than
   ``SUPPORT`` pages of its host below it) or statistically like its siblings: its share
   of labelled bad pages does not differ from that of all its siblings together by more
@@ -62,8 +62,8 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 
 def shape(segment: Column) -> Column:
-    hexed = F.regexp_replace(segment, r"(?i)^(?=[a-z]*\d)[0-9a-f]{8,}$", "%")
-    return F.regexp_replace(hexed, r"\d+", "#")
+    hexed = segment.rlike(r"^[0-9A-Fa-f]{8,}$") & segment.rlike(r"[0-9]") & segment.rlike(r"[A-Fa-f]")
+    return F.when(hexed, "%").otherwise(F.regexp_replace(segment, r"[0-9]+", "#"))
 
 
 def segments(path: Column) -> Column:
@@ -110,7 +110,7 @@ def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_co
     work = parsed.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("by_rule"), F.coalesce(key, F.lit(-1)).alias("key"), segments(F.col("path")).alias("shapes"))
     joined = work.join(labelled.select(F.col("key").alias("label_key"), "bad"), F.col("key") == F.col("label_key"), "left")
     scored = templates(joined.select("host", "shapes", "bad")).select(F.col("host").alias("h"), F.col("shapes").alias("s"), "template", "badness")
-    judged = work.join(scored, (F.col("host") == F.col("h")) & (F.col("shapes") == F.col("s")), "left")
+    judged = work.join(scored, (F.col("host") == F.col("h")) & F.col("shapes").eqNullSafe(F.col("s")), "left")
     return judged.select(id_col, "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("badness") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", F.round("badness", 6).alias("badness"))
 
 
@@ -122,3 +122,46 @@ def labels_of(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quali
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labels_of(table(spark, sf_dir, "labels")))
+
+
+def _oracle() -> str:
+    """The same tree in SQL: a chain of common tables, three for each level."""
+    segment = [f"s{k}" for k in range(DEPTH + 1)]
+    shaped = ", ".join(f"CASE WHEN regexp_matches({x}, '^[0-9A-Fa-f]{{8,}}$') AND regexp_matches({x}, '[0-9]') AND regexp_matches({x}, '[A-Fa-f]') THEN '%' ELSE regexp_replace({x}, '[0-9]+', '#', 'g') END AS {x}" for x in segment)
+    cut = ", ".join(f"parts[{k + 1}] AS s{k}" for k in range(DEPTH)) + f", CASE WHEN len(parts) > {DEPTH} THEN array_to_string(parts[{DEPTH + 1}:len(parts)], '/') END AS s{DEPTH}"
+    rules = sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    fits = lambda suffix, prefix: f"(host = '{suffix}' OR ends_with(host, '.{suffix}')) AND starts_with(path, '{prefix}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(s, p)} THEN '{s}{p}'" for _, s, p in rules) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(s, p)} THEN '{k}'" for k, s, p in rules) + " END"
+    keys = ", ".join(segment)
+    parts = [
+        "labelled AS (SELECT doc_id AS key, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1)",
+        "parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages)",
+        f"cut AS (SELECT page_id, host, path, {cut} FROM (SELECT p.*, string_split(substr(path, 2), '/') AS parts FROM parsed p) x)",
+        f"work AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS by_rule, coalesce(TRY_CAST(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1) AS BIGINT), -1) AS key, {shaped} FROM cut)",
+        f"t0 AS (SELECT host, {keys}, count(*) AS n, count(bad) AS seen, coalesce(sum(bad), 0) AS bad, '' AS template FROM work LEFT JOIN labelled ON work.key = labelled.key GROUP BY host, {keys})",
+    ]
+    for d in range(DEPTH + 1):
+        mean = "((all_bad + 1.0) / (all_seen + 2))"
+        rest = "greatest(all_seen - seen, 1)"
+        error = f"sqrt({mean} * (1 - {mean}) * (1.0 / greatest(seen, 1) + 1.0 / {rest}))"
+        apart = f"abs(bad * 1.0 / greatest(seen, 1) - (all_bad - bad) * 1.0 / {rest}) > {Z} * {error}"
+        parts += [
+            f"b{d} AS (SELECT host, template, s{d} AS segment, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(seen) AS DOUBLE) AS seen, CAST(sum(bad) AS DOUBLE) AS bad FROM t{d} GROUP BY 1, 2, 3)",
+            f"p{d} AS (SELECT host, template, sum(seen) AS all_seen, sum(bad) AS all_bad, count(*) AS siblings FROM b{d} GROUP BY 1, 2)",
+            f"n{d} AS (SELECT b.host, b.template, segment, CASE WHEN segment IS NULL THEN '' WHEN siblings = 1 OR (n >= {SUPPORT} AND seen > 0 AND all_seen - seen > 0 AND {apart}) THEN segment ELSE '*' END AS name FROM b{d} b JOIN p{d} p ON b.host = p.host AND b.template = p.template)",
+            f"t{d + 1} AS (SELECT t.host, {', '.join('t.' + x for x in segment)}, t.n, t.seen, t.bad, concat(t.template, CASE WHEN segment IS NOT NULL THEN concat('/', name) ELSE '' END) AS template FROM t{d} t JOIN n{d} n ON t.host = n.host AND t.template = n.template AND t.s{d} IS NOT DISTINCT FROM n.segment)",
+        ]
+    last = f"t{DEPTH + 1}"
+    parts += [
+        f"bt AS (SELECT host, template, CAST(sum(seen) AS DOUBLE) AS seen, CAST(sum(bad) AS DOUBLE) AS bad FROM {last} GROUP BY 1, 2)",
+        "bh AS (SELECT host, sum(seen) AS host_seen, sum(bad) AS host_bad FROM bt GROUP BY 1)",
+        "al AS (SELECT (sum(host_bad) + 1) / (sum(host_seen) + 2) AS share FROM bh)",
+        f"sc AS (SELECT bt.host, template, (bad + {PRIOR} * ((host_bad + {PRIOR} * share) / (host_seen + {PRIOR}))) / (seen + {PRIOR}) AS badness FROM bt JOIN bh ON bt.host = bh.host CROSS JOIN al)",
+    ]
+    same = " AND ".join(f"w.{x} IS NOT DISTINCT FROM t.{x}" for x in segment)
+    final = f"SELECT w.page_id, w.host, w.path, w.rule, coalesce(w.by_rule, CASE WHEN sc.badness >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, t.template, round(sc.badness, 6) AS badness FROM work w LEFT JOIN {last} t ON w.host = t.host AND {same} LEFT JOIN sc ON sc.host = t.host AND sc.template = t.template"
+    return "WITH " + ",\n".join(parts) + "\n" + final
+
+
+ORACLE_SQL = _oracle()
