@@ -10,7 +10,8 @@ the best-scoring run (a match gains 1, a changed word costs ``PENALTY``) must ho
 words than the shortest mask are compared through the hash of all their words.
 
 The benchmark's seeds are broadcast only if their counted number is at most
-``BROADCAST_SEEDS``; beyond it the same join shuffles both sides.
+``BROADCAST_SEEDS``, and so are the hits, narrow rows, up to ``BROADCAST_HITS``; beyond
+it the same joins shuffle both sides.
 
 Null texts and texts or items without words match nothing. Repeated items and rows are
 compared each on its own; results are one row per (id, item) pair. Other columns do not
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundplan.llm.common import table
+from groundplan.llm.common import table, written
 
 #: Fixed masks: 1 is compared, 0 is ignored. Each has weight 6.
 MASKS = ("11111001", "1101100101", "1001011011")
@@ -30,6 +31,7 @@ STRIDE = 3
 PENALTY = 2
 MIN_WORDS = 13
 BROADCAST_SEEDS = 2_000_000
+BROADCAST_HITS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -94,6 +96,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     here = at.select("id", "at", F.explode(found).alias("seed"))
     # only ids and places from here on; the words of a text are read again where it has a hit
     hits = here.join(seeds, "seed").select("id", "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    hits = written(hits, "hits")
+    if hits.count() <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
     aligned = hits.withColumnRenamed("id", "hit").join(texts, F.col("hit").eqNullSafe(F.col("id"))).withColumnRenamed("item", "item_hit").join(items, F.col("item_hit").eqNullSafe(F.col("item")))
     start = F.greatest(F.col("shift"), F.lit(0))
     part = F.transform(F.slice(words(F.col("text")), start + 1, F.size("item_words") + F.col("shift") - start), lambda w: F.xxhash64(w))
