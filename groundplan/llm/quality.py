@@ -98,6 +98,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"token": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
 
+def _add_rows(sums: np.ndarray, to: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the row of ``sums`` that ``to`` names, which may repeat."""
+    if len(to):
+        order = np.argsort(to, kind="stable")
+        named = to[order]
+        starts = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
+        sums[named[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], tokens: list[str]) -> Iterator[pa.RecordBatch]:
     encode, index = _Encoder(tokens), index_vectors(tokens)
     sums = np.zeros((len(tokens), DIM), dtype=np.int64)
@@ -105,8 +114,8 @@ def _contexts(batches: Iterator[pa.RecordBatch], tokens: list[str]) -> Iterator[
         for text in batch.column(1).to_pylist():
             codes = np.array(encode(text), dtype=np.int64)
             for shift in range(1, REACH + 1):
-                np.add.at(sums, codes[shift:], index[codes[:-shift]])
-                np.add.at(sums, codes[:-shift], index[codes[shift:]])
+                _add_rows(sums, codes[shift:], index[codes[:-shift]])
+                _add_rows(sums, codes[:-shift], index[codes[shift:]])
     yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.astype("<i8").tobytes()], pa.binary())})
 
 
