@@ -94,10 +94,10 @@ def templates(pages: DataFrame) -> DataFrame:
     tree = written(tree, "templates")
     by_template = tree.groupBy("host", "template").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     by_host = by_template.groupBy("host").agg(F.sum("seen").alias("host_seen"), F.sum("bad").alias("host_bad"))
-    overall = by_host.agg(F.sum("host_seen").alias("all_seen"), F.sum("host_bad").alias("all_bad"))
-    share = (F.col("all_bad") + 1) / (F.col("all_seen") + 2)
-    host_share = (F.col("host_bad") + PRIOR * share) / (F.col("host_seen") + PRIOR)
-    scored = by_template.join(by_host, "host").join(F.broadcast(overall)).select("host", "template", ((F.col("bad") + PRIOR * host_share) / (F.col("seen") + PRIOR)).alias("badness"))
+    overall = by_host.agg(F.sum("host_seen").alias("seen"), F.sum("host_bad").alias("bad")).first()  # two numbers
+    share = ((overall.bad or 0.0) + 1) / ((overall.seen or 0.0) + 2)
+    host_share = (F.col("host_bad") + PRIOR * F.lit(share)) / (F.col("host_seen") + PRIOR)
+    scored = by_template.join(by_host, "host").select("host", "template", ((F.col("bad") + PRIOR * host_share) / (F.col("seen") + PRIOR)).alias("badness"))
     return tree.select("host", "shapes", "template").join(scored, ["host", "template"])
 
 
