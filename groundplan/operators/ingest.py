@@ -116,6 +116,36 @@ def plan(rows: DataFrame) -> list[SheetPlan]:
     return plans
 
 
+def role(p: SheetPlan) -> str:
+    """``primary`` with an address, ``lookup`` with a key and other fields only, else ``ignore``."""
+    if p.address or "address" in p.columns:
+        return "primary"
+    keyed = {"property_reference", "block_reference"} & p.columns.keys()
+    return "lookup" if keyed and len(p.columns) > len(keyed) else "ignore"
+
+
+def validated(raw: list[dict], sheets: set[str], width: int = 40) -> list[SheetPlan]:
+    """Plans from outside: unknown sheets and fields and negative or too large columns are dropped, a missing header row is 0."""
+    plans = []
+    for r in raw:
+        if r.get("sheet") not in sheets:
+            continue
+        inside = lambda k: isinstance(k, int) and not isinstance(k, bool) and 0 <= k < width
+        columns = {f: k for f, k in (r.get("columns") or {}).items() if f in FIELDS and inside(k)}
+        plans.append(SheetPlan(r["sheet"], int(r.get("header_row") or 0), columns, [k for k in r.get("address") or [] if inside(k)]))
+    return plans
+
+
+def joined_lookup(primary: DataFrame, lookup: DataFrame, key: str = "property_reference") -> DataFrame:
+    """Fills the primary rows' nulls from a lookup sheet's first row of the same key."""
+    from groundplan.operators.relational import first_per_group
+
+    shared = [c for c in lookup.columns if c in primary.columns and c not in (key, "path", "sheet_idx", "row_idx")]
+    first = first_per_group(lookup, [key], [F.col("sheet_idx"), F.col("row_idx")]).select(key, *(F.col(c).alias(f"_{c}") for c in shared))
+    joined = primary.join(first, key, "left")
+    return joined.select(*((F.coalesce(c, f"_{c}").alias(c) if c in shared else F.col(c)) for c in primary.columns))
+
+
 def keep_row(cells: Column) -> Column:
     """Neither blank nor a total, filter or report line."""
     filled = F.filter(cells, lambda c: F.trim(c) != "")

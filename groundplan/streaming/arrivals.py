@@ -16,7 +16,7 @@ SIDE_CARS = ("manifest.json", "metadata.json", "features.json", "extraction.json
 
 def arrivals(spark: SparkSession, path: str) -> DataFrame:
     """New objects under ``path`` with their key's parts; side-cars, which the workers write, are no arrivals."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
     keyed = files.withColumns(key_parts(F.col("path")))
     return keyed.where(F.col("file").isNotNull() & ~F.col("file").isin(*SIDE_CARS)).select("path", "ha_id", "dataset", "submission_id", "file", "modificationTime")
 
@@ -53,8 +53,8 @@ def _version(spark: SparkSession, target: str, number: int) -> DataFrame | None:
 def newest(spark: SparkSession, target: str) -> DataFrame:
     """The table after its last batch."""
     versions = spark.read.option("basePath", target).parquet(target)
-    last = versions.agg(F.max("version").alias("last"))
-    return versions.join(F.broadcast(last), F.col("version") == F.col("last"), "left_semi").drop("version")
+    last = versions.agg(F.max("version").alias("_last"))
+    return versions.join(F.broadcast(last), F.col("version") == F.col("_last"), "left_semi").drop("version")
 
 
 def tumbling(df: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
