@@ -8,8 +8,9 @@ one shard for every choice of ``SPARE`` blocks. In its shard's BK-tree (children
 by their integer Hamming distance to the parent) a search follows only the edges within
 the radius of its own distance. A shard yields no pairs but one link from each
 fingerprint to the first of its class there, so its output grows with its input alone.
-A shard of more than ``SHARD_ROWS`` fingerprints is dealt out over several tasks: each
-holds the tree of a part, and all of the shard's fingerprints are searched in it.
+A shard of more than ``SHARD_ROWS`` fingerprints is dealt into up to ``SHARD_PARTS``
+parts, and each pair of parts, or part by itself, is a task of its own: the tree of one,
+in which the other is searched. So a task has two parts of a shard at most.
 
 The links are joined to classes by alternating large-star and small-star steps, with
 minima that aggregate map-side. Nothing about documents reaches the driver but counts.
@@ -37,7 +38,8 @@ from groundplan.llm.common import table, written
 
 SEED = 42
 SPARE = 2
-SHARD_ROWS = 20_000
+SHARD_ROWS = 256
+SHARD_PARTS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LANES = np.uint64(0x0101010101010101)
 
@@ -164,10 +166,11 @@ def links(classes: DataFrame, radius: int, shards: Column | None = None) -> Data
     rows = classes.select("node", "fp", F.explode(shards).alias("shard"))
     sizes = rows.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
     rows = rows.join(sizes, "shard")
-    parts = F.ceil(F.col("size") / SHARD_ROWS).cast("int")
+    parts = F.least(F.ceil(F.col("size") / SHARD_ROWS), F.lit(SHARD_PARTS)).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    part = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    dealt = rows.withColumn("own", own).select("shard", part, "own", "node", "fp").select("shard", "part", (F.col("part") != F.col("own")).alias("search"), "node", "fp")
+    dealt = rows.withColumn("own", own).select("shard", "own", "node", "fp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    part = (F.least("own", "other") * SHARD_PARTS + F.greatest("own", "other")).alias("part")
+    dealt = dealt.select("shard", part, (F.col("own") > F.col("other")).alias("search"), "node", "fp")
     spread = dealt.repartition(F.col("shard"), F.col("part")).sortWithinPartitions("shard", "part", "search", "node")
     return spread.mapInArrow(partial(_shard_links, radius=radius), "a long, b long").where("a <> b").distinct()
 

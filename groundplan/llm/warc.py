@@ -12,8 +12,8 @@ a version line, headers with a length, its end marker, and the digests it names.
 a failed check the reader searches for the next gzip member or version line that
 starts a valid record, goes on from there, and reports the bytes between as a gap.
 
-Null html is an empty payload, a null url an empty one, rows with a null page id are
-not written (there is nothing to find them by), repeated rows become records of their
+Null html is an empty payload, a null url an empty one; a row without a page id is a
+response that no revisit names, and is read back without one. Repeated rows become records of their
 own (those with the response's id are responses), other columns do not
 matter, an empty table gives an empty result.
 """
@@ -45,16 +45,16 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes ``pages`` as WARC files into the folder ``path``."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.where(F.col(id_col).isNotNull()).select(
+    rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha2(html.cast("binary"), 256).alias("digest")
     )
-    groups = rows.where(F.col("n") >= SHARED_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
+    groups = rows.where(F.col("n") >= SHARED_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("digest", "first")
     groups = written(groups, "shared-payloads")
     if groups.count() <= BROADCAST_GROUPS:
         groups = F.broadcast(groups)
     split = rows.join(groups, "digest", "left")
     again = F.col("first").isNotNull() & (F.col("id") > F.col("first"))
-    stem = lambda kind: F.concat(F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:"), F.col("id"), F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x1F\x7F]", ""), F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("n"), F.lit("\r\n"))
+    stem = lambda kind: F.concat(F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x1F\x7F]", ""), F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("n"), F.lit("\r\n"))
     response = F.concat(stem("response"), F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit("\r\n\r\n"), F.col("html"), F.lit("\r\n"))
     revisit = F.concat(stem("revisit"), F.lit("WARC-Refers-To: <urn:page:"), F.col("first"), F.lit(f">\r\nWARC-Profile: {PROFILE}\r\nContent-Length: 0\r\n\r\n\r\n"))
     records = split.select(F.when(again, revisit).otherwise(response).alias("value"))

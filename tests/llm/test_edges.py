@@ -223,6 +223,7 @@ def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://a/{k}\r\nEvil: 1" if k else None, h, "response") for k, h in enumerate(html)] + [(None, "u", "gone", "")], "page_id long, url string, html string, record_type string")
     warc.write(pages, str(tmp_path / "w"))
     found = {r.page_id: r for r in warc.read(spark, str(tmp_path / "w"), payloads=True).collect()}
+    assert found.pop(None).record_type == "response"
     assert sorted(found) == list(range(8)) and not any(r.quarantined for r in found.values())
     for k, h in enumerate(html):
         data = (h or "").encode()
