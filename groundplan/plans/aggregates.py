@@ -192,10 +192,10 @@ def pivot_age(s: Silver) -> DataFrame:
     return validation_pivot(s.properties.withColumn("age", age_band(col("build_year"))), "age")
 
 
-@query("agg_18_block", "SELECT p.*, CAST(round(value * 0.25, 2) AS DOUBLE) AS lor, CASE WHEN label = 'Grand Total' THEN '' WHEN value * 1.25 > 500000 THEN 'Yes' ELSE 'No' END AS large FROM (" + _pivot_sql("block_reference") + ") p")
+@query("agg_18_block", "SELECT p.*, CAST(round(CAST(value AS DECIMAL(18,2)) * 0.25, 2) AS DOUBLE) AS lor, CASE WHEN label = 'Grand Total' THEN '' WHEN value * 1.25 > 500000 THEN 'Yes' ELSE 'No' END AS large FROM (" + _pivot_sql("block_reference") + ") p")
 def pivot_block(s: Silver) -> DataFrame:
     large = F.when(col("label") == "Grand Total", "").when(col("value") * 1.25 > 500000, "Yes").otherwise("No")
-    return validation_pivot(s.properties, "block_reference").withColumns({"lor": F.round(col("value") * 0.25, 2), "large": large})
+    return validation_pivot(s.properties, "block_reference").withColumns({"lor": F.round(col("value").cast("decimal(18,2)") * F.lit(0.25).cast("decimal(3,2)"), 2).cast("double"), "large": large})
 
 
 @query("agg_19", f"SELECT coalesce(tenure, 'Unknown') AS k, count(*) AS n, {_money('sum_insured')} AS value FROM properties GROUP BY 1 ORDER BY value DESC, n DESC")

@@ -435,9 +435,9 @@ def union_all(s: Silver) -> DataFrame:
     return blocks.unionByName(s.properties.where(col("block_reference").isNull()).select(col("property_id").alias("marker"), F.lit("standalone").alias("kind")))
 
 
-@query("set_03", "SELECT event_id FROM {events} WHERE event_id NOT IN (SELECT o_orderkey FROM {orders})")
+@query("set_03", "SELECT o_orderkey FROM {orders} WHERE o_orderkey NOT IN (SELECT event_id FROM {events})")
 def key_difference(s: Silver) -> DataFrame:
-    return s.events.select("event_id").join(s.orders.select(col("o_orderkey").alias("event_id")), "event_id", "left_anti")
+    return s.orders.select("o_orderkey").join(s.events.select(col("event_id").alias("o_orderkey")), "o_orderkey", "left_anti")
 
 
 @query("snk_01", "SELECT property_reference, CASE WHEN property_id % 2 = 0 AND enrichment_status = 'enriched' THEN 'enriched' WHEN property_id % 2 = 0 THEN 'pending' ELSE enrichment_status END AS enrichment_status, CASE WHEN property_id % 2 = 0 THEN 's9' ELSE submission_id END AS submission_id FROM properties")
