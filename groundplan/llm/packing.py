@@ -55,8 +55,8 @@ def _tokenizer(path: str):
     return tokenizer, {"": b""}, {}, last
 
 
-#: A word and ASCII symbols behind it, which the vocabulary's pattern always parts.
-_WORD_SYMBOLS = re.compile(r"([^\W\d_]+)([!-&(-/:;=?@\[-`{}~]+)")
+#: A Latin word and ASCII symbols behind it, if any, which the vocabulary's pattern always parts.
+_WORD_SYMBOLS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:;=?@\[-`{}~]*)")
 
 
 def _encode(pieces: list[str], tokenizer, into: dict[str, bytes]) -> None:
@@ -70,7 +70,7 @@ def _encode_words(words: list[str], tokenizer, last: np.ndarray, into: dict[str,
     """As ``_encode``, for pieces whose only word end is their last id: many in one call."""
     for at in range(0, len(words), 1000):
         part = words[at : at + 1000]
-        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = (np.nonzero(last[ids])[0] + 1) * 4
         if len(ends) != len(part) or ends[-1] != 4 * len(ids):
             _encode(part, tokenizer, into)
@@ -97,15 +97,13 @@ def token_bytes(texts: list[str | None], path: str, end_id: int | None = END_ID)
     pairs, single = [], []
     for chunk in new:
         found = _WORD_SYMBOLS.fullmatch(chunk)
-        if found and found[1].isalpha():
-            word = found[1].lower() if found[1].isascii() else found[1]
-            pairs.append((chunk, word, found[2]))
-        elif chunk.isascii() and chunk.isalpha():
-            pairs.append((chunk, chunk.lower(), None))
+        if found:
+            word = found[1]
+            pairs.append((chunk, word.lower() if word.isascii() else word, found[2]))
         else:
             single.append(chunk)
     _encode(single, tokenizer, memo)
-    _encode_words(list({p for _, word, symbols in pairs for p in (word, symbols) if p is not None and p not in parts}), tokenizer, last, parts)
+    _encode_words(list({p for _, word, symbols in pairs for p in (word, symbols) if p and p not in parts}), tokenizer, last, parts)
     for chunk, word, symbols in pairs:
         memo[chunk] = parts[word] + parts[symbols] if symbols else parts[word]
     end = b"" if end_id is None else array("I", [end_id]).tobytes()
