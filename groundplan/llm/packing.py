@@ -56,7 +56,8 @@ def _tokenizer(path: str):
 
 
 #: A Latin word and ASCII symbols behind it, if any, which the vocabulary's pattern always parts.
-_WORD_SYMBOLS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:;=?@\[-`{}~]*)")
+#: Without U+0130, whose lower case ends in a combining dot that joins the symbols.
+_WORD_SYMBOLS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:;=?@\[-`{}~]*)")
 
 
 def _encode(pieces: list[str], tokenizer, into: dict[str, bytes]) -> None:

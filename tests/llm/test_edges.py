@@ -184,7 +184,7 @@ def test_packing(docs, none):
 def test_token_bytes_match_the_tokenizer():
     from tokenizers import Tokenizer
 
-    texts = ["Don't stop!!! it's", "été, Ça va?", "a<|endoftext|>b", "x\x1cy\x85z", "snake_case 12.5%%% İSTANBUL ΟΔΟΣ", "½²³ ﬁ"]
+    texts = ["Don't stop!!! it's", "été, Ça va?", "a<|endoftext|>b", "x\x1cy\x85z", "snake_case 12.5%%% İSTANBUL ΟΔΟΣ", "½²³ ﬁ", "İ( aİ_ İ%- Łİ!#", "ß& ȳ$ É_é!"]
     plain = Tokenizer.from_file(tokenizer())
     for text, data in zip(texts, packing.token_bytes(texts, tokenizer(), None), strict=True):
         assert np.frombuffer(data, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
