@@ -40,7 +40,7 @@ BINS = 32
 MAX_PARTS = 4
 GROUP_DOCS = 4096
 GROUP_TOKENS = 4_000_000
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 250_000
 
 
 @lru_cache(maxsize=2)
