@@ -30,7 +30,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,6 +126,60 @@ def block_masks(radius: int) -> list[int]:
     return [sum(chosen) for chosen in itertools.combinations(blocks, SPARE)]
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays of distinct hashes; two empty sets are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _verified_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """As ``_shard_links`` with the rows' shingle hashes: the tree proposes, the Jaccard similarity of the sets decides.
+
+    A row that is only searched joins the classes that it is similar to as well, so
+    there is at most one link from a row besides one for each class that it merges.
+    """
+    shard, tree, roots, nodes, sets, alive, last = None, BKTree(), [], [], [], 0, 0
+
+    def root_of(number: int) -> int:
+        while roots[number] != number:
+            roots[number] = roots[roots[number]]
+            number = roots[number]
+        return number
+
+    for batch in batches:
+        links: list[tuple[int, int]] = []
+        for *key, search, node, code, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != shard:
+                shard, tree, roots, nodes, sets, alive, last = key, BKTree(), [], [], [], 0, 0
+            unsigned, own = int.from_bytes(code, "little"), np.frombuffer(data, dtype="<u8")
+            near = set()
+            if nodes and jaccard(own, sets[last]) >= similarity:
+                near.add(root_of(last))
+            if len(near) < alive:
+                for number in tree.near(unsigned, radius):
+                    if (root := root_of(number)) not in near and jaccard(own, sets[number]) >= similarity:
+                        near.add(root)
+                        last = number
+            first = min(near, default=None)
+            for n in near:
+                links.append((node, nodes[n]))
+                roots[n] = first
+            alive -= max(0, len(near) - 1)
+            if search:
+                continue
+            number = len(nodes)
+            nodes.append(node)
+            sets.append(own)
+            roots.append(number if first is None else first)
+            alive += first is None
+            tree.add(unsigned, number)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+
 def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows (shard, part, search, node, code) come sorted, the rows of a part's tree before those only searched in it."""
     shard, tree, roots, nodes = None, BKTree(), [], []
@@ -156,23 +210,23 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
 
-def links(classes: DataFrame, radius: int, shards: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of ``node`` numbers that join all fingerprints ``fp`` of ``classes`` linked within ``radius`` bits.
-
-    ``shards``: an array of longs, the shards of each row; as a rule the blocks of bits.
-    """
-    if shards is None:
-        shards = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(block_masks(radius))))
+def links(classes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of ``node`` numbers that join all fingerprints ``fp`` of ``classes`` linked within ``radius`` bits."""
+    shards = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(block_masks(radius))))
     rows = classes.select("node", "fp", F.explode(shards).alias("shard"))
     sizes = rows.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(sizes, "shard")
+    spread = _dealt(rows.join(sizes, "shard"))
+    spread = spread.repartition(F.col("shard"), F.col("part")).sortWithinPartitions("shard", "part", "search", "node")
+    return spread.mapInArrow(partial(_shard_links, radius=radius), "a long, b long").where("a <> b").distinct()
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (shard, node, fp, size) with the pair of parts of the shard that they go to, once for each such pair."""
     parts = F.least(F.ceil(F.col("size") / SHARD_ROWS), F.lit(SHARD_PARTS)).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     dealt = rows.withColumn("own", own).select("shard", "own", "node", "fp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     part = (F.least("own", "other") * SHARD_PARTS + F.greatest("own", "other")).alias("part")
-    dealt = dealt.select("shard", part, (F.col("own") > F.col("other")).alias("search"), "node", "fp")
-    spread = dealt.repartition(F.col("shard"), F.col("part")).sortWithinPartitions("shard", "part", "search", "node")
-    return spread.mapInArrow(partial(_shard_links, radius=radius), "a long, b long").where("a <> b").distinct()
+    return dealt.select("shard", part, (F.col("own") > F.col("other")).alias("search"), "node", "fp")
 
 
 def connected(pairs: DataFrame, most: int = 50) -> DataFrame:
@@ -228,7 +282,7 @@ def components(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "d
 # Near duplicates by similarity: wide fingerprints, shards by shared shingles.
 
 WIDE = 4
-BANDS, BAND_ROWS = 8, 3
+BANDS, BAND_ROWS = 16, 3
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -250,34 +304,78 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
+def _shingle_set(text: pa.Scalar, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else None, size))
+
+
+def _set_code(hashes: np.ndarray) -> int:
+    """Names a set of shingles, as a signed long."""
+    code = xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+    return code - (1 << 64) if code >> 63 else code
+
+
 def _wide_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes, shards = [], []
+        codes, prints, shards = [], [], []
         for text in batch.column(1):
-            hashes = np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else None, size))
-            codes.append(wide_fingerprint(hashes))
+            hashes = _shingle_set(text, size)
+            codes.append(_set_code(hashes))
+            prints.append(wide_fingerprint(hashes))
             shards.append(band_keys(hashes))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(shards, pa.list_(pa.int64()))], names=["id", "fp", "shards"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64()), pa.array(prints, pa.binary()), pa.array(shards, pa.list_(pa.int64()))], names=["id", "code", "fp", "shards"])
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [_shingle_set(text, size) for text in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([_set_code(h) for h in sets], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], names=["code", "hashes"])
 
 
 def radius_for(similarity: float) -> int:
-    """Bits that sets of this Jaccard similarity differ in, by the angle between them."""
+    """Bits that candidates of this Jaccard similarity differ in at most: by the angle between them, and six standard deviations.
+
+    Sets of a few shingles differ in more bits than the angle says, as half of their
+    hashes is a frequent count; for 4 of 5 the radius is still four deviations off.
+    """
     cosine = 2 * similarity / (1 + similarity)
-    return round(64 * WIDE * float(np.arccos(cosine)) / float(np.pi)) + 4
+    share = float(np.arccos(cosine)) / float(np.pi)
+    return round(64 * WIDE * share + 6 * (64 * WIDE * share * (1 - share)) ** 0.5)
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``node`` numbers of ``classes`` whose sets have the ``similarity``, enough to join all such that share a band.
+
+    ``docs``: ids and texts, of which only those of classes that share a shard are read for their sets.
+    """
+    rows = classes.select("node", "fp", F.explode("shards").alias("shard"))
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members")).where("size > 1")
+    # shards of the same members need one look
+    sizes = sizes.groupBy("size", "members").agg(F.min("shard").alias("shard")).select("shard", "size")
+    rows = written(rows.join(sizes, "shard"), "shards")
+    wanted = written(rows.select("node").distinct().join(classes.select("node", "first", "code"), "node"), "wanted")
+    id_col, text_col = docs.columns
+    named = docs.join(wanted.where(F.col("first").isNotNull()).select(F.col("first").alias(id_col)), id_col, "left_semi").select(text_col)
+    texts = named.union(docs.where(F.col(id_col).isNull()).select(text_col))
+    sets = texts.select(F.col(text_col).cast("binary")).mapInArrow(partial(_set_rows, size=size), "code long, hashes binary")
+    sets = written(sets.groupBy("code").agg(F.first("hashes").alias("hashes")).join(wanted.select("code", "node"), "code").select("node", "hashes"), "sets")
+    spread = _dealt(rows).join(sets, "node").select("shard", "part", "search", "node", "fp", "hashes")
+    spread = spread.repartition(F.col("shard"), F.col("part")).sortWithinPartitions("shard", "part", "search", "node")
+    return spread.mapInArrow(partial(_verified_links, radius=radius_for(similarity), similarity=similarity), "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id and ``component_id``, for sets of ``size``-word shingles of about ``similarity`` or more.
+    """Per row: the id and ``component_id``, for sets of ``size``-word shingles of ``similarity`` or more.
 
     At this similarity most bits agree but no block of them need do, so the shards are
-    bands of least shingle hashes; fingerprints of WIDE times 64 bits estimate the
-    similarity, and the radius has a margin for the estimate's spread.
+    bands of least shingle hashes. Fingerprints of WIDE times 64 bits only propose
+    pairs there, in a radius far beyond the estimate's spread; a pair is linked if the
+    sets of shingle hashes themselves have the similarity.
     """
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("code", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType()))])
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(partial(_wide_rows, size=size), schema)
-    prints = written(rows.select("id", F.xxhash64("fp").alias("code"), "fp", "shards"), "fingerprints")
+    prints = written(rows, "fingerprints")
     classes = written(named_classes(prints, ["code"], ["fp", "shards"]), "classes")
-    roots = connected(links(classes, radius_for(similarity), F.col("shards")))
+    roots = connected(verified_links(docs.select(id_col, text_col), classes, size, similarity))
     linked = component_names(classes, roots, ["code"])
     return prints.select("id", "code").join(linked, "code").select(F.col("id").alias(id_col), "component_id")
 

@@ -59,6 +59,23 @@ def test_near_duplicates(docs, none):
     assert simhash.one_of_each(none).count() == 0 and simhash.one_of_each(docs).columns == docs.columns
 
 
+def test_near_duplicates_are_those_of_the_shingle_sets(spark):
+    """Pairs right at 0.8 are all found, and none below it, however near; against the similarity of the sets."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for k in range(400):
+        # n + 4 words in one run; the second text goes on with other words, so n - d of n shingles are shared
+        n, d = [(90, 10), (90, 11), (90, 13), (9, 1), (9, 2), (180, 20), (180, 21), (180, 30)][k % 8]
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, n + 4)]
+        other = [*words[: n + 4 - d], *(f"v{x}" for x in rng.integers(0, 1 << 40, d))]
+        a, b = ({tuple(t[i : i + 5]) for i in range(n)} for t in (words, other))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if len(a & b) >= 0.8 * len(a | b) else 2 * k + 1}
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+    assert 0 < sum(k != v for k, v in want.items()) < 200
+
+
 def test_url_filter(spark, labels):
     urls = [(1, "http://a.example.org/es/1"), (2, "https://EXAMPLE.org/en/12?x"), (3, None), (4, "no scheme"), (5, "ftp://x.com#top"), (6, "http://b.com/de/4"), (6, "http://b.com/de/4"), (7, "http://net/a/b/c/d/e/f/9"), (8, "http://notorg/x"), (None, "http://my.org/")]
     pages = spark.createDataFrame([(*u, "v", 1.0) for u in urls], "page_id long, url string, verdict string, badness double")
