@@ -2,8 +2,8 @@
 
 Words are runs of letters and digits of the lower-cased text. A mask looks at some of
 the words in a window and ignores the others, so a changed word leaves the seeds of
-other masks or places alone. The benchmark's seeds (every ``STRIDE``-th place and the
-last one) meet the seeds of every place of every text in a join by hash. Each hit fixes
+other masks or places alone. The seeds of every place of the benchmark meet
+those of every place of every text in a join by hash. Each hit fixes
 an alignment of one item with one text; there the words are compared one by one, and
 the best-scoring run (a match gains 1, a changed word costs ``PENALTY``) must hold
 ``MIN_WORDS`` matches, or all but a tenth of an item shorter than that. Items of fewer
@@ -27,7 +27,6 @@ from groundplan.llm.common import table, written
 
 #: Fixed masks: 1 is compared, 0 is ignored. Each has weight 6.
 MASKS = ("11111001", "1101100101", "1001011011")
-STRIDE = 3
 PENALTY = 2
 MIN_WORDS = 13
 BROADCAST_SEEDS = 2_000_000
@@ -51,8 +50,8 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
     """(item, item_size, place, seed) of items with ``item_words``, their word hashes."""
     n = F.size("item_words")
     short = min(map(len, MASKS))
-    places = F.when(n >= short, F.array_union(F.sequence(F.lit(0), F.greatest(n - short, F.lit(0)), F.lit(STRIDE)), F.array(*(n - len(m) for m in MASKS)))).otherwise(F.array(F.lit(0)))
-    at = items.select("item", "item_words", F.explode(F.array_distinct(F.filter(places, lambda p: p >= 0))).alias("place"))
+    places = F.sequence(F.lit(0), F.greatest(n - short, F.lit(0)))
+    at = items.select("item", "item_words", F.explode(places).alias("place"))
     whole = F.when(n < short, F.xxhash64(F.lit(-1), n, F.xxhash64(F.col("item_words"))))
     seeds = F.array_compact(F.array_append(_seeds(F.col("item_words"), n, F.col("place")), whole))
     return at.select("item", n.alias("item_size"), "place", F.explode(seeds).alias("seed"))

@@ -109,6 +109,28 @@ def test_decontamination_brute_force(spark):
         assert best_matches(items[i], docs[d]) >= min(decontaminate.MIN_WORDS, -(-len(items[i]) * 9 // 10))
 
 
+def test_decontamination_finds_changed_overlaps_at_any_place(spark):
+    """Up to two changed words in short overlaps, and every sixth word of a whole item, against all alignments."""
+    rng = np.random.default_rng(6)
+    items, texts = [], []
+    for k in range(80):
+        item = [f"i{k}w{x}" for x in range(60)]
+        n, changed = [(14, 1), (15, 2), (16, 2), (17, 2)][k % 4]
+        at = int(rng.integers(0, 61 - n))
+        part = item[at : at + n]
+        for x in rng.choice(n, changed, replace=False):
+            part[x] = "other"
+        items.append(item)
+        texts.append(["before", *part, "after"])
+    items.append([f"whole{x}" for x in range(40)])
+    texts.append([w if x % 6 else "other" for x, w in enumerate(items[-1])])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    want = {(k, k): n for k in range(81) if (n := best_matches(items[k], texts[k])) >= decontaminate.MIN_WORDS}
+    assert len(want) > 40 and want[80, 80] == 33
+    assert {(r.doc_id, r.item_id): r.matched for r in decontaminate.contaminated(docs, benchmark).collect()} == want
+
+
 def test_pieces_of_two_masks_differ():
     for a, b in pairwise(decontaminate.MASKS):
         assert a != b and a.count("1") == b.count("1") == 6
