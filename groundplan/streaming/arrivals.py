@@ -74,11 +74,13 @@ def once_per_key(df: DataFrame, keys: list[str], late: str = "1 hour") -> DataFr
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and gives its rows; for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there now and gives its rows, a Parquet table beside the checkpoint."""
+    spark, target = stream.sparkSession, f"{checkpoint}-{name}"
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(target)  # for a stream without a batch
+    query = stream.writeStream.format("parquet").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(target)
 
 
 def recompute(stream: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], source: Callable[[], DataFrame], target: str, checkpoint: str) -> StreamingQuery:

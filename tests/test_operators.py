@@ -192,3 +192,15 @@ def test_stream_upsert_and_windows(spark, tmp_path):
     closed = arrivals.drained(arrivals.tumbling(stream), "t_windows", str(tmp_path / "c2")).collect()
     assert {r.n for r in closed} == {6} and len(closed) >= 3
     assert arrivals.drained(arrivals.once_per_key(stream, ["user_id"]), "t_once", str(tmp_path / "c3")).count() == 3
+
+
+def test_drained_rows_stay_in_files(spark, tmp_path):
+    """No row of a stream goes through the driver; a second run adds what has come since."""
+    source = str(tmp_path / "in")
+    spark.range(5).write.parquet(source)
+    stream = spark.readStream.schema("id long").parquet(source)
+    found = arrivals.drained(stream, "t_files", str(tmp_path / "c"))
+    assert found.inputFiles() and sorted(r.id for r in found.collect()) == list(range(5))
+    spark.range(5, 8).write.mode("append").parquet(source)
+    assert sorted(r.id for r in arrivals.drained(stream, "t_files", str(tmp_path / "c")).collect()) == list(range(8))
+    assert arrivals.drained(stream.where("id < 0"), "t_none", str(tmp_path / "d")).count() == 0
