@@ -84,10 +84,18 @@ def drained(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
 
 
 def recompute(stream: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], source: Callable[[], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """What a row trigger does: of each micro-batch's keys the derived rows are built anew from the source."""
+    """What a row trigger does: of each micro-batch's keys the derived rows are built anew from the source.
+
+    The derived rows hold ``key``; those of other keys are carried over from the version
+    of the last batch.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         touched = batch.select(key).distinct()
-        build(source().join(touched, key, "left_semi")).write.mode("overwrite").parquet(f"{target}/version={number}")
+        derived = build(source().join(touched, key, "left_semi"))
+        old = _version(batch.sparkSession, target, number - 1)
+        if old is not None:
+            derived = derived.unionByName(old.join(touched, key, "left_anti"))
+        derived.write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

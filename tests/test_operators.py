@@ -194,6 +194,18 @@ def test_stream_upsert_and_windows(spark, tmp_path):
     assert arrivals.drained(arrivals.once_per_key(stream, ["user_id"]), "t_once", str(tmp_path / "c3")).count() == 3
 
 
+def test_recompute_keeps_the_keys_of_earlier_batches(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    read = lambda: spark.read.schema("k long, v long").parquet(source)
+    build = lambda df: df.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("last"))
+    batches = ([(1, 10), (2, 20)], [(2, 21), (3, 30)], [(4, 40)])
+    for rows in batches:
+        spark.createDataFrame(rows, "k long, v long").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k long, v long").parquet(source)
+        arrivals.recompute(stream, "k", build, read, target, str(tmp_path / "c")).awaitTermination()
+    assert {tuple(r) for r in arrivals.newest(spark, target).collect()} == {(1, 1, 10), (2, 2, 21), (3, 1, 30), (4, 1, 40)}
+
+
 def test_drained_rows_stay_in_files(spark, tmp_path):
     """No row of a stream goes through the driver; a second run adds what has come since."""
     source = str(tmp_path / "in")
