@@ -1,25 +1,32 @@
 """Removal of repeated strings by a depth-limited, distributed most-significant-digit radix sort.
 
 Every byte covered by a ``window``-byte string that also starts somewhere else is found.
-Suffixes are ordered only through ``window`` bytes, digit by digit, and a group with one
-member is dropped as soon as it is alone:
+Suffixes are ordered only through ``window`` bytes, digit by digit, and what is alone in
+its group is dropped before the next digit. Digits are hashes of parts of the window,
+which find equal groups as bytes in order would, but for all places of a text at once:
 
 * First digit: the ``GRAM``-byte string with the smallest hash inside each window (the
   rightmost of equal ones). Equal windows have it at equal offsets, so they meet in one
   group; neighbouring windows share theirs, so a text has a row only for each run of
   windows with a common one, about ``2 / window`` of its bytes.
-* Second digit: the run's whole content. Runs with equal content are repeated as a whole.
-* Last digit: where a group holds several different runs, the windows in them, sorted by
-  the hash of their ``window`` bytes; equal groups are exactly the repeated windows.
+* Second digit: the run's whole content. Runs with equal content are repeated as a whole;
+  of each content one run goes on, where its gram has several.
+* Third digit: the windows of a run fall into ``CLASSES`` by the gram's offset in them.
+  The windows of a class have a core in common, which is their digit. Classes of equal
+  content are repeated as a whole again, and one of each goes on.
+* Last digit: the whole window, for the classes whose core several contents share.
 
-Equal texts are one text from the start, so copies never meet as rows; they are repeated
-wholly if they hold a window at all. Groups are made of different runs only; one of more
-than ``GROUP_RUNS`` runs is sorted by Spark, window by window, not in one task.
-Strings are compared by 64-bit hashes inside groups of equal 64-bit gram hashes.
+Each digit is an aggregation that combines map-side, so no group is held in one task,
+however large: the rows of a digit are in proportion to the runs that the one before
+left, never to pairs of them. Equal texts are one text from the start.
+
+Contents are compared by 128-bit hashes inside groups of equal 64-bit gram hashes, so
+among ``n`` different strings of a group a wrong match has a chance of ``n * n / 2 ** 129``.
 
 Null text is empty text, shorter texts than ``window`` have nothing to remove, repeated
-rows are copies like any other, null ids stay null, an empty table gives an empty one.
-Other columns do not matter; ``cut`` keeps them.
+rows are copies like any other and so are repeated wholly, null ids stay null, an empty
+table gives an empty one. A string that overlaps its own copy is repeated too. Other
+columns do not matter; ``cut`` keeps them.
 """
 
 from __future__ import annotations
@@ -33,14 +40,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from groundplan.llm.common import table, written
 
 WINDOW = 400
 GRAM = 32
-GROUP_RUNS = 2_000
-BATCH_BYTES = 2_000_000
+CLASSES = 8
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -85,8 +90,8 @@ def sliding(values: np.ndarray, width: int, best: np.ufunc, filler: int) -> np.n
     return best(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def window_runs(data: bytes, window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(gram hash, content hash, first window start, windows) of each run of windows with a common least gram."""
+def window_runs(data: bytes, window: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(gram hash, content hash, first window start, windows, gram's offset in the first) of each run of windows with a common least gram."""
     n = len(data)
     if n < window:
         return
@@ -107,15 +112,19 @@ def window_runs(data: bytes, window: int) -> Iterator[tuple[int, int, int, int]]
     for k, place in enumerate(places):
         first, last = max(place - width + 1, before[k] + 1, 0), min(place, after[k] - width, n - window)
         if first <= last:
-            yield values[k], xxhash.xxh64_intdigest(data[first : last + window], place - first), first, last - first + 1
+            yield values[k], xxhash.xxh3_128_intdigest(data[first : last + window], place - first), first, last - first + 1, place - first
 
 
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
+def _halves(values: list[int]) -> tuple[pa.Array, pa.Array]:
+    return _signed([v >> 64 for v in values]), _signed([v & _MASK for v in values])
+
+
 def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    names = ["d1", "d2", "gram", "content", "first", "windows"]
+    names = ["d1", "d2", "gram", "c1", "c2", "first", "windows", "lead"]
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -128,82 +137,67 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
                 rows += own
                 owners += [k] * len(own)
             who = pa.array(owners, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(who), part.column(1).take(who), _signed([r[0] for r in rows]), _signed([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=names
-            )
+            places = [pa.array([r[k] for r in rows], pa.int32()) for k in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), _signed([r[0] for r in rows]), *_halves([r[1] for r in rows]), *places], names=names)
+
+
+_PIECE = "d1 long, d2 long, gram long, whole boolean, first int, windows int, lead int, bytes binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that a text is asked for."""
-    names = ["d1", "d2", "gram", "whole", "large", "first", "bytes"]
+    names = [field.split()[0] for field in _PIECE.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             rows = []
             for d1, d2, text, runs in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                rows += [(d1, d2, r["gram"], r["whole"], r["large"], r["first"], text[r["first"] : r["first"] + r["windows"] - 1 + window]) for r in runs]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary()]
+                rows += [(d1, d2, r["gram"], r["whole"], r["first"], r["windows"], r["lead"], text[r["first"] : r["first"] + r["windows"] - 1 + window]) for r in runs]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-def _window_codes(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of the pieces: hash, number of the piece, offset in it."""
-    sizes = np.array([len(p) for p in pieces])
-    counts = sizes - window + 1
-    owner = np.repeat(np.arange(len(pieces)), counts)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    codes = rolling(np.frombuffer(b"".join(pieces), dtype=np.uint8), window)
-    return codes[np.repeat(np.cumsum(sizes) - sizes, counts) + offset], owner, offset
-
-
-def _repeated(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(d1, d2, from, to) of the windows that two of ``rows`` (gram, d1, d2, first, whole, bytes) share under one gram."""
-    codes, owner, offset = _window_codes([r[5] for r in rows], window)
-    gram = np.array([r[0] for r in rows], dtype=np.int64)[owner]
-    order = np.lexsort((codes, gram))
-    same = (codes[order][1:] == codes[order][:-1]) & (gram[order][1:] == gram[order][:-1])
-    shared = np.zeros(len(codes), dtype=bool)
-    shared[order[1:][same]] = True
-    shared[order[:-1][same]] = True
-    hits = np.nonzero(shared)[0]
-    if not len(hits):
-        return
-    cuts = np.nonzero((np.diff(hits) != 1) | (np.diff(owner[hits]) != 0))[0]
-    for a, b in zip(hits[np.concatenate([[0], cuts + 1])], hits[np.concatenate([cuts, [len(hits) - 1]])], strict=True):
-        _, d1, d2, first, whole, _ = rows[owner[a]]
-        if not whole:
-            yield d1, d2, int(first + offset[a]), int(first + offset[b] + window)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by gram, so that a group is whole when the next begins; many groups are sorted at once."""
-    rows: list[tuple] = []
-    size, last = 0, None
+def _classes_of(windows: int, lead: int, window: int, count: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(class, its first and last window in the run, start and end of the core of all the class's windows), counted from the run's first byte."""
+    wide, low = -(-(window - GRAM + 1) // count), window - GRAM - lead
+    for number in range(low // wide, (low + windows - 1) // wide + 1):
+        start, end = number * wide - low, min(number * wide + wide - 1, window - GRAM) - low
+        yield number, max(start, 0), min(end, windows - 1), end, start + window
 
-    def done() -> pa.RecordBatch:
-        found = list(_repeated(rows, window)) if rows else []
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=["d1", "d2", "from", "to"])
 
+def _classes(batches: Iterator[pa.RecordBatch], window: int, count: int) -> Iterator[pa.RecordBatch]:
+    """Rows (d1, d2, gram, whole, first, windows, lead, bytes) become a row for each class of the run."""
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:4] == last:
-                continue
-            if size > BATCH_BYTES and row[0] != rows[-1][0]:
-                yield done()
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[5])
-            last = row[:4]
-    yield done()
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            owners, numbers, cores, contents, starts, ends = [], [], [], [], [], []
+            for k, (windows, lead, data) in enumerate(zip(*(part.column(c).to_pylist() for c in (5, 6, 7)), strict=True)):
+                for number, one, other, core, stop in _classes_of(windows, lead, window, count):
+                    owners.append(k)
+                    numbers.append(number)
+                    cores.append(xxhash.xxh3_64_intdigest(data[core:stop]))
+                    contents.append(xxhash.xxh3_128_intdigest(data[one : other + window], number * window + core - one))
+                    starts.append(one)
+                    ends.append(other)
+            who = pa.array(owners, pa.int32())
+            kept = [part.column(k).take(who) for k in (0, 1, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int32()) for x in (numbers, starts, ends)), _signed(cores), *_halves(contents)], names=["d1", "d2", "gram", "whole", "first", "class", "start", "end", "core", "c1", "c2"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """A row for every window: for groups that are too large for a task."""
+    """Rows (d1, d2, first, bytes, ranges) become a row for each window of the ranges."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            rows = list(zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True))
-            codes, owner, offset = _window_codes([r[5] for r in rows], window)
-            column = lambda k: np.array([r[k] for r in rows], dtype=np.int64)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (column(0), codes.view(np.int64), column(1), column(2), column(3) + offset)], names=["gram", "code", "d1", "d2", "start"])
+            part = batch.slice(at, 512)
+            owners, places, codes, asks = [], [], [], []
+            for k, (first, data, ranges) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                for r in ranges:
+                    numbers = range(r["start"], r["end"] + 1)
+                    owners += [k] * len(numbers)
+                    places += [first + n for n in numbers]
+                    asks += [r["asks"]] * len(numbers)
+                    codes += [xxhash.xxh3_128_intdigest(data[n : n + window]) for n in numbers]
+            who = pa.array(owners, pa.int32())
+            yield pa.RecordBatch.from_arrays([*_halves(codes), part.column(0).take(who), part.column(1).take(who), pa.array(places, pa.int32()), pa.array(asks, pa.bool_())], names=["h1", "h2", "d1", "d2", "place", "asks"])
 
 
 def _bytes(text_col: str) -> Column:
@@ -218,24 +212,31 @@ def covered(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     """Per distinct text (d1, d2): ``texts`` with its ``rep`` id and ``copies``, and ``spans`` with the array of covered (from, to)."""
     keyed = docs.select(F.col(id_col).alias("id"), *_keys(text_col), _bytes(text_col).alias("text"))
     texts = written(keyed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts")
-    scanned = keyed.where(F.octet_length("text") >= window).select("d1", "d2", "text").mapInArrow(partial(_runs, window=window), "d1 long, d2 long, gram long, content long, first long, windows long")
+    scanned = keyed.where(F.octet_length("text") >= window).select("d1", "d2", "text").mapInArrow(partial(_runs, window=window), "d1 long, d2 long, gram long, c1 long, c2 long, first int, windows int, lead int")
     runs = written(scanned.distinct(), "runs")
-    kinds = runs.groupBy("gram", "content").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("d1", "d2", "first", "windows")))
-    kinds = written(kinds, "kinds")
-    mixed = kinds.groupBy("gram").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1").select("gram", (F.col("size") > GROUP_RUNS).alias("large"))
-    whole = runs.join(kinds.where("n > 1").select("gram", "content"), ["gram", "content"], "left_semi").select("d1", "d2", F.col("first").alias("from"), (F.col("first") + F.col("windows") - 1 + window).alias("to"))
-    asked = kinds.join(mixed, "gram").groupBy("d1", "d2").agg(F.collect_list(F.struct("gram", (F.col("n") > 1).alias("whole"), "large", "first", "windows")).alias("runs")).join(texts.select("d1", "d2", "rep"), ["d1", "d2"])
+    content = ["gram", "c1", "c2"]
+    # aggregates that a join needs are tables, so that both its sides are plain exchanges, of which Spark can split a hot key's
+    kinds = written(runs.groupBy(*content).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("d1", "d2", "first", "windows", "lead"))), "kinds")
+    mixed = written(kinds.groupBy("gram").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1").select("gram"), "mixed")
+    span = lambda first, last: (first.cast("long").alias("from"), (last + window).cast("long").alias("to"))
+    whole = runs.join(kinds.where("n > 1").select(*content), content, "left_semi").select("d1", "d2", *span(F.col("first"), F.col("first") + F.col("windows") - 1))
+    asked = kinds.join(mixed, "gram", "left_semi").groupBy("d1", "d2").agg(F.collect_list(F.struct("gram", (F.col("n") > 1).alias("whole"), "first", "windows", "lead")).alias("runs")).join(texts.select("d1", "d2", "rep"), ["d1", "d2"])
     source = keyed.withColumnsRenamed({"d1": "k1", "d2": "k2"})
     met = asked.join(source, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & F.col("rep").eqNullSafe(F.col("id")))
-    pieces = met.select("d1", "d2", "text", "runs").mapInArrow(partial(_pieces, window=window), "d1 long, d2 long, gram long, whole boolean, large boolean, first long, bytes binary")
-    pieces = written(pieces, "pieces").select("gram", "d1", "d2", "first", "whole", "bytes", "large")
-    small = pieces.where("not large").drop("large").repartition("gram").sortWithinPartitions("gram", "d1", "d2", "first")
-    parts = small.mapInArrow(partial(_groups, window=window), "d1 long, d2 long, from long, to long")
-    each = pieces.where("large").drop("large").mapInArrow(partial(_windows, window=window), "gram long, code long, d1 long, d2 long, start long")
-    place = F.xxhash64("d1", "d2", "start")
-    shared = each.groupBy("gram", "code").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram", "code")
-    rest = each.join(shared, ["gram", "code"], "left_semi").select("d1", "d2", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
-    spans = whole.unionByName(parts).unionByName(rest).groupBy("d1", "d2").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
+    pieces = written(met.select("d1", "d2", "text", "runs").mapInArrow(partial(_pieces, window=window), _PIECE), "pieces")
+
+    classes = written(pieces.mapInArrow(partial(_classes, window=window, count=CLASSES), "d1 long, d2 long, gram long, whole boolean, first int, class int, start int, end int, core long, c1 long, c2 long"), "classes")
+    group = ["gram", "class", "core"]
+    contents = written(classes.groupBy(*group, "c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("d1", "d2", "first", "start", "end", "whole"))), "contents")
+    several = written(contents.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1").select(*group), "several")
+    alike = classes.where("not whole").join(contents.where("n > 1").select(*group, "c1", "c2"), [*group, "c1", "c2"], "left_semi").select("d1", "d2", *span(F.col("first") + F.col("start"), F.col("first") + F.col("end")))
+    asks = (~F.col("whole") & (F.col("n") == 1)).alias("asks")
+    ranges = contents.join(several, group, "left_semi").groupBy("d1", "d2", "first").agg(F.collect_list(F.struct("start", "end", asks)).alias("ranges"))
+    each = pieces.select("d1", "d2", "first", "bytes").join(ranges, ["d1", "d2", "first"]).mapInArrow(partial(_windows, window=window), "h1 long, h2 long, d1 long, d2 long, place int, asks boolean")
+    each = written(each, "windows")
+    shared = written(each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "shared")
+    rest = each.where("asks").join(shared, ["h1", "h2"], "left_semi").select("d1", "d2", *span(F.col("place"), F.col("place")))
+    spans = whole.unionByName(alike).unionByName(rest).groupBy("d1", "d2").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
     return texts, written(spans, "spans")
 
 

@@ -309,10 +309,10 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("limit", [2000, 1])
-def test_repeats(spark, monkeypatch, limit):
-    """Against brute force; with the limit of 1 all groups are sorted window by window."""
-    monkeypatch.setattr(repeats, "GROUP_RUNS", limit)
+@pytest.mark.parametrize("classes", [8, 1, 3, 33])
+def test_repeats(spark, monkeypatch, classes):
+    """Against brute force, with classes of all windows of a run, of some, and of one."""
+    monkeypatch.setattr(repeats, "CLASSES", classes)
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
     passage, second = word(180), word(90)
@@ -325,6 +325,25 @@ def test_repeats(spark, monkeypatch, limit):
         assert found[k if k != 5 else None] == want[k], k
 
 
+def test_repeats_of_a_hot_passage(spark, monkeypatch):
+    """Many different texts around one passage: each digit's rows follow the number of texts, not of pairs or windows."""
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    passage = word(900)
+    rows = {}
+    for n in (100, 400):
+        sizes, write = {}, repeats.written
+        monkeypatch.setattr(repeats, "written", lambda df, label, sizes=sizes, write=write: sizes.setdefault(label, write(df, label)))
+        texts = [word(500) + passage + word(500) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = repeats.repeats(docs).collect()
+        monkeypatch.undo()
+        assert all(r.n_spans == 1 and 900 <= r.n_removed < 920 for r in found)
+        rows[n] = {label: df.count() for label, df in sizes.items()}
+    assert all(rows[400][k] <= 4.6 * rows[100][k] + 10 for k in rows[100])
+    assert rows[400]["windows"] < 400 * 2 * (400 - repeats.GRAM) / 3
+
+
 def test_repeats_edges(docs, none):
     found = {r.doc_id: r for r in repeats.repeats(docs).collect()}
     assert len(found) == docs.count() - 1 and found[6].n_removed == found[6].n_bytes and found[0].n_bytes == 0

@@ -143,3 +143,23 @@ def test_held_out_accuracy(spark):
     langs = {r.doc_id: r.lang for r in rows_of(spark, "documents")}
     rows = [r for r in queries.QUERIES["op5_language_id"](spark, DATA).collect() if r.held_out]
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows]) >= 0.95
+
+
+def test_suffix_dedup_brute_force(spark):
+    """Every 400-byte string of all texts, counted."""
+    import hashlib
+
+    data = {r.doc_id: (r.text or "").encode() for r in rows_of(spark, "documents")}
+    codes = {k: [hash(d[i : i + 400]) for i in range(len(d) - 399)] for k, d in data.items()}
+    values, counts = np.unique(np.concatenate([np.array(c, dtype=np.int64) for c in codes.values()]), return_counts=True)
+    many = set(values[counts > 1].tolist())
+    want = {}
+    for k, d in data.items():
+        covered = np.zeros(len(d), dtype=bool)
+        for i, code in enumerate(codes[k]):
+            if code in many:
+                covered[i : i + 400] = True
+        spans = int((np.diff(np.concatenate([[0], covered.astype(int), [0]])) == 1).sum())
+        want[k] = (len(d), int(covered.sum()), spans, hashlib.sha256(bytes(np.frombuffer(d, dtype=np.uint8)[~covered])).hexdigest())
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op10_suffix_dedup"](spark, DATA).collect()}
+    assert found == want
