@@ -5,7 +5,8 @@ Templates are token sets; a block holds a template if it has at least ``THRESHOL
 the template's tokens. Tokens are ordered by the number of documents that hold them,
 rarest first, counted over the whole table. A block can only reach the threshold if it
 has one of the template's first ``|T| - need + 1`` tokens (prefix filter), ``need``
-tokens at all (length filter), and enough tokens from the first shared one on
+template tokens at all (length filter), and if at each of those shared tokens what both
+sides have behind it, with what they shared before, can still make up ``need``
 (positional filter); the pairs left are verified. Of nested templates in one block only
 the widest gives its label. Blocks are lines, and paragraphs of
 several lines (runs between blank lines).
@@ -86,18 +87,25 @@ class _Join:
                 self.index.setdefault(token, []).append((k, place))
         self.least = min(self.need)
 
+    def candidates(self, block: set[bytes]) -> list[int]:
+        """The templates that the prefix, length and positional filters leave."""
+        ordered = sorted(self.order.keys() & block, key=self.order.__getitem__)
+        if len(ordered) < self.least:
+            return []
+        shared: dict[int, int] = {}  # by template: tokens shared so far; -1 once it is out of reach
+        for at, token in enumerate(ordered):
+            for k, place in self.index.get(token, ()):
+                so_far = shared.get(k, 0)
+                if so_far >= 0:
+                    behind = min(len(ordered) - at, len(self.ordered[k]) - place)
+                    shared[k] = so_far + 1 if len(ordered) >= self.need[k] and so_far + behind >= self.need[k] else -1
+        return [k for k, n in shared.items() if n > 0]
+
     def matches(self, block: set[bytes]) -> Iterator[tuple[int, float]]:
-        if len(block) < self.least:
-            return
-        tried = set()
-        for token in sorted(self.index.keys() & block, key=self.order.__getitem__):
-            for k, place in self.index[token]:
-                if k in tried or len(block) < self.need[k] or len(self.ordered[k]) - place < self.need[k]:
-                    continue
-                tried.add(k)
-                shared = sum(t in block for t in self.ordered[k])
-                if shared >= self.need[k]:
-                    yield k, shared / len(self.ordered[k])
+        for k in self.candidates(block):
+            shared = sum(t in block for t in self.ordered[k])
+            if shared >= self.need[k]:
+                yield k, shared / len(self.ordered[k])
 
 
 def _blocks(data: bytes) -> Iterator[bytes]:
@@ -120,11 +128,12 @@ def _scan(batches: Iterator[pa.RecordBatch], join: _Join, labels: list[str], phr
             if not keys.isdisjoint(found) or any(last in found for _, last, _ in needles):
                 line = b" " + b" ".join(found) + b" "
                 for needle, _, label in needles:
-                    at = line.find(needle)
+                    at, seen, words_before = line.find(needle), 0, 0
                     while at >= 0:
-                        places.append(line.count(b" ", 0, at))
+                        words_before += line.count(b" ", seen, at)
+                        places.append(words_before)
                         base.add(label)
-                        at = line.find(needle, at + 1)
+                        at, seen = line.find(needle, at + 1), at
                 for block in _blocks(data):
                     held = list(join.matches(set(words(block))))
                     for k, share in held:
