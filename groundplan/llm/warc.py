@@ -5,7 +5,9 @@
 revisits without a payload. Only digests and ids are shuffled to find them. The list of shared payloads
 is broadcast to the pages if its counted rows are at most ``BROADCAST_GROUPS``; beyond
 it the pages are shuffled to it once. The files are plain WARC/1.0, written by
-Spark's text sink, so they can lie in any store that Spark writes to.
+Spark's text sink, so they can lie in any store that Spark writes to. Pages are written
+by classes of size, each with so many records a file that a file has at most
+``FILE_BYTES`` of pages, or one page that is larger.
 
 ``read`` takes whole files, plain or with a gzip member per record. A record must have
 a version line, headers with a length, its end marker, and the digests it names. After
@@ -35,7 +37,9 @@ from pyspark.sql import types as T
 from groundplan.llm.common import shared_dir, table, written
 
 SHARED_BYTES = 100
-RECORDS_PER_FILE = 2000
+FILE_BYTES = 32 << 20
+SMALL_BYTES, CLASS_STEP = 16 << 10, 16
+CHUNK = 64 << 10
 BROADCAST_GROUPS = 200_000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
@@ -57,8 +61,13 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     stem = lambda kind: F.concat(F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x1F\x7F]", ""), F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("n"), F.lit("\r\n"))
     response = F.concat(stem("response"), F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit("\r\n\r\n"), F.col("html"), F.lit("\r\n"))
     revisit = F.concat(stem("revisit"), F.lit("WARC-Refers-To: <urn:page:"), F.col("first"), F.lit(f">\r\nWARC-Profile: {PROFILE}\r\nContent-Length: 0\r\n\r\n\r\n"))
-    records = split.select(F.when(again, revisit).otherwise(response).alias("value"))
-    records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    sized = split.select(F.when(again, revisit).otherwise(response).alias("value"), F.octet_length("url").alias("_url"), "n")
+    largest = rows.agg(F.max(F.col("n") + F.octet_length("url"))).first()[0] or 0
+    least, most = -1, SMALL_BYTES
+    while least < largest:  # one class but for tables with large pages
+        part = sized.where((F.col("n") + F.col("_url") > least) & (F.col("n") + F.col("_url") <= most)).select("value")
+        part.write.mode("append").option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, FILE_BYTES // most)).text(path)
+        least, most = most, most * CLASS_STEP
 
 
 def _headers(block: bytes) -> dict[str, str] | None:
@@ -92,13 +101,19 @@ def record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
 
 
 def _member_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    unzip = zlib.decompressobj(31)
+    """The record of the gzip member at ``at``; the rest of the file is neither read nor copied."""
+    unzip, parts, place, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
-        plain = unzip.decompress(data[at:]) + unzip.flush()
+        while not unzip.eof and place < len(data):
+            parts.append(unzip.decompress(view[place : place + CHUNK]))
+            place += CHUNK
     except zlib.error:
         return None
-    found = record_at(plain, 0) if unzip.eof else None
-    return (found[0], found[1], len(data) - len(unzip.unused_data)) if found and found[2] == len(plain) else None
+    if not unzip.eof:
+        return None
+    plain = b"".join(parts)
+    found = record_at(plain, 0)
+    return (found[0], found[1], min(place, len(data)) - len(unzip.unused_data)) if found and found[2] == len(plain) else None
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
@@ -148,7 +163,9 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
-    return read(spark, path).where("not quarantined").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # this job wrote the files itself, so a gap in them is a fault and no row to leave out
+    lost = F.raise_error(F.concat(F.lit("quarantined bytes in "), "archive", F.lit(" at "), F.col("offset").cast("string"))).cast("boolean")
+    return read(spark, path).where(F.when(F.col("quarantined"), lost).otherwise(True)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
