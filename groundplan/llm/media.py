@@ -5,6 +5,8 @@ functions. ``sniff`` reads any binary media column: one Aho-Corasick pass locate
 magic bytes, a validator of each format confirms structure and length, the first
 confirmed hit at offset 0 corrects the declared type, and confirmed hits further on are
 carved as embedded media. A magic string that no validator confirms means nothing.
+Trailers that end a format are located once per value, so the work of a value is in
+proportion to its length however many magic strings it holds.
 
 Null text is empty text; a null media value has no type, no samples and null digests.
 Repeated rows get equal results, other columns do not matter, an empty table gives an
@@ -14,8 +16,10 @@ empty result. Values are held one at a time beside their Arrow batch.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
@@ -30,7 +34,9 @@ from groundplan.llm.common import table
 ALIGN = 64
 RATE = 8000
 TAIL = 64
+CHUNK = 64 << 10
 UNKNOWN = "application/octet-stream"
+DECLARED = ("audio/wav", UNKNOWN, "text/plain", "image/png")
 
 
 def padded(data: Column) -> Column:
@@ -51,10 +57,35 @@ def wave(payload: Column) -> Column:
     return F.concat(F.lit(bytearray(b"RIFF")), _le32(n + 36), F.lit(bytearray(b"WAVE" + form)), _le32(n), payload)
 
 
+class _Value:
+    """A media value with the places of format trailers in it, each found once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {}
+
+    def places(self, mark: bytes) -> list[int]:
+        if mark not in self.found:
+            self.found[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self.found[mark]
+
+    def first(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on, or -1."""
+        places = self.places(mark)
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def last(self, mark: bytes, at: int, end: int) -> int:
+        """The last place of ``mark`` from ``at`` on and before ``end``, or -1."""
+        places = self.places(mark)
+        k = bisect_left(places, end) - 1
+        return places[k] if k >= 0 and places[k] >= at else -1
+
+
 # Validators: the length of the medium that starts at ``at``, or 0.
 
 
-def _riff(data: bytes, at: int) -> int:
+def _riff(value: _Value, at: int) -> int:
+    data = value.data
     if len(data) - at < 20:
         return 0
     size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
@@ -66,12 +97,13 @@ def _riff(data: bytes, at: int) -> int:
     return size if place == at + size else 0
 
 
-def _png(data: bytes, at: int) -> int:
-    place = at + 8
+def _png(value: _Value, at: int) -> int:
+    data, place, view = value.data, at + 8, memoryview(value.data)
+    stop = value.last(b"IEND", place, len(data)) + 8
     while place + 12 <= len(data):
         n = int.from_bytes(data[place : place + 4], "big")
         end = place + 12 + n
-        if end > len(data) or zlib.crc32(data[place + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
+        if end > stop or zlib.crc32(view[place + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
             return 0
         if data[place + 4 : place + 8] == b"IEND":
             return end - at
@@ -79,7 +111,8 @@ def _png(data: bytes, at: int) -> int:
     return 0
 
 
-def _gif(data: bytes, at: int) -> int:
+def _gif(value: _Value, at: int) -> int:
+    data = value.data
     if len(data) - at < 14:
         return 0
     flags = data[at + 10]
@@ -101,12 +134,12 @@ def _gif(data: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(data: bytes, at: int) -> int:
-    place = at + 2
+def _jpeg(value: _Value, at: int) -> int:
+    data, place = value.data, at + 2
     while place + 4 <= len(data) and data[place] == 0xFF:
         kind = data[place + 1]
         if kind == 0xDA:
-            end = data.find(b"\xff\xd9", place)
+            end = value.first(b"\xff\xd9", place)
             return end + 2 - at if end > 0 else 0
         if not 0xC0 <= kind <= 0xFE:
             return 0
@@ -114,35 +147,37 @@ def _jpeg(data: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(data: bytes, at: int) -> int:
+def _bmp(value: _Value, at: int) -> int:
+    data = value.data
     if len(data) - at < 26:
         return 0
     size, reserved, start, header = struct.unpack_from("<IIII", data, at + 2)
     return size if not reserved and header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= size <= len(data) - at else 0
 
 
-def _gzip(data: bytes, at: int) -> int:
+def _gzip(value: _Value, at: int) -> int:
+    data = value.data
     if len(data) - at < 18 or data[at + 3] & 0xE0:
         return 0
-    unzip = zlib.decompressobj(31)
+    unzip, place, view = zlib.decompressobj(31), at, memoryview(data)
     try:
-        while not unzip.eof:
-            before = len(unzip.unconsumed_tail) if unzip.unconsumed_tail else None
-            unzip.decompress(unzip.unconsumed_tail or data[at:], 1 << 20)
-            if not unzip.eof and (not unzip.unconsumed_tail or len(unzip.unconsumed_tail) == before):
-                return 0
+        while not unzip.eof and place < len(data):
+            unzip.decompress(view[place : place + CHUNK])
+            place += CHUNK
     except zlib.error:
         return 0
-    return len(data) - at - len(unzip.unused_data)
+    return min(place, len(data)) - at - len(unzip.unused_data) if unzip.eof else 0
 
 
-def _pdf(data: bytes, at: int) -> int:
-    end = data.rfind(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b"startxref" in data[at:end] else 0
+def _pdf(value: _Value, at: int) -> int:
+    """Up to the last end mark before the next file's header, as a file may have been extended."""
+    following = value.first(b"%PDF-", at + 1)
+    end = value.last(b"%%EOF", at, following if following > 0 else len(value.data))
+    return end + 5 - at if end > 0 and value.last(b"startxref", at, end) >= 0 else 0
 
 
-def _zip(data: bytes, at: int) -> int:
-    end = data.find(b"PK\5\6", at)
+def _zip(value: _Value, at: int) -> int:
+    data, end = value.data, value.first(b"PK\5\6", at)
     if end < 0 or end + 22 > len(data):
         return 0
     size, start, note = struct.unpack_from("<IIH", data, end + 12)
@@ -150,7 +185,7 @@ def _zip(data: bytes, at: int) -> int:
 
 
 #: Magic bytes, media types and the validators that confirm them.
-SIGNATURES: dict[bytes, tuple[str, Callable[[bytes, int], int]]] = {
+SIGNATURES: dict[bytes, tuple[str, Callable[["_Value", int], int]]] = {
     b"RIFF": ("audio/wav", _riff),
     b"\x89PNG\r\n\x1a\n": ("image/png", _png),
     b"GIF87a": ("image/gif", _gif),
@@ -178,12 +213,13 @@ def _automaton():
 def media_in(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of every confirmed medium that lies in no earlier one, except inside a container at 0."""
     found: list[tuple[int, int, str]] = []
+    value = _Value(data)
     for last, magic in _automaton().iter(data.decode("latin-1")):
         at = last + 1 - len(magic)
         if found and at < found[-1][0] + found[-1][1] and found[-1][0] > 0:
             continue
         kind, confirm = SIGNATURES[magic]
-        if size := confirm(data, at):
+        if size := confirm(value, at):
             found.append((at, size, _RIFF_TYPES[data[at + 8 : at + 12]] if magic == b"RIFF" else kind))
     return found
 
@@ -197,14 +233,20 @@ def samples_of(data: bytes) -> bytes:
 
 
 def _describe(kind: str, samples: bytes, embedded: int) -> str:
-    wave_form = np.frombuffer(samples, dtype=np.uint8)
-    if not len(wave_form):
+    """Features of the samples, from a histogram that is filled chunk by chunk."""
+    n = len(samples)
+    if not n:
         return f"{kind};embedded={embedded}"
-    total = int(wave_form.sum(dtype=np.int64))
-    power = int(np.square(wave_form, dtype=np.int64).sum())
-    crossings = int(np.count_nonzero((wave_form[1:] >= 128) != (wave_form[:-1] >= 128)))
-    n = len(wave_form)
-    return f"{kind};samples={n};mean={total / n:.6f};rms={(power / n) ** 0.5:.6f};min={wave_form.min()};max={wave_form.max()};crossings={crossings};embedded={embedded}"
+    counts, crossings, before = np.zeros(256, dtype=np.int64), 0, None
+    for start in range(0, n, CHUNK):
+        part = np.frombuffer(samples, dtype=np.uint8, count=min(CHUNK, n - start), offset=start)
+        counts += np.bincount(part, minlength=256)
+        high = part >= 128
+        crossings += int(np.count_nonzero(high[1:] != high[:-1])) + int(before is not None and bool(high[0]) != before)
+        before = bool(high[-1])
+    levels, used = np.arange(256, dtype=np.int64), np.nonzero(counts)[0]
+    total, power = int(counts @ levels), int(counts @ levels**2)
+    return f"{kind};samples={n};mean={total / n:.6f};rms={(power / n) ** 0.5:.6f};min={used[0]};max={used[-1]};crossings={crossings};embedded={embedded}"
 
 
 def _sniff(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -238,11 +280,17 @@ def sniff(frame: DataFrame, id_col: str, declared_col: str, media_col: str, keep
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_bytes``, the declared type (not yet known to be a WAV) and the ``media`` bytes."""
+    """Per row: id, ``n_bytes``, the declared type and the ``media`` bytes.
+
+    Types are declared as uploads declare them, by no look at the bytes: the checksum of
+    the text picks one of DECLARED, so most are wrong and sniffing has to correct them.
+    """
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
-    return docs.select(F.col(id_col), F.octet_length(data).cast("long").alias("n_bytes"), F.lit(UNKNOWN).alias("declared"), wave(padded(data)).alias("media"))
+    declared = F.get(F.array(*map(F.lit, DECLARED)), (F.crc32(data) % len(DECLARED)).cast("int"))
+    return docs.select(F.col(id_col), F.octet_length(data).cast("long").alias("n_bytes"), declared.alias("declared"), wave(padded(data)).alias("media"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sniff(store(table(spark, sf_dir, "documents")), "doc_id", "declared", "media", keep=("n_bytes",))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type")
+    found = sniff(store(table(spark, sf_dir, "documents")), "doc_id", "declared", "media", keep=("n_bytes", "declared"))
+    corrected = (F.col("media_type") != F.col("declared")).alias("corrected")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "declared", corrected)
