@@ -10,7 +10,10 @@ the radius of its own distance. A shard yields no pairs but one link from each
 fingerprint to the first of its class there, so its output grows with its input alone.
 A shard of more than ``SHARD_ROWS`` fingerprints is dealt into up to ``SHARD_PARTS``
 parts, and each pair of parts, or part by itself, is a task of its own: the tree of one,
-in which the other is searched. So a task has two parts of a shard at most.
+in which the other is searched. So a task has two parts of a shard at most. A shard of
+more rows than that many parts hold is first sharded once more, by the bits that its
+members need not share yet, in the same way. Shard trees are built in the tasks that
+search them and not broadcast: all trees together are as large as the corpus.
 
 The links are joined to classes by alternating large-star and small-star steps, with
 minima that aggregate map-side. Nothing about documents reaches the driver but counts.
@@ -18,7 +21,8 @@ minima that aggregate map-side. Nothing about documents reaches the driver but c
 Words are separated by ASCII white space, A-Z are lower-cased. Null and wordless texts
 have fingerprint 0 and are linked like any other. A class is named by its smallest id;
 rows without an id take part under no name (null if the class has no id at all).
-Repeated rows get equal results; other columns do not matter.
+Repeated rows get equal results; rows of one id with different texts are nodes of their
+own. Other columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,6 +130,14 @@ def block_masks(radius: int) -> list[int]:
     return [sum(chosen) for chosen in itertools.combinations(blocks, SPARE)]
 
 
+def finer_masks(radius: int, mask: int) -> list[int]:
+    """The bits of every choice of SPARE out of radius + SPARE blocks of those that ``mask`` leaves out."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    edges = np.linspace(0, len(free), radius + SPARE + 1).astype(int)
+    blocks = [sum(1 << k for k in free[a:b]) for a, b in itertools.pairwise(edges)]
+    return [sum(chosen) for chosen in itertools.combinations(blocks, SPARE)]
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays of distinct hashes; two empty sets are equal."""
     if not len(a) or not len(b):
@@ -210,13 +222,24 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
 
+def _shards_of(code: Column, masks: list[int]) -> Column:
+    """A hash of the bits that each of the masks leaves of ``code``."""
+    return F.array(*(F.xxhash64(F.lit(k), code.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(masks)))
+
+
 def links(classes: DataFrame, radius: int) -> DataFrame:
     """Pairs (a, b) of ``node`` numbers that join all fingerprints ``fp`` of ``classes`` linked within ``radius`` bits."""
-    shards = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(block_masks(radius))))
-    rows = classes.select("node", "fp", F.explode(shards).alias("shard"))
-    sizes = rows.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    spread = _dealt(rows.join(sizes, "shard"))
-    spread = spread.repartition(F.col("shard"), F.col("part")).sortWithinPartitions("shard", "part", "search", "node")
+    masks = block_masks(radius)
+    rows = classes.select("node", "fp", F.posexplode(_shards_of(F.col("fp"), masks)).alias("mask", "shard"))
+    sizes = written(rows.groupBy("mask", "shard").agg(F.count("*").alias("size")).where("size > 1"), "shard-sizes")
+    sized, most = rows.join(sizes, ["mask", "shard"]), SHARD_ROWS * SHARD_PARTS
+    spread = sized.where(F.col("size") <= most).select("shard", "node", "fp", "size")
+    if (sizes.agg(F.max("size")).first()[0] or 0) > most:
+        finer = F.element_at(F.array(*(_shards_of(F.col("fp"), finer_masks(radius, m)) for m in masks)), F.col("mask") + 1)
+        split = sized.where(F.col("size") > most).select("node", "fp", F.explode(F.transform(finer, lambda f: F.xxhash64("mask", "shard", f))).alias("shard"))
+        again = written(split.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1"), "finer-sizes")
+        spread = spread.unionByName(split.join(again, "shard").select("shard", "node", "fp", "size"))
+    spread = _dealt(spread).repartition(F.col("shard"), F.col("part")).sortWithinPartitions("shard", "part", "search", "node")
     return spread.mapInArrow(partial(_shard_links, radius=radius), "a long, b long").where("a <> b").distinct()
 
 
@@ -229,11 +252,11 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return dealt.select("shard", part, (F.col("own") > F.col("other")).alias("search"), "node", "fp")
 
 
-def connected(pairs: DataFrame, most: int = 50) -> DataFrame:
-    """(node, root): the smallest node reachable from each node of the pairs, by star contraction."""
+def connected(pairs: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable from each node of the pairs, by star contraction until nothing changes."""
     stars = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     state = None
-    for _ in range(most):
+    while True:
         both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the minima are tables, so that both sides of each join are plain exchanges, of which Spark can split a hub's
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
@@ -245,37 +268,54 @@ def connected(pairs: DataFrame, most: int = 50) -> DataFrame:
         if now == state:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
-    raise RuntimeError(f"components not found in {most} rounds")
 
 
-def named_classes(prints: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
-    """One row per fingerprint: ``node``, ``keys``, ``carried`` and ``first``, the smallest id.
+#: Nodes from here on are no ids but hashes of keys; ids that are as large are looked up.
+HASHED = 1 << 62
+WHOLE = ("byte", "short", "integer", "long")
 
-    Whole-number ids name their class's node, as no two classes share their smallest
-    id; so the smallest node of a component is its name, and needs no search. Classes
-    without an id, or with ids of another type, get hashed nodes above all those.
-    """
-    whole = prints.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
-    spare = F.shiftrightunsigned(F.xxhash64(*keys), 2).bitwiseOR(F.lit(1 << 62))
-    node = F.coalesce(F.col("first").cast("long"), spare) if whole else spare
-    grouped = prints.groupBy(*keys).agg(F.min("id").alias("first"), *(F.first(c).alias(c) for c in carried))
-    return grouped.withColumn("node", node)
 
+def named_classes(prints: DataFrame, key: str, aggregates: list[Column]) -> DataFrame:
+    """One row per ``key``, a long, with its ``node``, its smallest id ``first`` and the ``aggregates``.
 
-def component_names(classes: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` with ``component_id``, the smallest id of the class's component."""
-    named = classes.join(roots, "node", "left").select(*keys, "first", F.coalesce("root", "node").alias("root"))
-    if classes.schema["first"].dataType.typeName() in ("byte", "short", "integer", "long"):
-        return named.select(*keys, F.when(F.col("root") < 1 << 62, F.col("root")).cast(classes.schema["first"].dataType).alias("component_id"))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(names, "root").select(*keys, "component_id")
+    Whole-number ids name their class's node; so the smallest node of a component is its
+    name, and needs no search. Classes without an id, and of those with one smallest id
+    (rows of one id with different texts) all but one, get hashed nodes above all those;
+    a hashed node and an id of HASHED and more are the same with a chance of one in 2^62.
+    Ids of another type have the key for a node.
+    """
+    grouped = prints.groupBy(key).agg(F.min("id").alias("first"), *aggregates)
+    if prints.schema["id"].dataType.typeName() not in WHOLE:
+        return grouped.withColumn("node", F.col(key))
+    grouped = written(grouped, "grouped")
+    hashed = F.shiftrightunsigned(F.xxhash64(key), 2).bitwiseOR(F.lit(HASHED))
+    shared = grouped.where(F.col("first").isNotNull()).groupBy("first").agg(F.min(key).alias("_owner"), F.count("*").alias("_n")).where("_n > 1").select("first", "_owner")
+    shared = written(shared, "shared-ids")
+    if shared.isEmpty():
+        return grouped.withColumn("node", F.coalesce(F.col("first").cast("long"), hashed))
+    own = F.col("first").isNotNull() & (F.col("_owner").isNull() | (F.col("_owner") == F.col(key)))
+    return grouped.join(shared, "first", "left").withColumn("node", F.when(own, F.col("first").cast("long")).otherwise(hashed)).drop("_owner")
+
+
+def component_names(classes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``key`` with ``component_id``, the smallest id of the class's component."""
+    named = classes.join(roots, "node", "left").select(key, "first", F.coalesce("root", "node").alias("root"))
+    kind = classes.schema["first"].dataType
+    if kind.typeName() not in WHOLE:
+        names = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "names")
+        return named.join(names, "root").select(key, "component_id")
+    looked_up = classes.where(F.col("node") >= HASHED).select(F.col("node").alias("root"), F.col("first").alias("component_id"))
+    plain = named.where(F.col("root") < HASHED).select(key, F.col("root").cast(kind).alias("component_id"))
+    if looked_up.isEmpty():
+        return plain
+    return plain.unionByName(named.where(F.col("root") >= HASHED).join(looked_up, "root").select(key, "component_id"))
 
 
 def components(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``fp`` and ``component_id``."""
     prints = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    classes = written(named_classes(prints, ["fp"], []), "classes")
-    linked = component_names(classes, connected(links(classes, radius)), ["fp"])
+    classes = written(named_classes(prints, "fp", []), "classes")
+    linked = component_names(classes, connected(links(classes, radius)), "fp")
     return prints.join(linked, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -322,7 +362,7 @@ def _wide_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             codes.append(_set_code(hashes))
             prints.append(wide_fingerprint(hashes))
             shards.append(band_keys(hashes))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64()), pa.array(prints, pa.binary()), pa.array(shards, pa.list_(pa.int64()))], names=["id", "code", "fp", "shards"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(codes, pa.int64()), pa.array(prints, pa.binary()), pa.array(shards, pa.list_(pa.int64()))], names=["id", "t1", "t2", "code", "fp", "shards"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -363,6 +403,21 @@ def verified_links(docs: DataFrame, classes: DataFrame, size: int, similarity: f
     return spread.mapInArrow(partial(_verified_links, radius=radius_for(similarity), similarity=similarity), "a long, b long").where("a <> b").distinct()
 
 
+def _text_keys(text_col: str) -> tuple[Column, Column]:
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")
+
+
+def _similar(docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, t1, t2, code) of shingle sets, the ``classes`` of equal ones, and the ``roots`` of linked nodes."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("t1", "t2", "code")), T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType()))])
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary"), *_text_keys(text_col)).mapInArrow(partial(_wide_rows, size=size), schema)
+    prints = written(rows, "fingerprints")
+    kept = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "t1", "t2"))).alias("kept")
+    classes = written(named_classes(prints, "code", [kept, F.first("fp").alias("fp"), F.first("shards").alias("shards")]), "classes")
+    return prints, classes, connected(verified_links(docs.select(id_col, text_col), classes, size, similarity))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id and ``component_id``, for sets of ``size``-word shingles of ``similarity`` or more.
 
@@ -371,24 +426,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     pairs there, in a radius far beyond the estimate's spread; a pair is linked if the
     sets of shingle hashes themselves have the similarity.
     """
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("code", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("shards", T.ArrayType(T.LongType()))])
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(partial(_wide_rows, size=size), schema)
-    prints = written(rows, "fingerprints")
-    classes = written(named_classes(prints, ["code"], ["fp", "shards"]), "classes")
-    roots = connected(verified_links(docs.select(id_col, text_col), classes, size, similarity))
-    linked = component_names(classes, roots, ["code"])
+    prints, classes, roots = _similar(docs, size, similarity, id_col, text_col)
+    linked = component_names(classes, roots, "code")
     return prints.select("id", "code").join(linked, "code").select(F.col("id").alias(id_col), "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate group, that of the smallest id.
 
-    Rows with equal ids are one document, of which one row stays; rows without an id stay.
+    Rows of one id with different texts are different documents; of rows with equal ids
+    and texts one stays. Rows without an id stay.
     """
-    found = near_duplicates(docs, size, similarity, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col] == gone["_gone"], "left_anti").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    _, classes, roots = _similar(docs, size, similarity, id_col, text_col)
+    kept = classes.where(F.col("first").isNotNull()).join(roots.where("node <> root"), "node", "left_anti").select("kept.*")
+    names = docs.columns
+    plain = docs.toDF(*map(str, range(len(names))))  # the columns of ``kept`` clash with none of these
+    own = F.col(str(names.index(id_col)))
+    t1, t2 = _text_keys(str(names.index(text_col)))
+    keyed = plain.where(own.isNotNull()).withColumns({"_t1": t1, "_t2": t2})
+    named = keyed.join(kept, (own == F.col("id")) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left_semi")
+    one = named.dropDuplicates([str(names.index(id_col)), "_t1", "_t2"]).drop("_t1", "_t2")
+    return one.unionByName(plain.where(own.isNull())).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
