@@ -12,8 +12,8 @@ a URL the longest decides. The others are judged by a tree of path templates per
   than ``Z`` standard errors. Branches that differ are kept apart. Every level is one
   aggregation by (host, template so far, segment) and one by (host, template so far).
 * A template's badness is its labelled bad share, smoothed by ``PRIOR`` pages of its
-  host's share, which in turn is smoothed by the overall share. At ``REJECT`` or more
-  the template's pages are blocked.
+  host's share, which in turn is smoothed by the overall share, a quarter if nothing is
+  labelled. At ``REJECT`` or more the template's pages are blocked; so none are without a label.
 
 Labels come as (url, bad) pairs; here a page is bad if the document that its URL's last
 number names is labelled of quality 0. Only aggregates are joined back, by keys that are
@@ -95,7 +95,7 @@ def templates(pages: DataFrame) -> DataFrame:
     by_template = tree.groupBy("host", "template").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     by_host = by_template.groupBy("host").agg(F.sum("seen").alias("host_seen"), F.sum("bad").alias("host_bad"))
     overall = by_host.agg(F.sum("host_seen").alias("seen"), F.sum("host_bad").alias("bad")).first()  # two numbers
-    share = ((overall.bad or 0.0) + 1) / ((overall.seen or 0.0) + 2)
+    share = ((overall.bad or 0.0) + 1) / ((overall.seen or 0.0) + 4)
     host_share = (F.col("host_bad") + PRIOR * F.lit(share)) / (F.col("host_seen") + PRIOR)
     scored = by_template.join(by_host, "host").select("host", "template", ((F.col("bad") + PRIOR * host_share) / (F.col("seen") + PRIOR)).alias("badness"))
     return tree.select("host", "shapes", "template").join(scored, ["host", "template"])
@@ -107,8 +107,10 @@ def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_co
     parsed = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     key = F.expr("try_cast(regexp_extract(path, '(\\\\d+)[^/0-9]*/?$', 1) AS bigint)")
-    work = parsed.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("by_rule"), F.coalesce(key, F.lit(-1)).alias("key"), segments(F.col("path")).alias("shapes"))
-    joined = work.join(labelled.select(F.col("key").alias("label_key"), "bad"), F.col("key") == F.col("label_key"), "left")
+    work = parsed.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("by_rule"), key.alias("key"), segments(F.col("path")).alias("shapes"))
+    # pages without a number match nothing, and are dealt out by their id so as not to meet in one task
+    place = F.coalesce("key", F.xxhash64(id_col))
+    joined = work.join(labelled.select(F.col("key").alias("label_key"), "bad"), (place == F.col("label_key")) & F.col("key").isNotNull(), "left")
     scored = templates(joined.select("host", "shapes", "bad")).select(F.col("host").alias("h"), F.col("shapes").alias("s"), "template", "badness")
     judged = work.join(scored, (F.col("host") == F.col("h")) & F.col("shapes").eqNullSafe(F.col("s")), "left")
     return judged.select(id_col, "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("badness") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", F.round("badness", 6).alias("badness"))
@@ -138,7 +140,7 @@ def _oracle() -> str:
         "labelled AS (SELECT doc_id AS key, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1)",
         "parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages)",
         f"cut AS (SELECT page_id, host, path, {cut} FROM (SELECT p.*, string_split(substr(path, 2), '/') AS parts FROM parsed p) x)",
-        f"work AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS by_rule, coalesce(TRY_CAST(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1) AS BIGINT), -1) AS key, {shaped} FROM cut)",
+        f"work AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS by_rule, TRY_CAST(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1) AS BIGINT) AS key, {shaped} FROM cut)",
         f"t0 AS (SELECT host, {keys}, count(*) AS n, count(bad) AS seen, coalesce(sum(bad), 0) AS bad, '' AS template FROM work LEFT JOIN labelled ON work.key = labelled.key GROUP BY host, {keys})",
     ]
     for d in range(DEPTH + 1):
@@ -156,7 +158,7 @@ def _oracle() -> str:
     parts += [
         f"bt AS (SELECT host, template, CAST(sum(seen) AS DOUBLE) AS seen, CAST(sum(bad) AS DOUBLE) AS bad FROM {last} GROUP BY 1, 2)",
         "bh AS (SELECT host, sum(seen) AS host_seen, sum(bad) AS host_bad FROM bt GROUP BY 1)",
-        "al AS (SELECT (sum(host_bad) + 1) / (sum(host_seen) + 2) AS share FROM bh)",
+        "al AS (SELECT (sum(host_bad) + 1) / (sum(host_seen) + 4) AS share FROM bh)",
         f"sc AS (SELECT bt.host, template, (bad + {PRIOR} * ((host_bad + {PRIOR} * share) / (host_seen + {PRIOR}))) / (seen + {PRIOR}) AS badness FROM bt JOIN bh ON bt.host = bh.host CROSS JOIN al)",
     ]
     same = " AND ".join(f"w.{x} IS NOT DISTINCT FROM t.{x}" for x in segment)
