@@ -16,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a temporary folder is made, which a
-    single-machine session may use.
+    Only where that is unset a temporary folder is made, in sessions of one machine
+    alone: on a cluster executors would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="groundplan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -8,8 +8,11 @@ probability. Tokens are runs of letters (lower-cased), digits or symbols inside
 blank-separated chunks, and marks for all-capital words and for unknown ones.
 
 Training uses at most ``MAX_LABELLED`` labelled rows, those with the least hash of their
-id; vocabulary (``MAX_TOKENS`` most frequent tokens) and sums are counted in tasks, so
-the driver gets only tables of fixed size. Scoring reads every text whole.
+id, whole; of several texts of one id the one with the least hash. The vocabulary (the
+``MAX_TOKENS`` most frequent tokens that two of these rows hold; of a run of symbols the
+first four say which it is) and the sums are counted in tasks, so the driver gets only
+tables of fixed size. Scoring reads every text whole; tokens out of the vocabulary count
+as one unknown one.
 
 Null and empty texts are scored as the mean of no vectors. Labels of null or other than
 0 and 1, and ids labelled twice with different labels, are not learned from. If fewer
@@ -182,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     fold = (F.crc32(F.col("id").cast("string").cast("binary")) % 5).cast("int").alias("fold")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the sample has at most max_labelled rows, so it may be broadcast and dealt to a fixed number of tasks
-    sample = texts.join(F.broadcast(chosen), "id").select("id", "text", "label", fold).repartition(SAMPLE_TASKS).persist()
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    sample = found.select("id", "text", "label", fold).repartition(SAMPLE_TASKS).persist()
     try:
         counts = sample.mapInArrow(_frequencies, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
         tokens = [r.token for r in counts.orderBy(F.desc("n"), "token").limit(MAX_TOKENS).collect()]
