@@ -59,6 +59,22 @@ def test_near_duplicates(docs, none):
     assert simhash.one_of_each(none).count() == 0 and simhash.one_of_each(docs).columns == docs.columns
 
 
+def test_simhash_of_large_and_repeated_ids(spark):
+    """Ids of 2^62 and more keep their names; rows of one id with different texts do not join their classes."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    big = (1 << 62) + 5
+    rows = [(big, text(1)), (big + 1, text(1)), ((1 << 63) - 1, text(2)), (-(1 << 63), text(3)), (7, text(4)), (7, text(5)), (8, text(5)), (None, text(6)), (None, text(2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {(r.doc_id, r.fp): r.component_id for r in simhash.components(docs).collect()}
+    assert {k[0]: v for k, v in by.items() if k[0] not in (7, None)} == {big: big, big + 1: big, (1 << 63) - 1: (1 << 63) - 1, -(1 << 63): -(1 << 63), 8: 7}
+    assert [v for k, v in by.items() if k[0] == 7] == [7, 7] and sorted(map(str, (v for k, v in by.items() if k[0] is None))) == [str((1 << 63) - 1), "None"]
+    kept = [tuple(r) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], *rows[2:6], *rows[7:]], key=str)
+    same = spark.createDataFrame([("b", text(1)), ("a", text(1)), ("c", text(2))], "doc_id string, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(same).collect()) == ["a", "c"]
+    assert {r.doc_id: r.component_id for r in simhash.components(same).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
 def test_near_duplicates_are_those_of_the_shingle_sets(spark):
     """Pairs right at 0.8 are all found, and none below it, however near; against the similarity of the sets."""
     rng = np.random.default_rng(4)
@@ -90,6 +106,13 @@ def test_url_filter(spark, labels):
     assert url_filter.judge(pages.limit(0), url_filter.labels_of(labels.limit(0))).count() == 0
 
 
+def test_url_without_a_number_has_no_label(spark):
+    """Not even that of a document -1, as which pages without a number once were joined."""
+    pages = spark.createDataFrame([(k, "http://h.net/a/b") for k in range(50)], "page_id long, url string")
+    marks = spark.createDataFrame([(-1, 1), (42, 1)], "key long, bad int")
+    assert {r.verdict for r in url_filter.judge(pages, marks).collect()} == {"allow"}
+
+
 def test_url_templates_follow_labels(spark):
     pages = spark.createDataFrame([(k, f"http://h.net/{'bad' if k % 2 else 'good'}/{k}") for k in range(80)], "page_id long, url string")
     marks = spark.createDataFrame([(k, k % 2) for k in range(0, 60)], "key long, bad int")
@@ -124,6 +147,33 @@ def test_media_signatures(spark):
     assert (by[1].media_type, by[2].media_type, by[3].media_type, by[3].media_sha256) == ("image/png", media.UNKNOWN, "x", None)
 
 
+def test_media_types_are_corrected_and_carved(spark):
+    """Wrong declarations of every kind; two files one after the other; many magic strings without a trailer."""
+    import io
+    import zipfile
+
+    pdf = b"%PDF-1.4 startxref 9 %%EOF more startxref 10 %%EOF"
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("a", "text")
+    assert media.media_in(pdf + b" gap " + pdf) == [(0, len(pdf), "application/pdf"), (len(pdf) + 5, len(pdf), "application/pdf")]
+    assert media.media_in(book.getvalue() + pdf)[0] == (0, len(book.getvalue()), "application/zip")
+    value = media._Value(b"PK\3\4%PDF-\xff\xd8\xff" * 5000)
+    assert media.media_in(value.data) == [] and value.places(b"PK\5\6") == []
+    frame = spark.createDataFrame([(1, "image/png", bytearray(pdf)), (2, "application/pdf", bytearray(book.getvalue())), (3, "application/zip", bytearray(b"junk"))], "id long, declared string, media binary")
+    assert {r.id: r.media_type for r in media.sniff(frame, "id", "declared", "media").collect()} == {1: "application/pdf", 2: "application/zip", 3: media.UNKNOWN}
+
+
+def test_media_features():
+    """Against whole-array sums, across the ends of chunks."""
+    rng = np.random.default_rng(2)
+    for n in (1, 64, media.CHUNK - 1, media.CHUNK, 3 * media.CHUNK + 5):
+        data = rng.integers(0, 256, n, dtype=np.uint8)
+        wide, high = data.astype(np.int64), data >= 128
+        want = f"k;samples={n};mean={wide.sum() / n:.6f};rms={((wide * wide).sum() / n) ** 0.5:.6f};min={data.min()};max={data.max()};crossings={(high[1:] != high[:-1]).sum()};embedded=2"
+        assert media._describe("k", data.tobytes(), 2) == want
+
+
 def test_quality(docs, none, labels):
     found = quality.classify(docs, labels).collect()
     assert len(found) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found)
@@ -168,11 +218,51 @@ def test_phrases_are_greedy_longest_matches():
         return n
 
     for text in ("abra banana", "cadab", "qqq", "zyx ab"):
-        symbols, starts, _ = language_id._symbols([text], classes)
+        symbols, starts, _ = language_id._symbols([text], classes, len(alphabet))
         for (moves, _), model in zip(tables, sample, strict=True):
             assert language_id.phrases(symbols[:-1], starts, moves)[0] == brute(text, model), (text, model)
 
 
+@pytest.mark.parametrize("size", [3, 61, 400])
+def test_phrases_do_not_end_at_blocks(monkeypatch, size):
+    """Alphabets of one and of three symbols a letter, blocks of 4 and of 1024: the greedy parse of the whole text."""
+    rng = np.random.default_rng(size)
+    letters = [chr(0x4E00 + k) if size > 61 else chr(0x561 + k % 38 if k > 25 else 97 + k) for k in range(size)] + [" "]
+    word = lambda n: "".join(rng.choice(letters, n))
+    sample = tuple((k, language_id.letters_of(word(n))) for k, n in (("a", 60), ("b", 3000)))
+    alphabet, tables = language_id._model(sample)
+    texts = [None, "", "!?", word(5), word(3000), sample[0][1] * 2, word(40) + "żß" + word(10), sample[1][1][5:900]]
+    symbols, starts, _ = language_id._symbols(texts, language_id._letter_classes(alphabet), len(alphabet))
+    number = {c: k + 1 for k, c in enumerate(alphabet)} | {" ": 0}
+    for (_, text), (moves, _) in zip(sample, tables, strict=True):
+        edges = language_id.suffix_automaton(language_id.spelled(np.array([number[c] for c in text]), len(alphabet))[0].tolist())
+        want = []
+        for one in np.split(symbols, starts[1:]):
+            n = at = 0
+            while at < len(one):
+                state, end = 0, at
+                while end < len(one) and one[end] in edges[state]:
+                    state, end = edges[state][one[end]], end + 1
+                n, at = n + 1, max(end, at + 1)
+            want.append(n)
+        for block in (4, 1024):
+            monkeypatch.setattr(language_id, "BLOCK", block)
+            assert language_id.phrases(symbols, starts, moves).tolist() == want
+
+
+def test_languages_of_rare_letters(spark):
+    """Languages that share no frequent letter, of 300 letters each, with long and repeated rows and ids."""
+    rng = np.random.default_rng(1)
+    word = lambda k, n: "".join(chr(0x4E00 + 300 * k + int(x)) for x in rng.integers(0, 300, n))
+    rows = [(k // 2, word(k % 3, 200), f"l{k % 3}") for k in range(60)] + [(5, word(1, 20_000), "l1")] * 3
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kinds = {word_: lang for _, word_, lang in rows}
+    joined = found.collect()
+    assert len(joined) == 63 and {r.lang_pred for r in joined} == {"l0", "l1", "l2"} and len(kinds) == 61
+    one = spark.createDataFrame([(k, word(k % 3, 300), None if k % 3 == 0 else f"l{k % 3}") for k in range(60)], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == f"l{r.doc_id % 3}" for r in language_id.identify(one).collect() if r.doc_id % 3)
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
@@ -250,6 +340,31 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "SMALL_BYTES", 100)
+    sizes = [10, 90, 1500, 30_000, 0, 700] * 20
+    pages = spark.createDataFrame([(k, "u", chr(97 + k % 26) * n + str(k)) for k, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    found = warc.read(spark, str(tmp_path / "w")).collect()
+    assert sorted(r.page_id for r in found) == list(range(120)) and not any(r.quarantined for r in found)
+    by: dict = {}
+    for r in found:
+        by.setdefault(r.archive, []).append(r.payload_bytes)
+    assert all(sum(n) <= 4000 or len(n) == 1 for n in by.values())
+
+
+def test_warc_members_are_read_without_the_rest():
+    """Each member is read in chunks from its place; records larger than a chunk too."""
+    import gzip
+    import os as system
+
+    bodies = [system.urandom(n) for n in (10, 200_000, 65_536, 1)]
+    data = b"".join(gzip.compress(b"WARC/1.0\r\nContent-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n") for b in bodies)
+    assert [payload for kind, *_, payload in warc.salvage(data) if kind == "record"] == bodies
+    assert sum(size for _, _, size, _, _ in warc.salvage(data)) == len(data)
+
+
 def test_warc_salvage():
     import gzip
 
@@ -293,6 +408,18 @@ def test_license_join_is_exact():
             assert {k for k, _ in join.matches(set(block))} == want
 
 
+def test_license_positions_reject():
+    """A template whose first shared token comes too late in the block is no candidate; the prefix filter alone keeps it."""
+    templates = [("a", frozenset(b"a b c d e f g h".split())), ("b", frozenset(b"g h i j k l".split()))]
+    order = {t: k for k, t in enumerate(b"i j k l a b c d e f g h".split())}
+    join = license_scan._Join(templates, order, 0.75)
+    block = set(b"c d e f g h".split())
+    assert join.candidates(block) == [0]
+    late = set(b"i j k c d e".split())  # six tokens, c is in the prefix of a, but only three of them lie from c on
+    assert late & {t for t, kept in join.index.items() if any(k == 0 for k, _ in kept)} and len(late) >= join.need[0]
+    assert join.candidates(late) == [1] and list(join.matches(late)) == []
+
+
 def brute_repeats(texts, window):
     from collections import Counter
 
@@ -378,3 +505,35 @@ def test_pipeline_stages(spark, tmp_path, benchmark, labels):
     assert set(seen["decontamination"]) == set(range(13)) - {7, 8, 11}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(range(13)) - {7, 8, 11}
+
+
+def test_pipeline_edges(spark, tmp_path, docs, none, benchmark, labels):
+    """Every stage on nulls, empty and very long texts, repeated rows, clashing columns, and on an empty table."""
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for frame in (docs, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, frame, str(tmp_path))
+            assert found.columns == frame.columns and found.schema.simpleString() == frame.schema.simpleString(), name
+            if frame is none:
+                assert found.count() == 0
+            else:
+                ids = [r.doc_id for r in found.collect()]
+                assert set(ids) <= {*range(9), None}, name
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_on_repeated_rows(spark, tmp_path, docs, benchmark, labels):
+    """What each stage does with the fixture's repeated, null and empty rows."""
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    ids = lambda frame: sorted((-1 if r.doc_id is None else r.doc_id) for r in frame.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    everything = ids(docs)
+    assert ids(stages["quality_filter"](spark, docs, str(tmp_path))) == everything
+    assert ids(stages["near_dedup"](spark, docs, str(tmp_path))) == [-1, 0, 3, 4, 5, 6, 8]
+    cut = stages["repeat_dedup"](spark, docs, str(tmp_path))
+    by = {r.doc_id: r.text for r in cut.collect()}
+    assert ids(cut) == everything and by[0] is None and by[1] == "" and by[6] == by[7] == "" and by[5] == TEXTS[5]
+    assert ids(stages["decontamination"](spark, docs, str(tmp_path))) == [k for k in everything if k != 8]
