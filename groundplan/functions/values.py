@@ -63,6 +63,14 @@ def insured_year(header: str) -> int:
     return max((int(y) for y in re.findall(r"20\d{2}", header)), default=0)
 
 
+def insured_year_of(header: Column) -> Column:
+    """``insured_year`` of a column of headings."""
+    part = lambda k: F.regexp_extract(header, r"(\d{2,4})[/\-](\d{2,4})", k)
+    full = lambda y: F.when(F.length(y) == 4, y.try_cast("int")).otherwise(y.try_cast("int") + 2000)
+    alone = F.array_max(F.transform(F.regexp_extract_all(header, F.lit(r"20\d{2}"), 0), lambda y: y.cast("int")))
+    return F.coalesce(F.greatest(full(part(1)), full(part(2))), alone, F.lit(0))
+
+
 def storeys(c: Column) -> Column:
     """The first number; one less, but 1 at least, where a basement is counted."""
     n = F.nullif(F.regexp_extract(c, r"\b(\d+)\b", 1), F.lit("")).cast("int")

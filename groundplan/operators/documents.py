@@ -6,10 +6,10 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType
 
 from groundplan.functions.address import POSTCODE
 from groundplan.operators.relational import first_per_group
@@ -25,6 +25,32 @@ def pages(text: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return cut.groupBy(id_col, "page_no").agg(joined.alias("text"))
 
 
+def marked_text(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One text per document of pages (id, page_no, text, table): each page's mark and text, then its table's rows as ``a | b`` lines.
+
+    Pages without text and rows without cells add nothing.
+    """
+    lines = F.filter(F.transform("table", lambda row: F.array_join(F.transform(row, lambda c: F.trim(F.coalesce(c, F.lit("")))), " | ")), lambda line: F.regexp_replace(line, "[ |]", "") != "")
+    parts = F.array_append(F.array(F.nullif(F.trim(F.coalesce("text", F.lit(""))), F.lit(""))), F.nullif(F.array_join(lines, "\n"), F.lit("")))
+    body = F.array_join(F.array_compact(parts), "\n")
+    page = pages.where(body != "").select(id_col, "page_no", F.concat(F.lit("[Page "), F.col("page_no").cast("string"), F.lit("]\n"), body).alias("page"))
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", "page")))
+    return page.groupBy(id_col).agg(F.array_join(F.transform(ordered, lambda p: p["page"]), "\n\n").alias("text"))
+
+
+def layout(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, pages) of page texts (id, page_no, text): arrays of pages of words with boxes, on one line of characters a unit wide."""
+    words = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
+    each = pages.select(id_col, "page_no", F.posexplode(words).alias("at", "word"))
+    line = Window.partitionBy(id_col, "page_no").orderBy("at")
+    placed = each.withColumn("x1", (F.sum(F.length("word") + 1).over(line) - 1).cast("double"))
+    number = lambda v: F.lit(float(v))
+    box = F.struct("at", F.struct(F.col("word").alias("text"), (F.col("x1") - F.length("word")).alias("x0"), "x1", number(0).alias("top"), number(1).alias("bottom")).alias("w"))
+    by_page = placed.groupBy(id_col, "page_no").agg(F.max("x1").alias("width"), F.array_sort(F.collect_list(box)).alias("boxes"))
+    page = F.struct("page_no", "width", number(1).alias("height"), F.transform("boxes", lambda b: b["w"]).alias("words"))
+    return by_page.groupBy(id_col).agg(F.array_sort(F.collect_list(page)).alias("pages"))
+
+
 def normal(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
@@ -48,20 +74,22 @@ def fuzzy_place(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series([find(q, p) for q, p in zip(quote, page, strict=True)], dtype="int32")
 
 
-@pandas_udf(StringType())
-def sentence(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The sentence around a span of a page, cut at SNIPPET characters."""
-
-    def expand(page: str | None, start: int, size: int) -> str | None:
-        if page is None or start is None or start < 0:
-            return None
-        left = max(page.rfind(mark, 0, start) for mark in (". ", "• ", "| "))
-        ends = [e for e in (page.find(". ", start + size), page.find(" |", start + size)) if e >= 0]
-        found = page[left + 2 if left >= 0 else max(0, start - 120) : min(ends) + 1 if ends else start + size + 200].strip()
-        return found if len(found) <= SNIPPET else found[: SNIPPET - 3] + "..."
+def sentence(page: Column, start: Column, size: Column) -> Column:
+    """The sentence around a span (start from 0) of a page, cut at SNIPPET characters; null without a span.
 
-    for page, start, size in columns:
-        yield pd.Series([expand(p, int(a), int(n)) for p, a, n in zip(page, start, size, strict=True)])
+    It begins behind the last mark before the span, else 120 characters before it, and
+    ends with the first full stop or before the first bar behind it, else 200 characters on.
+    """
+    before, length = F.substr(page, F.lit(1), start), F.length(page)
+    # the last place of a mark is the first one of its reverse in the reversed text
+    last = lambda mark: F.when(F.instr(F.reverse(before), mark[::-1]) > 0, F.length(before) - F.instr(F.reverse(before), mark[::-1]) + 2)
+    left = F.greatest(*(last(mark) for mark in (". ", "• ", "| ")))
+    begin = F.coalesce(left, F.greatest(F.lit(1), start - 119))
+    after = F.substr(page, start + size + 1, length)
+    first = lambda mark: F.when(F.instr(after, mark) > 0, start + size + F.instr(after, mark))
+    end = F.coalesce(F.least(*(first(mark) for mark in (". ", " |"))), start + size + 200)
+    found = F.trim(F.substr(page, begin, end - begin + 1))
+    return F.when(start >= 0, F.when(F.length(found) <= SNIPPET, found).otherwise(F.concat(F.left(found, F.lit(SNIPPET - 3)), F.lit("..."))))
 
 
 def verified(citations: DataFrame, page_texts: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -40,20 +40,6 @@ FRA = {
     "client_name": (r"client[:\s]+([a-z0-9 ]+(?:limited|ltd|llp|plc|association|council))",),
     "postcode": (r"\b([a-z]{1,2}\d[a-z\d]?\s*\d[a-z]{2})\b",),
 }
-#: Fixed patterns of safety case reports, the fields that summaries use.
-SCR = {
-    "building_name": (r"building\s+name[:\s]+([a-z0-9 ]+?)(?:\n|\.|$)",),
-    "bsr_reference": (r"\b(hrb\d{6,}[a-z0-9]*)\b",),
-    "principal_accountable_person": (r"principal\s+accountable\s+person[:\s]+([a-z ]+?)(?:\n|\.|$)",),
-    "building_height_m": (r"(\d{1,3}(?:\.\d+)?)\s*(?:m|metres)\s+(?:high|in\s+height|tall)",),
-    "num_storeys": (r"(\d{1,2})\s*(?:storeys|stories)",),
-    "num_units": (r"(\d{1,4})\s*(?:flats|units|apartments|dwellings)",),
-    "evacuation_strategy": (r"(stay\s*put|simultaneous|phased)\s+(?:evacuation|policy|strategy)",),
-    "mandatory_occurrence": (r"(mandatory\s+occurrence)",),
-    "resident_engagement": (r"(resident\s+engagement\s+strategy)",),
-    "golden_thread": (r"(golden\s+thread)",),
-}
-
 
 def fields(text: Column, patterns: dict[str, tuple[str, ...]]) -> dict[str, Column]:
     """The first match of each field's patterns in the lower-cased text, trimmed; null without one."""

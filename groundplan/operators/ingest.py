@@ -20,21 +20,22 @@ DATA = ("stock", "rented", "rental", "dwelling", "property", "listing", "schedul
 HEADER_WORDS = ("address", "postcode", "post code", "ref", "insur", "block", "storey", "bedroom", "type", "year", "add 1", "prty_id")
 TOTALS = ("total", "subtotal", "grand total", "sum of", "count of")
 SKIPPED = ("correspondence", "mailing", "indicative rent", "tenant", "gross book", "net book", "title number", "weekly rent")
+#: By field the words of which a header has one, and those of which it has none; "=" asks for the whole header.
 FIELDS = {
-    "property_reference": ("property ref", "asset ref", "place ref", "prop id", "property id", "unit ref", "uprn", "asset reference", "property code"),
-    "block_reference": ("block ref", "parent ref", "block name", "block id", "parent asset"),
-    "address": ("full address", "address details", "address line 1", "add 1", "risk address", "address 1", "address"),
-    "postcode": ("postcode", "post code", "pc", "post_code"),
-    "occupancy_type": ("occupancy", "tenure", "rental type", "tenancy", "classification"),
-    "sum_insured": ("sum insured", "declared value", "rebuild", "reinstate", "insurance value"),
-    "property_type": ("property type", "asset type", "unit description", "built form", "type"),
-    "wall_construction": ("wall construction", "wall material", "external wall", "construction"),
-    "year_of_build": ("year built", "year of build", "construction date", "build year", "built"),
-    "storeys": ("storey", "stories", "floors"),
-    "units": ("no. of unit", "number of unit", "number of units", "no of unit"),
-    "insure_flag": ("insure yes", "insure y/n", "insured yes"),
+    "property_reference": (("property ref", "asset ref", "place ref", "prop id", "property id", "unit ref", "uprn", "asset reference", "property code", "=reference"), ("block", "parent", "policy")),
+    "block_reference": (("block ref", "parent ref", "block name", "block id", "parent asset"), ()),
+    "address": (("full address", "address details", "address line 1", "add 1", "risk address", "address 1", "address"), ()),
+    "postcode": (("postcode", "post code", "pc", "post_code"), ()),
+    "occupancy_type": (("occupancy", "tenure", "rental type", "tenancy", "classification"), ()),
+    "sum_insured": (("sum insured", "declared value", "rebuild", "reinstate", "insurance value"), ("type", "basis")),
+    "property_type": (("property type", "asset type", "unit description", "built form", "type"), ()),
+    "wall_construction": (("wall construction", "wall material", "external wall", "construction"), ("date",)),
+    "year_of_build": (("year built", "year of build", "construction date", "build year", "built"), ()),
+    "storeys": (("storey", "stories", "floors"), ()),
+    "units": (("no. of unit", "number of unit", "number of units", "no of unit"), ()),
+    "insure_flag": (("insure yes", "insure y/n", "insured yes"), ()),
 }
-FRAGMENTS = (("address line 1", "address line 2", "address line 3"), ("add 1", "add 2", "add 3"), ("hse no", "street", "flat"), ("address 1", "address 2", "address 3"))
+FRAGMENTS = (("address line 1", "address line 2", "address line 3"), ("add 1", "add 2", "add 3"), ("add_1", "add_2", "add_3"), ("hse no", "street", "flat"), ("address 1", "address 2", "address 3"))
 HEADER_SCAN = 10
 
 
@@ -44,6 +45,18 @@ class SheetPlan:
     header_row: int
     columns: dict[str, int]
     address: list[int] = field(default_factory=list)
+    rows: int = 0
+
+
+@dataclass
+class JoinPlan:
+    """What a primary sheet lacks and another sheet holds under the same key."""
+
+    primary_key: int
+    sheet: str
+    key: int
+    strip_suffix: bool = False
+    fields: list[str] = field(default_factory=list)
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -75,28 +88,19 @@ def sheet_scores(rows: DataFrame) -> DataFrame:
 
 def column_map(headers: list[str | None]) -> tuple[dict[str, int], list[int]]:
     """Field to column number, and the columns of a fragmented address. Of several insured sums the latest year's."""
-    found: dict[str, int] = {}
-    years: dict[int, int] = {}
     low = [(h or "").lower() for h in headers]
-    for k, h in enumerate(low):
-        if not h or any(s in h for s in SKIPPED):
-            continue
-        for name, words in FIELDS.items():
-            if not any(w in h for w in words):
-                continue
-            if name == "sum_insured":
-                if "type" not in h and "basis" not in h:
-                    years[values.insured_year(h)] = k
-            elif name == "property_reference" and any(w in h for w in ("block", "parent", "policy")):
-                continue
-            elif name == "wall_construction" and "date" in h:
-                continue
-            else:
-                found.setdefault(name, k)
-    if "property_reference" not in found and "reference" in [h.strip() for h in low]:
-        found["property_reference"] = [h.strip() for h in low].index("reference")
-    if years:
-        found["sum_insured"] = years[max(years)]
+    named = [(k, h) for k, h in enumerate(low) if h and not any(w in h for w in SKIPPED)]
+
+    def rank(name: str, k: int, h: str) -> tuple | None:
+        """The smaller the better; None if the header is none of the field."""
+        wanted, forbidden = FIELDS[name]
+        if any(w in h for w in forbidden) or not any(w[1:] == h.strip() if w[0] == "=" else w in h for w in wanted):
+            return None
+        whole = not any(w in h for w in wanted if w[0] != "=")
+        return (-values.insured_year(h), -k) if name == "sum_insured" else (whole, k)
+
+    ranked = {name: [(r, k) for k, h in named if (r := rank(name, k, h)) is not None] for name in FIELDS}
+    found = {name: min(hits)[1] for name, hits in ranked.items() if hits}
     for pattern in FRAGMENTS:
         parts = [next((k for k, h in enumerate(low) if fragment in h), None) for fragment in pattern]
         parts = list(dict.fromkeys(k for k in parts if k is not None))
@@ -107,43 +111,78 @@ def column_map(headers: list[str | None]) -> tuple[dict[str, int], list[int]]:
 
 
 def plan(rows: DataFrame) -> list[SheetPlan]:
-    """A plan for each sheet that has a reference or an address column; one row a sheet comes to the driver."""
+    """A plan for each sheet with a column that is known; one row a sheet comes to the driver."""
     plans = []
-    for r in header_scores(rows).collect():
+    sizes = {r.sheet: r.n for r in rows.groupBy("sheet").agg(F.count("*").alias("n")).collect()}
+    for r in sorted(header_scores(rows).collect(), key=lambda r: (r.path, r.sheet_idx)):
         columns, parts = column_map(r.cells)
-        if "property_reference" in columns or "address" in columns or parts:
-            plans.append(SheetPlan(r.sheet, r.row_idx, columns, parts))
+        if columns or parts:
+            plans.append(SheetPlan(r.sheet, r.row_idx, columns, parts, sizes[r.sheet]))
     return plans
 
 
 def role(p: SheetPlan) -> str:
-    """``primary`` with an address, ``lookup`` with a key and other fields only, else ``ignore``."""
+    """``primary`` with an address or many references, ``secondary`` with insured sums and a key, else ``ignore``."""
+    keyed = {"property_reference", "block_reference"} & p.columns.keys()
     if p.address or "address" in p.columns:
         return "primary"
-    keyed = {"property_reference", "block_reference"} & p.columns.keys()
-    return "lookup" if keyed and len(p.columns) > len(keyed) else "ignore"
+    if "sum_insured" in p.columns and keyed:
+        return "secondary"
+    return "primary" if "property_reference" in p.columns and p.rows > 20 else "ignore"
+
+
+def join_plan(plans: list[SheetPlan], least_rows: int = 3) -> JoinPlan | None:
+    """How the first primary sheet, if it has no insured sums, gets them from the first other sheet with sums and a key."""
+    key_of = lambda p: next((p.columns[k] for k in ("block_reference", "property_reference") if k in p.columns), None)
+    first = next((p for p in plans if role(p) == "primary"), None)
+    if first is None or "sum_insured" in first.columns or key_of(first) is None:
+        return None
+    for p in plans:
+        if p.sheet != first.sheet and p.rows >= least_rows and "sum_insured" in p.columns and key_of(p) is not None:
+            return JoinPlan(key_of(first), p.sheet, key_of(p), False, [f for f in p.columns if f not in first.columns])
+    return None
 
 
 def validated(raw: list[dict], sheets: set[str], width: int = 40) -> list[SheetPlan]:
-    """Plans from outside: unknown sheets and fields and negative or too large columns are dropped, a missing header row is 0."""
+    """Plans from outside: unknown sheets and fields and negative or too large columns are dropped, a missing header row is 0.
+
+    A sheet's name may differ by blanks around it.
+    """
+    by_name = {name.strip(): name for name in sorted(sheets)}
     plans = []
     for r in raw:
-        if r.get("sheet") not in sheets:
+        sheet = r.get("sheet") if r.get("sheet") in sheets else by_name.get(str(r.get("sheet") or "").strip())
+        if sheet is None:
             continue
-        inside = lambda k: isinstance(k, int) and not isinstance(k, bool) and 0 <= k < width
-        columns = {f: k for f, k in (r.get("columns") or {}).items() if f in FIELDS and inside(k)}
-        plans.append(SheetPlan(r["sheet"], int(r.get("header_row") or 0), columns, [k for k in r.get("address") or [] if inside(k)]))
+        inside = lambda k: isinstance(k, (int, float)) and not isinstance(k, bool) and 0 <= k < width
+        columns = {f: int(k) for f, k in (r.get("columns") or {}).items() if f in FIELDS and inside(k)}
+        plans.append(SheetPlan(sheet, int(r.get("header_row") or 0), columns, [int(k) for k in r.get("address") or [] if inside(k)]))
     return plans
 
 
-def joined_lookup(primary: DataFrame, lookup: DataFrame, key: str = "property_reference") -> DataFrame:
-    """Fills the primary rows' nulls from a lookup sheet's first row of the same key."""
-    from groundplan.operators.relational import first_per_group
+def validated_join(raw: dict | None, sheets: set[str]) -> JoinPlan | None:
+    """A join plan from outside; none without its three keys or with an unknown sheet. Fields may be names or named objects."""
+    needed = ("primary_key", "sheet", "key")
+    if not isinstance(raw, dict) or any(k not in raw for k in needed) or raw["sheet"] not in sheets:
+        return None
+    names = [f.get("name") if isinstance(f, dict) else str(f) for f in raw.get("fields") or []]
+    return JoinPlan(int(raw["primary_key"] or 0), raw["sheet"], int(raw["key"] or 0), bool(raw.get("strip_suffix")), [f for f in names if f in FIELDS])
+
+
+def joined(rows: DataFrame, primary: SheetPlan, plan_: JoinPlan, secondary: SheetPlan) -> DataFrame:
+    """The typed rows of ``primary`` with the fields of the join plan from the secondary sheet, by key: exact, bare or by prefix."""
+    from groundplan.operators import lookup
 
-    shared = [c for c in lookup.columns if c in primary.columns and c not in (key, "path", "sheet_idx", "row_idx")]
-    first = first_per_group(lookup, [key], [F.col("sheet_idx"), F.col("row_idx")]).select(key, *(F.col(c).alias(f"_{c}") for c in shared))
-    joined = primary.join(first, key, "left")
-    return joined.select(*((F.coalesce(c, f"_{c}").alias(c) if c in shared else F.col(c)) for c in primary.columns))
+    cell = lambda k: F.nullif(F.trim(F.get("cells", F.lit(k))), F.lit(""))
+    key = lookup.bare(cell(plan_.key)) if plan_.strip_suffix else cell(plan_.key)
+    typed = extract(rows.where(F.col("sheet") == plan_.sheet), secondary, "_key", key)
+    fields = [f for f in plan_.fields if f in typed.columns]
+    # of a key that comes several times, the first row that has the field
+    first = typed.groupBy("_key").agg(F.min("row_idx").alias("order"), *(F.min_by(f, F.when(F.col(f).isNotNull(), F.col("row_idx"))).alias(f"_{f}") for f in fields))
+    base = extract(rows, primary, "_key", cell(plan_.primary_key)).withColumn("id", F.xxhash64("path", "sheet_idx", "row_idx"))
+    matches = lookup.by_reference(base.select("id", F.col("_key").alias("key")), first.select(F.col("_key").alias("key"), "order"))
+    filled = base.join(matches.select("id", "matched"), "id", "left").join(first.withColumnRenamed("_key", "matched").drop("order"), "matched", "left")
+    return filled.select(*((F.coalesce(c, f"_{c}").alias(c) if c in fields else F.col(c)) for c in base.columns if c not in ("id", "_key")))
 
 
 def keep_row(cells: Column) -> Column:
@@ -154,23 +193,27 @@ def keep_row(cells: Column) -> Column:
     return (F.size(filled) > 0) & ~total & ~meta
 
 
-def extract(rows: DataFrame, p: SheetPlan) -> DataFrame:
-    """The typed properties of one sheet."""
+def extract(rows: DataFrame, p: SheetPlan, extra: str | None = None, value: Column | None = None) -> DataFrame:
+    """The typed properties of one sheet; with ``extra`` a column of that name more, the ``value`` over its cells, which rows must have."""
     cell = lambda name: F.nullif(F.trim(F.get("cells", F.lit(p.columns[name]))), F.lit("")) if name in p.columns else F.lit(None).cast("string")
     body = rows.where((F.col("sheet") == p.sheet) & (F.col("row_idx") > p.header_row) & keep_row(F.col("cells")))
     parts = F.array(*(F.coalesce(F.get("cells", F.lit(k)), F.lit("")) for k in p.address)) if p.address else None
     full = address.assembled(parts) if parts is not None else cell("address")
     year = values.year(cell("year_of_build"))
+    more = [] if extra is None else [value.alias(extra)]
     typed = body.select(
-        "path", "sheet_idx", "row_idx", values.clamped(cell("property_reference"), "property_reference").alias("property_reference"), cell("block_reference").alias("block_reference"), address.standard(full).alias("address"),
+        *more, "path", "sheet_idx", "row_idx", values.clamped(cell("property_reference"), "property_reference").alias("property_reference"), cell("block_reference").alias("block_reference"), address.standard(full).alias("address"),
         F.coalesce(address.postcode(cell("postcode")), address.postcode(full)).alias("postcode"), cell("occupancy_type").alias("occupancy_type"), values.money(cell("sum_insured")).alias("sum_insured"), cell("property_type").alias("property_type"),
         cell("wall_construction").alias("wall_construction"), year.alias("year_of_build"), age_band(year).alias("age_banding"), values.storeys(cell("storeys")).alias("storeys"), values.whole_number(cell("units")).alias("units"),
         F.coalesce(values.schedule_boolean(cell("insure_flag")), F.lit(True)).alias("insured"),
     )
-    kept = typed.where(F.col("insured") & (F.col("property_reference").isNotNull() | F.col("address").isNotNull())).drop("insured")
-    nth = F.row_number().over(Window.partitionBy("path", "sheet_idx", F.col("property_reference").isNull()).orderBy("row_idx"))
-    key = F.coalesce("property_reference", F.concat(F.lit(f"AUTO_{p.sheet}_"), F.lpad(nth.cast("string"), 5, "0")))
-    return kept.withColumn("property_reference", key)
+    kept = typed.where(F.col("insured") & (F.col("property_reference").isNotNull() | F.col("address").isNotNull() | F.lit(extra is not None))).drop("insured")
+    if extra is not None:
+        return kept.where(F.col(extra).isNotNull())
+    # only rows without a reference are numbered, a sheet's in one task
+    nth = F.row_number().over(Window.partitionBy("path", "sheet_idx").orderBy("row_idx"))
+    made = kept.where(F.col("property_reference").isNull()).withColumn("property_reference", F.concat(F.lit(f"AUTO_{p.sheet}_"), F.lpad(nth.cast("string"), 5, "0")))
+    return kept.where(F.col("property_reference").isNotNull()).unionByName(made)
 
 
 def properties(rows: DataFrame) -> DataFrame:
@@ -179,7 +222,7 @@ def properties(rows: DataFrame) -> DataFrame:
 
     from groundplan.operators.relational import first_per_group
 
-    parts = [extract(rows, p) for p in plan(rows)]
+    parts = [extract(rows, p) for p in plan(rows) if "property_reference" in p.columns or "address" in p.columns or p.address]
     if not parts:
         raise ValueError("no sheet has a reference or an address column")
     return first_per_group(reduce(DataFrame.unionByName, parts), ["path", "property_reference"], [F.col("sheet_idx"), F.col("row_idx")])

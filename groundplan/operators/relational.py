@@ -23,16 +23,27 @@ def latest(df: DataFrame, key: str, date: str | None, tie: str) -> DataFrame:
     return first_per_group(df, [key], order)
 
 
+def latest_values(df: DataFrame, key: str, date: str | None, ties: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``columns`` of the latest row per key, as ``latest`` orders rows; an aggregate, so rows are combined before the shuffle."""
+    rank = F.struct(*([date] if date else []), *ties)  # a null date ranks lowest
+    return df.groupBy(key).agg(F.max_by(F.struct(*columns), rank).alias("_last")).select(key, "_last.*")
+
+
 def mode(df: DataFrame, keys: Sequence[str], value: str, tie: Order = (), nulls: bool = False) -> DataFrame:
     """The most frequent value per group; ties go by ``tie`` (the value by default). Counts are aggregated before they are ranked."""
     counted = (df if nulls else df.where(F.col(value).isNotNull())).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     return first_per_group(counted, keys, [F.col("_n").desc(), *(tie or [F.col(value).asc()])]).drop("_n")
 
 
-def share_of_total(value: str, digits: int = 1) -> Column:
-    """Percent of the sum over all rows, for results that are already aggregated; null if the sum is 0."""
-    total = F.sum(value).over(Window.partitionBy(F.lit(1)))
-    return F.round(F.col(value) / F.nullif(total, F.lit(0)) * 100, digits)
+def with_total(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of a column over all rows, one row of which is joined to all others."""
+    return df.join(F.broadcast(df.agg(F.sum(value).alias(name))), how="cross")
+
+
+def share_of_total(df: DataFrame, value: str, name: str, digits: int = 1) -> DataFrame:
+    """``df`` with the percentage of the sum over all rows; null if the sum is 0."""
+    share = F.round(F.col(value) / F.nullif(F.col("_total"), F.lit(0)) * 100, digits)
+    return with_total(df, value, "_total").withColumn(name, share).drop("_total")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: dict[str, Column] | None = None) -> DataFrame:

@@ -122,7 +122,7 @@ def block_fill(s: Silver) -> DataFrame:
 @query("agg_11", f"SELECT t.*, round(total / sum(total) OVER () * 100, 1) AS pct FROM (SELECT coalesce(property_type, 'Not recorded') AS type, count(*) AS units, {_money('sum_insured')} AS total FROM properties GROUP BY 1) t")
 def share(s: Silver) -> DataFrame:
     grouped = s.properties.groupBy(F.coalesce("property_type", F.lit("Not recorded")).alias("type")).agg(F.count("*").alias("units"), money("sum_insured").alias("total"))
-    return grouped.withColumn("pct", ops.share_of_total("total"))
+    return ops.share_of_total(grouped, "total", "pct")
 
 
 @query("agg_12", "SELECT portfolio_id, count(*) AS blocks, CAST(count(CASE WHEN t > 500000 THEN 1 END) AS BIGINT) AS large FROM (SELECT portfolio_id, block_reference, sum(sum_insured) AS t FROM properties WHERE block_reference IS NOT NULL GROUP BY 1, 2) x GROUP BY 1")
@@ -290,22 +290,24 @@ def red_remediation(s: Silver) -> DataFrame:
 
 _FRA_COUNTS = {"blocks_with_fra": "fra_id IS NOT NULL", "in_date": f"assessment_valid_until >= DATE '{AS_OF}'", "out_of_date": f"assessment_valid_until < DATE '{AS_OF}'", "expiring_90_days": f"assessment_valid_until BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + INTERVAL 90 DAY", "red": "rag_status = 'RED'", "amber": "rag_status = 'AMBER'", "green": "rag_status = 'GREEN'", "with_overdue": "overdue_action_count > 0", "strategy_changed": "evacuation_strategy_changed", "mor_events": "mandatory_occurrence_noted"}
 _FRA_SUMS = ("total_action_count", "overdue_action_count", "no_date_action_count", "outstanding_action_count", "high_action_count")
+_FRA_COLUMNS = ("fra_id", "rag_status", "assessment_valid_until", "evacuation_strategy_changed", "mandatory_occurrence_noted", *_FRA_SUMS)
 _FRA_SQL = "SELECT b.portfolio_id, b.block_id AS block, f.* FROM blocks b LEFT JOIN (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY block_id ORDER BY assessment_date DESC NULLS LAST, created_seq DESC, fra_id DESC) AS rn FROM fra_features f) x WHERE rn = 1) f ON f.block_id = b.block_id"
 
 
 @query("agg_31", f"SELECT portfolio_id, count(*) AS total_blocks, {', '.join(f'{_n(p)} AS {k}' for k, p in _FRA_COUNTS.items())}, {', '.join(f'CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}' for c in _FRA_SUMS)} FROM ({_FRA_SQL}) a GROUP BY 1")
 def fra_compliance(s: Silver) -> DataFrame:
-    joined = s.blocks.select("portfolio_id", "block_id").join(latest_fra(s), "block_id", "left")
+    joined = s.blocks.select("portfolio_id", "block_id").join(latest_fra(s, _FRA_COLUMNS), "block_id", "left")
     return joined.groupBy("portfolio_id").agg(F.count("*").alias("total_blocks"), *(n_if(p).alias(k) for k, p in _FRA_COUNTS.items()), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _FRA_SUMS))
 
 
 _FRAEW_COUNTS = {"blocks_with_fraew": "fraew_id IS NOT NULL", "red": "rag_status = 'RED'", "amber": "rag_status = 'AMBER'", "green": "rag_status = 'GREEN'", "combustible": "has_combustible_cladding", "acm": "aluminium_composite_cladding", "eps": "eps_insulation_present", "no_bs8414": "bs8414_test_evidence = 'no' AND has_combustible_cladding"}
+_FRAEW_COLUMNS = ("fraew_id", "rag_status", "has_combustible_cladding", "aluminium_composite_cladding", "eps_insulation_present", "bs8414_test_evidence")
 _FRAEW_SQL = "SELECT b.portfolio_id, b.block_id AS block, f.* FROM blocks b LEFT JOIN (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY block_id ORDER BY assessment_date DESC NULLS LAST, created_seq DESC, fraew_id DESC) AS rn FROM fraew_features f) x WHERE rn = 1) f ON f.block_id = b.block_id"
 
 
 @query("agg_32", f"SELECT portfolio_id, count(*) AS total_blocks, {', '.join(f'{_n(p)} AS {k}' for k, p in _FRAEW_COUNTS.items())} FROM ({_FRAEW_SQL}) a GROUP BY 1")
 def fraew_compliance(s: Silver) -> DataFrame:
-    joined = s.blocks.select("portfolio_id", "block_id").join(latest_fraew(s), "block_id", "left")
+    joined = s.blocks.select("portfolio_id", "block_id").join(latest_fraew(s, _FRAEW_COLUMNS), "block_id", "left")
     return joined.groupBy("portfolio_id").agg(F.count("*").alias("total_blocks"), *(n_if(p).alias(k) for k, p in _FRAEW_COUNTS.items()))
 
 

@@ -3,4 +3,6 @@
 from groundplan.plans import aggregates, gold, io, relational, rest, scores, text  # noqa: F401
 from groundplan.plans.registry import ORACLES, QUERIES
 
+rest.name_views()
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundplan.functions import rules
 from groundplan.operators import relational as ops
+from groundplan.operators.lineage_cut import shared_folder
 from groundplan.plans.aggregates import FORM_SQL, money, n_if
 from groundplan.plans.registry import query
 from groundplan.plans.relational import ASSESSED, assessed_blocks, latest_fra, latest_fraew, severity
@@ -99,10 +102,13 @@ def _mode(value: str) -> str:
     return f"SELECT blk, {value} FROM (SELECT blk, {value}, row_number() OVER (PARTITION BY blk ORDER BY count(*) DESC, {value} ASC NULLS LAST) AS rn FROM (SELECT coalesce(block_reference, address) AS blk, p.* FROM properties p) q GROUP BY blk, {value}) x WHERE rn = 1"
 
 
-@query("gold_doc_b_enriched", f"""SELECT a.blk AS block_reference, a.units, a.sum_insured, a.lor_value, a.oldest, m.wall_construction, pc.postcode, pt.property_type
+_DOC_B_SQL = f"""SELECT a.blk AS block_reference, a.units, a.sum_insured, a.lor_value, a.oldest, m.wall_construction, pc.postcode, pt.property_type
  FROM (SELECT coalesce(block_reference, address) AS blk, CAST(coalesce(sum(units), count(*)) AS BIGINT) AS units, CAST(round(coalesce(sum(sum_insured), 0), 2) AS DOUBLE) AS sum_insured, CAST(round(coalesce(sum(sum_insured), 0) * 0.25, 2) AS DOUBLE) AS lor_value, min(build_year) AS oldest FROM properties GROUP BY 1) a
  LEFT JOIN (SELECT * FROM (SELECT blk, wall_construction, row_number() OVER (PARTITION BY blk ORDER BY count(*) DESC, wall_construction) AS rn FROM (SELECT coalesce(block_reference, address) AS blk, p.* FROM properties p) q WHERE wall_construction IS NOT NULL GROUP BY blk, wall_construction) x WHERE rn = 1) m ON m.blk = a.blk
- LEFT JOIN ({_mode('postcode')}) pc ON pc.blk = a.blk LEFT JOIN ({_mode('property_type')}) pt ON pt.blk = a.blk WHERE a.blk IS NOT NULL""")
+ LEFT JOIN ({_mode('postcode')}) pc ON pc.blk = a.blk LEFT JOIN ({_mode('property_type')}) pt ON pt.blk = a.blk WHERE a.blk IS NOT NULL"""
+
+
+@query("gold_doc_b_enriched", _DOC_B_SQL)
 def doc_b(s: Silver) -> DataFrame:
     """One row per block: sums, the commonest wall, postcode and type; each commonest value ranks counts, not rows."""
     rows = s.properties.withColumn("blk", F.coalesce("block_reference", "address")).where(col("blk").isNotNull())
@@ -114,9 +120,27 @@ def doc_b(s: Silver) -> DataFrame:
     return joined.select(col("blk").alias("block_reference"), "units", "sum_insured", "lor_value", "oldest", "wall_construction", "postcode", "property_type")
 
 
+_B_HELD = {
+    "asset_type": "CASE WHEN a.name IS NULL THEN 'Standalone' ELSE 'Block' END", "block_reference": "d.block_reference", "postcode": "d.postcode", "sum_insured": "CAST(d.sum_insured AS DECIMAL(25,2))", "lor_value": "CAST(d.lor_value AS DECIMAL(25,2))",
+    "total_insured_value": "CAST(d.sum_insured + d.lor_value AS DECIMAL(25,2))", "storeys": "a.max_storeys", "height_max_m": "a.height_max_m", "property_type": "d.property_type", "units": "d.units", "build_year": "d.oldest", "is_listed": "CASE WHEN a.is_listed THEN 'Yes' WHEN NOT a.is_listed THEN 'No' END",
+    "wall_construction": "d.wall_construction", "fra_date": "a.fra_date", "combustible_materials": "CASE WHEN a.has_combustible_cladding THEN 'Yes' WHEN NOT a.has_combustible_cladding THEN 'No' END", "cladding_present": "CASE WHEN a.aluminium_composite_cladding THEN 'Yes' WHEN NOT a.aluminium_composite_cladding THEN 'No' END",
+    "insulation_type": "CASE WHEN a.eps_insulation_present THEN 'EPS' END",
+}
+
+
+@query("snk_08", "SELECT " + ", ".join(f'CAST({_B_HELD.get(c, "NULL")} AS VARCHAR(4000)) AS "{h}"' for h, c in exports.SCHEDULE_B) + f" FROM ({_DOC_B_SQL}) d LEFT JOIN ({ASSESSED}) a ON a.name = d.block_reference")
+def second_schedule(s: Silver) -> DataFrame:
+    """All 65 columns, written with their headings and read again, cell by cell."""
+    blocks = assessed_blocks(s).select("name", *(c for c in ("max_storeys", "height_max_m", "is_listed", "fra_date", "has_combustible_cladding", "aluminium_composite_cladding", "eps_insulation_present")))
+    rows = doc_b(s).alias("d").join(blocks.alias("a"), col("a.name") == col("d.block_reference"), "left").select(*(F.expr(e).alias(c) for c, e in _B_HELD.items()))
+    path = f"{shared_folder(s.spark)}/schedule-{uuid.uuid4().hex}"
+    exports.write_schedule(exports.schedule(rows, exports.SCHEDULE_B), path)
+    return s.spark.read.csv(path, header=True, nullValue="", emptyValue="", escape='"')
+
+
 @query("gold_document_features_overview_v1", f"SELECT b.block_id, f.fra_id, w.fraew_id FROM blocks b LEFT JOIN (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY block_id ORDER BY assessment_date DESC NULLS LAST, created_seq DESC, fra_id DESC) AS rn FROM fra_features f) x WHERE rn = 1) f ON f.block_id = b.block_id LEFT JOIN (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY block_id ORDER BY assessment_date DESC NULLS LAST, created_seq DESC, fraew_id DESC) AS rn FROM fraew_features f) x WHERE rn = 1) w ON w.block_id = b.block_id WHERE f.fra_id IS NOT NULL OR w.fraew_id IS NOT NULL")
 def documents_overview(s: Silver) -> DataFrame:
-    joined = s.blocks.select("block_id").join(latest_fra(s).select("block_id", "fra_id"), "block_id", "left").join(latest_fraew(s).select("block_id", "fraew_id"), "block_id", "left")
+    joined = s.blocks.select("block_id").join(latest_fra(s, ("fra_id",)), "block_id", "left").join(latest_fraew(s, ("fraew_id",)), "block_id", "left")
     return joined.where("fra_id is not null or fraew_id is not null")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,18 +9,20 @@ from pyspark.sql import functions as F
 
 from groundplan.operators import documents, ingest
 from groundplan.operators import relational as ops
+from groundplan.operators.lineage_cut import shared_folder
 from groundplan.plans.registry import query
 from groundplan.plans.silver import Silver
 from groundplan.sources import exports, readers
 from groundplan.streaming import arrivals
 
 col = F.col
+#: Columns of the first schedule that the tables hold.
+_HELD = ("property_reference", "block_reference", "address", "postcode", "units", "sum_insured", "property_type", "uprn", "epc_rating", "enrichment_status", "wall_construction")
 
 
 def scratch(s: Silver, label: str) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one where that is unset."""
-    base = s.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="groundplan-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder in the shared checkpoint folder."""
+    return f"{shared_folder(s.spark)}/{label}-{uuid.uuid4().hex}"
 
 
 # --- sources ---------------------------------------------------------------
@@ -76,13 +77,14 @@ def lookup(s: Silver) -> DataFrame:
 
 @query("src_15", "SELECT CAST(i AS BIGINT) AS id, CASE WHEN i % 3 = 0 THEN 'RED' ELSE 'GREEN' END AS status FROM range(1, 145) t(i)")
 def seeded(s: Silver) -> DataFrame:
-    return readers.seeded(s.spark, 144, {"status": F.when(col("id") % 3 == 0, "RED").otherwise("GREEN")})
+    return readers.seeded(s.spark.range(1, 145), {"status": F.when(col("id") % 3 == 0, "RED").otherwise("GREEN")})
 
 
-@query("src_16")
+@query("src_16", """SELECT id, CASE WHEN d(id, 1, 2) = 0 THEN 'flat' ELSE 'house' END AS type, d(id, 2, 10001) / 100.0 AS score, lpad(CAST(id AS VARCHAR), 12, '0') AS uprn FROM (SELECT o_orderkey AS id FROM {orders}) x""".replace("d(id, 1, 2)", readers.DRAW_SQL.format("id", 1, 2)).replace("d(id, 2, 10001)", readers.DRAW_SQL.format("id", 2, 10001)))
 def synthetic(s: Silver) -> DataFrame:
-    """Rows only: random values, fixed by seeds."""
-    return readers.seeded(s.spark, 1000, {"type": readers.choice(("flat", "house"), 1), "score": F.round(F.rand(2) * 100, 2), "uprn": F.format_string("%012d", col("id"))}, 4)
+    """Generated columns over given ids: draws follow from the id and a seed, so that every task and engine makes the same row."""
+    columns = {"type": readers.choice(("flat", "house"), 1), "score": readers.draw(2, 10001) / 100, "uprn": F.format_string("%012d", col("id"))}
+    return readers.seeded(s.orders.select(col("o_orderkey").alias("id")), columns)
 
 
 # --- sinks -----------------------------------------------------------------
@@ -102,19 +104,21 @@ def upsert_lineage(s: Silver) -> DataFrame:
     return ops.upsert(old, new, ["property_id"], {"uprn": F.coalesce("new.uprn", "old.uprn")})
 
 
-@query("snk_06", "SELECT event_id, 'done' AS status, event_type AS kind FROM {events}")
+@query("snk_06", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE concat('done by ', CAST(user_id AS VARCHAR)) END AS status, event_type AS kind, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(value AS VARCHAR) END AS added, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 3 END AS INT) AS entries FROM (SELECT event_id, user_id, event_type, CAST(floor(value) AS BIGINT) AS value FROM {events}) e")
 def metadata_patch(s: Silver) -> DataFrame:
+    """Two of three rows get a patch that replaces one entry and adds another."""
     old = F.create_map(F.lit("status"), F.lit("new"), F.lit("kind"), "event_type")
-    return s.events.select("event_id", exports.patched(old, F.create_map(F.lit("status"), F.lit("done"))).alias("m")).select("event_id", col("m")["status"].alias("status"), col("m")["kind"].alias("kind"))
+    patch = F.create_map(F.lit("status"), F.concat(F.lit("done by "), col("user_id").cast("string")), F.lit("added"), F.floor("value").cast("string"))
+    patched = F.when(col("event_id") % 3 == 0, old).otherwise(exports.patched(old, patch))
+    return s.events.select("event_id", patched.alias("m")).select("event_id", *(col("m")[k].alias(k) for k in ("status", "kind", "added")), F.size("m").alias("entries"))
 
 
-@query("snk_07", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(46 AS INT) AS columns FROM properties")
+@query("snk_07", "SELECT " + ", ".join(f'CAST({c} AS VARCHAR) AS "{h}"' if c in _HELD else f'CAST(NULL AS VARCHAR) AS "{h}"' for h, c in exports.SCHEDULE_A) + " FROM properties")
 def schedule_export(s: Silver) -> DataFrame:
-    """Written with all headings and read again."""
+    """Written with all headings and read again, cell by cell."""
     path = scratch(s, "schedule")
     exports.write_schedule(exports.schedule(s.properties), path, [col("Property Reference")])
-    back = s.spark.read.csv(path, header=True)
-    return back.agg(F.count("*").alias("n")).withColumn("columns", F.lit(len(back.columns)))
+    return s.spark.read.csv(path, header=True, nullValue="", emptyValue="", escape='"')
 
 
 @query("snk_10", "SELECT property_id, CAST(longitude AS DOUBLE) AS lon, CAST(latitude AS DOUBLE) AS lat FROM properties WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
@@ -148,14 +152,21 @@ def schedule_ingest(s: Silver) -> DataFrame:
     return ingest.properties(schedule_rows(s)).select("property_reference", "sum_insured", "storeys", "year_of_build")
 
 
-@query("typ_15")
+@query("typ_15", "SELECT 'b' AS path, 'Stock list' AS sheet, CAST(0 AS INT) AS sheet_idx, count(*) + 2 AS rows, round(log2(count(*) + 3) + 5 + 3 * least(sum(CASE WHEN sum_insured > 1000 THEN 1.0 ELSE 0.0 END + CASE WHEN build_year > 1000 THEN 1.0 ELSE 0.0 END) / (count(*) + 2), 2.0), 4) AS score FROM properties")
 def sheet_scores(s: Silver) -> DataFrame:
     return ingest.sheet_scores(schedule_rows(s))
 
 
-@query("typ_16", "SELECT 'Stock list' AS sheet, CAST(1 AS INT) AS header_row")
+@query("typ_16", "SELECT portfolio_id AS sheet, CAST(portfolio_no % 4 AS INT) AS header_row FROM portfolios")
 def header_row(s: Silver) -> DataFrame:
-    return ingest.header_scores(schedule_rows(s)).select("sheet", col("row_idx").alias("header_row"))
+    """A sheet per portfolio, its header behind up to three title rows, before its blocks' rows."""
+    sheet = [col("portfolio_id").alias("path"), col("portfolio_id").alias("sheet"), F.lit(0).alias("sheet_idx")]
+    at = col("portfolio_no") % 4
+    text = lambda *cells: F.array(*(c.cast("string") for c in cells))
+    title = s.portfolios.select(*sheet, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("row_idx"), text(col("name"), F.lit("schedule")).alias("cells"), at.alias("at")).where("row_idx < at").drop("at")
+    head = s.portfolios.select(*sheet, at.cast("int").alias("row_idx"), text(F.lit("Block ref"), F.lit("Postcode"), F.lit("Sum insured")).alias("cells"))
+    body = s.blocks.select(*sheet, (col("block_id") + 4).cast("int").alias("row_idx"), text(col("name"), F.lit("AB1 2CD"), col("total_sum_insured")).alias("cells"))
+    return ingest.header_scores(title.unionByName(head).unionByName(body)).select("sheet", col("row_idx").alias("header_row"))
 
 
 @query("str_28", "SELECT property_id, uprn AS first_uprn FROM properties")

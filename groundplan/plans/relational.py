@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundplan.operators import lookup
 from groundplan.operators import relational as ops
 from groundplan.operators import spatial
 from groundplan.plans.registry import query
@@ -16,19 +17,18 @@ _LATEST_FRAEW = "SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY bloc
 _LATEST_FRAEW_CREATED = "SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY block_id ORDER BY created_seq DESC, fraew_id DESC) AS rn FROM fraew_features f) x WHERE rn = 1"
 
 
-def latest_fra(s: Silver) -> DataFrame:
-    return ops.first_per_group(s.fra_features, ["block_id"], [col("assessment_date").desc_nulls_last(), col("created_seq").desc(), col("fra_id").desc()])
+def latest_fra(s: Silver, columns: tuple[str, ...]) -> DataFrame:
+    return ops.latest_values(s.fra_features, "block_id", "assessment_date", ("created_seq", "fra_id"), columns)
 
 
-def latest_fraew(s: Silver, by_created: bool = False) -> DataFrame:
-    date = [] if by_created else [col("assessment_date").desc_nulls_last()]
-    return ops.first_per_group(s.fraew_features, ["block_id"], [*date, col("created_seq").desc(), col("fraew_id").desc()])
+def latest_fraew(s: Silver, columns: tuple[str, ...], by_created: bool = False) -> DataFrame:
+    return ops.latest_values(s.fraew_features, "block_id", None if by_created else "assessment_date", ("created_seq", "fraew_id"), columns)
 
 
 def assessed_blocks(s: Silver) -> DataFrame:
     """Blocks with the columns of their latest assessments, null without one."""
-    fra = latest_fra(s).select("block_id", col("rag_status").alias("fra_rag"), col("assessment_date").alias("fra_date"), "assessment_valid_until", "total_action_count", "overdue_action_count", "outstanding_action_count")
-    fraew = latest_fraew(s).select("block_id", col("rag_status").alias("fraew_rag"), "has_combustible_cladding", "eps_insulation_present", "aluminium_composite_cladding", "bs8414_test_evidence")
+    fra = latest_fra(s, ("rag_status", "assessment_date", "assessment_valid_until", "total_action_count", "overdue_action_count", "outstanding_action_count")).withColumnsRenamed({"rag_status": "fra_rag", "assessment_date": "fra_date"})
+    fraew = latest_fraew(s, ("rag_status", "has_combustible_cladding", "eps_insulation_present", "aluminium_composite_cladding", "bs8414_test_evidence")).withColumnRenamed("rag_status", "fraew_rag")
     return s.blocks.join(fra, "block_id", "left").join(fraew, "block_id", "left")
 
 
@@ -174,13 +174,13 @@ def left_outer(s: Silver) -> DataFrame:
 
 @query("join_03", f"SELECT b.block_id, f.fra_id, f.rag_status, f.assessment_date FROM blocks b LEFT JOIN ({_LATEST_FRA}) f ON f.block_id = b.block_id")
 def latest_fra_per_block(s: Silver) -> DataFrame:
-    return s.blocks.select("block_id").join(latest_fra(s).select("block_id", "fra_id", "rag_status", "assessment_date"), "block_id", "left")
+    return s.blocks.select("block_id").join(latest_fra(s, ("fra_id", "rag_status", "assessment_date")), "block_id", "left")
 
 
 @query("join_04", f"SELECT b.block_id, v.fraew_id, c.fraew_id AS fraew_id_by_created FROM blocks b LEFT JOIN ({_LATEST_FRAEW}) v ON v.block_id = b.block_id LEFT JOIN ({_LATEST_FRAEW_CREATED}) c ON c.block_id = b.block_id")
 def latest_fraew_per_block(s: Silver) -> DataFrame:
-    view = latest_fraew(s).select("block_id", "fraew_id")
-    created = latest_fraew(s, by_created=True).select("block_id", col("fraew_id").alias("fraew_id_by_created"))
+    view = latest_fraew(s, ("fraew_id",))
+    created = latest_fraew(s, ("fraew_id",), by_created=True).withColumnRenamed("fraew_id", "fraew_id_by_created")
     return s.blocks.select("block_id").join(view, "block_id", "left").join(created, "block_id", "left")
 
 
@@ -193,7 +193,7 @@ def access_join(s: Silver) -> DataFrame:
 @query("join_06", "SELECT c_mktsegment AS segment, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM (SELECT c_mktsegment, count(*) AS n FROM {customer} GROUP BY 1) a CROSS JOIN (SELECT count(*) AS total FROM {customer}) t")
 def totals_cross_join(s: Silver) -> DataFrame:
     counts = s.customer.groupBy(col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
-    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return ops.with_total(counts, "n", "total")
 
 
 @query("join_07", """WITH a AS (SELECT block_reference, count(*) AS n FROM properties GROUP BY 1), b AS (SELECT block_reference, min(build_year) AS oldest FROM properties GROUP BY 1), c AS (SELECT block_reference, max(units) AS most FROM properties GROUP BY 1)
@@ -237,34 +237,36 @@ def nearest(s: Silver) -> DataFrame:
     return near_points(s).groupBy("postcode").agg(F.min(F.struct("distance", "uprn")).alias("m")).select("postcode", "m.uprn")
 
 
-_LOOKUP = """WITH k AS (SELECT property_id, CASE property_id % 3 WHEN 0 THEN property_reference WHEN 1 THEN concat(property_reference, '-A') ELSE concat(property_reference, 'X') END AS ref FROM properties WHERE property_id % 50 < 3),
- c AS (SELECT k.property_id, k.ref, p.property_reference, CASE WHEN p.property_reference = k.ref THEN 1 WHEN p.property_reference = regexp_replace(k.ref, '-[A-Z]$', '') THEN 2 ELSE 3 END AS rule
-  FROM k JOIN properties p ON p.property_reference = k.ref OR p.property_reference = regexp_replace(k.ref, '-[A-Z]$', '') OR p.property_reference = substr(k.ref, 1, length(k.ref) - 1))
- SELECT property_id, property_reference AS matched, rule FROM (SELECT c.*, row_number() OVER (PARTITION BY property_id ORDER BY rule, property_reference) AS rn FROM c) x WHERE rn = 1"""
+_LOOKUP = r"""WITH k AS (SELECT property_id AS id, CASE property_id % 4 WHEN 1 THEN concat(property_reference, '/B - west') WHEN 2 THEN concat(property_reference, 'X') ELSE property_reference END AS key FROM properties),
+ n AS (SELECT property_id AS ord, CASE WHEN property_id % 2 = 0 THEN property_reference ELSE concat(property_reference, '/B') END AS key FROM properties),
+ s AS (SELECT id, key, trim(regexp_replace(key, '\s*[-–].*$', '')) AS bare FROM k),
+ longer AS (SELECT pre, min(ord) AS ord FROM (SELECT ord, substr(key, 1, CAST(unnest(range(1, length(key) + 1)) AS INT)) AS pre FROM n) x GROUP BY 1),
+ shorter AS (SELECT id, substr(key, 1, CAST(unnest(range(1, length(key) + 1)) AS INT)) AS pre FROM s),
+ c AS (SELECT s.id, n.ord, n.key, 1 AS rule FROM s JOIN n ON n.key = s.key UNION ALL SELECT s.id, n.ord, n.key, 2 FROM s JOIN n ON n.key = s.bare
+  UNION ALL SELECT h.id, n.ord, n.key, 3 FROM shorter h JOIN n ON n.key = h.pre UNION ALL SELECT s.id, l.ord, n.key, 3 FROM s JOIN longer l ON l.pre = s.bare JOIN n ON n.ord = l.ord)
+ SELECT id AS property_id, key AS matched, CAST(rule AS INT) AS rule FROM (SELECT c.*, row_number() OVER (PARTITION BY id ORDER BY rule, ord) AS rn FROM c) x WHERE rn = 1"""
 
 
 @query("join_12", _LOOKUP)
-def ranked_reference_lookup(s: Silver) -> DataFrame:
-    """Exact reference, then without its suffix, then its prefix; three equi-joins, the first rule wins."""
-    props = s.properties
-    third = col("property_id") % 3
-    ref = F.when(third == 0, col("property_reference")).when(third == 1, F.concat("property_reference", F.lit("-A"))).otherwise(F.concat("property_reference", F.lit("X")))
-    asked = props.where("property_id % 50 < 3").select("property_id", ref.alias("ref"))
-    known = props.select(col("property_reference").alias("matched"))
-    keys = [(1, col("ref")), (2, F.regexp_replace("ref", "-[A-Z]$", "")), (3, F.expr("substr(ref, 1, length(ref) - 1)"))]
-    found = [(rank, asked.join(known, key == col("matched")).select("property_id", "matched")) for rank, key in keys]
-    return ops.ranked_lookup(asked.select("property_id"), found, "property_id", [col("matched")]).where(col("matched").isNotNull()).select("property_id", "matched", col("strategy").alias("rule"))
-
-
-@query("join_13", """WITH q AS (SELECT property_id, postcode, property_type FROM properties WHERE property_id % 40 = 1 AND postcode IS NOT NULL AND property_type IS NOT NULL),
- c AS (SELECT q.property_id, p.property_id AS other, CASE WHEN p.property_type = q.property_type THEN 1.0 ELSE 0.0 END AS score FROM q JOIN properties p ON p.postcode = q.postcode AND p.property_id <> q.property_id AND p.property_type IS NOT NULL)
- SELECT property_id, other FROM (SELECT c.*, row_number() OVER (PARTITION BY property_id ORDER BY score DESC, other) AS rn FROM c WHERE score > 0.3) x WHERE rn = 1""")
+def reference_lookup(s: Silver) -> DataFrame:
+    """Keys of one sheet in another, where half of them have a suffix."""
+    props, ref = s.properties, col("property_reference")
+    nth = col("property_id") % 4
+    asked = props.select(col("property_id").alias("id"), F.when(nth == 1, F.concat(ref, F.lit("/B - west"))).when(nth == 2, F.concat(ref, F.lit("X"))).otherwise(ref).alias("key"))
+    known = props.select(col("property_id").alias("order"), F.when(col("property_id") % 2 == 0, ref).otherwise(F.concat(ref, F.lit("/B"))).alias("key"))
+    return lookup.by_reference(asked, known).withColumnRenamed("id", "property_id")
+
+
+@query("join_13", r"""WITH q AS (SELECT property_id AS id, postcode, list_distinct(regexp_extract_all(lower(address || CASE WHEN property_id % 3 = 0 THEN ' Flat' ELSE '' END), '[^,\s]+')) AS t FROM properties WHERE postcode IS NOT NULL),
+ n AS (SELECT postcode, count(*) AS n FROM q GROUP BY 1),
+ c AS (SELECT a.id, b.id AS other, n.n, len(list_intersect(a.t, b.t)) * 1.0 / greatest(len(a.t), len(b.t)) AS score FROM q a JOIN q b ON a.postcode = b.postcode AND a.id <> b.id JOIN n ON n.postcode = a.postcode)
+ SELECT id AS property_id, other FROM (SELECT c.*, row_number() OVER (PARTITION BY id ORDER BY score DESC NULLS LAST, other) AS rn FROM c WHERE score > 0.3 OR n = 2) x WHERE rn = 1""")
 def best_in_postcode(s: Silver) -> DataFrame:
-    q = s.properties.where(col("postcode").isNotNull() & col("property_type").isNotNull())
-    other = q.select("postcode", col("property_id").alias("other"), col("property_type").alias("other_type"))
-    score = (col("property_type") == col("other_type")).cast("double")
-    pairs = q.where("property_id % 40 = 1").join(other, "postcode").where("property_id <> other").withColumn("score", score).where("score > 0.3")
-    return ops.first_per_group(pairs, ["property_id"], [col("score").desc(), col("other")]).select("property_id", "other")
+    """Of each property the other one of its postcode with the most alike address."""
+    text = F.concat("address", F.when(col("property_id") % 3 == 0, " Flat").otherwise(""))
+    tokens = F.filter(F.split(F.lower(text), r"[,\s]+"), lambda t: t != "")
+    rows = s.properties.where(col("postcode").isNotNull()).select("property_id", "postcode", tokens.alias("tokens"))
+    return lookup.best_in_batch(rows, "property_id", "postcode", "tokens").select(col("id").alias("property_id"), col("match").alias("other"))
 
 
 @query("join_14", "SELECT p.property_id, coalesce(nullif(p.block_reference, ''), b.name) AS block_reference FROM properties p LEFT JOIN blocks b ON b.block_id = p.block_id")
@@ -273,18 +275,30 @@ def fill_from_parent(s: Silver) -> DataFrame:
     return s.properties.join(blocks, "block_id", "left").select("property_id", F.coalesce(F.nullif("block_reference", F.lit("")), "name").alias("block_reference"))
 
 
-@query("join_15", """WITH d AS (SELECT supplier.s_suppkey AS doc, CASE s_suppkey % 3 WHEN 0 THEN concat('Customer#', lpad(CAST(s_suppkey AS VARCHAR(20)), 9, '0')) WHEN 1 THEN concat('FRA for Customer#', lpad(CAST(s_suppkey AS VARCHAR(20)), 9, '0')) ELSE 'unknown' END AS title FROM {supplier} supplier),
- c AS (SELECT d.doc, b.block_id, CASE WHEN b.name = d.title THEN 1 ELSE 2 END AS strategy FROM d JOIN blocks b ON b.name = d.title OR (length(b.name) >= 4 AND d.title LIKE concat('%', b.name, '%')))
- SELECT d.doc, x.block_id, x.strategy FROM d LEFT JOIN (SELECT c.*, row_number() OVER (PARTITION BY doc ORDER BY strategy, block_id) AS rn FROM c) x ON x.doc = d.doc AND x.rn = 1""")
+_STOP = ", ".join(f"'{w}'" for w in lookup.STOP_WORDS)
+_REPORTS = """SELECT s_suppkey AS doc, concat('ha_', CAST(s_nationkey % 5 AS VARCHAR(20))) AS ha_id,
+ CASE s_suppkey % 7 WHEN 0 THEN concat('Customer#', lpad(CAST(s_suppkey AS VARCHAR(20)), 9, '0')) WHEN 1 THEN lpad(CAST(s_suppkey * 3 AS VARCHAR(20)), 9, '0') WHEN 6 THEN ' ' END AS block_reference,
+ CASE s_suppkey % 7 WHEN 2 THEN concat('customer#', lpad(CAST(s_suppkey AS VARCHAR(20)), 9, '0')) WHEN 3 THEN concat('FRA for Customer#', lpad(CAST(s_suppkey * 2 AS VARCHAR(20)), 9, '0'), ' (north)') WHEN 4 THEN 'The Old Mill' ELSE NULL END AS building_name,
+ CASE s_suppkey % 7 WHEN 4 THEN concat('Flat 2, ', CAST(s_suppkey % 90 + 101 AS VARCHAR(20)), ' Hig, Tow, Street') WHEN 5 THEN concat(CAST(s_suppkey % 9 AS VARCHAR(20)), 'CD Nowhere') ELSE NULL END AS address FROM {supplier}"""
+_EITHER = lambda x: f"(strpos(b.name, {x}) > 0 OR strpos({x}, b.name) > 0)"
+
+
+@query("join_15", rf"""WITH d AS ({_REPORTS}),
+ b AS (SELECT ha_id, block_id, upper(name) AS name FROM blocks),
+ g AS (SELECT doc, ha_id, 0 AS nth, upper(trim(building_name)) AS x FROM d UNION ALL SELECT doc, ha_id, 1, upper(trim(address)) FROM d),
+ t AS (SELECT doc, ha_id, nth, list_filter(string_split_regex(x, '[,\s]+'), lambda w: length(w) >= 3 AND lower(w) NOT IN ({_STOP})) AS t FROM g WHERE x <> ''),
+ i AS (SELECT t.*, unnest(range(1, len(t) + 1)) AS i FROM t WHERE len(t) >= 2),
+ j AS (SELECT doc, ha_id, nth, i, j, t[i] AS a, t[j] AS z FROM (SELECT i.*, unnest(range(1, len(t) + 1)) AS j FROM i) y WHERE i < j),
+ m AS (SELECT p.ha_id, b.name, b.block_id, upper(p.address) AS address, upper(p.postcode) AS postcode FROM properties p JOIN b ON b.ha_id = p.ha_id AND b.name = upper(p.block_reference)),
+ c AS (SELECT doc, 0 AS strategy, 0 AS nth, b.name, b.block_id FROM d JOIN b ON b.ha_id = d.ha_id AND b.name = upper(trim(d.block_reference))
+  UNION ALL SELECT doc, 1, 0, b.name, b.block_id FROM d JOIN b ON b.ha_id = d.ha_id AND trim(block_reference) <> '' AND {_EITHER("upper(trim(d.block_reference))")}
+  UNION ALL SELECT doc, 2, nth, b.name, b.block_id FROM g JOIN b ON b.ha_id = g.ha_id AND b.name = g.x
+  UNION ALL SELECT doc, 3, nth, b.name, b.block_id FROM g JOIN b ON b.ha_id = g.ha_id AND g.x <> '' AND length(b.name) >= 4 AND {_EITHER("g.x")}
+  UNION ALL SELECT doc, 4, nth * 1000000 + i * 1000 + j, m.name, m.block_id FROM j JOIN m ON m.ha_id = j.ha_id AND ((contains(m.address, j.a) AND contains(m.address, j.z)) OR contains(m.postcode, j.a)))
+ SELECT doc, block_id, CAST(strategy AS INT) AS strategy FROM (SELECT c.*, row_number() OVER (PARTITION BY doc ORDER BY strategy, nth, name, block_id) AS rn FROM c) x WHERE rn = 1""")
 def block_resolution(s: Silver) -> DataFrame:
-    """Exact name, then a name inside the title; the second joins on the name that the title's pattern gives."""
-    name = F.concat(F.lit("Customer#"), F.lpad(col("s_suppkey").cast("string"), 9, "0"))
-    title = F.when(col("s_suppkey") % 3 == 0, name).when(col("s_suppkey") % 3 == 1, F.concat(F.lit("FRA for "), name)).otherwise("unknown")
-    docs = s.supplier.select(col("s_suppkey").alias("doc"), title.alias("title"))
-    blocks = s.blocks.select("block_id", "name")
-    exact = docs.join(blocks, col("title") == col("name")).select("doc", "block_id")
-    inside = docs.withColumn("part", F.regexp_extract("title", r"(Customer#\d+)", 1)).join(blocks, col("part") == col("name")).select("doc", "block_id")
-    return ops.ranked_lookup(docs.select("doc"), [(1, exact), (2, inside)], "doc", [col("block_id")]).select("doc", "block_id", "strategy")
+    """Reports that name their block by reference, name, or an address of one of its properties."""
+    return lookup.blocks_of_documents(s.sql(_REPORTS), s.blocks, s.properties)
 
 
 @query("join_17", """WITH a AS (SELECT block_id, name AS alias FROM blocks UNION SELECT block_id, concat('B', CAST(block_id AS VARCHAR(20))) FROM blocks), d AS (SELECT s_suppkey AS doc, concat('B', CAST(s_suppkey * 3 AS VARCHAR(20))) AS ref FROM {supplier})
@@ -298,7 +312,7 @@ def alias_join(s: Silver) -> DataFrame:
 @query("join_18", f"""SELECT p.property_id, coalesce(i.fra_id, r.fra_id) AS fra_id FROM properties p LEFT JOIN ({_LATEST_FRA}) i ON i.block_id = p.block_id AND p.property_id % 2 = 0
  LEFT JOIN blocks b ON b.name = p.block_reference LEFT JOIN ({_LATEST_FRA}) r ON r.block_id = b.block_id""")
 def document_precedence(s: Silver) -> DataFrame:
-    fra = latest_fra(s).select("block_id", "fra_id")
+    fra = latest_fra(s, ("fra_id",))
     by_name = s.blocks.select("block_id", "name").join(fra, "block_id").select(col("name").alias("block_reference"), col("fra_id").alias("by_reference"))
     by_id = fra.select(col("block_id").alias("k"), col("fra_id").alias("by_id"))
     joined = s.properties.join(by_id, (col("k") == col("block_id")) & (col("property_id") % 2 == 0), "left").join(by_name, "block_reference", "left")

@@ -13,7 +13,7 @@ from groundplan.plans import gold  # noqa: F401  (registers what an alias below
 from groundplan.plans.io import schedule_rows, scratch
 from groundplan.plans.registry import ORACLES, QUERIES, query
 from groundplan.plans.silver import Silver
-from groundplan.sources import readers
+from groundplan.sources import readers, workbook
 from groundplan.streaming import arrivals
 
 col = F.col
@@ -31,13 +31,43 @@ def quoted_cells(s: Silver) -> DataFrame:
     return readers.delimited(s.spark, path).select("k", "v")
 
 
-@query("src_08", "SELECT doc_id, CAST(1 AS BIGINT) AS pages, CAST(greatest(len(string_split(trim(lang), ' ')), 0) AS BIGINT) AS words FROM {documents}")
+@query("src_08", r"""WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> ''), 1) AS k FROM {conversations} WHERE turn < 10)
+ SELECT conv_id AS doc_id, count(DISTINCT turn) AS pages, count(*) AS words, CAST(max(x1) AS DOUBLE) AS widest, string_agg(w, ' ' ORDER BY turn, k) AS text FROM (SELECT w.*, sum(length(w) + 1) OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS x1 FROM w) y GROUP BY 1""")
 def layout_schema(s: Silver) -> DataFrame:
-    """Pages of words with boxes, as nested arrays."""
-    word = lambda w: F.struct(w.alias("text"), F.lit(0.0).alias("x0"), F.lit(1.0).alias("x1"), F.lit(0.0).alias("top"), F.lit(1.0).alias("bottom"))
-    page = F.struct(F.lit(1.0).alias("width"), F.lit(1.0).alias("height"), F.transform(F.split(F.trim("lang"), " "), word).alias("words"))
-    pages = s.documents.select("doc_id", F.array(page).alias("p"))
-    return pages.select("doc_id", F.size("p").cast("long").alias("pages"), F.size(F.flatten(F.transform("p", lambda x: x["words"]))).cast("long").alias("words"))
+    """Pages of at most ten turns, of words with boxes: a character is a unit wide, a page one line."""
+    pages = s.conversations.where("turn < 10").select(col("conv_id").alias("doc_id"), col("turn").alias("page_no"), "text")
+    words = documents.layout(pages).select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.page_no", F.explode("p.words").alias("w"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", col("w.x0").alias("x"), col("w.text").alias("t")))), lambda r: r["t"]), " ")
+    return words.groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"), F.count("*").alias("words"), F.max("w.x1").alias("widest"), text.alias("text"))
+
+
+@query("src_06", "SELECT conv_id AS doc_id, string_agg(concat('[Page ', CAST(turn + 1 AS VARCHAR), ']', chr(10), text, chr(10), role, ' | ', CAST(length(text) AS VARCHAR)), chr(10) || chr(10) ORDER BY turn) AS text FROM {conversations} GROUP BY 1")
+def page_marked_text(s: Silver) -> DataFrame:
+    """A document's pages with their marks; the tables on a page as rows of cells behind its text."""
+    table = F.array(F.array(col("role"), F.length("text").cast("string")))
+    pages = s.conversations.select(col("conv_id").alias("doc_id"), (col("turn") + 1).alias("page_no"), "text", table.alias("table"))
+    return documents.marked_text(pages)
+
+
+@query("src_02", "SELECT portfolio_id AS path, 'Blocks' AS sheet, block_id + 1 AS row, name, CAST(unit_count AS VARCHAR) AS second FROM blocks UNION ALL SELECT portfolio_id, 'Totals', 1, 'units', CAST(sum(unit_count) AS VARCHAR) FROM blocks GROUP BY 1")
+def workbook_sheets(s: Silver) -> DataFrame:
+    """A workbook of two sheets per portfolio, made and read again in tasks; blank rows and those of other cells do not come back."""
+    rows = workbook.rows_of(workbooks_of_blocks(s))
+    return rows.select("path", "sheet", (col("row_idx") + 1).cast("long").alias("row"), F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.lit(1)).alias("second"))
+
+
+@query("src_05", "SELECT portfolio_id AS path, count(*) AS rows, CAST(sum(unit_count) AS BIGINT) AS units FROM blocks GROUP BY 1")
+def first_sheet(s: Silver) -> DataFrame:
+    rows = workbook.rows_of(workbooks_of_blocks(s), first_sheet_only=True)
+    return rows.groupBy("path").agg(F.count("*").alias("rows"), F.sum(F.get("cells", F.lit(1)).cast("long")).alias("units"))
+
+
+def workbooks_of_blocks(s: Silver) -> DataFrame:
+    cell = lambda *c: F.array(*(x.cast("string") for x in c))
+    blocks = s.blocks.select(col("portfolio_id").alias("path"), F.lit("Blocks").alias("sheet"), F.lit(0).alias("sheet_idx"), col("block_id").cast("int").alias("row_idx"), cell(col("name"), col("unit_count")).alias("cells"))
+    totals = s.blocks.groupBy(col("portfolio_id").alias("path")).agg(F.sum("unit_count").alias("n")).select("path", F.lit("Totals").alias("sheet"), F.lit(1).alias("sheet_idx"), F.lit(0).alias("row_idx"), cell(F.lit("units"), col("n")).alias("cells"))
+    blank = totals.withColumn("row_idx", F.lit(1)).withColumn("cells", F.array(F.lit(""), F.lit(None).cast("string")))
+    return workbook.made(blocks.unionByName(totals).unionByName(blank))
 
 
 @query("src_13", "SELECT p_partkey, p_brand FROM {part} WHERE p_size > 25")
@@ -46,7 +76,17 @@ def table_scan(s: Silver) -> DataFrame:
     return s.part.where("p_size > 25").select("p_partkey", "p_brand")
 
 
-QUERIES["snk_08"], ORACLES["snk_08"] = QUERIES["gold_doc_b_enriched"], ORACLES["gold_doc_b_enriched"]
+#: Views and endpoints whose rows are those of a query that has another name above.
+SAME_AS = {
+    "gold_risk_distribution_v1": "agg_24", "gold_readiness_v1": "agg_42", "gold_missing_information_v1": "agg_25", "gold_extraction_comparison_v1": "flt_17", "gold_portfolio_composition_v1": "agg_29", "gold_underwriter_summary_v1": "agg_28",
+    "gold_fra_compliance_v1": "agg_31", "gold_fraew_compliance_v1": "agg_32", "endpoint_composition": "agg_13", "endpoint_map": "gold_portfolio_map_v1", "endpoint_doc_completeness": "agg_10", "endpoint_ha_profile": "agg_40", "endpoint_ha_stats": "agg_41", "endpoint_readiness": "agg_42",
+}
+
+
+def name_views() -> None:
+    """Registers the names of SAME_AS, once all plans are loaded."""
+    for name, other in SAME_AS.items():
+        QUERIES[name], ORACLES[name] = QUERIES[other], ORACLES[other]
 
 
 @query("snk_09", "SELECT event_id, event_type FROM {events}")
@@ -56,7 +96,7 @@ def json_artefacts(s: Silver) -> DataFrame:
     return s.spark.read.schema("event_id long, meta struct<event_type:string>").json(path).select("event_id", "meta.event_type")
 
 
-@query("join_22", "WITH RECURSIVE reach(node, depth) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT CASE WHEN l.source_id = r.node THEN l.target_id ELSE l.source_id END, r.depth + 1 FROM reach r JOIN lineage l ON l.source_id = r.node OR l.target_id = r.node WHERE r.depth < 2) SELECT DISTINCT l.source_id, l.target_id FROM lineage l JOIN (SELECT DISTINCT node FROM reach) n ON l.source_id = n.node OR l.target_id = n.node")
+@query("join_22", "WITH RECURSIVE sides AS (SELECT source_id AS a, target_id AS z FROM lineage UNION SELECT target_id, source_id FROM lineage), reach(node, depth) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT sides.z, r.depth + 1 FROM reach r JOIN sides ON sides.a = r.node WHERE r.depth < 2), near AS (SELECT DISTINCT node FROM reach) SELECT DISTINCT source_id, target_id FROM lineage WHERE source_id IN (SELECT node FROM near) OR target_id IN (SELECT node FROM near)")
 def near_lineage(s: Silver) -> DataFrame:
     return graph.closure(s.lineage.select("source_id", "target_id"), 7, 3).select("source_id", "target_id")
 
@@ -82,16 +122,23 @@ def quote_places(s: Silver) -> DataFrame:
     return s.benchmark.select("item_id", F.when(exact >= 0, exact).otherwise(documents.fuzzy_place(quote, page)).alias("place"))
 
 
-@query("str_27")
+@query("str_27", r"""WITH n AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM {benchmark}),
+ h AS (SELECT item_id, p, substr(p, 1, 25) AS b, substr(p, 36) AS a FROM n),
+ e AS (SELECT item_id, p, greatest(CASE WHEN strpos(reverse(b), ' .') > 0 THEN length(b) - strpos(reverse(b), ' .') + 1 END, CASE WHEN strpos(reverse(b), ' |') > 0 THEN length(b) - strpos(reverse(b), ' |') + 1 END, CASE WHEN strpos(reverse(b), ' •') > 0 THEN length(b) - strpos(reverse(b), ' •') + 1 END) AS l,
+  least(CASE WHEN strpos(a, '. ') > 0 THEN 35 + strpos(a, '. ') END, CASE WHEN strpos(a, ' |') > 0 THEN 35 + strpos(a, ' |') END) AS r FROM h),
+ s AS (SELECT item_id, trim(substr(p, coalesce(l + 1, 1), coalesce(r, 235) - coalesce(l, 0))) AS x FROM e)
+ SELECT item_id, CASE WHEN length(x) <= 320 THEN x ELSE concat(substr(x, 1, 317), '...') END AS sentence FROM s""")
 def sentences(s: Silver) -> DataFrame:
     return s.benchmark.select("item_id", documents.sentence(documents.normal(col("text")), F.lit(25), F.lit(10)).alias("sentence"))
 
 
-@query("num_05", "SELECT n_nationkey, CAST(CASE n_nationkey % 3 WHEN 0 THEN 2025 WHEN 1 THEN 2026 ELSE 0 END AS INT) AS year FROM {nation}")
+@query("num_05", r"""SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN 2000 + event_id % 30 + 1 WHEN 1 THEN 2000 + event_id % 30 WHEN 2 THEN 2000 + event_id % 30 + 1 WHEN 3 THEN 0 ELSE 2010 + event_id % 10 END AS INT) AS year FROM {events}""")
 def insured_years(s: Silver) -> DataFrame:
-    """Headers are parsed on the driver, three of them here, and joined as literals."""
-    years = F.array(*(F.lit(values.insured_year(h)) for h in ("Sum Insured 24/25", "Reinstatement 2026", "Postcode")))
-    return s.nation.select("n_nationkey", F.get(years, (col("n_nationkey") % 3).cast("int")).alias("year"))
+    """Years of headings: ranges take the later year, headings without a year 0."""
+    y = (col("event_id") % 30).cast("int")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    heads = (F.concat(F.lit("Sum Insured "), two(y), F.lit("/"), two(y + 1)), F.concat(F.lit("Reinstatement "), (y + 2000).cast("string")), F.concat((y + 2000).cast("string"), F.lit("-"), two(y + 1), F.lit(" declared value")), F.lit("Postcode"), F.concat(F.lit("SI 201"), (col("event_id") % 10).cast("string")))
+    return s.events.select("event_id", values.insured_year_of(F.get(F.array(*heads), (col("event_id") % 5).cast("int"))).alias("year"))
 
 
 @query("arr_06", "SELECT fra_id, concat_ws('|', CASE WHEN rag_status = 'RED' THEN 'red' END, CASE WHEN overdue_action_count > 0 THEN concat(CAST(overdue_action_count AS VARCHAR), ' overdue') END) AS notes FROM fra_features")
@@ -139,17 +186,35 @@ def categorical(s: Silver) -> DataFrame:
     return detect.scores(s.properties.select("property_type"), thresholds=False).select(F.round("categorical", 6).alias("share"))
 
 
-@query("typ_18", "SELECT 'Stock list' AS sheet, 'primary' AS role, CAST(1 AS INT) AS header_row")
+def two_sheets(s: Silver) -> DataFrame:
+    """A stock list without insured sums, and the sums in another sheet, of every third property under a longer key."""
+    head = [("b", "Stock", 0, 0, ["Stock list"]), ("b", "Stock", 0, 2, ["Property Ref", "Address 1", "Post code"]), ("b", "Values ", 1, 0, ["Asset reference", "Sum Insured 24/25", "Declared value 25/26", "Storeys"])]
+    head = s.spark.createDataFrame(head, "path string, sheet string, sheet_idx int, row_idx int, cells array<string>")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    place = (col("property_id") + 10).cast("int").alias("row_idx")
+    stock = s.properties.select(F.lit("b").alias("path"), F.lit("Stock").alias("sheet"), F.lit(0).alias("sheet_idx"), place, F.array(F.concat("property_reference", F.lit("#")), text(col("address")), text(col("postcode"))).alias("cells"))
+    key = F.concat("property_reference", F.when(col("property_id") % 3 == 0, "#/1").otherwise("#"))
+    sums = s.properties.select(F.lit("b").alias("path"), F.lit("Values ").alias("sheet"), F.lit(1).alias("sheet_idx"), place, F.array(key, F.lit("1"), F.concat(F.lit("£"), text(col("sum_insured"))), F.lit("4")).alias("cells"))
+    return head.unionByName(stock).unionByName(sums)
+
+
+@query("typ_18", "SELECT concat(property_reference, '#') AS property_reference, CAST(sum_insured AS DOUBLE) AS sum_insured, CAST(4 AS INT) AS storeys, 'primary,secondary' AS roles FROM properties")
 def sheet_roles(s: Silver) -> DataFrame:
-    plans = ingest.plan(schedule_rows(s))
-    return s.spark.createDataFrame([(p.sheet, ingest.role(p), p.header_row) for p in plans], "sheet string, role string, header_row int")
+    """Roles and the join plan follow from the headers; the plan is carried out over all rows."""
+    rows = two_sheets(s)
+    plans = ingest.plan(rows)
+    joined = ingest.joined(rows, plans[0], ingest.join_plan(plans), plans[1])
+    return joined.select("property_reference", "sum_insured", "storeys", F.lit(",".join(map(ingest.role, plans))).alias("roles"))
 
 
-@query("typ_19", "SELECT 'Stock list' AS sheet, CAST(0 AS INT) AS header_row, CAST(1 AS INT) AS fields")
+@query("typ_19", "SELECT concat(property_reference, '#') AS property_reference, postcode, CAST(sum_insured AS DOUBLE) AS sum_insured, CAST(NULL AS INT) AS storeys FROM properties")
 def plan_validation(s: Silver) -> DataFrame:
-    raw = [{"sheet": "Stock list", "header_row": None, "columns": {"postcode": 2, "address": -1, "nonsense": 3}}, {"sheet": "unknown", "columns": {}}]
-    plans = ingest.validated(raw, {"Stock list"})
-    return s.spark.createDataFrame([(p.sheet, p.header_row, len(p.columns)) for p in plans], "sheet string, header_row int, fields int")
+    """Plans from outside with unknown sheets, unknown fields and impossible columns, cleaned and carried out."""
+    rows = two_sheets(s)
+    raw = [{"sheet": " Stock ", "header_row": 2.0, "columns": {"property_reference": 0, "postcode": 2, "address": -1, "nonsense": 3}}, {"sheet": "Values", "columns": {"property_reference": 0, "sum_insured": 2}}, {"sheet": "unknown", "columns": {}}]
+    plans = ingest.validated(raw, {"Stock", "Values "})
+    join = ingest.validated_join({"primary_key": 0, "sheet": "Values ", "key": 0, "fields": [{"name": "sum_insured"}, "nonsense"]}, {"Stock", "Values "})
+    return ingest.joined(rows, plans[0], join, plans[1]).select("property_reference", "postcode", "sum_insured", "storeys")
 
 
 # --- arrivals --------------------------------------------------------------

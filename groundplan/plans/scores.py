@@ -259,9 +259,30 @@ def clamp_unit(s: Silver) -> DataFrame:
     return s.events.select("event_id", values.unit_interval(col("value") / 100).alias("share"))
 
 
-@query("num_11")
+def _grid_sql() -> str:
+    """The projection as a chain of tables: footpoint, series, datum shift, latitude on the new ellipsoid."""
+    (a, b), (a2, b2) = geo.AIRY, geo.WGS84
+    a0, n, e2, f2 = a * geo.SCALE, (a - b) / (a + b), 1 - (b / a) ** 2, 1 - (b2 / a2) ** 2
+    d, t = f"(lat - {geo.LAT0})", f"(lat + {geo.LAT0})"
+    arc = f"{b * geo.SCALE} * ({1 + n + 1.25 * n**2 + 1.25 * n**3} * {d} - {3 * n + 3 * n**2 + 21 / 8 * n**3} * sin({d}) * cos({t}) + {15 / 8 * (n**2 + n**3)} * sin(2 * {d}) * cos(2 * {t}) - {35 / 24 * n**3} * sin(3 * {d}) * cos(3 * {t}))"
+    steps = [f"f0 AS (SELECT uprn, easting * 100 + 400000 AS e, northing * 100 + 300000 AS n, {geo.LAT0} + (northing * 100 + 300000 - {geo.NORTH0}) / {a0} AS lat FROM uprn_points)"]
+    steps += [f"f{k} AS (SELECT uprn, e, n, lat + (n - {geo.NORTH0} - {arc}) / {a0} AS lat FROM f{k - 1})" for k in range(1, 5)]
+    rx, ry, rz = geo.ROTATION
+    k = 1 + geo.GROWTH
+    steps += [
+        f"s AS (SELECT uprn, lat, e - {geo.EAST0} AS d, tan(lat) AS t, 1 / cos(lat) AS c, {a0} / sqrt(1 - {e2} * sin(lat) ** 2) AS nu, {a0 * (1 - e2)} / (1 - {e2} * sin(lat) ** 2) ** 1.5 AS rho FROM f4)",
+        f"p AS (SELECT uprn, lat - t / (2 * rho * nu) * d ** 2 + t / (24 * rho * nu ** 3) * (5 + 3 * t ** 2 + (nu / rho - 1) - 9 * t ** 2 * (nu / rho - 1)) * d ** 4 - t / (720 * rho * nu ** 5) * (61 + 90 * t ** 2 + 45 * t ** 4) * d ** 6 AS phi, {geo.LON0} + c / nu * d - c / (6 * nu ** 3) * (nu / rho + 2 * t ** 2) * d ** 3 + c / (120 * nu ** 5) * (5 + 28 * t ** 2 + 24 * t ** 4) * d ** 5 AS lam FROM s)",
+        f"c AS (SELECT uprn, r * cos(phi) * cos(lam) AS x, r * cos(phi) * sin(lam) AS y, r * {1 - e2} * sin(phi) AS z FROM (SELECT p.*, {a} / sqrt(1 - {e2} * sin(phi) ** 2) AS r FROM p) q)",
+        f"m AS (SELECT uprn, {geo.SHIFT[0]} + {k} * x - {rz} * y + {ry} * z AS x, {geo.SHIFT[1]} + {rz} * x + {k} * y - {rx} * z AS y, {geo.SHIFT[2]} - {ry} * x + {rx} * y + {k} * z AS z FROM c)",
+        f"w0 AS (SELECT uprn, x, y, z, atan2(z, sqrt(x * x + y * y) * {1 - f2}) AS lat FROM m)",
+    ]
+    steps += [f"w{k} AS (SELECT uprn, x, y, z, atan2(z + {f2 * a2} / sqrt(1 - {f2} * sin(lat) ** 2) * sin(lat), sqrt(x * x + y * y)) AS lat FROM w{k - 1})" for k in range(1, 4)]
+    return "WITH " + ", ".join(steps) + " SELECT uprn, round(degrees(lat), 6) AS lat, round(degrees(atan2(y, x)), 6) AS lon FROM w3"
+
+
+@query("num_11", _grid_sql())
 def grid_to_degrees(s: Silver) -> DataFrame:
-    """Rows only: a projection; tests hold it against published points."""
+    """A projection; tests hold it against published points too."""
     point = geo.grid_to_degrees(col("easting") * 100 + 400000, col("northing") * 100 + 300000)
     return s.uprn_points.select("uprn", point.alias("p")).select("uprn", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
 
@@ -389,11 +410,11 @@ def flat_and_building(s: Silver) -> DataFrame:
     return s.properties.where(col("address").isNotNull()).select("property_id", address.flat_number(given).alias("flat"), address.building_number(given).alias("building"))
 
 
-@query("str_14", "SELECT property_id, CAST(CASE WHEN address IS NULL THEN 0.0 ELSE 0.75 END AS DOUBLE) AS overlap FROM properties WHERE property_id % 91 > 1")
+@query("str_14", r"SELECT property_id, CAST(CASE WHEN address IS NULL THEN 0.0 ELSE len(list_intersect(a, b)) * 1.0 / greatest(len(a), len(b)) END AS DOUBLE) AS overlap FROM (SELECT property_id, address, list_distinct(regexp_extract_all(lower(address), '\w+')) AS a, list_distinct(regexp_extract_all(lower(replace(address, 'Town', '2')), '\w+')) AS b FROM properties) x")
 def overlap(s: Silver) -> DataFrame:
     a = F.coalesce(address.tokens(col("address")), F.array().cast("array<string>"))
-    b = F.coalesce(address.tokens(F.regexp_replace("address", "Town", "City")), F.array().cast("array<string>"))
-    return s.properties.where("property_id % 91 > 1").select("property_id", address.token_overlap(a, b).alias("overlap"))
+    b = F.coalesce(address.tokens(F.regexp_replace("address", "Town", "2")), F.array().cast("array<string>"))
+    return s.properties.select("property_id", address.token_overlap(a, b).alias("overlap"))
 
 
 @query("str_18", "SELECT block_id, nullif(concat_ws(', ', CASE WHEN has_combustible_cladding THEN 'cladding' END, CASE WHEN eps_insulation_present THEN 'eps' END, CASE WHEN aluminium_composite_cladding THEN 'acm' END), '') AS flags FROM (" + ASSESSED + ") a")
@@ -458,7 +479,7 @@ def json_repair(s: Silver) -> DataFrame:
 # --- graphs ----------------------------------------------------------------
 
 
-@query("grf_01", "WITH RECURSIVE reach(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT CASE WHEN l.source_id = r.node THEN l.target_id ELSE l.source_id END, r.depth + 1 FROM reach r JOIN lineage l ON l.source_id = r.node OR l.target_id = r.node WHERE r.depth < 9) SELECT DISTINCT l.source_id, l.target_id FROM lineage l JOIN (SELECT DISTINCT node FROM reach) n ON l.source_id = n.node OR l.target_id = n.node")
+@query("grf_01", "WITH RECURSIVE sides AS (SELECT source_id AS a, target_id AS z FROM lineage UNION SELECT target_id, source_id FROM lineage), reach(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT sides.z, r.depth + 1 FROM reach r JOIN sides ON sides.a = r.node WHERE r.depth < 9), near AS (SELECT DISTINCT node FROM reach) SELECT DISTINCT source_id, target_id FROM lineage WHERE source_id IN (SELECT node FROM near) OR target_id IN (SELECT node FROM near)")
 def lineage_closure(s: Silver) -> DataFrame:
     return graph.closure(s.lineage.select("source_id", "target_id"), 0, 10).select("source_id", "target_id")
 
@@ -474,12 +495,12 @@ def nodes(s: Silver) -> DataFrame:
     return both.groupBy("node").agg(F.min("role").alias("role"))
 
 
-_PARENTS = "SELECT event_id AS child, CASE WHEN event_id < 10 THEN NULL ELSE CAST(floor(event_id / 4.0) AS BIGINT) END AS parent FROM {events} WHERE event_id < 2000"
+_PARENTS = "SELECT event_id AS child, CASE WHEN event_id < 10 THEN NULL ELSE CAST(floor(event_id / 4.0) AS BIGINT) END AS parent FROM {events}"
 
 
 @query("grf_04", f"WITH p AS ({_PARENTS}) SELECT a.child, coalesce(e.parent, d.parent, c.parent, b.parent, a.parent, a.child) AS root FROM p a LEFT JOIN p b ON b.child = a.parent LEFT JOIN p c ON c.child = b.parent LEFT JOIN p d ON d.child = c.parent LEFT JOIN p e ON e.child = d.parent")
 def hierarchy(s: Silver) -> DataFrame:
-    parents = s.events.where("event_id < 2000").select(col("event_id").alias("child"), F.when(col("event_id") >= 10, F.floor(col("event_id") / 4.0)).alias("parent"))
+    parents = s.events.select(col("event_id").alias("child"), F.when(col("event_id") >= 10, F.floor(col("event_id") / 4.0)).alias("parent"))
     return graph.roots(parents).select("child", "root")
 
 

@@ -66,7 +66,7 @@ VIEWS: dict[str, str] = {
         CASE l_suppkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE NULL END AS bs8414_test_evidence, l_suppkey % 4 = 0 AS interim_measures_required, l_suppkey % 5 = 0 AS has_remedial_actions,
         l_orderkey * 10 + l_linenumber AS created_seq FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey WHERE l_linestatus = 'O'""",
     "uploads": """SELECT event_id AS upload_id, concat('ha_', CAST(user_id % 5 AS VARCHAR(20))) AS ha_id, event_type AS status, ts AS uploaded_at, value AS row_count, CAST(user_id AS BIGINT) AS user_id FROM {events}""",
-    "lineage": "SELECT event_id AS target_id, CAST(floor(event_id / 3.0) AS BIGINT) AS source_id, event_type AS step FROM {events} WHERE event_id > 0 AND event_id < 400",
+    "lineage": "SELECT event_id AS target_id, CAST(floor(event_id / 3.0) AS BIGINT) AS source_id, event_type AS step FROM {events} WHERE event_id > 0",
     "uprn_points": "SELECT c_custkey AS uprn, CAST((c_custkey * 7919) % 601 AS DOUBLE) AS easting, CAST((c_custkey * 104729) % 607 AS DOUBLE) AS northing FROM {customer}",
     "centroids": "SELECT s_suppkey AS postcode, CAST((s_suppkey * 7907) % 601 AS DOUBLE) AS easting, CAST((s_suppkey * 104711) % 607 AS DOUBLE) AS northing FROM {supplier}",
 }

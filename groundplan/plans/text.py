@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundplan.functions import address, bands, geo, rules, values
-from groundplan.operators import detect, extract
+from groundplan.operators import detect, extract, safety_case, spatial
 from groundplan.plans.registry import query
 from groundplan.plans.relational import assessed_blocks
 from groundplan.plans.scores import _RATINGS_SQL, ratings
@@ -82,6 +81,23 @@ def extraction(s: Silver) -> DataFrame:
     return s.supplier.select("s_suppkey", *(found[k].alias(k) for k in ("job_reference", "client_name", "pas_9980_version", "building_risk_rating", "num_storeys")))
 
 
+_CASES = """SELECT s_suppkey AS k, concat('Building Safety Case Report\nBuilding name: Aura', 'Court ', CAST(s_suppkey AS VARCHAR(20)), '\nAddress: ', CAST(s_suppkey AS VARCHAR(20)), ' Mill Road, Leeds LS1 4AB. UPRN: ',
+ CASE WHEN s_suppkey % 2 = 0 THEN '100000000001' ELSE 'BR7' END, '\n', CASE s_suppkey % 3 WHEN 0 THEN 'Height: 21.5 m' WHEN 1 THEN '5 storeys' ELSE 'no size' END, '\nBuilt: 1984. ', CAST(s_suppkey % 70 + 1 AS VARCHAR(20)), ' flats\nVersion: 2.1\nIssue date: 03/04/2023\nPrincipal Accountable Person: Jo Bloggs\nManaging agent: Example Homes Limited\nFRA date: 01-02-2022\nAssessor: Kim Lee MIFSM, CMIOSH\n',
+ CASE s_suppkey % 4 WHEN 0 THEN 'Evacuation strategy: stay put for all flats.' WHEN 1 THEN 'A phased evacuation is used.' WHEN 2 THEN 'PEEPs exist.' ELSE '' END, '\nCladding type: brick slip\nno ACM. Dry riser. Fire safety team: Fire@Example.org') AS t FROM {supplier}"""
+
+
+@query("sco_26_scr", r"""SELECT s_suppkey AS k, concat('Aura Court ', CAST(s_suppkey AS VARCHAR)) AS building_name, concat(CAST(s_suppkey AS VARCHAR), ' Mill Road, Leeds LS1 4AB') AS building_address, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'BR7' END AS building_reference,
+ CASE WHEN s_suppkey % 2 = 0 THEN '100000000001' ELSE '' END AS uprns, CASE s_suppkey % 3 WHEN 0 THEN 'HIGH_RISE' WHEN 1 THEN 'MEDIUM_RISE' END AS height_category, 1984 AS construction_year, CAST(s_suppkey % 70 + 1 AS INT) AS total_units, '2.1' AS safety_case_version, '2023-04-03' AS safety_case_date,
+ 'Jo Bloggs' AS principal_accountable_person, 'Example Homes Limited' AS accountable_person_entity, '2022-02-01' AS fra_date, 'Kim Lee' AS fra_assessor, 'MIFSM CMIOSH' AS fra_assessor_credentials, CASE s_suppkey % 4 WHEN 0 THEN 'STAY_PUT' WHEN 1 THEN 'PHASED' END AS evacuation_strategy,
+ CASE s_suppkey % 4 WHEN 0 THEN 'stay put for all flats.' END AS evacuation_strategy_description, s_suppkey % 4 = 2 AS personal_evacuation_plans_required, TRUE AS dry_riser_present, FALSE AS wet_riser_present, 'BRICK SLIP' AS cladding_type, 'safe' AS cladding_status, 'fire@example.org' AS contact, CAST(46 AS INT) AS fields FROM {supplier}""")
+def safety_cases(s: Silver) -> DataFrame:
+    """Safety case reports made of the suppliers; all fields are computed, those that vary are returned."""
+    found = safety_case.fields(col("t"))
+    rows = s.sql(_CASES).select("k", *(c.alias(n) for n, c in found.items()))
+    names = ("building_name", "building_address", "building_reference", "height_category", "construction_year", "total_units", "safety_case_version", "safety_case_date", "principal_accountable_person", "accountable_person_entity", "fra_date", "fra_assessor", "fra_assessor_credentials", "evacuation_strategy", "evacuation_strategy_description", "personal_evacuation_plans_required", "dry_riser_present", "wet_riser_present", "cladding_type", "cladding_status")
+    return rows.select("k", *names, F.array_join("uprns", ",").alias("uprns"), col("key_contacts")[0]["email"].alias("contact"), F.lit(len(found)).alias("fields"))
+
+
 @query("sco_27", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'word box inverted' ELSE 'word outside page' END AS errors FROM {supplier}")
 def layout(s: Silver) -> DataFrame:
     n = lambda v: F.lit(float(v))
@@ -289,22 +305,10 @@ def substring_attach(s: Silver) -> DataFrame:
 
 @query("join_24")
 def greedy_assignment(s: Silver) -> DataFrame:
-    """Points to polygons one to one, nearest first come; rows only. Candidates are joined by cell, the greedy pass runs per group."""
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for point, options in group.sort_values(["point", "distance", "shape"]).groupby("point", sort=True):
-            best = next((r for r in options.itertuples() if r.shape not in used), None)
-            if best is not None:
-                used.add(best.shape)
-                rows.append((best.block, point, best.shape))
-        return pd.DataFrame(rows, columns=["block", "point", "shape"])
-
-    from groundplan.operators import spatial
-
+    """Points to shapes one to one, the first point first; rows only, as SQL has no such pass. Candidates meet by grid cell."""
     shapes = s.centroids.select(col("postcode").alias("shape"), "easting", "northing")
     near = spatial.within(shapes, s.uprn_points.select(col("uprn").alias("point"), "easting", "northing"), 45)
-    return near.withColumn("block", F.floor(col("point") / 100)).select("block", "point", "shape", "distance").groupBy("block").applyInPandas(assign, "block long, point long, shape long")
+    return spatial.greedy_pairs(near)
 
 
 @query("agg_overdue_by_block", "SELECT block_id, coalesce(overdue_action_count, 0) AS overdue FROM (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY block_id ORDER BY assessment_date DESC NULLS LAST, created_seq DESC, fra_id DESC) AS rn FROM fra_features f) x WHERE rn = 1) y")

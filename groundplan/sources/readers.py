@@ -60,10 +60,19 @@ def flood_dimension(spark: SparkSession, path: str) -> DataFrame:
     return df.where(code != "").select(code.alias("postcode"), flood_band(count("HIGH_CNT"), count("MED_CNT"), count("LOW_CNT")).alias("band"))
 
 
-def seeded(spark: SparkSession, n: int, columns: dict[str, Column], partitions: int | None = None) -> DataFrame:
-    """``n`` generated rows; columns are expressions of ``id``, from 1."""
-    return spark.range(1, n + 1, 1, partitions).select("id", *(c.alias(name) for name, c in columns.items()))
+#: A draw below {2} from id {0} and seed {1}, in SQL; a multiplier and a modulus of a linear congruence.
+DRAW_SQL = "((({0} + {1}) * 1103515245 + 12345) % 2147483648 * 69069 + {1}) % 2147483647 % {2}"
+
+
+def draw(seed: int, below: int) -> Column:
+    """A whole number from 0 to ``below`` - 1 that follows from ``id`` and a seed alone, so a task that runs again draws the same."""
+    return F.expr(DRAW_SQL.format("id", seed, below))
+
+
+def seeded(ids: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Generated rows for given ``id``s, such as a range; columns are expressions of ``id``."""
+    return ids.select("id", *(c.alias(name) for name, c in columns.items()))
 
 
 def choice(options: Sequence[object], seed: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), (F.floor(F.rand(seed) * len(options)) + 1).cast("int"))
+    return F.get(F.array(*map(F.lit, options)), draw(seed, len(options)).cast("int"))

@@ -7,7 +7,9 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,8 +63,40 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["path", "sheet", "sheet_idx", "row_idx", "cells"])
 
 
+def rows_of(files: DataFrame, first_sheet_only: bool = False) -> DataFrame:
+    """All rows that are not blank of workbooks given as (path, content)."""
+    rows = files.select("path", "content").mapInArrow(_rows, SCHEMA)
+    return rows.where("sheet_idx = 0") if first_sheet_only else rows
+
+
 def workbooks(spark: SparkSession, path: str, first_sheet_only: bool = False) -> DataFrame:
     """All rows of all workbooks under ``path``, in any store that Spark reads."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    rows = files.mapInArrow(_rows, SCHEMA)
-    return rows.where("sheet_idx = 0") if first_sheet_only else rows
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
+    return rows_of(files, first_sheet_only)
+
+
+def book(sheets_of_rows: dict[str, list[tuple[int, list[str | None]]]]) -> bytes:
+    """A workbook of named sheets of (row number, cells); text cells only."""
+    main, rel = _MAIN[1:-1], _REL[1:-1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as out:
+        names = "".join(f'<sheet name={quoteattr(n)} sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(sheets_of_rows, 1))
+        out.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
+        out.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets_of_rows) + 1)) + "</Relationships>")
+        for k, rows in enumerate(sheets_of_rows.values(), 1):
+            cells = lambda row: "".join("<c/>" if v is None else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' for v in row)
+            body = "".join(f'<row r="{n + 1}">{cells(row)}</row>' for n, row in rows)
+            out.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return data.getvalue()
+
+
+def _books(rows: pd.DataFrame) -> pd.DataFrame:
+    found: dict[str, list] = {}
+    for r in rows.sort_values(["sheet_idx", "row_idx"]).itertuples():
+        found.setdefault(r.sheet, []).append((r.row_idx, list(r.cells)))
+    return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [book(found)]})
+
+
+def made(rows: DataFrame) -> DataFrame:
+    """(path, content) of workbooks from rows as ``workbooks`` gives them; a workbook, which has a bounded number of rows, is made in one task."""
+    return rows.groupBy("path").applyInPandas(_books, "path string, content binary")
