@@ -46,6 +46,7 @@ from groundplan.llm.common import table, written
 WINDOW = 400
 GRAM = 32
 CLASSES = 8
+SEEN = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -125,10 +126,13 @@ def _halves(values: list[int]) -> tuple[pa.Array, pa.Array]:
 
 def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     names = ["d1", "d2", "gram", "c1", "c2", "first", "windows", "lead"]
+    seen: set[tuple[int, int]] = set()  # copies in one task are scanned once; other tasks' runs of a copy are equal rows
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            owners, rows, seen = [], [], set()
+            owners, rows = [], []
+            if len(seen) > SEEN:
+                seen.clear()
             for k, (d1, d2, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True)):
                 if (d1, d2) in seen:
                     continue
@@ -213,14 +217,17 @@ def covered(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     keyed = docs.select(F.col(id_col).alias("id"), *_keys(text_col), _bytes(text_col).alias("text"))
     texts = written(keyed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts")
     scanned = keyed.where(F.octet_length("text") >= window).select("d1", "d2", "text").mapInArrow(partial(_runs, window=window), "d1 long, d2 long, gram long, c1 long, c2 long, first int, windows int, lead int")
-    runs = written(scanned.distinct(), "runs")
+    runs = written(scanned, "runs")
     content = ["gram", "c1", "c2"]
+    # equal rows are one place; a content has several if the hashes of its places differ
+    place = F.xxhash64("d1", "d2", "first")
+    kinds = runs.groupBy(*content).agg(F.min(place).alias("low"), F.max(place).alias("high"), *(F.first(c).alias(c) for c in ("d1", "d2", "first", "windows", "lead")))
     # aggregates that a join needs are tables, so that both its sides are plain exchanges, of which Spark can split a hot key's
-    kinds = written(runs.groupBy(*content).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("d1", "d2", "first", "windows", "lead"))), "kinds")
-    mixed = written(kinds.groupBy("gram").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1").select("gram"), "mixed")
+    kinds = written(kinds.withColumn("many", F.col("low") != F.col("high")).drop("low", "high"), "kinds")
+    mixed = written(kinds.groupBy("gram").agg(F.count("*").alias("size"), F.min("many").alias("least")).where("size > 1 and not least").select("gram"), "mixed")
     span = lambda first, last: (first.cast("long").alias("from"), (last + window).cast("long").alias("to"))
-    whole = runs.join(kinds.where("n > 1").select(*content), content, "left_semi").select("d1", "d2", *span(F.col("first"), F.col("first") + F.col("windows") - 1))
-    asked = kinds.join(mixed, "gram", "left_semi").groupBy("d1", "d2").agg(F.collect_list(F.struct("gram", (F.col("n") > 1).alias("whole"), "first", "windows", "lead")).alias("runs")).join(texts.select("d1", "d2", "rep"), ["d1", "d2"])
+    whole = runs.join(kinds.where("many").select(*content), content, "left_semi").select("d1", "d2", *span(F.col("first"), F.col("first") + F.col("windows") - 1))
+    asked = kinds.join(mixed, "gram", "left_semi").groupBy("d1", "d2").agg(F.collect_list(F.struct("gram", F.col("many").alias("whole"), "first", "windows", "lead")).alias("runs")).join(texts.select("d1", "d2", "rep"), ["d1", "d2"])
     source = keyed.withColumnsRenamed({"d1": "k1", "d2": "k2"})
     met = asked.join(source, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & F.col("rep").eqNullSafe(F.col("id")))
     pieces = written(met.select("d1", "d2", "text", "runs").mapInArrow(partial(_pieces, window=window), _PIECE), "pieces")
