@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+#: Fixed patterns: postcodes, and how flats, pairs of numbers, and floors are written.
 POSTCODE = r"[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}"
 VALID_POSTCODE = r"^[A-Z]{1,2}[0-9][0-9A-Z]?\s[0-9][A-Z]{2}$"
 FLAT_WORDS = r"(flat|unit|apt|apartment|room|suite)"
+PAIR = r"(?:^|[\s,])(\d+)\s*/\s*(\d+)"
+PAIR_ALONE = PAIR + r"(?=[\s,]|$)"
+FLOOR_PAIR = r"(?i)\b(\d+)\s*f\s*(\d+)\b"
+FLOORS = r"(?i)\b(gfl|gfr|bfl|bfr|ground\s+floor|basement)\b"
 
 
 def postcode(c: Column) -> Column:
@@ -71,14 +76,13 @@ def standard(address: Column) -> Column:
 
 def has_flat_token(address: Column) -> Column:
     plain = F.regexp_replace(address, rf"(?i){POSTCODE}", "")
-    return address.rlike(rf"(?i)\b{FLAT_WORDS}\b") | plain.rlike(r"(?:^|[\s,])(\d+)\s*/\s*(\d+)(?=[\s,]|$)") | address.rlike(r"(?i)\b\d+\s*f\s*\d+\b") | address.rlike(r"(?i)\b(gfl|gfr|bfl|bfr|ground\s+floor|basement)\b")
+    return address.rlike(rf"(?i)\b{FLAT_WORDS}\b") | plain.rlike(PAIR_ALONE) | address.rlike(FLOOR_PAIR) | address.rlike(FLOORS)
 
 
 def _without_flat(address: Column) -> Column:
     plain = F.regexp_replace(address, rf"(?i){POSTCODE}", "")
     plain = F.regexp_replace(plain, rf"(?i)\b{FLAT_WORDS}\s+\d+(?:\s*/\s*\d+)?\b", "")
-    plain = F.regexp_replace(plain, r"(?:^|[\s,])(\d+)\s*/\s*(\d+)", " ")
-    return F.regexp_replace(plain, r"(?i)\b\d+\s*f\s*\d+\b", "")
+    return F.regexp_replace(F.regexp_replace(plain, PAIR, " "), FLOOR_PAIR, "")
 
 
 def building_number(address: Column) -> Column:
@@ -90,7 +94,7 @@ def flat_number(address: Column) -> Column:
     plain = F.regexp_replace(address, rf"(?i){POSTCODE}", "")
     pick = lambda pattern, k: F.nullif(F.regexp_extract(plain, pattern, k), F.lit(""))
     keyword = rf"(?i)\b(?:{FLAT_WORDS[1:-1]})\s+(\d+)(?:\s*/\s*(\d+))?\b"
-    return F.coalesce(pick(keyword, 2), pick(keyword, 1), pick(r"(?i)\b(\d+)\s*f\s*(\d+)\b", 2), pick(r"(?:^|[\s,])(\d+)\s*/\s*(\d+)(?=[\s,]|$)", 2))
+    return F.coalesce(pick(keyword, 2), pick(keyword, 1), pick(FLOOR_PAIR, 2), pick(PAIR_ALONE, 2))
 
 
 def street_tokens(address: Column) -> Column:

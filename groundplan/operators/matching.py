@@ -34,6 +34,7 @@ def traffic_lights(df: DataFrame) -> DataFrame:
     lone = ~c("_gflat") & c("_sub")
     implied = lone & F.coalesce(c("_gb") == c("_mf"), F.lit(False)) & (os >= 0.7) & (c("_street") >= 0.6) & ~c("given").rlike(r"(?i)\b(block|building|tower|wing|phase|stair|entrance)\s+\d+\b")
     same_format = (os >= 0.7) & F.coalesce((c("_gb") == c("_mb")) & (c("_gf") == c("_mf")), F.lit(False)) & (c("_street") >= 0.6)
+    #: The rules in order, their limits, levels and reasons.
     rules = [
         (differ("_gb", "_mb"), "RED", None, "building_number_mismatch"), (differ("_gf", "_mf"), "RED", None, "flat_number_mismatch"),
         (os == 1.0, "GREEN", F.greatest(os, F.lit(0.95)), "exact_match"), ((os >= 0.8) & (sim >= 0.8) & aligned & ~only_matched, "GREEN", os, "good_match_aligned"),
