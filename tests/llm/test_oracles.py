@@ -214,3 +214,24 @@ def test_suffix_dedup_brute_force(spark):
         want[k] = (len(d), int(covered.sum()), spans, hashlib.sha256(bytes(np.frombuffer(d, dtype=np.uint8)[~covered])).hexdigest())
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op10_suffix_dedup"](spark, DATA).collect()}
     assert found == want
+
+
+def test_near_duplicates_brute_force(spark):
+    """All pairs of the supplied documents by the similarity of their five-word shingle sets; one of each class stays."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = {}
+    for r in rows_of(spark, "documents"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(lower))
+        sets[r.doc_id] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    parent = {k: k for k in sets}
+    near = 0
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and (len(x & y) >= 0.8 * len(x | y)):
+                near += x != y
+                i, j = sorted((find(parent, a), find(parent, b)))
+                parent[j] = i
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert near and found == {k: find(parent, k) for k in parent}
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(found.values())
