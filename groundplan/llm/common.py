@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +31,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again; this cuts the lineage."""
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def written(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again; this cuts the lineage.
+
+    Inside ``passing_tables`` it is deleted at the end unless it ``stays``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    passing = _PASSING.get()
+    if passing is not None and not stays:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``written`` makes inside, at the end: what is read later has to be a table that stays."""
+    paths: list[str] = []
+    token = _PASSING.set(paths)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def held_out(id_col: str | Column = "doc_id", folds: int = 5) -> Column:
     """True where crc32 of the id's text leaves no remainder; a null id is held out too."""
     crc = F.crc32(F.col(id_col).cast("string").cast("binary")) if isinstance(id_col, str) else F.crc32(id_col.cast("string").cast("binary"))

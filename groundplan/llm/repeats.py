@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundplan.llm.common import table, written
+from groundplan.llm.common import passing_tables, table, written
 
 WINDOW = 400
 GRAM = 32
@@ -214,8 +214,13 @@ def _keys(text_col: str) -> tuple[Column, Column]:
 
 def covered(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Per distinct text (d1, d2): ``texts`` with its ``rep`` id and ``copies``, and ``spans`` with the array of covered (from, to)."""
+    with passing_tables(docs.sparkSession):
+        return _covered(docs, window, id_col, text_col)
+
+
+def _covered(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     keyed = docs.select(F.col(id_col).alias("id"), *_keys(text_col), _bytes(text_col).alias("text"))
-    texts = written(keyed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts")
+    texts = written(keyed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts", stays=True)
     scanned = keyed.where(F.octet_length("text") >= window).select("d1", "d2", "text").mapInArrow(partial(_runs, window=window), "d1 long, d2 long, gram long, c1 long, c2 long, first int, windows int, lead int")
     runs = written(scanned, "runs")
     content = ["gram", "c1", "c2"]
@@ -244,7 +249,7 @@ def covered(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     shared = written(each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "shared")
     rest = each.where("asks").join(shared, ["h1", "h2"], "left_semi").select("d1", "d2", *span(F.col("place"), F.col("place")))
     spans = whole.unionByName(alike).unionByName(rest).groupBy("d1", "d2").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
-    return texts, written(spans, "spans")
+    return texts, written(spans, "spans", stays=True)
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:

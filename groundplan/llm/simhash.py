@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundplan.llm.common import table, written
+from groundplan.llm.common import passing_tables, table, written
 
 SEED = 42
 SPARE = 2
@@ -437,8 +437,10 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     Rows of one id with different texts are different documents; of rows with equal ids
     and texts one stays. Rows without an id stay.
     """
-    _, classes, roots = _similar(docs, size, similarity, id_col, text_col)
-    kept = classes.where(F.col("first").isNotNull()).join(roots.where("node <> root"), "node", "left_anti").select("kept.*")
+    with passing_tables(docs.sparkSession):
+        _, classes, roots = _similar(docs, size, similarity, id_col, text_col)
+        kept = classes.where(F.col("first").isNotNull()).join(roots.where("node <> root"), "node", "left_anti").select("kept.*")
+        kept = written(kept, "kept", stays=True)
     names = docs.columns
     plain = docs.toDF(*map(str, range(len(names))))  # the columns of ``kept`` clash with none of these
     own = F.col(str(names.index(id_col)))

@@ -460,13 +460,19 @@ def test_repeats_of_a_hot_passage(spark, monkeypatch):
     rows = {}
     for n in (100, 400):
         sizes, write = {}, repeats.written
-        monkeypatch.setattr(repeats, "written", lambda df, label, sizes=sizes, write=write: sizes.setdefault(label, write(df, label)))
+
+        def counted(df, label, stays=False, sizes=sizes, write=write):
+            made = write(df, label, stays)
+            sizes[label] = made.count()
+            return made
+
+        monkeypatch.setattr(repeats, "written", counted)
         texts = [word(500) + passage + word(500) for _ in range(n)]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         found = repeats.repeats(docs).collect()
         monkeypatch.undo()
         assert all(r.n_spans == 1 and 900 <= r.n_removed < 920 for r in found)
-        rows[n] = {label: df.count() for label, df in sizes.items()}
+        rows[n] = sizes
     assert all(rows[400][k] <= 4.6 * rows[100][k] + 10 for k in rows[100])
     assert rows[400]["windows"] < 400 * 2 * (400 - repeats.GRAM) / 3
 
