@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundplan.llm.common import passing_tables, table, written
+from groundplan.llm.common import on_disk, passing_tables, table, written
 
 WINDOW = 400
 GRAM = 32
@@ -145,19 +145,8 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), _signed([r[0] for r in rows]), *_halves([r[1] for r in rows]), *places], names=names)
 
 
-_PIECE = "d1 long, d2 long, gram long, whole boolean, first int, windows int, lead int, bytes binary"
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs that a text is asked for."""
-    names = [field.split()[0] for field in _PIECE.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            rows = []
-            for d1, d2, text, runs in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                rows += [(d1, d2, r["gram"], r["whole"], r["first"], r["windows"], r["lead"], text[r["first"] : r["first"] + r["windows"] - 1 + window]) for r in runs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+_CLASS = {"class": pa.int32(), "start": pa.int32(), "end": pa.int32(), "core": pa.int64(), "c1": pa.int64(), "c2": pa.int64()}
+_PIECE = "d1 long, d2 long, gram long, whole boolean, first int, bytes binary, classes array<struct<class:int,start:int,end:int,core:long,c1:long,c2:long>>"
 
 
 def _classes_of(windows: int, lead: int, window: int, count: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -168,23 +157,26 @@ def _classes_of(windows: int, lead: int, window: int, count: int) -> Iterator[tu
         yield number, max(start, 0), min(end, windows - 1), end, start + window
 
 
-def _classes(batches: Iterator[pa.RecordBatch], window: int, count: int) -> Iterator[pa.RecordBatch]:
-    """Rows (d1, d2, gram, whole, first, windows, lead, bytes) become a row for each class of the run."""
+def _pieces(batches: Iterator[pa.RecordBatch], window: int, count: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of the runs that a text is asked for, with the digits of their classes."""
+    kinds = {"d1": pa.int64(), "d2": pa.int64(), "gram": pa.int64(), "whole": pa.bool_(), "first": pa.int32(), "bytes": pa.binary()}
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            owners, numbers, cores, contents, starts, ends = [], [], [], [], [], []
-            for k, (windows, lead, data) in enumerate(zip(*(part.column(c).to_pylist() for c in (5, 6, 7)), strict=True)):
-                for number, one, other, core, stop in _classes_of(windows, lead, window, count):
-                    owners.append(k)
-                    numbers.append(number)
-                    cores.append(xxhash.xxh3_64_intdigest(data[core:stop]))
-                    contents.append(xxhash.xxh3_128_intdigest(data[one : other + window], number * window + core - one))
-                    starts.append(one)
-                    ends.append(other)
-            who = pa.array(owners, pa.int32())
-            kept = [part.column(k).take(who) for k in (0, 1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int32()) for x in (numbers, starts, ends)), _signed(cores), *_halves(contents)], names=["d1", "d2", "gram", "whole", "first", "class", "start", "end", "core", "c1", "c2"])
+        for at in range(0, batch.num_rows, 64):
+            rows, ends, numbers, starts, lasts, cores, contents = [], [0], [], [], [], [], []
+            for d1, d2, text, runs in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                for r in runs:
+                    data = text[r["first"] : r["first"] + r["windows"] - 1 + window]
+                    rows.append((d1, d2, r["gram"], r["whole"], r["first"], data))
+                    for number, one, other, core, stop in _classes_of(r["windows"], r["lead"], window, count):
+                        numbers.append(number)
+                        starts.append(one)
+                        lasts.append(other)
+                        cores.append(xxhash.xxh3_64_intdigest(data[core:stop]))
+                        contents.append(xxhash.xxh3_128_intdigest(data[one : other + window], number * window + core - one))
+                    ends.append(len(numbers))
+            parts = [*(pa.array(x, pa.int32()) for x in (numbers, starts, lasts)), _signed(cores), *_halves(contents)]
+            classes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=[pa.field(n, t) for n, t in _CLASS.items()]))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())), classes], names=[*kinds, "classes"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -222,7 +214,7 @@ def _covered(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
     keyed = docs.select(F.col(id_col).alias("id"), *_keys(text_col), _bytes(text_col).alias("text"))
     texts = written(keyed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts", stays=True)
     scanned = keyed.where(F.octet_length("text") >= window).select("d1", "d2", "text").mapInArrow(partial(_runs, window=window), "d1 long, d2 long, gram long, c1 long, c2 long, first int, windows int, lead int")
-    runs = written(scanned, "runs")
+    runs = on_disk(scanned)
     content = ["gram", "c1", "c2"]
     # equal rows are one place; a content has several if the hashes of its places differ
     place = F.xxhash64("d1", "d2", "first")
@@ -235,9 +227,9 @@ def _covered(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
     asked = kinds.join(mixed, "gram", "left_semi").groupBy("d1", "d2").agg(F.collect_list(F.struct("gram", F.col("many").alias("whole"), "first", "windows", "lead")).alias("runs")).join(texts.select("d1", "d2", "rep"), ["d1", "d2"])
     source = keyed.withColumnsRenamed({"d1": "k1", "d2": "k2"})
     met = asked.join(source, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & F.col("rep").eqNullSafe(F.col("id")))
-    pieces = written(met.select("d1", "d2", "text", "runs").mapInArrow(partial(_pieces, window=window), _PIECE), "pieces")
+    pieces = on_disk(met.select("d1", "d2", "text", "runs").mapInArrow(partial(_pieces, window=window, count=CLASSES), _PIECE))
 
-    classes = written(pieces.mapInArrow(partial(_classes, window=window, count=CLASSES), "d1 long, d2 long, gram long, whole boolean, first int, class int, start int, end int, core long, c1 long, c2 long"), "classes")
+    classes = pieces.select("d1", "d2", "gram", "whole", "first", F.explode("classes").alias("c")).select("d1", "d2", "gram", "whole", "first", "c.*")
     group = ["gram", "class", "core"]
     contents = written(classes.groupBy(*group, "c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("d1", "d2", "first", "start", "end", "whole"))), "contents")
     several = written(contents.groupBy(*group).agg(F.count("*").alias("size")).where("size > 1").select(*group), "several")
@@ -245,7 +237,7 @@ def _covered(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
     asks = (~F.col("whole") & (F.col("n") == 1)).alias("asks")
     ranges = contents.join(several, group, "left_semi").groupBy("d1", "d2", "first").agg(F.collect_list(F.struct("start", "end", asks)).alias("ranges"))
     each = pieces.select("d1", "d2", "first", "bytes").join(ranges, ["d1", "d2", "first"]).mapInArrow(partial(_windows, window=window), "h1 long, h2 long, d1 long, d2 long, place int, asks boolean")
-    each = written(each, "windows")
+    each = on_disk(each)
     shared = written(each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "shared")
     rest = each.where("asks").join(shared, ["h1", "h2"], "left_semi").select("d1", "d2", *span(F.col("place"), F.col("place")))
     spans = whole.unionByName(alike).unionByName(rest).groupBy("d1", "d2").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))

@@ -459,14 +459,20 @@ def test_repeats_of_a_hot_passage(spark, monkeypatch):
     passage = word(900)
     rows = {}
     for n in (100, 400):
-        sizes, write = {}, repeats.written
+        sizes, write, keep = {}, repeats.written, repeats.on_disk
 
         def counted(df, label, stays=False, sizes=sizes, write=write):
             made = write(df, label, stays)
             sizes[label] = made.count()
             return made
 
+        def kept(df, sizes=sizes, keep=keep):
+            made = keep(df)
+            sizes[",".join(made.columns)] = made.count()
+            return made
+
         monkeypatch.setattr(repeats, "written", counted)
+        monkeypatch.setattr(repeats, "on_disk", kept)
         texts = [word(500) + passage + word(500) for _ in range(n)]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         found = repeats.repeats(docs).collect()
@@ -474,7 +480,7 @@ def test_repeats_of_a_hot_passage(spark, monkeypatch):
         assert all(r.n_spans == 1 and 900 <= r.n_removed < 920 for r in found)
         rows[n] = sizes
     assert all(rows[400][k] <= 4.6 * rows[100][k] + 10 for k in rows[100])
-    assert rows[400]["windows"] < 400 * 2 * (400 - repeats.GRAM) / 3
+    assert rows[400]["h1,h2,d1,d2,place,asks"] < 400 * 2 * (400 - repeats.GRAM) / 3
 
 
 def test_repeats_edges(docs, none):
