@@ -218,4 +218,4 @@ def stream_upsert(s: Silver) -> DataFrame:
     """Micro-batches upserted by key; a replayed batch gives the same table."""
     target = scratch(s, "table")
     arrivals.into_table(_event_stream(s).select("user_id", "event_id"), target, ["user_id"], scratch(s, "stream"), col("event_id").desc()).awaitTermination()
-    return arrivals.newest(s.spark, target).select("user_id", "event_id")
+    return arrivals.newest(s.spark, target, ["user_id"]).select("user_id", "event_id")

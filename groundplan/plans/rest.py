@@ -245,4 +245,4 @@ def recomputed_keys(s: Silver) -> DataFrame:
     target = scratch(s, "derived")
     build = lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
     arrivals.recompute(arrivals.events(s.spark, s.sf_dir, "events.parquet").select("user_id"), "user_id", build, lambda: s.events, target, scratch(s, "stream")).awaitTermination()
-    return arrivals.newest(s.spark, target).select("user_id", "n", "last")
+    return arrivals.newest(s.spark, target, ["user_id"]).select("user_id", "n", "last")

@@ -29,32 +29,24 @@ def events(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
 
 
 def into_table(stream: DataFrame, target: str, keys: list[str], checkpoint: str, order: Column, once: bool = True) -> StreamingQuery:
-    """Upserts each micro-batch by key into the Parquet table ``target``.
+    """Upserts each micro-batch by key into the Parquet table ``target``, which ``newest`` reads.
 
-    A batch replayed after a failure gives the same table: the version of a batch is
-    written beside the last one, whose number its folder bears, and read from there.
+    A batch writes its own rows alone, as the version of its number; replayed after a
+    failure, it writes the same ones again in their place.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = ops.first_per_group(batch, keys, [order])
-        old = _version(spark, target, number - 1)
-        merged = ops.upsert(old, fresh, keys) if old is not None else fresh
-        merged.write.mode("overwrite").parquet(f"{target}/version={number}")
+        ops.first_per_group(batch, keys, [order]).write.mode("overwrite").parquet(f"{target}/version={number}")
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _version(spark: SparkSession, target: str, number: int) -> DataFrame | None:
-    return spark.read.parquet(f"{target}/version={number}") if number >= 0 else None
-
-
-def newest(spark: SparkSession, target: str) -> DataFrame:
-    """The table after its last batch."""
+def newest(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The table after its last batch: of each key the rows of the last version that has it."""
     versions = spark.read.option("basePath", target).parquet(target)
-    last = versions.agg(F.max("version").alias("_last"))
-    return versions.join(F.broadcast(last), F.col("version") == F.col("_last"), "left_semi").drop("version")
+    last = versions.groupBy(*keys).agg(F.max("version").alias("version"))
+    return versions.join(last, [*keys, "version"], "left_semi").drop("version")
 
 
 def tumbling(df: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -86,16 +78,12 @@ def drained(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
 def recompute(stream: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], source: Callable[[], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
     """What a row trigger does: of each micro-batch's keys the derived rows are built anew from the source.
 
-    The derived rows hold ``key``; those of other keys are carried over from the version
-    of the last batch.
+    The derived rows hold ``key``; a batch writes those of its keys alone, and ``newest``
+    takes each key's from the last version that has it.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        touched = batch.select(key).distinct()
-        derived = build(source().join(touched, key, "left_semi"))
-        old = _version(batch.sparkSession, target, number - 1)
-        if old is not None:
-            derived = derived.unionByName(old.join(touched, key, "left_anti"))
+        derived = build(source().join(batch.select(key).distinct(), key, "left_semi"))
         derived.write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
