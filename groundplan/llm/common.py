@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_PASSING: ContextVar[list[str | DataFrame] | None] = ContextVar("passing", default=None)
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def written(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
@@ -49,30 +49,26 @@ def written(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def on_disk(df: DataFrame) -> DataFrame:
-    """``df`` kept by Spark on the executors' disks, for frames that are read twice and easily made again if an executor is lost."""
-    kept = df.persist(StorageLevel.DISK_ONLY)
-    passing = _PASSING.get()
-    if passing is not None:
-        passing.append(kept)
-    return kept
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @contextmanager
 def passing_tables(spark: SparkSession) -> Iterator[None]:
-    """Gives up, at the end, what ``written`` and ``on_disk`` keep inside: what is read later has to be a table that stays."""
-    passing: list[str | DataFrame] = []
+    """Deletes the tables that ``written`` makes inside, at the end: what is read later has to be a table that stays."""
+    passing: list[str] = []
     token = _PASSING.set(passing)
     try:
         yield
     finally:
         _PASSING.reset(token)
         for path in passing:
-            if isinstance(path, DataFrame):
-                path.unpersist()
-                continue
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        passing.clear()
+        release(spark)
 
 
 def held_out(id_col: str | Column = "doc_id", folds: int = 5) -> Column:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundplan.llm.common import on_disk, passing_tables, table, written
+from groundplan.llm.common import passing_tables, release, table, written
 
 WINDOW = 400
 GRAM = 32
@@ -214,20 +214,21 @@ def _covered(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
     keyed = docs.select(F.col(id_col).alias("id"), *_keys(text_col), _bytes(text_col).alias("text"))
     texts = written(keyed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts", stays=True)
     scanned = keyed.where(F.octet_length("text") >= window).select("d1", "d2", "text").mapInArrow(partial(_runs, window=window), "d1 long, d2 long, gram long, c1 long, c2 long, first int, windows int, lead int")
-    runs = on_disk(scanned)
+    runs = written(scanned, "runs")
     content = ["gram", "c1", "c2"]
     # equal rows are one place; a content has several if the hashes of its places differ
     place = F.xxhash64("d1", "d2", "first")
     kinds = runs.groupBy(*content).agg(F.min(place).alias("low"), F.max(place).alias("high"), *(F.first(c).alias(c) for c in ("d1", "d2", "first", "windows", "lead")))
     # aggregates that a join needs are tables, so that both its sides are plain exchanges, of which Spark can split a hot key's
     kinds = written(kinds.withColumn("many", F.col("low") != F.col("high")).drop("low", "high"), "kinds")
+    release(docs.sparkSession)
     mixed = written(kinds.groupBy("gram").agg(F.count("*").alias("size"), F.min("many").alias("least")).where("size > 1 and not least").select("gram"), "mixed")
     span = lambda first, last: (first.cast("long").alias("from"), (last + window).cast("long").alias("to"))
     whole = runs.join(kinds.where("many").select(*content), content, "left_semi").select("d1", "d2", *span(F.col("first"), F.col("first") + F.col("windows") - 1))
     asked = kinds.join(mixed, "gram", "left_semi").groupBy("d1", "d2").agg(F.collect_list(F.struct("gram", F.col("many").alias("whole"), "first", "windows", "lead")).alias("runs")).join(texts.select("d1", "d2", "rep"), ["d1", "d2"])
     source = keyed.withColumnsRenamed({"d1": "k1", "d2": "k2"})
     met = asked.join(source, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & F.col("rep").eqNullSafe(F.col("id")))
-    pieces = on_disk(met.select("d1", "d2", "text", "runs").mapInArrow(partial(_pieces, window=window, count=CLASSES), _PIECE))
+    pieces = written(met.select("d1", "d2", "text", "runs").mapInArrow(partial(_pieces, window=window, count=CLASSES), _PIECE), "pieces")
 
     classes = pieces.select("d1", "d2", "gram", "whole", "first", F.explode("classes").alias("c")).select("d1", "d2", "gram", "whole", "first", "c.*")
     group = ["gram", "class", "core"]
@@ -237,7 +238,8 @@ def _covered(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[
     asks = (~F.col("whole") & (F.col("n") == 1)).alias("asks")
     ranges = contents.join(several, group, "left_semi").groupBy("d1", "d2", "first").agg(F.collect_list(F.struct("start", "end", asks)).alias("ranges"))
     each = pieces.select("d1", "d2", "first", "bytes").join(ranges, ["d1", "d2", "first"]).mapInArrow(partial(_windows, window=window), "h1 long, h2 long, d1 long, d2 long, place int, asks boolean")
-    each = on_disk(each)
+    each = written(each, "windows")
+    release(docs.sparkSession)
     shared = written(each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "shared")
     rest = each.where("asks").join(shared, ["h1", "h2"], "left_semi").select("d1", "d2", *span(F.col("place"), F.col("place")))
     spans = whole.unionByName(alike).unionByName(rest).groupBy("d1", "d2").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))

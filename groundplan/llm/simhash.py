@@ -431,6 +431,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     return prints.select("id", "code").join(linked, "code").select(F.col("id").alias(id_col), "component_id")
 
 
+def _kept(docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """A written table of the (id, t1, t2) of the documents with an id that stay."""
+    _, classes, roots = _similar(docs, size, similarity, id_col, text_col)
+    kept = classes.where(F.col("first").isNotNull()).join(roots.where("node <> root"), "node", "left_anti").select("kept.*")
+    return written(kept, "kept", stays=True)
+
+
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate group, that of the smallest id.
 
@@ -438,9 +445,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     and texts one stays. Rows without an id stay.
     """
     with passing_tables(docs.sparkSession):
-        _, classes, roots = _similar(docs, size, similarity, id_col, text_col)
-        kept = classes.where(F.col("first").isNotNull()).join(roots.where("node <> root"), "node", "left_anti").select("kept.*")
-        kept = written(kept, "kept", stays=True)
+        kept = _kept(docs, size, similarity, id_col, text_col)
     names = docs.columns
     plain = docs.toDF(*map(str, range(len(names))))  # the columns of ``kept`` clash with none of these
     own = F.col(str(names.index(id_col)))
