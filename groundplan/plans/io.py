@@ -13,7 +13,8 @@ from groundplan.operators.lineage_cut import shared_folder
 from groundplan.plans.registry import query
 from groundplan.plans.silver import Silver
 from groundplan.sources import exports, readers
-from groundplan.streaming import arrivals
+from groundplan.sources.snapshots import SnapshotTable
+from groundplan.streaming import arrivals, retries
 
 col = F.col
 #: Columns of the first schedule that the tables hold.
@@ -213,9 +214,34 @@ def stream_once(s: Silver) -> DataFrame:
     return arrivals.drained(arrivals.once_per_key(_event_stream(s), ["event_id"]), name, scratch(s, "stream")).agg(F.count("*").alias("n"))
 
 
-@query("stm_02", "SELECT user_id, max(event_id) AS event_id FROM {events} GROUP BY 1")
+#: Attempts at an upload a user and day, with the outcome of each.
+_OUTCOME = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'needs_review' WHEN 'error' THEN 'permanent' ELSE 'retryable' END"
+
+
+@query("stm_02", f"""WITH x AS (SELECT concat(CAST(user_id AS VARCHAR), '-', strftime(ts, '%Y-%m-%d')) AS upload_id, ts, event_id, {_OUTCOME} AS outcome, event_type FROM {{events}}
+  WHERE ts <= (SELECT date_trunc('milliseconds', max(ts) - INTERVAL 10 MINUTE) FROM {{events}})),
+ n AS (SELECT x.*, row_number() OVER w AS n, lead(ts) OVER w AS later FROM x WINDOW w AS (PARTITION BY upload_id ORDER BY ts, event_id)),
+ r AS (SELECT n.*, CASE WHEN outcome = 'retryable' AND n < 5 THEN ts + to_seconds(least(60 * CAST(pow(2, n - 1) AS BIGINT), 21600)) END AS due_at FROM n),
+ d AS (SELECT r.*, due_at < later OR (later IS NULL AND due_at <= (SELECT date_trunc('milliseconds', max(ts) - INTERVAL 10 MINUTE) FROM {{events}})) AS fell FROM r)
+ SELECT upload_id, CAST(max(n) AS INT) AS attempts, arg_max(CASE outcome WHEN 'permanent' THEN 'failed' WHEN 'retryable' THEN CASE WHEN n < 5 THEN 'retrying' ELSE 'failed' END ELSE outcome END, n) AS status,
+  min(ts) AS started_at, max(ts) AS attempted_at, max(CASE WHEN later IS NULL AND NOT fell THEN due_at END) AS next_attempt_at, max(CASE WHEN later IS NULL AND due_at IS NULL THEN ts END) AS completed_at,
+  CAST(count(*) FILTER (WHERE fell) AS INT) AS due, max(CASE WHEN later IS NULL AND outcome IN ('retryable', 'permanent') THEN event_type END) AS last_error FROM d GROUP BY 1""")
+def ingestion_attempts(s: Silver) -> DataFrame:
+    """Attempts at uploads as a stream: counted, backed off, due again or ended; committed batch by batch."""
+    s.spark.conf.set("spark.sql.streaming.stateStore.providerClass", retries.PROVIDER)
+    upload = F.concat_ws("-", col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    tried = _event_stream(s).select(upload.alias("upload_id"), col("ts").alias("attempted_at"), col("event_id").alias("attempt_id"), F.expr(_OUTCOME).alias("outcome"), col("event_type").alias("error"))
+    table = SnapshotTable(s.spark, scratch(s, "uploads"), retries.STEPS)
+    arrivals.into_table(retries.attempts(tried), table, "stm_02", scratch(s, "stream")).awaitTermination()
+    plain = lambda c: col(c).cast("timestamp_ntz").alias(c)
+    last = table.current(["upload_id"], col("step"))
+    return last.select("upload_id", "attempts", "status", plain("started_at"), plain("attempted_at"), plain("next_attempt_at"), plain("completed_at"), "due", "last_error")
+
+
+@query("stm_02_upsert", "SELECT user_id, max(event_id) AS event_id FROM {events} GROUP BY 1")
 def stream_upsert(s: Silver) -> DataFrame:
-    """Micro-batches upserted by key; a replayed batch gives the same table."""
-    target = scratch(s, "table")
-    arrivals.into_table(_event_stream(s).select("user_id", "event_id"), target, ["user_id"], scratch(s, "stream"), col("event_id").desc()).awaitTermination()
-    return arrivals.newest(s.spark, target, ["user_id"]).select("user_id", "event_id")
+    """Micro-batches upserted by key: the highest event stays, whichever batch it comes with."""
+    table = SnapshotTable(s.spark, scratch(s, "table"), "user_id long, event_id long")
+    arrivals.into_table(_event_stream(s).select("user_id", "event_id"), table, "upserts", scratch(s, "stream")).awaitTermination()
+    table.compact(["user_id"], col("event_id"))
+    return table.read()

@@ -14,7 +14,8 @@ from groundplan.plans.io import schedule_rows, scratch
 from groundplan.plans.registry import ORACLES, QUERIES, query
 from groundplan.plans.silver import Silver
 from groundplan.sources import readers, workbook
-from groundplan.streaming import arrivals
+from groundplan.sources.snapshots import SnapshotTable
+from groundplan.streaming import arrivals, enrichment
 
 col = F.col
 
@@ -89,11 +90,18 @@ def name_views() -> None:
         QUERIES[name], ORACLES[name] = QUERIES[other], ORACLES[other]
 
 
-@query("snk_09", "SELECT event_id, event_type FROM {events}")
+@query("snk_09", "SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'extraction.json' ELSE 'features.json' END AS filename, CAST(event_id % 2 AS BIGINT) AS version FROM {events}")
 def json_artefacts(s: Silver) -> DataFrame:
+    """Artefacts written in two rounds; each round appends the objects that it wrote to the manifest, whose rows name what there is."""
     path = scratch(s, "artefacts")
-    s.events.select("event_id", F.struct("event_type").alias("meta")).write.json(path)
-    return s.spark.read.schema("event_id long, meta struct<event_type:string>").json(path).select("event_id", "meta.event_type")
+    manifest = SnapshotTable(s.spark, f"{path}/manifest", "event_id long, role string, filename string, place string, version long")
+    for n, role in enumerate(("extraction", "features")):
+        rows = s.events.where(col("event_id") % 2 == n)
+        rows.select("event_id", F.struct("event_type").alias("meta")).write.json(f"{path}/{role}")
+        manifest.append(rows.select("event_id", F.lit(role).alias("role"), F.lit(f"{role}.json").alias("filename"), F.lit(f"{path}/{role}").alias("place"), F.lit(n).alias("version")), "worker", [n])
+    places = [r.place for r in manifest.read().select("place").distinct().collect()]
+    found = s.spark.read.schema("event_id long, meta struct<event_type:string>").json(places)
+    return manifest.read().join(found, "event_id").select("event_id", "meta.event_type", "filename", "version")
 
 
 @query("join_22", "WITH RECURSIVE sides AS (SELECT source_id AS a, target_id AS z FROM lineage UNION SELECT target_id, source_id FROM lineage), reach(node, depth) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT sides.z, r.depth + 1 FROM reach r JOIN sides ON sides.a = r.node WHERE r.depth < 2), near AS (SELECT DISTINCT node FROM reach) SELECT DISTINCT source_id, target_id FROM lineage WHERE source_id IN (SELECT node FROM near) OR target_id IN (SELECT node FROM near)")
@@ -230,19 +238,23 @@ def routed_arrivals(s: Silver) -> DataFrame:
     return found.groupBy("dataset").agg(F.count("*").alias("files"))
 
 
-@query("stm_04", "SELECT count(*) AS n, CAST(sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS enriched FROM {events}")
+@query("stm_04", r"""WITH k AS (SELECT upper(replace(postcode, ' ', '')) AS pc, trim(regexp_replace(lower(address), '[,\s]+', ' ', 'g')) AS ad, min(uprn) AS uprn FROM properties WHERE uprn IS NOT NULL AND property_id % 3 <> 0 GROUP BY 1, 2)
+ SELECT p.property_id, k.uprn, CASE WHEN k.uprn IS NULL THEN 'failed' ELSE 'enriched' END AS enrichment_status FROM properties p LEFT JOIN k ON k.pc = upper(replace(p.postcode, ' ', '')) AND k.ad = trim(regexp_replace(lower(p.address), '[,\s]+', ' ', 'g'))""")
 def background_enrichment(s: Silver) -> DataFrame:
-    """A stream joined with a static lookup, batch by batch."""
-    lookup = s.events.where("event_id % 2 = 0").select("event_id", F.lit(True).alias("found"))
-    joined = arrivals.events(s.spark, s.sf_dir, "events.parquet").select("event_id").join(lookup, "event_id", "left")
-    rows = arrivals.drained(joined, f"enriched_{uuid.uuid4().hex}", scratch(s, "stream"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.coalesce("found", F.lit(False))).alias("enriched"))
+    """Properties that arrive as a stream get the reference number of their address, in commits of bounded size."""
+    landed = scratch(s, "landed")
+    s.properties.select("property_id", "postcode", "address").write.parquet(landed)
+    stream = s.spark.readStream.schema("property_id long, postcode string, address string").option("maxFilesPerTrigger", 4).parquet(landed)
+    table = SnapshotTable(s.spark, scratch(s, "enriched"), "property_id long, postcode string, address string, " + enrichment.ADDED)
+    known = enrichment.references(s.properties.where("property_id % 3 <> 0"))
+    enrichment.enrich(stream, known, table, "property_id", scratch(s, "stream"), 20_000).awaitTermination()
+    return table.read().select("property_id", "uprn", "enrichment_status")
 
 
 @query("stm_05", "SELECT user_id, count(*) AS n, max(event_id) AS last FROM {events} GROUP BY 1")
-def recomputed_keys(s: Silver) -> DataFrame:
-    """Instead of a row trigger, the derived rows of each batch's keys are built anew."""
-    target = scratch(s, "derived")
-    build = lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
-    arrivals.recompute(arrivals.events(s.spark, s.sf_dir, "events.parquet").select("user_id"), "user_id", build, lambda: s.events, target, scratch(s, "stream")).awaitTermination()
-    return arrivals.newest(s.spark, target, ["user_id"]).select("user_id", "n", "last")
+def kept_by_deltas(s: Silver) -> DataFrame:
+    """Instead of a row trigger, each batch adds its own counts and maxima by key."""
+    table = SnapshotTable(s.spark, scratch(s, "deltas"), "user_id long, n long, last long")
+    stream = arrivals.events(s.spark, s.sf_dir, "events.parquet").select("user_id", "event_id")
+    arrivals.maintained(stream, ["user_id"], {"n": F.lit(1)}, {"last": col("event_id")}, table, "stm_05", scratch(s, "stream")).awaitTermination()
+    return arrivals.totals(table.read(), ["user_id"], ["n"], ["last"])

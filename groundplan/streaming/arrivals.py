@@ -1,15 +1,15 @@
-"""Arriving uploads as streams: routing, idempotent upserts, replacement, windows over event time."""
+"""Arriving uploads as streams: routing, commits, replacement, aggregates kept by deltas, windows over event time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from groundplan.operators import relational as ops
 from groundplan.sources.readers import key_parts
+from groundplan.sources.snapshots import SnapshotTable
 
 SIDE_CARS = ("manifest.json", "metadata.json", "features.json", "extraction.json")
 
@@ -28,25 +28,14 @@ def events(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def into_table(stream: DataFrame, target: str, keys: list[str], checkpoint: str, order: Column, once: bool = True) -> StreamingQuery:
-    """Upserts each micro-batch by key into the Parquet table ``target``, which ``newest`` reads.
+def into_table(stream: DataFrame, table: SnapshotTable, writer: str, checkpoint: str, once: bool = True, mode: str = "append") -> StreamingQuery:
+    """Commits each micro-batch to ``table`` under its number, so that a batch replayed after a failure changes nothing.
 
-    A batch writes its own rows alone, as the version of its number; replayed after a
-    failure, it writes the same ones again in their place.
+    Upserts are reads: ``table.current(keys, order)`` gives each key's row of the highest
+    order, however late it came, and ``table.compact`` keeps only those.
     """
-
-    def put(batch: DataFrame, number: int) -> None:
-        ops.first_per_group(batch, keys, [order]).write.mode("overwrite").parquet(f"{target}/version={number}")
-
-    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def newest(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
-    """The table after its last batch: of each key the rows of the last version that has it."""
-    versions = spark.read.option("basePath", target).parquet(target)
-    last = versions.groupBy(*keys).agg(F.max("version").alias("version"))
-    return versions.join(last, [*keys, "version"], "left_semi").drop("version")
+    writer_ = stream.writeStream.foreachBatch(lambda batch, number: table.append(batch, writer, [number])).outputMode(mode).option("checkpointLocation", checkpoint)
+    return (writer_.trigger(availableNow=True) if once else writer_).start()
 
 
 def tumbling(df: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -75,15 +64,25 @@ def drained(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def recompute(stream: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], source: Callable[[], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """What a row trigger does: of each micro-batch's keys the derived rows are built anew from the source.
+def maintained(stream: DataFrame, keys: list[str], sums: dict[str, Column], highest: dict[str, Column], table: SnapshotTable, writer: str, checkpoint: str) -> StreamingQuery:
+    """What row triggers keep up to date, by deltas: each batch adds its own sums and maxima by key, and reads nothing else.
 
-    The derived rows hold ``key``; a batch writes those of its keys alone, and ``newest``
-    takes each key's from the last version that has it.
+    ``sums`` may be negative, for rows that are taken back; ``highest`` cannot be taken
+    back. ``totals`` reads the table; ``fold`` shrinks it to a row a key.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        derived = build(source().join(batch.select(key).distinct(), key, "left_semi"))
-        derived.write.mode("overwrite").parquet(f"{target}/version={number}")
+        deltas = batch.groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in sums.items()), *(F.max(c).alias(n) for n, c in highest.items()))
+        table.append(deltas, writer, [number])
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def totals(deltas: DataFrame, keys: list[str], sums: Iterable[str], highest: Iterable[str]) -> DataFrame:
+    """The values by key of a table of deltas."""
+    return deltas.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in sums), *(F.max(n).alias(n) for n in highest))
+
+
+def fold(table: SnapshotTable, keys: list[str], sums: Iterable[str], highest: Iterable[str]) -> int:
+    """Replaces the deltas by their totals; a conflict, and no change, if a batch is committed meanwhile."""
+    return table.replace(lambda deltas: totals(deltas, keys, sums, highest))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from groundplan.functions import address, bands, geo, rules, scoring, values
 from groundplan.operators import detect, documents, graph, ingest, relational, spatial, validate
-from groundplan.sources import exports, readers, workbook
+from groundplan.sources import exports, readers, snapshots, workbook
 from groundplan.streaming import arrivals
 
 
@@ -187,25 +187,15 @@ def test_stream_upsert_and_windows(spark, tmp_path):
     pq.write_table(table, source)
     stream = arrivals.events(spark, str(tmp_path / "in"), "events.parquet")
     for _ in range(2):  # the second run has nothing new
-        arrivals.into_table(stream.select("user_id", "event_id"), target, ["user_id"], str(tmp_path / "c1"), F.col("event_id").desc()).awaitTermination()
-        assert {tuple(r) for r in arrivals.newest(spark, target, ["user_id"]).collect()} == {(0, 27), (1, 28), (2, 29)}
+        upserts = snapshots.SnapshotTable(spark, target, "user_id long, event_id long")
+        arrivals.into_table(stream.select("user_id", "event_id"), upserts, "w", str(tmp_path / "c1")).awaitTermination()
+        assert {tuple(r) for r in upserts.current(["user_id"], F.col("event_id")).collect()} == {(0, 27), (1, 28), (2, 29)}
+        assert upserts.last()["rows"] == 30
     closed = arrivals.drained(arrivals.tumbling(stream), "t_windows", str(tmp_path / "c2")).collect()
     assert {r.n for r in closed} == {6} and len(closed) >= 3
     assert arrivals.drained(arrivals.once_per_key(stream, ["user_id"]), "t_once", str(tmp_path / "c3")).count() == 3
 
 
-def test_recompute_keeps_the_keys_of_earlier_batches(spark, tmp_path):
-    source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    read = lambda: spark.read.schema("k long, v long").parquet(source)
-    build = lambda df: df.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("last"))
-    batches = ([(1, 10), (2, 20)], [(2, 21), (3, 30)], [(4, 40)])
-    for rows in batches:
-        spark.createDataFrame(rows, "k long, v long").write.mode("append").parquet(source)
-        stream = spark.readStream.schema("k long, v long").parquet(source)
-        arrivals.recompute(stream, "k", build, read, target, str(tmp_path / "c")).awaitTermination()
-    assert {tuple(r) for r in arrivals.newest(spark, target, ["k"]).collect()} == {(1, 1, 10), (2, 2, 21), (3, 1, 30), (4, 1, 40)}
-
-
 def test_drained_rows_stay_in_files(spark, tmp_path):
     """No row of a stream goes through the driver; a second run adds what has come since."""
     source = str(tmp_path / "in")
