@@ -371,15 +371,15 @@ def ingestion_summary(s: Silver) -> DataFrame:
     )
 
 
-_GAP_ORDER = (("missing_uprn", "uprn IS NULL"), ("missing_postcode", "postcode IS NULL"), ("missing_geocode", "latitude IS NULL OR longitude IS NULL"), ("missing_build_year", "build_year IS NULL"), ("missing_construction", "wall_construction IS NULL"), ("missing_risk_rating", "risk_rating IS NULL"))
+_GAP_ORDER = (("missing_uprn", "uprn IS NULL"), ("missing_postcode", "postcode IS NULL"), ("missing_geocode", "latitude IS NULL OR longitude IS NULL"), ("missing_height", "height_m IS NULL"), ("missing_build_year", "build_year IS NULL"), ("missing_construction", "wall_construction IS NULL"), ("missing_risk_rating", "risk_rating IS NULL"))
 
 
-@query("agg_42", "SELECT * FROM (SELECT property_id, CASE " + " ".join(f"WHEN {p} THEN '{n}'" for n, p in _GAP_ORDER) + " END AS gap_type FROM properties) x WHERE gap_type IS NOT NULL")
+@query("agg_42", "SELECT * FROM (SELECT portfolio_id, ha_id, property_id, block_id, uprn, CASE " + " ".join(f"WHEN {p} THEN '{n}'" for n, p in _GAP_ORDER) + " END AS gap_type, created_on AS last_seen_at FROM properties) x WHERE gap_type IS NOT NULL")
 def first_gap(s: Silver) -> DataFrame:
     gap = F.lit(None).cast("string")
     for name, p in reversed(_GAP_ORDER):
         gap = F.when(F.expr(p), name).otherwise(gap)
-    return s.properties.select("property_id", gap.alias("gap_type")).where(col("gap_type").isNotNull())
+    return s.properties.select("portfolio_id", "ha_id", "property_id", "block_id", "uprn", gap.alias("gap_type"), col("created_on").alias("last_seen_at")).where(col("gap_type").isNotNull())
 
 
 @query("density_summary", "SELECT n, count(*) AS points FROM (SELECT a.uprn, count(*) AS n FROM uprn_points a JOIN uprn_points b ON sqrt((a.easting - b.easting) * (a.easting - b.easting) + (a.northing - b.northing) * (a.northing - b.northing)) <= 30 GROUP BY 1) x GROUP BY 1")

@@ -79,8 +79,8 @@ def table_scan(s: Silver) -> DataFrame:
 
 #: Views and endpoints whose rows are those of a query that has another name above.
 SAME_AS = {
-    "gold_risk_distribution_v1": "agg_24", "gold_readiness_v1": "agg_42", "gold_missing_information_v1": "agg_25", "gold_extraction_comparison_v1": "flt_17", "gold_portfolio_composition_v1": "agg_29", "gold_underwriter_summary_v1": "agg_28",
-    "gold_fra_compliance_v1": "agg_31", "gold_fraew_compliance_v1": "agg_32", "endpoint_composition": "agg_13", "endpoint_map": "gold_portfolio_map_v1", "endpoint_doc_completeness": "agg_10", "endpoint_ha_profile": "agg_40", "endpoint_ha_stats": "agg_41", "endpoint_readiness": "agg_42",
+    "gold_risk_distribution_v1": "agg_24", "gold_extraction_comparison_v1": "flt_17", "gold_portfolio_composition_v1": "agg_29", "gold_underwriter_summary_v1": "agg_28",
+    "gold_fra_compliance_v1": "agg_31", "gold_fraew_compliance_v1": "agg_32", "gold_missing_information_v1": "agg_42", "endpoint_map": "gold_portfolio_map_v1", "endpoint_ha_profile": "agg_40",
 }
 
 

@@ -10,7 +10,7 @@ from groundplan.operators import detect, graph
 from groundplan.operators import relational as ops
 from groundplan.plans.aggregates import FORM_SQL
 from groundplan.plans.registry import query
-from groundplan.plans.relational import ASSESSED, assessed_blocks, near_points
+from groundplan.plans.relational import ASSESSED, assessed_blocks, latest_fra, latest_fraew, near_points
 from groundplan.plans.silver import AS_OF, Silver
 
 col = F.col
@@ -82,19 +82,61 @@ def worst_band(s: Silver) -> DataFrame:
     return assessed_blocks(s).select("block_id", scoring.worst([col("fra_rag"), col("fraew_rag")]).alias("worst"))
 
 
-_ALERTS = (("FRA red", "fra_rag = 'RED'"), ("FRAEW red", "fraew_rag = 'RED'"), ("Combustible cladding", "has_combustible_cladding"), ("Overdue actions", "overdue_action_count > 0"), ("No FRA", "fra_rag IS NULL"), ("18m+ without FRAEW", "height_max_m >= 18 AND fraew_rag IS NULL"))
+_FRA_CURRENT, _FRAEW_CURRENT = ("fra_id", "rag_status", "assessment_date", "assessment_valid_until", "overdue_action_count"), ("fraew_id", "rag_status", "assessment_valid_until", "has_combustible_cladding", "aluminium_composite_cladding", "bs8414_test_evidence", "asbestos_suspected", "building_height_m")
+_DETAIL = f"""SELECT b.block_id, b.is_listed, coalesce(b.height_max_m, w.building_height_m) AS height, f.fra_id, f.rag_status AS fra_rag, f.assessment_valid_until < DATE '{AS_OF}' AS fra_old, f.overdue_action_count AS overdue,
+ w.fraew_id, w.rag_status AS fraew_rag, w.assessment_valid_until < DATE '{AS_OF}' AS fraew_old, w.has_combustible_cladding AS combustible, w.aluminium_composite_cladding AS acm, w.bs8414_test_evidence AS evidence, w.asbestos_suspected AS asbestos
+ FROM blocks b LEFT JOIN (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY block_id ORDER BY assessment_date DESC NULLS LAST, created_seq DESC, fra_id DESC) AS rn FROM fra_features x) y WHERE rn = 1) f ON f.block_id = b.block_id
+ LEFT JOIN (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY block_id ORDER BY assessment_date DESC NULLS LAST, created_seq DESC, fraew_id DESC) AS rn FROM fraew_features x) y WHERE rn = 1) w ON w.block_id = b.block_id"""
 
 
-@query("sco_10", "SELECT block_id, concat_ws('|', " + ", ".join(f"CASE WHEN {p} THEN '{n}' END" for n, p in _ALERTS) + f") AS alerts FROM ({ASSESSED}) a")
+def block_detail(s: Silver) -> DataFrame:
+    """Blocks with what their latest assessments say about risk, dates and walls."""
+    old = lambda c, n: (col(c) < F.lit(AS_OF).cast("date")).alias(n)
+    fra = latest_fra(s, _FRA_CURRENT).select("block_id", "fra_id", col("rag_status").alias("fra_rag"), old("assessment_valid_until", "fra_old"), col("overdue_action_count").alias("overdue"))
+    walls = latest_fraew(s, _FRAEW_CURRENT).select("block_id", "fraew_id", col("rag_status").alias("fraew_rag"), old("assessment_valid_until", "fraew_old"), col("has_combustible_cladding").alias("combustible"), col("aluminium_composite_cladding").alias("acm"), col("bs8414_test_evidence").alias("evidence"), col("asbestos_suspected").alias("asbestos"), "building_height_m")
+    joined = s.blocks.select("block_id", "is_listed", "height_max_m").join(fra, "block_id", "left").join(walls, "block_id", "left")
+    return joined.withColumn("height", F.coalesce("height_max_m", "building_height_m"))
+
+
+#: Tone, condition and text of each alert, in order; a text may be an expression.
+_ALERTS = (
+    ("amber", "fra_id IS NULL", "'No FRA on record'"), ("info", "fraew_id IS NULL", "'No FRAEW on record'"), ("red", "fra_rag = 'RED'", "'FRA rated high'"), ("red", "fraew_rag = 'RED'", "'FRAEW rated high'"),
+    ("red", "fra_old", "'FRA is out of date'"), ("amber", "fraew_old", "'FRAEW is out of date'"), ("red", "overdue > 0", "concat(overdue, ' overdue FRA action', CASE WHEN overdue > 1 THEN 's' ELSE '' END)"),
+    ("red", "acm", "'ACM cladding present'"), ("red", "NOT coalesce(acm, FALSE) AND combustible", "'Combustible cladding present'"), ("red", "combustible AND height >= 18 AND coalesce(evidence, '') <> 'yes'", "'Combustible cladding over 18m without BS 8414 evidence'"),
+    ("amber", "asbestos", "'Asbestos suspected behind cladding'"), ("info", "is_listed", "'Listed building'"),
+)
+_REASONS = (
+    ("fraew_rag = 'RED'", "'external wall (FRAEW) rated high'"), ("fra_rag = 'RED'", "'fire risk (FRA) rated high'"), ("acm", "'ACM cladding present'"), ("NOT coalesce(acm, FALSE) AND combustible", "'combustible cladding present'"),
+    ("overdue > 0", "concat(overdue, ' overdue action', CASE WHEN overdue > 1 THEN 's' ELSE '' END)"), ("fra_old", "'FRA out of date'"), ("fraew_old", "'FRAEW out of date'"),
+)
+#: Reasons that are given if there is none of those above.
+_MILD = (("fraew_rag = 'AMBER'", "'external wall (FRAEW) rated medium'"), ("fra_rag = 'AMBER'", "'fire risk (FRA) rated medium'"))
+_NOTHING = ("fra_id IS NULL AND fraew_id IS NULL", "'no fire-risk assessments on record'")
+
+
+def _noted(pairs: list[tuple[str, str]]) -> F.Column:
+    return F.array_compact(F.array(*(F.when(F.expr(p), F.expr(t)) for p, t in pairs)))
+
+
+def _noted_sql(pairs: list[tuple[str, str]]) -> str:
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {p} THEN {t} END" for p, t in pairs) + ")"
+
+
+_TONED = [(p, f"concat('{tone}: ', {t})") for tone, p, t in _ALERTS]
+
+
+@query("sco_10", f"SELECT block_id, {_noted_sql(_TONED)} AS alerts FROM ({_DETAIL}) a")
 def alerts(s: Silver) -> DataFrame:
-    found = F.array_compact(F.array(*(F.when(F.expr(p), n) for n, p in _ALERTS)))
-    return assessed_blocks(s).select("block_id", F.array_join(found, "|").alias("alerts"))
+    """The twelve alerts of a block, each with its tone."""
+    return block_detail(s).select("block_id", F.array_join(_noted(_TONED), "|").alias("alerts"))
 
 
-@query("sco_11", "SELECT block_id, CAST(" + " + ".join(f"(CASE WHEN {p} THEN 1 ELSE 0 END)" for _, p in _ALERTS) + f" AS BIGINT) AS reasons FROM ({ASSESSED}) a")
-def reason_count(s: Silver) -> DataFrame:
-    found = F.array_compact(F.array(*(F.when(F.expr(p), n) for n, p in _ALERTS)))
-    return assessed_blocks(s).select("block_id", F.size(found).cast("long").alias("reasons"))
+@query("sco_11", f"SELECT block_id, concat_ws('|', CASE WHEN {_noted_sql(_REASONS)} <> '' THEN {_noted_sql(_REASONS)} WHEN {_noted_sql(_MILD)} <> '' THEN {_noted_sql(_MILD)} END, CASE WHEN {_NOTHING[0]} THEN {_NOTHING[1]} END) AS reasons, CASE WHEN 'RED' IN (fra_rag, fraew_rag) THEN 'RED' WHEN 'AMBER' IN (fra_rag, fraew_rag) THEN 'AMBER' WHEN 'GREEN' IN (fra_rag, fraew_rag) THEN 'GREEN' END AS band FROM ({_DETAIL}) a")
+def risk_reasons(s: Silver) -> DataFrame:
+    """A block's overall band and what drives it; milder reasons only where there is no grave one."""
+    grave = _noted(_REASONS)
+    found = F.concat(F.when(F.size(grave) > 0, grave).otherwise(_noted(_MILD)), _noted([_NOTHING]))
+    return block_detail(s).select("block_id", F.array_join(found, "|").alias("reasons"), scoring.worst([col("fra_rag"), col("fraew_rag")]).alias("band"))
 
 
 @query("sco_12", f"""SELECT property_id, form, alone, CASE WHEN form IN ('garage', 'infrastructure', 'commercial') OR (form IN ('house', 'bungalow') AND alone) THEN 'not_required' WHEN form IS NULL OR alone IS NULL THEN 'unknown' ELSE 'required' END AS requirement
@@ -151,10 +193,29 @@ def composite(s: Silver) -> DataFrame:
     return assessed_blocks(s).select("block_id", scoring.composite_confidence(F.lit(0.9), covered, weights).alias("confidence"))
 
 
-@query("sco_21", "SELECT fra_id, concat_ws('|', CASE WHEN overdue_action_count > outstanding_action_count THEN 'more overdue than outstanding' END, CASE WHEN rag_status = 'GREEN' AND high_action_count > 2 THEN 'green with high actions' END, CASE WHEN assessment_valid_until < assessment_date THEN 'ends before it starts' END) AS warnings FROM fra_features")
+_YEAR = int(AS_OF[:4])
+#: Field and text of each warning, with its condition.
+_FRA_CHECKS = (
+    ("assessment_date > next_review_date", "next_review_date: before assessment_date"), ("assessment_date > assessment_valid_until", "assessment_valid_until: before assessment_date"), (f"assessment_date > DATE '{AS_OF}'", "assessment_date: in the future"),
+    (f"NOT build_year BETWEEN 1600 AND {_YEAR}", "build_year: outside plausible range"), ("{far} > 15 * 365", "action_items.due_date: >15y from assessment_date"),
+)
+_FRAEW_CHECKS = (
+    ("assessment_date > report_date", "assessment_date: site investigation after report_date"), ("assessment_valid_until < report_date", "assessment_valid_until: before report_date"), (f"NOT build_year BETWEEN 1600 AND {_YEAR}", "build_year: outside plausible range"),
+    ("retrofit_year < build_year", "retrofit_year: before build_year"), ("NOT building_height_m BETWEEN 2 AND 150", "building_height_m: outside plausible range"), ("NOT num_storeys BETWEEN 1 AND 70", "num_storeys: outside plausible range"),
+    ("wall_coverage > 120", "wall_types.coverage_percent: sum to >120%"),
+)
+_FAR_SPARK, _FAR_SQL = "abs(datediff(far_due_date, assessment_date))", "abs(CAST(far_due_date AS DATE) - assessment_date)"
+
+
+def _checked(checks: tuple[tuple[str, str], ...], far: str) -> list[tuple[str, str]]:
+    return [(p.replace("{far}", far), f"'{t}'") for p, t in checks]
+
+
+@query("sco_21", f"SELECT fra_id AS report_id, 'FRA' AS kind, {_noted_sql(_checked(_FRA_CHECKS, _FAR_SQL))} AS warnings FROM fra_features UNION ALL SELECT fraew_id, 'FRAEW', {_noted_sql(_checked(_FRAEW_CHECKS, ''))} FROM fraew_features")
 def consistency(s: Silver) -> DataFrame:
-    checks = (("more overdue than outstanding", "overdue_action_count > outstanding_action_count"), ("green with high actions", "rag_status = 'GREEN' and high_action_count > 2"), ("ends before it starts", "assessment_valid_until < assessment_date"))
-    return s.fra_features.select("fra_id", F.array_join(F.array_compact(F.array(*(F.when(F.expr(p), n) for n, p in checks))), "|").alias("warnings"))
+    """Warnings across fields: five of a fire risk assessment, seven of an external wall one."""
+    told = lambda df, key, kind, checks: df.select(col(key).alias("report_id"), F.lit(kind).alias("kind"), F.array_join(_noted(_checked(checks, _FAR_SPARK)), "|").alias("warnings"))
+    return told(s.fra_features, "fra_id", "FRA", _FRA_CHECKS).unionByName(told(s.fraew_features, "fraew_id", "FRAEW", _FRAEW_CHECKS))
 
 
 @query("sco_23", f"SELECT block_id, CAST(CASE WHEN coalesce(fra_rag, '') = coalesce(fraew_rag, '') THEN 1.0 WHEN fra_rag IS NULL OR fraew_rag IS NULL THEN 0.5 ELSE 0.0 END AS DOUBLE) AS agreement FROM ({ASSESSED}) a")

@@ -44,7 +44,9 @@ VIEWS: dict[str, str] = {
         CASE o_orderkey % 5 WHEN 0 THEN 'Landlord' WHEN 1 THEN 'Freeholder' WHEN 2 THEN 'RTM' ELSE NULL END AS responsible_party,
         CASE o_orderkey % 6 WHEN 0 THEN 'Cavity' WHEN 1 THEN 'Solid brick' WHEN 2 THEN NULL ELSE 'Timber frame' END AS wall_construction,
         CASE WHEN o_orderkey % 9 = 4 THEN NULL ELSE chr(CAST(65 + o_orderkey % 7 AS INT)) END AS epc_rating,
-        CAST(o_orderdate AS DATE) AS created_on, CASE WHEN o_orderkey % 2 = 0 THEN 's1' ELSE 's2' END AS submission_id
+        CAST(o_orderdate AS DATE) AS created_on, CASE WHEN o_orderkey % 2 = 0 THEN 's1' ELSE 's2' END AS submission_id,
+        CAST(CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 45 + 1 END AS DECIMAL(8,2)) AS height_m, CASE o_orderkey % 5 WHEN 0 THEN 'Slate' WHEN 1 THEN 'Tile' WHEN 2 THEN NULL ELSE 'Flat felt' END AS roof_construction,
+        CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 12 + 1 END AS INT) AS storeys, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderkey % 23 = 0 END AS property_listed
         FROM {orders} o JOIN blocks b ON b.block_id = o.o_custkey""",
     "fra_features": """SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS fra_id,
         o_custkey AS block_id,
@@ -57,14 +59,24 @@ VIEWS: dict[str, str] = {
         CASE l_partkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS has_smoke_detection, CASE l_partkey % 4 WHEN 0 THEN FALSE WHEN 1 THEN NULL ELSE TRUE END AS has_fire_doors,
         CASE l_suppkey % 3 WHEN 0 THEN FALSE WHEN 1 THEN NULL ELSE TRUE END AS has_compartmentation, CASE l_suppkey % 4 WHEN 0 THEN FALSE WHEN 1 THEN NULL ELSE TRUE END AS has_emergency_lighting,
         l_suppkey % 10 = 0 AS mandatory_occurrence_noted, l_suppkey % 7 = 0 AS evacuation_strategy_changed, l_partkey % 6 = 0 AS bsa_2022_applicable,
-        CASE l_partkey % 12 WHEN 0 THEN NULL WHEN 6 THEN FALSE ELSE TRUE END AS accountable_person_noted, l_orderkey * 10 + l_linenumber AS created_seq
+        CASE l_partkey % 12 WHEN 0 THEN NULL WHEN 6 THEN FALSE ELSE TRUE END AS accountable_person_noted, l_orderkey * 10 + l_linenumber AS created_seq,
+        CASE l_partkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN NULL ELSE FALSE END AS has_sprinkler_system, CASE l_suppkey % 6 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END AS has_fire_alarm_system,
+        CASE WHEN l_partkey % 31 = 0 THEN NULL WHEN l_partkey % 17 = 0 THEN CAST(l_shipdate AS DATE) - INTERVAL 30 DAY ELSE CAST(l_shipdate AS DATE) + INTERVAL 200 DAY END AS next_review_date,
+        CAST(CASE WHEN l_partkey % 37 = 0 THEN NULL WHEN l_partkey % 41 = 0 THEN 1500 ELSE 1850 + l_partkey % 170 END AS INT) AS build_year,
+        CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) + INTERVAL 16 YEAR END AS far_due_date
         FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey WHERE l_linestatus = 'F'""",
     "fraew_features": """SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS fraew_id,
         o_custkey AS block_id, CASE WHEN l_partkey % 19 = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN 'RED' WHEN l_partkey % 5 = 1 THEN 'AMBER' ELSE 'GREEN' END AS rag_status,
         CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS assessment_date,
         CASE l_partkey % 7 WHEN 0 THEN TRUE WHEN 1 THEN NULL ELSE FALSE END AS has_combustible_cladding, l_partkey % 9 = 0 AS eps_insulation_present, l_partkey % 13 = 0 AS aluminium_composite_cladding,
         CASE l_suppkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE NULL END AS bs8414_test_evidence, l_suppkey % 4 = 0 AS interim_measures_required, l_suppkey % 5 = 0 AS has_remedial_actions,
-        l_orderkey * 10 + l_linenumber AS created_seq FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey WHERE l_linestatus = 'O'""",
+        l_orderkey * 10 + l_linenumber AS created_seq,
+        CAST(CASE WHEN l_partkey % 12 = 0 THEN NULL WHEN l_partkey % 47 = 0 THEN 200 ELSE l_partkey % 60 + 2 END AS DECIMAL(8,2)) AS building_height_m, CASE l_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN FALSE ELSE TRUE END AS pas_9980_compliant,
+        l_partkey % 21 = 0 AS asbestos_suspected, CASE WHEN l_partkey % 43 = 0 THEN NULL WHEN l_partkey % 11 = 0 THEN CAST(l_shipdate AS DATE) - INTERVAL 10 DAY ELSE CAST(l_shipdate AS DATE) + INTERVAL 20 DAY END AS report_date,
+        CASE WHEN l_partkey % 29 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN CAST(l_shipdate AS DATE) - INTERVAL 5 DAY ELSE CAST(l_shipdate AS DATE) + INTERVAL 5 YEAR END AS assessment_valid_until,
+        CAST(CASE WHEN l_partkey % 37 = 0 THEN NULL WHEN l_partkey % 41 = 0 THEN 2999 ELSE 1900 + l_partkey % 120 END AS INT) AS build_year, CAST(CASE WHEN l_partkey % 4 = 0 THEN 1905 + l_partkey % 120 END AS INT) AS retrofit_year,
+        CAST(CASE WHEN l_partkey % 53 = 0 THEN 90 ELSE l_partkey % 30 END AS INT) AS num_storeys, CAST(l_quantity * 3 AS INT) AS wall_coverage
+        FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey WHERE l_linestatus = 'O'""",
     "uploads": """SELECT event_id AS upload_id, concat('ha_', CAST(user_id % 5 AS VARCHAR(20))) AS ha_id, event_type AS status, ts AS uploaded_at, value AS row_count, CAST(user_id AS BIGINT) AS user_id FROM {events}""",
     "lineage": "SELECT event_id AS target_id, CAST(floor(event_id / 3.0) AS BIGINT) AS source_id, event_type AS step FROM {events} WHERE event_id > 0",
     "uprn_points": "SELECT c_custkey AS uprn, CAST((c_custkey * 7919) % 601 AS DOUBLE) AS easting, CAST((c_custkey * 104729) % 607 AS DOUBLE) AS northing FROM {customer}",
