@@ -1,18 +1,22 @@
 """Schedules of values: from workbook rows to typed properties.
 
-A sheet is profiled by one aggregation; the plan (header row, column map) is made on
-the driver from those few rows, and everything else is one projection over the cells.
+A sheet is profiled by one aggregation. Its header row alone decides on its plan, the
+column of each field; the plans are a table by workbook and sheet that is joined to the
+rows, and everything else is one projection over the cells. So any number of workbooks,
+with sheets of equal names and other columns, is one job.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundplan.functions import address, values
 from groundplan.functions.bands import age_band
+from groundplan.operators.numbering import numbered
 
 #: Words that mark sheets, headers and columns.
 NOISE = ("broker fee", "indexation", "questionnaire", "payroll", "wages", "turnover", "vehicle", "salary", "matrix", "comparison", "working", "notes", "summary", "pivot", "validation", "void")
@@ -20,19 +24,36 @@ DATA = ("stock", "rented", "rental", "dwelling", "property", "listing", "schedul
 HEADER_WORDS = ("address", "postcode", "post code", "ref", "insur", "block", "storey", "bedroom", "type", "year", "add 1", "prty_id")
 TOTALS = ("total", "subtotal", "grand total", "sum of", "count of")
 SKIPPED = ("correspondence", "mailing", "indicative rent", "tenant", "gross book", "net book", "title number", "weekly rent")
-#: By field the words of which a header has one, and those of which it has none; "=" asks for the whole header.
+#: By field the words of which a header has one, and those of which it has none; "=" asks for the whole header.
 FIELDS = {
-    "property_reference": (("property ref", "asset ref", "place ref", "prop id", "property id", "unit ref", "uprn", "asset reference", "property code", "=reference"), ("block", "parent", "policy")),
-    "block_reference": (("block ref", "parent ref", "block name", "block id", "parent asset"), ()),
-    "address": (("full address", "address details", "address line 1", "add 1", "risk address", "address 1", "address"), ()),
+    "property_reference": (("property ref", "asset ref", "jrf ref", "place ref", "council ref", "prop id", "property id", "unit ref", "uprn", "asset reference", "prty_id", "property code", "reconciliation", "=reference"), ("block", "parent", "policy")),
+    "block_reference": (("block ref", "parent ref", "block name", "block id", "jll block", "default block", "parent asset", "parent asset ref"), ()),
+    "address": (("full address", "address details", "address line 1", "add 1", "add1", "risk address", "address 1", "address"), ()),
+    "address_2": (("address line 2", "add 2", "add2", "address 2"), ()),
+    "address_3": (("address line 3", "add 3", "add3", "address 3", "town", "city"), ()),
     "postcode": (("postcode", "post code", "pc", "post_code"), ()),
-    "occupancy_type": (("occupancy", "tenure", "rental type", "tenancy", "classification"), ()),
-    "sum_insured": (("sum insured", "declared value", "rebuild", "reinstate", "insurance value"), ("type", "basis")),
-    "property_type": (("property type", "asset type", "unit description", "built form", "type"), ()),
-    "wall_construction": (("wall construction", "wall material", "external wall", "construction"), ("date",)),
-    "year_of_build": (("year built", "year of build", "construction date", "build year", "built"), ()),
-    "storeys": (("storey", "stories", "floors"), ()),
-    "units": (("no. of unit", "number of unit", "number of units", "no of unit"), ()),
+    "occupancy_type": (("occupancy", "tenure", "rental type", "tenancy", "asset tenancy", "classification", "letting type", "insurance tenure", "rent type", "need category desc", "insurance - category"), ()),
+    "sum_insured": (("sum insured", "declared value", "rebuild", "reinstate", "insurance value", "block rebuild", "di value", "reinstatement"), ("type", "basis")),
+    "sum_insured_type": (("si type", "insured type", "basis of", "sum insured type"), ()),
+    "property_type": (("property type", "asset type", "location type", "type", "unit description", "built form"), ()),
+    "avid_property_type": (("avid",), ()),
+    "wall_construction": (("wall construction", "wall material", "external wall", "construction", "non traditional"), ("date",)),
+    "roof_construction": (("roof construction", "roof material", "roof type"), ()),
+    "floor_construction": (("floor construction", "floor material"), ()),
+    "year_of_build": (("year built", "year of build", "construction date", "year build", "build year", "built", "build date"), ()),
+    "age_banding": (("age band", "age banding"), ()),
+    "bedrooms": (("bedroom", "beds", "no. of bed", "no of bed", "bedrooms", "number of bed", "bed size", "lettablebeds"), ()),
+    "storeys": (("storey", "stories", "floors", "no of floor", "number of floor", "storeys above", "number of storey", "no. of stor", "no of floors"), ()),
+    "units": (("no. of unit", "number of unit", "units in block", "number of units", "no of unit", "max occs"), ()),
+    "has_basement": (("basement",), ()),
+    "is_listed": (("listed",), ()),
+    "security_features": (("security",), ()),
+    "fire_protection": (("fire protection", "sprinkler"), ()),
+    "alarms": (("alarm",), ()),
+    "flood_insured": (("flood",), ()),
+    "storm_insured": (("storm",), ()),
+    "deductible": (("deductible", "excess"), ()),
+    "basis_of_deductible": (("basis of deductible", "basis of ded", "eel/sec", "eel sec"), ()),
     "insure_flag": (("insure yes", "insure y/n", "insured yes"), ()),
 }
 FRAGMENTS = (("address line 1", "address line 2", "address line 3"), ("add 1", "add 2", "add 3"), ("add_1", "add_2", "add_3"), ("hse no", "street", "flat"), ("address 1", "address 2", "address 3"))
@@ -46,6 +67,8 @@ class SheetPlan:
     columns: dict[str, int]
     address: list[int] = field(default_factory=list)
     rows: int = 0
+    path: str | None = None
+    sheet_idx: int | None = None
 
 
 @dataclass
@@ -105,20 +128,28 @@ def column_map(headers: list[str | None]) -> tuple[dict[str, int], list[int]]:
         parts = [next((k for k, h in enumerate(low) if fragment in h), None) for fragment in pattern]
         parts = list(dict.fromkeys(k for k in parts if k is not None))
         if len(parts) >= 2:
-            found.pop("address", None)
+            for name in ("address", "address_2", "address_3"):
+                found.pop(name, None)
             return found, parts
     return found, []
 
 
+@F.udf(T.StructType([T.StructField("columns", T.MapType(T.StringType(), T.IntegerType())), T.StructField("parts", T.ArrayType(T.IntegerType()))]))
+def _mapped(headers: list[str | None]) -> tuple[dict[str, int], list[int]]:
+    return column_map(headers)
+
+
+def plans(rows: DataFrame) -> DataFrame:
+    """(path, sheet_idx, sheet, header_row, columns, parts, rows): of each sheet with a column that is known. The mapper sees one header a sheet."""
+    sizes = rows.groupBy("path", "sheet_idx").agg(F.count("*").alias("rows"))
+    mapped = header_scores(rows).withColumn("m", _mapped("cells")).select("path", "sheet_idx", "sheet", F.col("row_idx").alias("header_row"), "m.columns", "m.parts")
+    return mapped.where((F.size("columns") > 0) | (F.size("parts") > 0)).join(sizes, ["path", "sheet_idx"])
+
+
 def plan(rows: DataFrame) -> list[SheetPlan]:
-    """A plan for each sheet with a column that is known; one row a sheet comes to the driver."""
-    plans = []
-    sizes = {r.sheet: r.n for r in rows.groupBy("sheet").agg(F.count("*").alias("n")).collect()}
-    for r in sorted(header_scores(rows).collect(), key=lambda r: (r.path, r.sheet_idx)):
-        columns, parts = column_map(r.cells)
-        if columns or parts:
-            plans.append(SheetPlan(r.sheet, r.row_idx, columns, parts, sizes[r.sheet]))
-    return plans
+    """The plans of one workbook, for a person or a join plan to look at; a row a sheet comes to the driver."""
+    found = plans(rows).collect()
+    return [SheetPlan(r.sheet, r.header_row, r.columns, r.parts, r.rows, r.path, r.sheet_idx) for r in sorted(found, key=lambda r: (r.path, r.sheet_idx))]
 
 
 def role(p: SheetPlan) -> str:
@@ -193,36 +224,53 @@ def keep_row(cells: Column) -> Column:
     return (F.size(filled) > 0) & ~total & ~meta
 
 
-def extract(rows: DataFrame, p: SheetPlan, extra: str | None = None, value: Column | None = None) -> DataFrame:
-    """The typed properties of one sheet; with ``extra`` a column of that name more, the ``value`` over its cells, which rows must have."""
-    cell = lambda name: F.nullif(F.trim(F.get("cells", F.lit(p.columns[name]))), F.lit("")) if name in p.columns else F.lit(None).cast("string")
-    body = rows.where((F.col("sheet") == p.sheet) & (F.col("row_idx") > p.header_row) & keep_row(F.col("cells")))
-    parts = F.array(*(F.coalesce(F.get("cells", F.lit(k)), F.lit("")) for k in p.address)) if p.address else None
-    full = address.assembled(parts) if parts is not None else cell("address")
+def _typed(body: DataFrame, extra: str | None = None, value: Column | None = None) -> DataFrame:
+    """Rows with ``sheet``, ``columns`` and ``parts`` of their plan, typed."""
+    text = lambda k: F.nullif(F.trim(F.get("cells", k)), F.lit(""))
+    cell = lambda name: text(F.try_element_at("columns", F.lit(name)))
+    pieces = F.transform("parts", lambda k: F.coalesce(F.get("cells", k), F.lit("")))
+    full = F.when(F.size("parts") > 0, address.assembled(pieces)).otherwise(cell("address"))
     year = values.year(cell("year_of_build"))
     more = [] if extra is None else [value.alias(extra)]
+    flag = lambda name: values.schedule_boolean(cell(name)).alias(name)
     typed = body.select(
-        *more, "path", "sheet_idx", "row_idx", values.clamped(cell("property_reference"), "property_reference").alias("property_reference"), cell("block_reference").alias("block_reference"), address.standard(full).alias("address"),
+        *more, "path", "sheet", "sheet_idx", "row_idx", values.clamped(cell("property_reference"), "property_reference").alias("property_reference"), cell("block_reference").alias("block_reference"), address.standard(full).alias("address"),
         F.coalesce(address.postcode(cell("postcode")), address.postcode(full)).alias("postcode"), cell("occupancy_type").alias("occupancy_type"), values.money(cell("sum_insured")).alias("sum_insured"), cell("property_type").alias("property_type"),
-        cell("wall_construction").alias("wall_construction"), year.alias("year_of_build"), age_band(year).alias("age_banding"), values.storeys(cell("storeys")).alias("storeys"), values.whole_number(cell("units")).alias("units"),
+        cell("wall_construction").alias("wall_construction"), year.alias("year_of_build"), F.coalesce(age_band(year), cell("age_banding")).alias("age_banding"), values.storeys(cell("storeys")).alias("storeys"), values.whole_number(cell("units")).alias("units"),
+        cell("address_2").alias("address_2"), cell("address_3").alias("address_3"), cell("sum_insured_type").alias("sum_insured_type"), cell("avid_property_type").alias("avid_property_type"), cell("roof_construction").alias("roof_construction"),
+        cell("floor_construction").alias("floor_construction"), values.whole_number(cell("bedrooms")).alias("bedrooms"), flag("has_basement"), flag("is_listed"), cell("security_features").alias("security_features"),
+        cell("fire_protection").alias("fire_protection"), cell("alarms").alias("alarms"), flag("flood_insured"), flag("storm_insured"), values.money(cell("deductible")).alias("deductible"), cell("basis_of_deductible").alias("basis_of_deductible"),
         F.coalesce(values.schedule_boolean(cell("insure_flag")), F.lit(True)).alias("insured"),
     )
     kept = typed.where(F.col("insured") & (F.col("property_reference").isNotNull() | F.col("address").isNotNull() | F.lit(extra is not None))).drop("insured")
     if extra is not None:
-        return kept.where(F.col(extra).isNotNull())
-    # only rows without a reference are numbered, a sheet's in one task
-    nth = F.row_number().over(Window.partitionBy("path", "sheet_idx").orderBy("row_idx"))
-    made = kept.where(F.col("property_reference").isNull()).withColumn("property_reference", F.concat(F.lit(f"AUTO_{p.sheet}_"), F.lpad(nth.cast("string"), 5, "0")))
-    return kept.where(F.col("property_reference").isNotNull()).unionByName(made)
+        return kept.where(F.col(extra).isNotNull()).drop("sheet")
+    # only rows without a reference are numbered
+    made = numbered(kept.where(F.col("property_reference").isNull()), ["path", "sheet_idx"], "row_idx", "_nth")
+    made = made.withColumn("property_reference", F.concat(F.lit("AUTO_"), "sheet", F.lit("_"), F.lpad(F.col("_nth").cast("string"), 5, "0"))).drop("_nth")
+    return kept.where(F.col("property_reference").isNotNull()).unionByName(made).drop("sheet")
 
 
-def properties(rows: DataFrame) -> DataFrame:
-    """All sheets' properties; of a repeated reference the first by sheet and row."""
-    from functools import reduce
+def extract(rows: DataFrame, p: SheetPlan, extra: str | None = None, value: Column | None = None) -> DataFrame:
+    """The typed properties of one sheet; with ``extra`` a column of that name more, the ``value`` over its cells, which rows must have.
+
+    A plan without a path holds for the sheets of its name in all workbooks.
+    """
+    own = F.col("sheet") == p.sheet
+    if p.path is not None:
+        own = own & (F.col("path") == p.path) & (F.col("sheet_idx") == p.sheet_idx)
+    columns = F.create_map(*(x for f, k in p.columns.items() for x in (F.lit(f), F.lit(k)))) if p.columns else F.create_map().cast("map<string,int>")
+    parts = F.array(*map(F.lit, p.address)).cast("array<int>")
+    body = rows.where(own & (F.col("row_idx") > p.header_row) & keep_row(F.col("cells")))
+    return _typed(body.withColumns({"columns": columns, "parts": parts}), extra, value)
+
 
+def properties(rows: DataFrame) -> DataFrame:
+    """All workbooks' properties, by the plan of each sheet; of a repeated reference of a workbook the first by sheet and row."""
     from groundplan.operators.relational import first_per_group
 
-    parts = [extract(rows, p) for p in plan(rows) if "property_reference" in p.columns or "address" in p.columns or p.address]
-    if not parts:
+    wanted = plans(rows).where(F.map_contains_key("columns", F.lit("property_reference")) | F.map_contains_key("columns", F.lit("address")) | (F.size("parts") > 0)).drop("sheet", "rows")
+    if wanted.isEmpty():
         raise ValueError("no sheet has a reference or an address column")
-    return first_per_group(reduce(DataFrame.unionByName, parts), ["path", "property_reference"], [F.col("sheet_idx"), F.col("row_idx")])
+    body = rows.join(wanted, ["path", "sheet_idx"]).where((F.col("row_idx") > F.col("header_row")) & keep_row(F.col("cells")))
+    return first_per_group(_typed(body), ["path", "property_reference"], [F.col("sheet_idx"), F.col("row_idx")])

@@ -138,19 +138,35 @@ def row_filters(s: Silver) -> DataFrame:
     return s.events.where(ingest.keep_row(F.get(kinds, (col("event_id") % 5).cast("int")))).select("event_id")
 
 
-def schedule_rows(s: Silver) -> DataFrame:
-    """Workbook rows made of the properties: a title, a header, then a row each."""
-    head = s.spark.createDataFrame([("b", "Stock list", 0, 0, ["Schedule of values"]), ("b", "Stock list", 0, 1, ["Property Ref", "Address 1", "Post code", "Sum Insured 24/25", "Sum Insured 25/26", "Year Built", "Storeys"])], "path string, sheet string, sheet_idx int, row_idx int, cells array<string>")
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    cells = F.array(col("property_reference"), text(col("address")), text(col("postcode")), F.lit("1"), F.concat(F.lit("£"), text(col("sum_insured"))), text(col("build_year")), F.lit("3 + basement"))
-    body = s.properties.select(F.lit("b").alias("path"), F.lit("Stock list").alias("sheet"), F.lit(0).alias("sheet_idx"), (col("property_id") + 10).cast("int").alias("row_idx"), cells.alias("cells"))
-    return head.unionByName(body)
+_HEADERS = ("Property Ref", "Address 1", "Post code", "Sum Insured 24/25", "Sum Insured 25/26", "Year Built", "Storeys")
+#: Further headers of the second workbook, whose columns stand in another order under an equal sheet name.
+_MORE = ("Roof type", "No. of beds", "Basement", "Listed", "Sprinkler", "Fire alarm", "Flood cover", "Excess", "SI type", "Basis of ded", "Tenure", "Storm")
 
 
-@query("typ_17", "SELECT property_reference, CAST(sum_insured AS DOUBLE) AS sum_insured, CAST(2 AS INT) AS storeys, build_year AS year_of_build FROM properties WHERE (property_reference IS NOT NULL)")
+def schedule_rows(s: Silver, books: int = 1) -> DataFrame:
+    """Workbook rows made of the properties: a title, a header, then a row each; with two ``books`` those of even ids in one, of odd ids in the other."""
+    place = "path string, sheet string, sheet_idx int, row_idx int, cells array<string>"
+    heads = [("b", "Stock list", 0, 0, ["Schedule of values"]), ("b", "Stock list", 0, 1, list(_HEADERS)), ("c", "Stock list", 0, 0, [*_MORE, *reversed(_HEADERS)])]
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    cells = [col("property_reference"), text(col("address")), text(col("postcode")), F.lit("1"), F.concat(F.lit("£"), text(col("sum_insured"))), text(col("build_year")), F.lit("3 + basement")]
+    more = [text(col("roof_construction")), text(col("storeys")), F.lit("Yes"), F.when(col("property_listed"), "Y").otherwise("N"), F.lit("wet"), F.lit("L1"), F.lit("no"), F.lit("£250"), F.lit("Day one"), F.lit("each"), text(col("tenure")), F.lit("Y")]
+    body = lambda rows, path, row: rows.select(F.lit(path).alias("path"), F.lit("Stock list").alias("sheet"), F.lit(0).alias("sheet_idx"), (col("property_id") + 10).cast("int").alias("row_idx"), F.array(*row).alias("cells"))
+    if books == 1:
+        return s.spark.createDataFrame(heads[:2], place).unionByName(body(s.properties, "b", cells))
+    even = col("property_id") % 2 == 0
+    return s.spark.createDataFrame(heads, place).unionByName(body(s.properties.where(even), "b", cells)).unionByName(body(s.properties.where(~even), "c", [*more, *reversed(cells)]))
+
+
+@query("typ_17", """SELECT property_reference, CAST(sum_insured AS DOUBLE) AS sum_insured, CAST(2 AS INT) AS storeys, build_year AS year_of_build, roof, bedrooms, basement, listed, fire_protection, alarms, flood, deductible, basis, si_type, tenure, storm FROM (SELECT p.*, CASE WHEN odd THEN roof_construction END AS roof, CASE WHEN odd THEN p.storeys END AS bedrooms, CASE WHEN odd THEN TRUE END AS basement, CASE WHEN odd THEN coalesce(property_listed, FALSE) END AS listed,
+  CASE WHEN odd THEN 'wet' END AS fire_protection, CASE WHEN odd THEN 'L1' END AS alarms, CASE WHEN odd THEN FALSE END AS flood, CASE WHEN odd THEN CAST(250 AS DOUBLE) END AS deductible, CASE WHEN odd THEN 'each' END AS basis, CASE WHEN odd THEN 'Day one' END AS si_type, CASE WHEN odd THEN p.tenure END AS occupancy, CASE WHEN odd THEN TRUE END AS storm
+  FROM (SELECT q.*, property_id % 2 = 1 AS odd FROM properties q) p) r""".replace("si_type, tenure, storm FROM", "si_type, occupancy, storm FROM"))
 def schedule_ingest(s: Silver) -> DataFrame:
-    """Header found, columns mapped, the later insured sum taken, rows typed."""
-    return ingest.properties(schedule_rows(s)).select("property_reference", "sum_insured", "storeys", "year_of_build")
+    """Two workbooks with a sheet of one name and other columns: headers found, columns mapped, the later insured sum taken, rows typed."""
+    found = ingest.properties(schedule_rows(s, 2))
+    return found.select(
+        "property_reference", "sum_insured", "storeys", "year_of_build", col("roof_construction").alias("roof"), "bedrooms", col("has_basement").alias("basement"), col("is_listed").alias("listed"), "fire_protection", "alarms",
+        col("flood_insured").alias("flood"), "deductible", col("basis_of_deductible").alias("basis"), col("sum_insured_type").alias("si_type"), col("occupancy_type").alias("occupancy"), col("storm_insured").alias("storm"),
+    )
 
 
 @query("typ_15", "SELECT 'b' AS path, 'Stock list' AS sheet, CAST(0 AS INT) AS sheet_idx, count(*) + 2 AS rows, round(log2(count(*) + 3) + 5 + 3 * least(sum(CASE WHEN sum_insured > 1000 THEN 1.0 ELSE 0.0 END + CASE WHEN build_year > 1000 THEN 1.0 ELSE 0.0 END) / (count(*) + 2), 2.0), 4) AS score FROM properties")

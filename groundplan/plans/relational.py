@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundplan.operators import lookup
+from groundplan.operators import lookup, numbering
 from groundplan.operators import relational as ops
 from groundplan.operators import spatial
 from groundplan.plans.registry import query
@@ -361,14 +361,14 @@ def distinct_on(s: Silver) -> DataFrame:
 
 @query("win_03", "SELECT user_id, round(avg(CASE WHEN d = 1 THEN 1.0 ELSE 0.0 END), 6) AS sequential FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM {events}) x WHERE d IS NOT NULL GROUP BY 1")
 def previous_row(s: Silver) -> DataFrame:
-    step = col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return s.events.select("user_id", step.alias("d")).where("d is not null").groupBy("user_id").agg(F.round(F.avg((col("d") == 1).cast("double")), 6).alias("sequential"))
+    rows = numbering.previous(s.events.select("user_id", "event_id"), ["user_id"], "event_id", "before")
+    return rows.select("user_id", (col("event_id") - col("before")).alias("d")).where("d is not null").groupBy("user_id").agg(F.round(F.avg((col("d") == 1).cast("double")), 6).alias("sequential"))
 
 
 @query("win_04", "SELECT property_id, concat('AUTO_', portfolio_id, '_', lpad(CAST(row_number() OVER (PARTITION BY portfolio_id ORDER BY property_id) AS VARCHAR), 5, '0')) AS reference FROM properties WHERE block_reference IS NULL")
 def generated_keys(s: Silver) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("portfolio_id").orderBy("property_id"))
-    return s.properties.where(col("block_reference").isNull()).select("property_id", F.concat(F.lit("AUTO_"), "portfolio_id", F.lit("_"), F.lpad(n.cast("string"), 5, "0")).alias("reference"))
+    rows = numbering.numbered(s.properties.where(col("block_reference").isNull()).select("portfolio_id", "property_id"), ["portfolio_id"], "property_id", "n")
+    return rows.select("property_id", F.concat(F.lit("AUTO_"), "portfolio_id", F.lit("_"), F.lpad(col("n").cast("string"), 5, "0")).alias("reference"))
 
 
 def severity(c: str) -> F.Column:

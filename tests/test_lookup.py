@@ -91,7 +91,7 @@ def test_blocks_of_documents(spark):
 
 def test_plans():
     columns, parts = ingest.column_map(["Reference", "Block ref", "Parent property ref", "Sum Insured 24/25", "Sum insured type", "Declared value 2026", "Type", "Construction date", "add_1", "add_2", "Tenant address", None])
-    assert columns == {"property_reference": 0, "block_reference": 1, "sum_insured": 5, "property_type": 4, "year_of_build": 7} and parts == [8, 9]
+    assert columns == {"property_reference": 0, "block_reference": 1, "sum_insured": 5, "sum_insured_type": 4, "property_type": 4, "year_of_build": 7} and parts == [8, 9]
     stock, sums = ingest.SheetPlan("Stock", 1, {"property_reference": 0, "address": 1}, rows=9), ingest.SheetPlan("Sums", 0, {"property_reference": 2, "sum_insured": 3, "storeys": 4}, rows=9)
     assert [ingest.role(p) for p in (stock, sums, ingest.SheetPlan("x", 0, {"postcode": 1}), ingest.SheetPlan("y", 0, {"property_reference": 0}, rows=21))] == ["primary", "secondary", "ignore", "primary"]
     plan = ingest.join_plan([stock, sums])
@@ -166,3 +166,33 @@ def test_workbooks_come_back(spark):
     found = sorted((r.path, r.sheet, r.sheet_idx, r.row_idx, [c or None for c in r.cells]) for r in workbook.rows_of(workbook.made(df)).collect())
     assert found == sorted((p, s, i, n, [c or None for c in cells]) for p, s, i, n, cells in rows if any(cells))
     assert workbook.rows_of(workbook.made(df), first_sheet_only=True).count() == 3
+
+
+def test_sheets_of_one_name_in_two_workbooks(spark):
+    rows = [("a", "Stock", 0, 0, ["Property ref", "Address", "Postcode"]), ("a", "Stock", 0, 1, ["A1", "1 High Street", "AB1 2CD"]), ("b", "Stock", 0, 0, ["Postcode", "Property ref", "Address", "No. of beds"]), ("b", "Stock", 0, 1, ["AB9 9ZZ", "A1", "2 Low Road", "3"]), ("b", "Stock", 0, 2, ["AB9 9ZZ", "", "4 Low Road", ""])]
+    df = spark.createDataFrame(rows, "path string, sheet string, sheet_idx int, row_idx int, cells array<string>")
+    found = {(r.path, r.property_reference): (r.address, r.postcode, r.bedrooms) for r in ingest.properties(df).collect()}
+    assert found == {("a", "A1"): ("1 High Street", "AB1 2CD", None), ("b", "A1"): ("2 Low Road", "AB9 9ZZ", 3), ("b", "AUTO_Stock_00001"): ("4 Low Road", "AB9 9ZZ", None)}
+    assert [(p.path, p.columns["property_reference"], p.rows) for p in ingest.plan(df)] == [("a", 0, 2), ("b", 1, 3)]
+
+
+def test_numbers_and_previous_values_over_ranges(spark):
+    from groundplan.operators import numbering
+
+    rows = [("one" if k % 10 else None, (k * 7919) % 1009) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    for ranges in (1, 7, 64):
+        found = sorted((r.g is None, r.v, r.n) for r in numbering.numbered(df, ["g"], "v", "n", ranges).collect())
+        want = [(none, v, n) for none in (False, True) for n, v in enumerate(sorted(x for g, x in rows if (g is None) == none), 1)]
+        assert found == want
+        before = {(r.g, r.v): r.p for r in numbering.previous(df, ["g"], "v", "p", ranges).collect()}
+        for group in ("one", None):
+            order = sorted(x for g, x in rows if g == group)
+            assert [before[(group, v)] for v in order] == [None, *order[:-1]]
+    assert numbering.numbered(df.limit(0), ["g"], "v", "n").collect() == []
+
+
+def test_addresses_in_both_directions(spark):
+    rows = [(1, "h", None, "12 HIGH STREET"), (2, "h", "B1", "12 HIGH STREET TOWN"), (3, "h", None, "FLAT 1 9 LOW ROAD"), (4, "h", "B3", "9 LOW ROAD"), (5, "h", "B2", "9 LOW ROAD"), (6, "h", None, "7 MILL LANE"), (7, "x", None, "12 HIGH STREET")]
+    found = lookup.attached(spark.createDataFrame(rows, "property_id int, ha_id string, block_reference string, a string"))
+    assert {tuple(r) for r in found.collect()} == {(1, "B1"), (3, "B2")}
