@@ -9,7 +9,7 @@ from groundplan.operators import lookup, numbering
 from groundplan.operators import relational as ops
 from groundplan.operators import spatial
 from groundplan.plans.registry import query
-from groundplan.plans.silver import AS_OF, Silver
+from groundplan.plans.silver import AS_OF, REPORTS, Silver
 
 col = F.col
 _LATEST_FRA = "SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY block_id ORDER BY assessment_date DESC NULLS LAST, created_seq DESC, fra_id DESC) AS rn FROM fra_features f) x WHERE rn = 1"
@@ -25,11 +25,20 @@ def latest_fraew(s: Silver, columns: tuple[str, ...], by_created: bool = False)
     return ops.latest_values(s.fraew_features, "block_id", None if by_created else "assessment_date", ("created_seq", "fraew_id"), columns)
 
 
+def _last_report(kind: str, columns: tuple[str, ...]) -> F.Column:
+    """``columns`` of the latest report of a kind, by date (null last), sequence and id."""
+    rank = F.struct(*(col(f"{kind}.{c}") for c in ("assessment_date", "created_seq", f"{kind}_id")))
+    return F.max_by(F.struct(*(col(f"{kind}.{c}") for c in columns)), F.when(col("is_fra") == F.lit(kind == "fra"), rank)).alias(kind)
+
+
 def assessed_blocks(s: Silver) -> DataFrame:
-    """Blocks with the columns of their latest assessments, null without one."""
-    fra = latest_fra(s, ("rag_status", "assessment_date", "assessment_valid_until", "total_action_count", "overdue_action_count", "outstanding_action_count")).withColumnsRenamed({"rag_status": "fra_rag", "assessment_date": "fra_date"})
-    fraew = latest_fraew(s, ("rag_status", "has_combustible_cladding", "eps_insulation_present", "aluminium_composite_cladding", "bs8414_test_evidence")).withColumnRenamed("rag_status", "fraew_rag")
-    return s.blocks.join(fra, "block_id", "left").join(fraew, "block_id", "left")
+    """Blocks with the columns of their latest assessments, null without one; both kinds come from one join and one aggregate."""
+    fra = ("rag_status", "assessment_date", "assessment_valid_until", "total_action_count", "overdue_action_count", "outstanding_action_count")
+    walls = ("rag_status", "has_combustible_cladding", "eps_insulation_present", "aluminium_composite_cladding", "bs8414_test_evidence")
+    last = s.sql(REPORTS).groupBy("block_id").agg(_last_report("fra", fra), _last_report("fraew", walls))
+    names = {"rag_status": "fra_rag", "assessment_date": "fra_date"}
+    flat = last.select("block_id", *(col(f"fra.{c}").alias(names.get(c, c)) for c in fra), col("fraew.rag_status").alias("fraew_rag"), *(col(f"fraew.{c}") for c in walls[1:]))
+    return s.blocks.join(flat, "block_id", "left")
 
 
 ASSESSED = f"""SELECT b.*, f.rag_status AS fra_rag, f.assessment_date AS fra_date, f.assessment_valid_until, f.total_action_count, f.overdue_action_count, f.outstanding_action_count,
