@@ -38,3 +38,23 @@ def roots(parents: DataFrame, levels: int = 5, child: str = "child", parent: str
         up = F.col("_p").isNotNull() & (F.col("_p") != F.col(child)) & (F.col("_p") != F.col("root"))
         found = step.select(child, F.when(up, F.col("_p")).otherwise(F.col("root")).alias("root"), F.when(up, F.col("level") + 1).otherwise(F.col("level")).alias("level"))
     return found
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of the connected part of each node of ``edges`` (a, b), two whole numbers.
+
+    Each round points every node's larger neighbours, then its smaller ones, at its
+    smallest neighbour, which halves long chains; the parts are stars in the end.
+    """
+    links = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while True:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        down = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        flat = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        now = cut(flat)
+        if now.exceptAll(links).isEmpty() and links.exceptAll(now).isEmpty():
+            nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        links = now

@@ -206,3 +206,39 @@ def test_drained_rows_stay_in_files(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(source)
     assert sorted(r.id for r in arrivals.drained(stream, "t_files", str(tmp_path / "c")).collect()) == list(range(8))
     assert arrivals.drained(stream.where("id < 0"), "t_none", str(tmp_path / "d")).count() == 0
+
+
+def test_crowded_cells_are_split(spark, monkeypatch):
+    """Nearly all points in one cell, many of them at one place: equal pairs, and no leaf above the bound."""
+    import random
+
+    rng = random.Random(6)
+    points = [(k, rng.random() * 10, rng.random() * 10) if k % 3 else (k, 5.0, 5.0) for k in range(600)] + [(600 + k, 1000.0 + k, 7.0 * k) for k in range(20)]
+    asked = [(k, rng.random() * 30 - 10, rng.random() * 30 - 10) for k in range(40)]
+    a, b = spark.createDataFrame(asked, "q int, easting double, northing double"), spark.createDataFrame(points, "p int, easting double, northing double")
+    want = sorted((q, p) for q, x, y in asked for p, u, v in points if (x - u) ** 2 + (y - v) ** 2 <= 144)
+    for bound in (20_000, 25):
+        monkeypatch.setattr(spatial, "CELL_POINTS", bound)
+        found = spatial.within(a, b, 12.0)
+        assert sorted((r.q, r.p) for r in found.collect()) == want and found.columns == ["q", "easting", "northing", "p", "distance"]
+    cells = b.withColumns({"rx": F.floor(F.col("easting") / 12), "ry": F.floor(F.col("northing") / 12)}).groupBy("rx", "ry").count().where("count > 25")
+    leaves = spatial._leaves(b, 12.0, spatial.XY, cells).collect()
+    assert max(r.level for r in leaves) > 1 and max(r.parts for r in leaves) > 1
+
+
+def test_greedy_pairs_by_region_and_in_rounds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    rows = [(p, s, rng.randrange(20) / 2) for p in range(40) for s in range(p, p + 3)] + [(p, 100 + p % 7, rng.random()) for p in range(50, 90)]
+    taken, want = set(), {}
+    for p in sorted({r[0] for r in rows}):
+        free = sorted((d, s) for q, s, d in rows if q == p and s not in taken)
+        if free:
+            taken.add(free[0][1])
+            want[p] = free[0][1]
+    df = spark.createDataFrame(rows, "point long, shape long, distance double")
+    for most in (100_000, 50, 0):
+        monkeypatch.setattr(spatial, "REGION_ROWS", most)
+        assert {r.point: r["shape"] for r in spatial.greedy_pairs(df).collect()} == want
+    assert spatial.greedy_pairs(df.limit(0)).collect() == []
