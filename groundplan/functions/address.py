@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 #: Fixed patterns: postcodes, and how flats, pairs of numbers, and floors are written.
 POSTCODE = r"[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}"
@@ -114,29 +108,3 @@ def token_overlap(a: Column, b: Column) -> Column:
 
 def tokens(address: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normal(address), " "), lambda t: t != ""))
-
-
-@pandas_udf(DoubleType())
-def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Similarity of two strings by their longest matching blocks; Spark has no such function."""
-    for a, b in pairs:
-        yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
-
-
-@pandas_udf(DoubleType())
-def segment_share(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Share of the first address's segments that have a segment at least 0.85 alike in the second."""
-    split = lambda s: [p for p in ("".join(c if c.isalnum() or c.isspace() or c == "_" else " " for c in x.lower()).strip() for x in (s or "").split(",")) if p]
-    for a, b in pairs:
-        found = []
-        for x, y in zip(a, b, strict=True):
-            left, right = split(x), split(y)
-            close = sum(max(SequenceMatcher(None, i, j).ratio() for j in right) >= 0.85 for i in left) if left and right else 0
-            found.append(close / len(left) if left else 0.0)
-        yield pd.Series(found)
-
-
-def compare(a: Column, b: Column) -> tuple[Column, Column]:
-    """Score and level of two addresses: the better of sequence similarity and token overlap."""
-    score = F.round(F.greatest(sequence_ratio(normal(a), normal(b)), token_overlap(tokens(a), tokens(b))), 3)
-    return score, F.when(score >= 0.8, "HIGH").when(score >= 0.5, "MEDIUM").otherwise("LOW")

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
 
 from groundplan.functions.address import POSTCODE
 from groundplan.operators.relational import first_per_group
+from groundplan.operators.similar import quote_places
 
-FUZZY, SHORTEST, SNIPPET, BASE = 0.85, 12, 320, {"H": 0.95, "M": 0.7, "L": 0.4}
+SNIPPET, BASE = 320, {"H": 0.95, "M": 0.7, "L": 0.4}
 
 
 def pages(text: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,25 +50,6 @@ def normal(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
-@pandas_udf(IntegerType())
-def fuzzy_place(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Start of the window of a page most like a quote, from 0; -1 if none is FUZZY alike."""
-
-    def find(quote: str | None, page: str | None) -> int:
-        if not quote or not page or len(quote) < SHORTEST:
-            return -1
-        matcher, best, at = SequenceMatcher(autojunk=False), 0.0, -1
-        matcher.set_seq2(quote)
-        for start in range(0, max(1, len(page) - len(quote) + 1), max(1, len(quote) // 4)):
-            matcher.set_seq1(page[start : start + len(quote)])
-            if matcher.real_quick_ratio() >= FUZZY and matcher.ratio() > best:
-                best, at = matcher.ratio(), start
-        return at if best >= FUZZY else -1
-
-    for quote, page in pairs:
-        yield pd.Series([find(q, p) for q, p in zip(quote, page, strict=True)], dtype="int32")
-
-
 def sentence(page: Column, start: Column, size: Column) -> Column:
     """The sentence around a span (start from 0) of a page, cut at SNIPPET characters; null without a span.
 
@@ -105,7 +81,9 @@ def verified(citations: DataFrame, page_texts: DataFrame, id_col: str = "doc_id"
     exact = F.instr(F.col("_p"), F.col("_q")) - 1
     near = F.abs(F.col("page_no") - F.col("page")) <= 1
     placed = met.withColumn("_exact", exact).withColumn("_near", F.coalesce(near, F.lit(False)))
-    close = placed.where("_near").withColumn("_at", F.when(F.col("_exact") >= 0, F.col("_exact")).otherwise(fuzzy_place(F.col("_q"), F.col("_p"))))
+    sought = placed.where("_near and _exact < 0").select(F.col("_q").alias("q"), F.col("_p").alias("p"))
+    fuzzy = quote_places(sought).select(F.col("q").alias("_q"), F.col("p").alias("_p"), F.col("place").alias("_at"))
+    close = placed.where("_near and _exact >= 0").withColumn("_at", F.col("_exact")).unionByName(placed.where("_near and _exact < 0").join(fuzzy, ["_q", "_p"]))
     far = placed.where("not _near and _exact >= 0").withColumn("_at", F.col("_exact"))
     order = F.when(F.col("page_no") == F.col("page"), 0).when(F.col("page_no") == F.col("page") - 1, 1).when(F.col("page_no") == F.col("page") + 1, 2).otherwise(3)
     hits = close.unionByName(far).where("_at >= 0").withColumn("_order", order)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundplan.functions import address as a
+from groundplan.operators import similar
 
 CAP = 0.30
 
@@ -14,17 +15,18 @@ def traffic_lights(df: DataFrame) -> DataFrame:
     """Adds ``level``, ``confidence`` and ``reason`` to rows of given, matched, os_match, parent_uprn, parent_address.
 
     The signals are computed once per row, the rules are one ordered CASE. Similarities
-    come from vectorised UDFs, as Spark has no sequence matcher.
+    are those of distinct pairs of addresses.
     """
     c = F.col
-    signals = df.withColumns(
+    alike = similar.with_segment_share(similar.with_ratio(df, a.normal(c("given")), a.normal(c("matched")), "_sim"), c("given"), c("matched"), "_seg")
+    alike = similar.with_ratio(alike, a.normal(c("given")), a.normal(c("parent_address")), "_to_parent")
+    signals = alike.withColumns(
         {
             "_gb": a.building_number(c("given")), "_mb": a.building_number(c("matched")), "_gf": a.flat_number(c("given")), "_mf": a.flat_number(c("matched")),
             "_gflat": a.has_flat_token(c("given")), "_mflat": a.has_flat_token(c("matched")), "_sub": F.coalesce(F.trim(c("parent_uprn")) != "", F.lit(False)),
-            "_sim": a.sequence_ratio(a.normal(c("given")), a.normal(c("matched"))), "_seg": a.segment_share(c("given"), c("matched")),
             "_street": a.token_overlap(a.street_tokens(c("given")), a.street_tokens(c("matched"))), "_subset": F.size(F.array_except(a.tokens(c("matched")), a.tokens(c("given")))) == 0,
             "_gp": F.regexp_replace(a.postcode(c("given")), " ", ""), "_mp": F.regexp_replace(a.postcode(c("matched")), " ", ""),
-            "_parent": F.when(c("parent_address").isNotNull(), F.greatest(a.sequence_ratio(a.normal(c("given")), a.normal(c("parent_address"))), a.token_overlap(a.tokens(c("given")), a.tokens(c("parent_address"))))),
+            "_parent": F.when(c("parent_address").isNotNull(), F.greatest(c("_to_parent"), a.token_overlap(a.tokens(c("given")), a.tokens(c("parent_address"))))),
         }
     )
     os, sim = c("os_match"), c("_sim")

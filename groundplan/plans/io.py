@@ -202,10 +202,11 @@ def page_split(s: Silver) -> DataFrame:
     return documents.pages(marked(s)).select("doc_id", "page_no")
 
 
-@query("sco_19")
+@query("sco_19", "SELECT item_id AS doc_id, 'finding' AS field, CAST(CASE WHEN item_id % 3 < 2 THEN 2 END AS INT) AS found_page, item_id % 3 < 2 AS verified, CASE WHEN item_id % 3 < 2 THEN 1.0 ELSE 0.3 END AS score FROM {benchmark}")
 def citations(s: Silver) -> DataFrame:
-    """Rows only: the fuzzy search has no SQL equivalent; tests cover it."""
-    rows = s.benchmark.select(col("item_id").alias("doc_id"), F.lit("finding").alias("field"), F.lit(1).alias("page"), F.when(col("item_id") % 2 == 0, "The quoted sentence stands here").otherwise("never written words at all").alias("quote"), F.lit("H").alias("confidence"))
+    """Quotes that stand on the page behind the cited one, the same with mistakes, and such that nobody wrote."""
+    quote = F.when(col("item_id") % 3 == 0, "The quoted sentence stands here").when(col("item_id") % 3 == 1, "The qoted sentense stand here").otherwise("never written words at all")
+    rows = s.benchmark.select(col("item_id").alias("doc_id"), F.lit("finding").alias("field"), F.lit(1).alias("page"), quote.alias("quote"), F.lit("H").alias("confidence"))
     return documents.verified(rows, documents.pages(marked(s))).select("doc_id", "field", "found_page", "verified", "score")
 
 

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundplan.functions import address, values
-from groundplan.operators import detect, documents, graph, ingest
+from groundplan.functions import values
+from groundplan.operators import detect, documents, graph, ingest, similar
 from groundplan.plans import gold  # noqa: F401  (registers what an alias below names)
 from groundplan.plans.io import schedule_rows, scratch
-from groundplan.plans.registry import ORACLES, QUERIES, query
+from groundplan.plans.registry import ORACLES, QUERIES, RATIO_SQL, query
 from groundplan.plans.silver import Silver
 from groundplan.sources import readers, workbook
 from groundplan.sources.snapshots import SnapshotTable
@@ -115,19 +115,34 @@ def header_aliases(s: Silver) -> DataFrame:
     return df.withColumnsRenamed(readers.standard_names(df.columns))
 
 
-@query("str_16")
+_OTHER = "CASE property_id % 3 WHEN 0 THEN concat(upper(address), ', AB1 2CD') WHEN 1 THEN replace(address, 'High Street', 'Hgh Stret') ELSE concat('Town, ', CAST(property_id % 7 AS VARCHAR(20)), ' Low Road') END"
+_SEGMENTS = r"list_filter(list_transform(string_split(lower({0}), ','), lambda p: trim(regexp_replace(p, '[^a-z0-9_\s]', ' ', 'g'))), lambda p: p <> '')"
+
+
+@query("str_16", f"""WITH RECURSIVE rows_ AS (SELECT property_id, address AS x, {_OTHER} AS y FROM properties WHERE address IS NOT NULL), both_ AS (SELECT DISTINCT x, y FROM rows_),
+ e AS (SELECT x, y, len(l) AS n, i, l[i] AS a, unnest(r) AS b FROM (SELECT x, y, l, r, unnest(range(1, len(l) + 1)) AS i FROM (SELECT x, y, {_SEGMENTS.format('x')} AS l, {_SEGMENTS.format('y')} AS r FROM both_) s) t),
+ pairs AS (SELECT a, b FROM e), {RATIO_SQL}, m AS (SELECT x, y, n, i, max(ratio) AS best FROM e JOIN ratio USING (a, b) GROUP BY 1, 2, 3, 4), z AS (SELECT x, y, count(CASE WHEN best >= 0.85 THEN 1 END) * 1.0 / max(n) AS share FROM m GROUP BY 1, 2)
+ SELECT property_id, share FROM rows_ JOIN z USING (x, y)""")
 def segment_share(s: Silver) -> DataFrame:
-    """Rows only: it uses the sequence matcher."""
-    rows = s.properties.where(col("address").isNotNull())
-    return rows.select("property_id", address.segment_share(col("address"), F.concat(F.upper("address"), F.lit(", AB1 2CD"))).alias("share"))
+    """Addresses in other letters, with mistakes, or of another street."""
+    rows = s.properties.where(col("address").isNotNull()).select("property_id", "address", F.expr(_OTHER).alias("other"))
+    return similar.with_segment_share(rows, col("address"), col("other"), "share").select("property_id", "share")
+
+
+_QUOTE = "CASE WHEN item_id % 2 = 0 THEN substr(text, 20, 40) ELSE concat(substr(text, 20, 9), '#', substr(text, 30, 14), '#', substr(text, 45, 15)) END"
+_NORMAL = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
 
 
-@query("str_26")
+@query("str_26", f"""WITH RECURSIVE n AS (SELECT item_id, {_NORMAL.format('text')} AS p, {_NORMAL.format(_QUOTE)} AS q FROM {{benchmark}}), f AS (SELECT * FROM n WHERE strpos(p, q) = 0 AND length(q) >= 12),
+ w AS (SELECT item_id, q AS b, s, substr(p, CAST(s AS INT) + 1, length(q)) AS a FROM (SELECT f.*, unnest(range(0, greatest(1, length(p) - length(q) + 1), greatest(1, length(q) // 4))) AS s FROM f) x),
+ pairs AS (SELECT a, b FROM w), {RATIO_SQL}, best AS (SELECT item_id, s FROM (SELECT item_id, s, row_number() OVER (PARTITION BY item_id ORDER BY ratio DESC, s) AS rn FROM w JOIN ratio USING (a, b) WHERE ratio >= 0.85) y WHERE rn = 1)
+ SELECT n.item_id, CAST(CASE WHEN strpos(p, q) > 0 THEN strpos(p, q) - 1 ELSE coalesce(s, -1) END AS INT) AS place FROM n LEFT JOIN best ON best.item_id = n.item_id""")
 def quote_places(s: Silver) -> DataFrame:
-    """Rows only: exact place first, else the fuzzy one."""
-    page, quote = documents.normal(col("text")), documents.normal(F.substring("text", 20, 40))
-    exact = F.instr(page, quote) - 1
-    return s.benchmark.select("item_id", F.when(exact >= 0, exact).otherwise(documents.fuzzy_place(quote, page)).alias("place"))
+    """The exact place of a quote, else that of the most similar window; half of the quotes have mistakes."""
+    rows = s.benchmark.select("item_id", documents.normal(col("text")).alias("p"), documents.normal(F.expr(_QUOTE)).alias("q"))
+    exact = F.instr(col("p"), col("q")) - 1
+    found = similar.quote_places(rows.where(exact < 0))
+    return rows.join(found, ["q", "p"], "left").select("item_id", F.when(exact >= 0, exact).otherwise(F.coalesce("place", F.lit(-1))).alias("place"))
 
 
 @query("str_27", r"""WITH n AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM {benchmark}),

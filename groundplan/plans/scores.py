@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundplan.functions import address, bands, geo, rules, scoring, values
-from groundplan.operators import detect, graph
+from groundplan.operators import detect, graph, similar
 from groundplan.operators import relational as ops
 from groundplan.plans.aggregates import FORM_SQL
-from groundplan.plans.registry import query
+from groundplan.plans.registry import RATIO_SQL, query
 from groundplan.plans.relational import ASSESSED, assessed_blocks, latest_fra, latest_fraew, near_points
 from groundplan.plans.silver import AS_OF, Silver
 
@@ -169,12 +169,18 @@ def match_by_candidates(s: Silver) -> DataFrame:
     return near.select("postcode", "uprn", score.alias("score"), band.alias("band"))
 
 
-@query("sco_16")
+_SECOND = "CASE property_id % 3 WHEN 0 THEN concat(replace(address, 'Street', 'St'), ', AB1 2CD') WHEN 1 THEN concat('Flat 9, ', upper(address)) ELSE 'The Old Mill, Riverside' END"
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_SET = "list_distinct(list_filter(string_split({0}, ' '), lambda t: t <> ''))"
+
+
+@query("sco_16", f"""WITH RECURSIVE rows_ AS (SELECT property_id, {_PLAIN.format('address')} AS a, {_PLAIN.format(_SECOND)} AS b FROM properties WHERE address IS NOT NULL), pairs AS (SELECT DISTINCT a, b FROM rows_), {RATIO_SQL},
+ s AS (SELECT a, b, round(greatest(ratio, len(list_intersect({_SET.format('a')}, {_SET.format('b')})) * 1.0 / greatest(len({_SET.format('a')}), len({_SET.format('b')}))), 3) AS score FROM ratio)
+ SELECT property_id, score, CASE WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM rows_ JOIN s USING (a, b)""")
 def address_comparison(s: Silver) -> DataFrame:
-    """Rows only: the sequence similarity has no SQL equivalent."""
-    pairs = s.properties.where(col("address").isNotNull()).select("property_id", "address", F.concat(F.regexp_replace("address", "Street", "St"), F.lit(", AB1 2CD")).alias("other"))
-    score, level = address.compare(col("address"), col("other"))
-    return pairs.select("property_id", score.alias("score"), level.alias("level"))
+    """Addresses with an abbreviation, with a flat in front, and another one."""
+    pairs = s.properties.where(col("address").isNotNull()).select("property_id", "address", F.expr(_SECOND).alias("other"))
+    return similar.with_comparison(pairs, col("address"), col("other")).select("property_id", "score", "level")
 
 
 @query("sco_15")

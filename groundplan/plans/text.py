@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundplan.functions import address, bands, geo, rules, values
-from groundplan.operators import detect, extract, lookup, safety_case, spatial
-from groundplan.plans.registry import query
+from groundplan.operators import detect, extract, lookup, safety_case, similar, spatial
+from groundplan.plans.registry import RATIO_SQL, query
 from groundplan.plans.relational import assessed_blocks
 from groundplan.plans.scores import _RATINGS_SQL, ratings
 from groundplan.plans.silver import AS_OF, Silver
@@ -154,10 +154,10 @@ def street_tokens(s: Silver) -> DataFrame:
     return s.properties.where(col("address").isNotNull()).select("property_id", F.array_join(address.street_tokens(F.concat(F.lit("Flat 2, "), "address")), " ").alias("tokens"))
 
 
-@query("str_15")
+@query("str_15", f"WITH RECURSIVE rows_ AS (SELECT s_suppkey, s_name AS a, concat('Supplier#', CAST(s_suppkey * 7 AS VARCHAR), ' Ltd') AS b FROM {{supplier}}), pairs AS (SELECT a, b FROM rows_), {RATIO_SQL} SELECT s_suppkey, round(ratio, 6) AS ratio FROM rows_ JOIN ratio USING (a, b)")
 def sequence_ratio(s: Silver) -> DataFrame:
-    """Rows only: the sequence matcher has no SQL equivalent."""
-    return s.supplier.select("s_suppkey", F.round(address.sequence_ratio(col("s_name"), F.lit("Supplier#000000001")), 6).alias("ratio"))
+    rows = s.supplier.select("s_suppkey", "s_name", F.concat(F.lit("Supplier#"), (col("s_suppkey") * 7).cast("string"), F.lit(" Ltd")).alias("other"))
+    return similar.with_ratio(rows, col("s_name"), col("other"), "ratio").select("s_suppkey", F.round("ratio", 6).alias("ratio"))
 
 
 @query("str_17", "SELECT property_id, substr(property_reference, 1, 100) AS property_reference FROM properties")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groundplan.functions import address, bands, geo, rules, scoring, values
-from groundplan.operators import detect, documents, graph, ingest, relational, spatial, validate
+from groundplan.operators import detect, documents, graph, ingest, relational, similar, spatial, validate
 from groundplan.sources import exports, readers, snapshots, workbook
 from groundplan.streaming import arrivals
 
@@ -66,9 +66,50 @@ def test_addresses(spark):
     assert each(spark, address.distinct_segments, ["A, b, a, C"]) == ["A, b, C"]
     assert each(spark, address.building_number, ["Flat 3, 1 Grange Road", "328 Holmlea Road G42 9LF"]) == ["1", "328"]
     assert each(spark, address.flat_number, ["Flat 0/2, 1 Road", "60/3 Road", "1 Road"]) == ["2", "3", None]
-    score, level = address.compare(F.col("a"), F.col("b"))
-    row = spark.createDataFrame([("1 High St, Town", "Town, 1 High St")], "a string, b string").select(score.alias("s"), level.alias("l")).first()
-    assert (row.s, row.l) == (1.0, "HIGH")
+    row = similar.with_comparison(spark.createDataFrame([("1 High St, Town", "Town, 1 High St")], "a string, b string"), F.col("a"), F.col("b")).first()
+    assert (row.score, row.level) == (1.0, "HIGH")
+
+
+def test_similarities_of_distinct_pairs(spark):
+    """Equal to the sliding matcher and to a loop over segments, for repeated, empty and null texts."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abc ,") for _ in range(n))
+    rows = [(k, word(rng.randrange(40)), word(rng.randrange(40))) for k in range(60)] + [(60, None, "a"), (61, "", ""), (62, "a, b", None), (63, "ab" * 150, "ab" * 140 + "c")]
+    rows += [(k + 100, a, b) for k, a, b in rows[:20]]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    found = {r.k: (r.ratio, r["share"]) for r in similar.with_segment_share(similar.with_ratio(df, F.col("a"), F.col("b"), "ratio"), F.col("a"), F.col("b"), "share").collect()}
+    split = lambda x: [p for p in (q.strip() for q in (x or "").split(",")) if p]
+    for k, a, b in rows:
+        close = sum(max((SequenceMatcher(None, i, j).ratio() for j in split(b)), default=0) >= 0.85 for i in split(a))
+        assert found[k] == (SequenceMatcher(None, a or "", b or "").ratio(), close / len(split(a)) if split(a) else 0.0)
+
+
+def test_quotes_are_found_where_the_sliding_matcher_finds_them(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(80):
+        page = "".join(rng.choice("abcdefg ") for _ in range(rng.randrange(5, 300)))
+        size = rng.randrange(8, 60)
+        at = rng.randrange(0, max(1, len(page) - size))
+        quote = "".join(rng.choice("xyz") if rng.random() < rng.choice([0.02, 0.1, 0.2]) else c for c in page[at : at + size])
+        pairs.append((quote, page))
+
+    def slid(quote, page):
+        best, place = 0.0, None
+        for s in range(0, max(1, len(page) - len(quote) + 1), max(1, len(quote) // 4)):
+            ratio = SequenceMatcher(None, page[s : s + len(quote)], quote, autojunk=False).ratio()
+            if ratio >= 0.85 and ratio > best:
+                best, place = ratio, s
+        return place if len(quote) >= 12 else None
+
+    found = {(r.q, r.p): r.place for r in similar.quote_places(spark.createDataFrame(pairs * 2, "q string, p string")).collect()}
+    assert found == {(q, p): slid(q, p) for q, p in pairs if slid(q, p) is not None} and len(found) > 20
 
 
 def test_grid_reference(spark):
