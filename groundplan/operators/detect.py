@@ -1,4 +1,9 @@
-"""Column type detection: all detectors over all columns in one aggregation."""
+"""Column type detection: all detectors over all columns in one aggregation.
+
+Shares are sums by column, so no value is shuffled. Only the share of distinct values
+needs values: a sketch rules out the columns that are far above its limit, and the
+others, which have few different values, are counted exactly.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundplan.functions.address import POSTCODE
+from groundplan.operators.lineage_cut import cut
 
 #: Thresholds, word lists and formats of the detectors.
 THRESHOLDS = {"postcode": 0.7, "uprn": 0.7, "date": 0.7, "address": 0.6, "numeric_id": 0.9, "categorical": 0.0, "boolean": 0.8, "year": 0.8, "latitude": 0.8, "longitude": 0.8, "city": 0.6, "region": 0.6, "house_type": 0.6, "epc_rating": 0.7}
@@ -18,33 +24,45 @@ DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM
 FILE_KINDS = (("fraew_document", ("fraew", "external wall", "pas9980")), ("fra_document", ("fra", "fire risk")), ("property_schedule", ("sov", "schedule", "property")), ("epc_data", ("epc",)))
 
 
+#: Up to this share of distinct values a column is categorical; above so much more by the sketch it is not looked at again.
+FEW, SURE = 0.05, 1.4
+
+
+def _shaped(s: Column, date_format: str) -> Column:
+    """Whether a text has the digits and signs of a format where that has them; a cheap look before the calendar's."""
+    shape = "".join(r"\d" if c.isalpha() else "\\" + c for c in date_format)
+    return s.rlike(f"^{shape}$")
+
+
 def _matches(s: Column) -> dict[str, Column]:
     """For each detector whether a text value matches; null values match nothing."""
     low, number = F.lower(s), s.try_cast("double")
     return {
-        "postcode": F.upper(s).rlike(rf"^{POSTCODE}$"), "uprn": F.length(F.regexp_replace(s, r"\D", "")) == 12, **{f"date{k}": F.try_to_timestamp(s, F.lit(f)).isNotNull() for k, f in enumerate(DATE_FORMATS)},
+        "postcode": F.upper(s).rlike(rf"^{POSTCODE}$"), "uprn": F.length(F.regexp_replace(s, r"\D", "")) == 12, **{f"date{k}": _shaped(s, f) & F.try_to_timestamp(s, F.lit(f)).isNotNull() for k, f in enumerate(DATE_FORMATS)},
         "address": low.rlike(STREETS) & s.rlike(r"\d"), "numeric_id": number.isNotNull(), "boolean": low.isin(*BOOLEANS), "year": number.between(1900, 2100), "latitude": number.between(49, 61), "longitude": number.between(-8, 2),
         "city": low.isin(*CITIES), "region": low.isin(*REGIONS), "house_type": low.isin(*HOUSE_TYPES), "epc_rating": low.isin(*"abcdefg"),
     }
 
 
-def scores(df: DataFrame, thresholds: bool = True) -> DataFrame:
-    """A row per column with the share of matching values for each detector; below its threshold a share is 0.
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value) of all cells of some columns."""
+    return df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.trim(F.col(c).cast("string")).alias("value")) for c in columns))).alias("c")).select("c.*")
 
-    Columns are turned into (column, value) rows and counted by value first, so a
-    detector looks at every distinct value once, and distinct values need no expansion.
-    """
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.trim(F.col(c).cast("string")).alias("value")) for c in df.columns)))
-    counted = df.select(cells.alias("c")).select("c.*").groupBy("column", "value").agg(F.count("*").alias("n"))
+
+def scores(df: DataFrame, thresholds: bool = True) -> DataFrame:
+    """A row per column with the share of matching values for each detector; below its threshold a share is 0."""
     found = _matches(F.col("value"))
-    rows = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
-    numbers = F.sum(F.when(F.col("value").try_cast("double").isNotNull(), F.col("n")))
-    sums = counted.groupBy("column").agg(rows.alias("_rows"), numbers.alias("_numbers"), F.count("value").alias("_distinct"), *(F.sum(F.when(m, F.col("n"))).alias(f"_{k}") for k, m in found.items()))
+    numbers = F.count_if(F.col("value").try_cast("double").isNotNull())
+    sums = _cells(df, df.columns).groupBy("column").agg(F.count("value").alias("_rows"), numbers.alias("_numbers"), F.approx_count_distinct("value", 0.02).alias("_about"), *(F.count_if(m).alias(f"_{k}") for k, m in found.items()))
+    sums = cut(sums)
+    few = [r.column for r in sums.where(F.col("_about") <= FEW * SURE * F.col("_rows") + 1).select("column").collect()]
+    exact = _cells(df, few).where("value is not null").distinct().groupBy("column").agg(F.count("*").alias("_distinct")) if few else sums.select("column", F.lit(0).alias("_distinct")).limit(0)
+    sums = sums.join(exact, "column", "left")
     numeric = ("year", "latitude", "longitude")
-    share = {k: F.coalesce(F.col(f"_{k}"), F.lit(0)) / F.nullif(F.col("_numbers" if k in numeric else "_rows"), F.lit(0)) for k in found}
+    share = {k: F.col(f"_{k}") / F.nullif(F.col("_numbers" if k in numeric else "_rows"), F.lit(0)) for k in found}
     share["date"] = F.greatest(*(share.pop(f"date{k}") for k in range(len(DATE_FORMATS))))
     distinct = F.col("_distinct") / F.nullif(F.col("_rows"), F.lit(0))
-    share["categorical"] = F.when(distinct <= 0.05, 1 - distinct).otherwise(0.0)
+    share["categorical"] = F.when(distinct <= FEW, 1 - distinct).otherwise(0.0)
 
     def kept(kind: str) -> Column:
         value = F.coalesce(share[kind], F.lit(0.0))

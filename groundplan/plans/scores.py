@@ -586,10 +586,26 @@ def shares(s: Silver) -> DataFrame:
     return found.agg(of("uprn", "uprn").alias("uprn"), of("epc_rating", "epc_rating").alias("epc"), of("build_year", "year").alias("build_year"))
 
 
-@query("typ_13")
+_TYPED = ("uprn", "postcode", "address", "epc_rating", "latitude", "longitude", "build_year", "property_type", "created_on")
+_IN = lambda words: "lower(v) IN (" + ", ".join(f"'{w}'" for w in words) + ")"
+#: The detectors in SQL; a share is taken of numbers for the last three.
+_DETECTORS = {
+    "postcode": r"regexp_full_match(upper(v), '[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}')", "uprn": r"length(regexp_replace(v, '\D', '', 'g')) = 12", "address": rf"regexp_matches(lower(v), '{detect.STREETS}') AND regexp_matches(v, '\d')", "numeric_id": "TRY_CAST(v AS DOUBLE) IS NOT NULL",
+    "boolean": _IN(detect.BOOLEANS), "city": _IN(detect.CITIES), "region": _IN(detect.REGIONS), "house_type": _IN(detect.HOUSE_TYPES), "epc_rating": _IN("abcdefg"),
+    "year": "TRY_CAST(v AS DOUBLE) BETWEEN 1900 AND 2100", "latitude": "TRY_CAST(v AS DOUBLE) BETWEEN 49 AND 61", "longitude": "TRY_CAST(v AS DOUBLE) BETWEEN -8 AND 2",
+}
+_DATES = {"%Y-%m-%d": r"\d{4}-\d\d-\d\d", "%d/%m/%Y": r"\d\d/\d\d/\d{4}", "%m/%d/%Y": r"\d\d/\d\d/\d{4}", "%d-%m-%Y": r"\d\d-\d\d-\d{4}", "%Y/%m/%d": r"\d{4}/\d\d/\d\d", "%d.%m.%Y": r"\d\d\.\d\d\.\d{4}", "%Y%m%d": r"\d{8}"}
+_SHARES = {k: f"count(CASE WHEN {p} THEN 1 END) * 1.0 / nullif({'count(TRY_CAST(v AS DOUBLE))' if k in ('year', 'latitude', 'longitude') else 'count(v)'}, 0)" for k, p in _DETECTORS.items()}
+_SHARES["date"] = "greatest(" + ", ".join(f"count(CASE WHEN regexp_full_match(v, '{shape}') AND try_strptime(v, '{form}') IS NOT NULL THEN 1 END) * 1.0 / nullif(count(v), 0)" for form, shape in _DATES.items()) + ")"
+_SHARES["categorical"] = "CASE WHEN count(DISTINCT v) * 1.0 / nullif(count(v), 0) <= 0.05 THEN 1 - count(DISTINCT v) * 1.0 / count(v) ELSE 0 END"
+_TYPES_SQL = "WITH cells AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, trim(CAST({c} AS VARCHAR)) AS v FROM properties" for c in _TYPED) + "), raw AS (SELECT c, " + ", ".join(f"coalesce({_SHARES[k]}, 0) AS {k}" for k in detect.THRESHOLDS) + " FROM cells GROUP BY 1), kept AS (SELECT c, " + ", ".join(f"CASE WHEN {k} >= {t} THEN {k} ELSE 0 END AS {k}" for k, t in detect.THRESHOLDS.items()) + f" FROM raw), best AS (SELECT kept.*, greatest({', '.join(detect.THRESHOLDS)}) AS best FROM kept) SELECT c AS \"column\", CASE WHEN latitude > 0.8 THEN 'latitude' WHEN longitude > 0.8 THEN 'longitude' " + " ".join(f"WHEN {k} = best AND best > 0 THEN '{k}'" for k in detect.THRESHOLDS) + " ELSE 'unknown' END AS detected_type, round(CASE WHEN latitude > 0.8 THEN latitude WHEN longitude > 0.8 THEN longitude ELSE best END, 6) AS confidence FROM best"
+_TYPES_SQL = _TYPES_SQL.replace("{", "{{").replace("}", "}}")
+
+
+@query("typ_13", _TYPES_SQL)
 def column_types(s: Silver) -> DataFrame:
-    """Detected type and confidence of each column; counted by value first."""
-    return detect.types(s.properties.select("uprn", "postcode", "address", "epc_rating", "latitude", "longitude", "build_year", "property_type", "created_on"))
+    """Detected type and confidence of each column."""
+    return detect.types(s.properties.select(*_TYPED))
 
 
 @query("typ_14", "SELECT event_id, CASE WHEN contains(n, 'fraew') THEN 'fraew_document' WHEN contains(n, 'fra') THEN 'fra_document' WHEN contains(n, 'schedule') OR contains(n, 'sov') THEN 'property_schedule' ELSE 'unknown' END AS kind FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'block_fraew.pdf' WHEN 1 THEN 'site fra 2024.pdf' WHEN 2 THEN 'sov_final.xlsx' ELSE 'notes.txt' END AS n FROM {events}) x")
