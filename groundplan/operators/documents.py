@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundplan.functions.address import POSTCODE
 from groundplan.operators.relational import first_per_group
-from groundplan.operators.similar import quote_places
+from groundplan.operators.similar import SHORTEST, quote_places
 
 SNIPPET, BASE = 320, {"H": 0.95, "M": 0.7, "L": 0.4}
 
@@ -93,6 +93,18 @@ def verified(citations: DataFrame, page_texts: DataFrame, id_col: str = "doc_id"
     return joined.withColumn("score", F.round(F.when(F.col("verified"), F.least(F.lit(1.0), base + 0.05)).otherwise(F.least(base, F.lit(0.3))), 2))
 
 
+def item_sources(items: DataFrame, page_texts: DataFrame, id_col: str = "doc_id", words: int = 8) -> DataFrame:
+    """Items (id, item, page, text) with ``source_verified`` and ``source_page``: their first ``words`` words sought as ``verified`` seeks quotes.
+
+    Items whose opening is shorter than a quote may be get null for both.
+    """
+    opening = F.array_join(F.slice(F.split(normal(F.col("text")), " "), 1, words), " ")
+    asked = items.withColumn("quote", opening).where(F.length("quote") >= SHORTEST)
+    found = verified(asked.select(id_col, F.col("item").alias("field"), "page", "quote", F.lit(None).cast("string").alias("confidence")), page_texts, id_col)
+    found = found.select(id_col, F.col("field").alias("item"), F.col("verified").alias("source_verified"), F.col("found_page").alias("source_page"))
+    return items.join(found, [id_col, "item"], "left")
+
+
 def mined(text: Column) -> dict[str, Column]:
     """Sorted distinct property numbers, postcodes and dates in a text."""
     find = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(p), 0)))

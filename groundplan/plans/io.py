@@ -76,9 +76,12 @@ def lookup(s: Silver) -> DataFrame:
     return s.properties.select("property_id").join(readings, col("property_id") % 1000 == col("k"), "left").select("property_id", "reading")
 
 
-@query("src_15", "SELECT CAST(i AS BIGINT) AS id, CASE WHEN i % 3 = 0 THEN 'RED' ELSE 'GREEN' END AS status FROM range(1, 145) t(i)")
+@query("src_15", "SELECT portfolio_id, CAST(i AS BIGINT) AS id, CASE WHEN (i + portfolio_no) % 3 = 0 THEN 'RED' ELSE 'GREEN' END AS status, CAST(i % 30 + 1 AS INT) AS units FROM portfolios, range(1, 145) t(i)")
 def seeded(s: Silver) -> DataFrame:
-    return readers.seeded(s.spark.range(1, 145), {"status": F.when(col("id") % 3 == 0, "RED").otherwise("GREEN")})
+    """A numbered series of rows for each portfolio, with columns that follow from both numbers."""
+    rows = s.portfolios.select("portfolio_id", "portfolio_no", F.explode(F.sequence(F.lit(1), F.lit(144))).alias("id"))
+    made = readers.seeded(rows.withColumn("id", col("id").cast("long")), {"status": F.when((col("id") + col("portfolio_no")) % 3 == 0, "RED").otherwise("GREEN"), "units": (col("id") % 30 + 1).cast("int")})
+    return made.select("portfolio_id", "id", "status", "units")
 
 
 @query("src_16", """SELECT id, CASE WHEN d(id, 1, 2) = 0 THEN 'flat' ELSE 'house' END AS type, d(id, 2, 10001) / 100.0 AS score, lpad(CAST(id AS VARCHAR), 12, '0') AS uprn FROM (SELECT o_orderkey AS id FROM {orders}) x""".replace("d(id, 1, 2)", readers.DRAW_SQL.format("id", 1, 2)).replace("d(id, 2, 10001)", readers.DRAW_SQL.format("id", 2, 10001)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundplan.functions import address, bands, geo, rules, values
-from groundplan.operators import detect, extract, lookup, safety_case, similar, spatial
+from groundplan.functions import address, bands, geo, rules, scoring, values
+from groundplan.operators import detect, documents, extract, lookup, retention, safety_case, similar, spatial, validate
 from groundplan.plans.registry import RATIO_SQL, query
 from groundplan.plans.relational import assessed_blocks
 from groundplan.plans.scores import _RATINGS_SQL, ratings
@@ -40,25 +40,43 @@ def fraew_legacy(s: Silver) -> DataFrame:
     return ratings(s).select("event_id", rules.cascade(col("rating"), FRAEW_LEGACY, "AMBER").alias("band"))
 
 
-@query("sco_17", "SELECT property_id, CAST(CASE WHEN block_reference IS NULL THEN 0.5 ELSE 0.85 END AS DOUBLE) AS reference, CAST(CASE WHEN postcode IS NULL THEN 0.0 ELSE 0.85 END AS DOUBLE) AS postcode FROM properties")
+#: Field, confidence where its column was named, and where it was guessed.
+_CONFIDENCE = (("address", 0.95, 0.80), ("postcode", 0.90, 0.75), ("sum_insured", 0.90, 0.60), ("block_reference", 0.90, 0.75), ("wall_construction", 0.85, 0.70))
+
+
+@query("sco_17", "SELECT property_id, CAST(CASE WHEN property_id % 10 = 0 THEN 0.5 WHEN property_id % 3 = 0 THEN 0.85 ELSE 1.0 END AS DOUBLE) AS property_reference, " + ", ".join(f"CAST(CASE WHEN {c} IS NULL THEN 0.0 WHEN property_id % 3 = 0 THEN {h} ELSE {n} END AS DOUBLE) AS {c}" for c, n, h in _CONFIDENCE) + " FROM properties")
 def field_confidence(s: Silver) -> DataFrame:
-    """Generated references get 0.5, columns found by heuristics lose 0.15."""
-    return s.properties.select("property_id", F.when(col("block_reference").isNull(), 0.5).otherwise(0.85).alias("reference"), F.when(col("postcode").isNull(), 0.0).otherwise(0.85).alias("postcode"))
+    """Generated references get 0.5; fields whose columns were found by heuristics (a third of the rows here) lose 0.15, sums insured twice that."""
+    reference = F.when(col("property_id") % 10 == 0, F.concat(F.lit("AUTO_"), "property_reference")).otherwise(col("property_reference"))
+    rows = s.properties.withColumns({"reference": reference, "guessed": col("property_id") % 3 == 0})
+    kept = scoring.ingest_confidence("reference", [(c, n) for c, n, _ in _CONFIDENCE], col("guessed"))
+    return rows.select("property_id", kept["reference"].alias("property_reference"), *(kept[c].alias(c) for c, _, _ in _CONFIDENCE))
 
 
-@query("sco_20", "SELECT item_id, TRUE AS verified FROM {benchmark}")
+@query("sco_20", "SELECT item_id AS doc_id, i AS item, CASE WHEN i < 3 THEN i <> 2 END AS source_verified, CAST(CASE i WHEN 0 THEN 1 WHEN 1 THEN 2 END AS INT) AS source_page FROM {benchmark}, (SELECT unnest([0, 1, 2, 3]) AS i) t")
 def item_sources(s: Silver) -> DataFrame:
-    """An item is verified if its first eight words stand in its page."""
-    words = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 8), " ")
-    page = F.regexp_replace("text", r"\s+", " ")
-    return s.benchmark.select("item_id", F.contains(F.lower(page), F.lower(words)).alias("verified"))
+    """Of each document: an item of its own page, one that the next page holds, one that nobody wrote, and one too short to tell."""
+    marked = s.benchmark.select(col("item_id").alias("doc_id"), F.concat(F.lit("[Page 1] "), "text", F.lit(" [Page 2] replace the damaged fire door of the north stair at once. End.")).alias("text"))
+    item = lambda k, page, text: F.struct(F.lit(k).alias("item"), F.lit(page).alias("page"), text.alias("text"))
+    items = F.array(item(0, 1, col("text")), item(1, 1, F.lit("Replace the damaged fire door of the north stair, soon")), item(2, 1, F.lit("install a helicopter landing pad on every single roof")), item(3, 2, F.lit("fix it")))
+    rows = s.benchmark.select(col("item_id").alias("doc_id"), F.explode(items).alias("i")).select("doc_id", "i.*")
+    return documents.item_sources(rows, documents.pages(marked)).select("doc_id", "item", "source_verified", "source_page")
+
+
+_RAW = "CASE event_id % 6 WHEN 0 THEN CAST(event_id % 130 AS VARCHAR(20)) WHEN 1 THEN 'about 40' WHEN 2 THEN 'PIR' WHEN 3 THEN 'Yes' WHEN 4 THEN '2024-02-30' ELSE '17/03/2023' END"
+_DATE_OK = "CASE WHEN raw = '17/03/2023' THEN DATE '2023-03-17' END"
+_NUMBER = "TRY_CAST(raw AS DOUBLE)"
 
 
-@query("sco_22", "SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type END AS value, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN NULL ELSE concat('not allowed: ', event_type) END AS warning FROM {events}")
+@query("sco_22", f"""SELECT event_id, CASE WHEN {_NUMBER} BETWEEN 0 AND 100 THEN {_NUMBER} END AS coverage, CASE WHEN {_NUMBER} IS NULL THEN 'not a number, nulled' WHEN NOT {_NUMBER} BETWEEN 0 AND 100 THEN 'outside 0-100, nulled' END AS coverage_warning,
+ CASE WHEN raw = 'PIR' THEN 'pir' ELSE 'unknown' END AS insulation, CASE WHEN raw <> 'PIR' THEN 'not a valid value, set to unknown' END AS insulation_warning,
+ CASE WHEN raw IN ('Yes', '1') THEN TRUE WHEN raw = '0' THEN FALSE END AS flag, CASE WHEN raw NOT IN ('Yes', '1', '0') THEN 'not a yes or no, nulled' END AS flag_warning, {_DATE_OK} AS day, CASE WHEN ({_DATE_OK}) IS NULL THEN 'not a date, nulled' END AS day_warning FROM (SELECT event_id, {_RAW} AS raw FROM {{events}}) x""")
 def validators(s: Silver) -> DataFrame:
-    """A value repaired to its enum, with a warning where it was not one."""
-    ok = col("event_type").isin("click", "view", "purchase")
-    return s.events.select("event_id", F.when(ok, col("event_type")).alias("value"), F.when(~ok, F.concat(F.lit("not allowed: "), "event_type")).alias("warning"))
+    """Numbers, choices, flags and dates repaired, each with a warning where the given value was not one."""
+    raw = s.events.select("event_id", F.expr(_RAW).alias("raw"))
+    v = col("raw")
+    found = {"coverage": validate.repaired_number(v, 0, 100), "insulation": validate.repaired_choice(v, ("eps", "mineral_wool", "pir", "phenolic"), "unknown"), "flag": validate.repaired_flag(v), "day": validate.repaired_date(v)}
+    return raw.select("event_id", *(c for n, r in found.items() for c in (r["value"].alias(n), r["warning"].alias(f"{n}_warning"))))
 
 
 @query("sco_25_status", f"SELECT event_id, {rules.cascade_sql('event_type', STATUSES, 'outstanding')} AS status FROM {{events}}")
@@ -107,10 +125,28 @@ def layout(s: Silver) -> DataFrame:
     return s.supplier.select("s_suppkey", F.array_join(extract.layout_errors(pages), "|").alias("errors"))
 
 
-@query("sco_34", f"SELECT property_id FROM properties WHERE created_on < DATE '{AS_OF}' - INTERVAL 2555 DAY + INTERVAL 1500 DAY AND tenure IS NOT NULL")
-def expired_with_consent(s: Silver) -> DataFrame:
-    limit = F.date_add(F.lit(AS_OF).cast("date"), 1500 - 2555)
-    return s.properties.where((col("created_on") < limit) & col("tenure").isNotNull()).select("property_id")
+_KEPT_DAYS = (("s1", 1100, "TRUE"), ("s2", 900, "FALSE"))
+_POLICIES = " UNION ALL ".join(f"SELECT '{t}' AS data_type, {d} AS retention_days, {a} AS auto_delete" for t, d, a in _KEPT_DAYS)
+_OVER = f"(auto_delete AND CAST(created_on AS DATE) + retention_days < DATE '{AS_OF}')"
+
+
+@query("sco_34", f"SELECT p.property_id, CASE WHEN {_OVER} THEN 'deleted' ELSE 'kept' END AS state, CASE WHEN {_OVER} THEN DATE '{AS_OF}' END AS deleted_on FROM properties p JOIN ({_POLICIES}) q ON q.data_type = p.submission_id")
+def retention_enforced(s: Silver) -> DataFrame:
+    """Records over the time of their kind go, with an audit row each; a policy without deletion lets none go."""
+    policies = s.spark.createDataFrame([(t, d, a == "TRUE") for t, d, a in _KEPT_DAYS], "data_type string, retention_days int, auto_delete boolean")
+    rows = s.properties.select("property_id", col("submission_id").alias("data_type"), "created_on")
+    kept, audit = retention.enforce(rows, policies, "property_id", F.lit(AS_OF).cast("date"))
+    state = lambda df, name, day: df.select("property_id", F.lit(name).alias("state"), day.alias("deleted_on"))
+    return state(kept, "kept", F.lit(None).cast("date")).unionByName(state(audit, "deleted", col("deleted_on")))
+
+
+@query("sco_34_export", "SELECT user_id, CAST(count(*) AS BIGINT) AS records, min(event_id) AS first_id, max(event_id) AS last_id FROM {events} WHERE event_id % 4 <> 0 GROUP BY 1")
+def subject_export(s: Silver) -> DataFrame:
+    """A document per subject of the records that there is a consent for; its ends are read back from it."""
+    rows = s.events.select("user_id", "event_id", "event_type", (col("event_id") % 4 != 0).alias("consent"))
+    made = retention.exported(rows, "user_id", "consent")
+    ids = F.transform(F.from_json("document", "array<struct<event_id:long,event_type:string>>"), lambda r: r["event_id"])
+    return made.select("user_id", "records", F.array_min(ids).alias("first_id"), F.array_max(ids).alias("last_id"))
 
 
 # --- strings ---------------------------------------------------------------

@@ -70,8 +70,8 @@ def draw(seed: int, below: int) -> Column:
 
 
 def seeded(ids: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Generated rows for given ``id``s, such as a range; columns are expressions of ``id``."""
-    return ids.select("id", *(c.alias(name) for name, c in columns.items()))
+    """Generated rows for given ``id``s, such as a series for each row of a table; columns are expressions over what is given."""
+    return ids.select(*ids.columns, *(c.alias(name) for name, c in columns.items()))
 
 
 def choice(options: Sequence[object], seed: int) -> Column:

@@ -283,3 +283,21 @@ def test_greedy_pairs_by_region_and_in_rounds(spark, monkeypatch):
         monkeypatch.setattr(spatial, "REGION_ROWS", most)
         assert {r.point: r["shape"] for r in spatial.greedy_pairs(df).collect()} == want
     assert spatial.greedy_pairs(df.limit(0)).collect() == []
+
+
+def test_repairs_and_retention(spark):
+    from groundplan.operators import retention
+
+    texts = ["12.7", "101", "x", None, " EPS ", "yes", "0", "2024-02-30", "01.02.2024"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    v = F.col("t")
+    columns = {"n": validate.repaired_number(v, 0, 100, whole=True), "c": validate.repaired_choice(v, ("eps", "pir"), "unknown"), "f": validate.repaired_flag(v), "d": validate.repaired_date(v)}
+    found = {r.k: {n: tuple(r[n]) for n in columns} for r in df.select("k", *(c.alias(n) for n, c in columns.items())).collect()}
+    assert [found[k]["n"] for k in range(4)] == [(12, None), (None, "outside 0-100, nulled"), (None, "not a number, nulled"), (None, None)]
+    assert found[4]["c"] == ("eps", None) and found[2]["c"] == ("unknown", "not a valid value, set to unknown") and found[3]["c"] == (None, None)
+    assert found[5]["f"] == (True, None) and found[6]["f"] == (False, None) and found[2]["f"] == (None, "not a yes or no, nulled")
+    assert found[7]["d"] == (None, "not a date, nulled") and found[8]["d"] == (date(2024, 2, 1), None)
+    rows = spark.createDataFrame([(1, "a", date(2020, 1, 1)), (2, "a", date(2024, 1, 1)), (3, "b", date(2000, 1, 1)), (4, "c", date(2000, 1, 1))], "id int, data_type string, created_on date")
+    policies = spark.createDataFrame([("a", 365, True), ("b", 1, False)], "data_type string, retention_days int, auto_delete boolean")
+    kept, audit = retention.enforce(rows, policies, "id", F.lit(date(2024, 6, 1)))
+    assert sorted(r.id for r in kept.collect()) == [2, 3, 4] and [(r.id, r.deleted_on) for r in audit.collect()] == [(1, date(2024, 6, 1))]
