@@ -5,18 +5,20 @@
    of a quarter of the hash space are looked at for this, against the bound for all of
    them, so nothing that has a partner is lost.
 2. **Pivots create Voronoi regions.** Classes that share a least rehash (one of ``KEYS``)
-   meet in the smallest of them, a pivot. Each goes to the nearest of its pivots that is
-   within the radius ``1 - similarity``, to which it is so linked; any other is a pivot
-   by itself. All of a region are linked to its pivot, so pairs inside need no look.
+   meet in the smallest of them, a pivot if it is the most common one of any of them.
+   Each goes to the nearest pivot that it meets within the radius ``1 - similarity``, to
+   which it is so linked; any other is a pivot by itself. All of a region are linked to
+   its pivot, so pairs inside need no look.
 3. **Windows.** By the triangle inequality only regions whose pivots are within the sum of
    their own radii and the join's radius can have a link between them. Such pivots are
    found by an equi-join over prefixes of rarest shingles, long enough for that sum, with
-   length and positional filters, and their distance is computed. Regions that are
-   connected already are left out.
-4. **Boundary documents.** For every pair of regions in question those go on whose distance
+   length and positional filters, and their distance is computed.
+4. **Boundary documents.** For every pair of regions in question, unless other links
+   connect them already, those go on whose distance
    to their pivot is at least the pivots' distance less the other region's radius and the
-   join's. They are joined recursively with other pivots; at depth ``DEPTH`` each is a pivot
-   by itself, with radius 0, so that the windows are the links themselves.
+   join's. They are joined in the same way once more, each a region of its own with radius
+   0, so that the windows are the links themselves; only documents of components that are
+   still different meet.
 
 Links join to classes by star contraction. No step emits the pairs of a group of copies;
 regions of thousands have a link for each member. Rarity is a count by ``BUCKETS`` hash
@@ -49,7 +51,6 @@ SIZE = 3
 #: Hundredths of the union that the intersection of linked sets has at least.
 SIMILAR = 90
 KEYS = 3
-DEPTH = 2
 BUCKETS = 1 << 20
 #: Ids that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
@@ -116,12 +117,12 @@ def _prints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Sets with a least rehash for every key and depth."""
+    """Sets with a least rehash for every key."""
     words = _Words()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             sets = [s for t in _texts(batch.column(0).slice(at, 512)) if len(s := shingle_set(t, size, words))]
-            keys = [np.array([_mixed(s ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min() for k in range(KEYS * DEPTH)], dtype=np.uint64) for s in sets]
+            keys = [np.array([_mixed(s ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min() for k in range(KEYS)], dtype=np.uint64) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([set_code(s) for s in sets], pa.int64()), _lists(sets), _lists(keys)], names=["code", "hashes", "keys"])
 
 
@@ -134,13 +135,13 @@ def partnered(rows: DataFrame, similar: int) -> DataFrame:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], sketch: object) -> Iterator[pa.RecordBatch]:
-    """Rows (node, n, rho, reach, root, hashes): the places of each set's rarest shingles, as many as a set within ``reach`` must share one of."""
+    """Rows (node, n, rho, reach, hashes, root): the places of each set's rarest shingles, as many as a set within ``reach`` must share one of."""
     counts = np.frombuffer(sketch.value, dtype=np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             owners, chosen = [], []
-            for k, (reach, hashes) in enumerate(zip(part.column(3).to_pylist(), part.column(5), strict=True)):
+            for k, (reach, hashes) in enumerate(zip(part.column(3).to_pylist(), part.column(4), strict=True)):
                 own = hashes.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 order = np.lexsort((own, counts[(own % np.uint64(len(counts))).astype(np.int64)]))
                 length = len(own) - max(1, int(np.ceil((1 - reach - SLACK) * len(own)))) + 1
@@ -149,7 +150,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sketch: object) -> Iterator[pa.
             who = pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *owners]))
             tokens = pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *chosen]).view(np.int64))
             places = pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *(np.arange(len(c), dtype=np.int32) for c in chosen)]))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(who) for c in (0, 1, 2, 4)), tokens, places], names=["node", "n", "rho", "root", "token", "place"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(who) for c in (0, 1, 2)), tokens, places, part.column(5).take(who)], names=["node", "n", "rho", "token", "place", "root"])
 
 
 def _distance(both: Column, n: Column, m: Column) -> Column:
@@ -168,17 +169,18 @@ def _linked(similar: int) -> Column:
     return 100 * F.col("both") >= similar * (F.col("na") + F.col("nb") - F.col("both"))
 
 
-def _regions(sets: DataFrame, depth: int, similar: int) -> DataFrame:
+def _regions(sets: DataFrame, similar: int) -> DataFrame:
     """(node, pivot, d): each node's nearest pivot of those that it meets in a key; itself if none is near enough."""
     own = sets.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("d"))
-    if depth == DEPTH:
-        return own
-    met = sets.select("node", F.posexplode(F.slice("keys", depth * KEYS + 1, KEYS)).alias("k", "key"))
-    least = written(met.groupBy("k", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("k", "key", "pivot"), "pivots")
-    pairs = written(met.join(least, ["k", "key"]).where("node <> pivot").select("node", "pivot").distinct(), "met")
-    near = _measured(pairs, sets, "node", "pivot").where(_linked(similar)).groupBy("node").agg(F.min(F.struct("d", "pivot")).alias("home")).select("node", "home.pivot", "home.d")
-    near = written(near, "near")
-    return written(near.unionByName(own.join(near.select("node"), "node", "left_anti")), "regions")
+    met = sets.select("node", "n", F.posexplode("keys").alias("k", "key"))
+    least = written(met.groupBy("k", "key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("k", "key", "size", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")), "pivots")
+    alike = 100 * F.least("n", "m") >= similar * F.greatest("n", "m")
+    pairs = written(met.join(least, ["k", "key"]).where((F.col("node") != F.col("pivot")) & alike).groupBy("node", "pivot").agg(F.max("size").alias("size")), "met")
+    near = written(_measured(pairs, sets, "node", "pivot").where(_linked(similar)).select("node", "pivot", "size", "d"), "near")
+    # a pivot that is no one's largest is none, so that a group of copies has few
+    chosen = near.groupBy("node").agg(F.max(F.struct("size", (-F.col("pivot")).alias("p"))).alias("m")).select((-F.col("m.p")).alias("pivot")).distinct()
+    home = near.join(chosen, "pivot", "left_semi").groupBy("node").agg(F.min(F.struct("d", "pivot")).alias("home")).select("node", "home.pivot", "home.d")
+    return written(home.unionByName(own.join(near.select("node"), "node", "left_anti")), "regions")
 
 
 def _rarity(sets: DataFrame) -> object:
@@ -189,40 +191,54 @@ def _rarity(sets: DataFrame) -> object:
     return sets.sparkSession.sparkContext.broadcast(counts.tobytes())
 
 
-def _links(sets: DataFrame, sketch: object, known: DataFrame | None, depth: int, similar: int) -> DataFrame:
-    """Pairs (a, b) of nodes of ``sets`` (node, n, hashes, keys) that join all linked ones, with those ``known`` before."""
-    radius = 1 - similar / 100
-    regions = _regions(sets, depth, similar)
-    links = regions.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    links = links if known is None else links.unionByName(known)
-    roots = connected(links)
-    pivots = regions.groupBy("pivot").agg(F.max("d").alias("rho"))
-    widest = pivots.agg(F.max("rho")).first()[0] or 0.0
-    named = pivots.withColumnRenamed("pivot", "node").join(sets.select("node", "n", "hashes"), "node").join(roots, "node", "left")
-    asked = named.select("node", "n", "rho", (F.col("rho") + widest + radius).alias("reach"), F.coalesce("root", "node").alias("root"), "hashes")
-    schema = "node long, n long, rho double, root long, token long, place int"
-    rows = written(asked.mapInArrow(partial(_prefixes, sketch=sketch), schema), "prefixes")
-    common = written(rows.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token"), "tokens")
-    rows = rows.join(common, "token", "left_semi")
-    other = rows.select("token", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "rho", "root", "place")))
+def _near(rows: DataFrame, sets: DataFrame, sketch: object, radius: float, widest: float, similar: int, apart: bool = False) -> DataFrame:
+    """(node, other, d, linked) of ``rows`` (node, n, rho, root, hashes) whose distance is at most the sum of their ``rho`` and the radius.
+
+    With ``apart`` those of different roots alone: nodes of the root that is the most
+    common one of a token meet none of their own.
+    """
+    asked = rows.select("node", "n", "rho", (F.col("rho") + widest + radius).alias("reach"), "hashes", "root")
+    tokens = written(asked.mapInArrow(partial(_prefixes, sketch=sketch), "node long, n long, rho double, token long, place int, root long"), "prefixes")
     share = 1 - (F.col("rho") + F.col("rho_") + radius) - SLACK
     enough = share / (1 + share) * (F.col("n") + F.col("n_"))
     fits = (F.least("n", "n_") >= share * F.greatest("n", "n_")) & (F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) >= enough - SLACK)
-    met = rows.join(other, "token").where((F.col("node") < F.col("node_")) & (F.col("root") != F.col("root_")) & fits)
+    second = lambda df: df.select("token", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "rho", "place", "root")))
+    if apart:
+        kinds = tokens.groupBy("token", "root").agg(F.count("*").alias("size"))
+        major = kinds.groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("major"), F.count("*").alias("roots")).where("roots > 1").select("token", "major")
+        marked = tokens.join(written(major, "majors"), "token")
+        once = (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("major")) | (F.col("node") < F.col("node_")))
+        met = marked.where("root <> major").join(second(tokens), "token").where(once & fits)
+    else:
+        shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"), "token", "left_semi")
+        met = shared.join(second(shared), "token").where((F.col("node") < F.col("node_")) & fits)
     pairs = written(met.select("node", F.col("node_").alias("other"), (F.col("rho") + F.col("rho_") + radius + SLACK).alias("window")).distinct(), "pairs")
-    near = written(_measured(pairs, sets, "node", "other").where("d <= window").select("node", "other", "d", _linked(similar).alias("linked")), "windows")
-    links = written(links.unionByName(near.where("linked").select(F.col("node").alias("a"), F.col("other").alias("b"))).distinct(), "links")
+    return written(_measured(pairs, sets, "node", "other").where("d <= window").select("node", "other", "d", _linked(similar).alias("linked")), "windows")
+
+
+def _roots(sets: DataFrame, similar: int) -> DataFrame:
+    """(node, root) of the linked ones of ``sets`` (node, n, hashes, keys)."""
+    radius, sketch = 1 - similar / 100, _rarity(sets)
+    regions = _regions(sets, similar)
+    pivots = written(regions.groupBy("pivot").agg(F.max("d").alias("rho")), "radii")
+    widest = pivots.agg(F.max("rho")).first()[0] or 0.0
+    centres = pivots.withColumnRenamed("pivot", "node").withColumn("root", F.col("node")).join(sets.select("node", "n", "hashes"), "node")
+    near = _near(centres, sets, sketch, radius, widest, similar)
+    edges = lambda df, b: df.select(F.col("node").alias("a"), F.col(b).alias("b"))
+    links = written(edges(regions.where("node <> pivot"), "pivot").unionByName(edges(near.where("linked"), "other")), "links")
+    roots = connected(links, look=True)
     open_pairs = near.where("not linked")
-    if depth == DEPTH or open_pairs.isEmpty():
-        return links
-    roots = written(connected(links), "joined")
     ends = open_pairs.select(F.explode(F.array(F.struct("node", "other"), F.struct(F.col("other").alias("node"), F.col("node").alias("other")))).alias("e"), "d").select("e.*", "d")
     rooted = ends.join(roots.withColumnRenamed("root", "r1"), "node", "left").join(roots.select(F.col("node").alias("other"), F.col("root").alias("r2")), "other", "left")
     apart = rooted.where(F.coalesce("r1", "node") != F.coalesce("r2", "other"))
     least = apart.join(pivots.select(F.col("pivot").alias("other"), "rho"), "other").groupBy("node").agg(F.min(F.col("d") - F.col("rho") - radius - SLACK).alias("least"))
     boundary = regions.join(least.withColumnRenamed("node", "pivot"), "pivot").where("d >= least").select("node")
-    boundary = written(sets.join(boundary, "node", "left_semi"), "boundary")
-    return links if boundary.isEmpty() else _links(boundary, sketch, links, depth + 1, similar)
+    alone = sets.join(boundary, "node", "left_semi").join(roots, "node", "left").select("node", "n", "hashes", F.lit(0.0).alias("rho"), F.coalesce("root", "node").alias("root"))
+    alone = written(alone, "boundary")
+    if alone.isEmpty():
+        return roots
+    more = _near(alone, alone, sketch, radius, 0.0, similar, apart=True).where("linked")
+    return roots if more.isEmpty() else connected(links.unionByName(edges(more, "other")), look=True)
 
 
 def components(docs: DataFrame, size: int = SIZE, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,8 +258,7 @@ def components(docs: DataFrame, size: int = SIZE, similar: int = SIMILAR, id_col
         found = texts.select(F.col(text_col).cast("binary")).mapInArrow(partial(_sets, size=size), "code long, hashes array<long>, keys array<long>")
         found = found.join(wanted.select("code", "node", "n"), "code").groupBy("node", "n").agg(F.first(F.struct("hashes", "keys")).alias("s"))
         sets = written(found.select("node", "n", "s.hashes", "s.keys"), "sets")
-        roots = connected(_links(sets, _rarity(sets), None, 0, similar))
-        names = written(component_names(classes, roots, "code"), "names", stays=True)
+        names = written(component_names(classes, _roots(sets, similar), "code"), "names", stays=True)
     named = prints.where("n > 0").join(names, "code").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return named.unionByName(prints.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 

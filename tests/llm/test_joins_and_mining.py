@@ -122,14 +122,20 @@ def test_jaccard_join_brute_force(spark, seed):
 
 
 def test_jaccard_join_goes_to_the_borders(spark, monkeypatch):
-    """Regions of touching chains leave pairs to the recursion, and it finds links."""
-    depths = []
-    inner = jaccard_join._links
-    monkeypatch.setattr(jaccard_join, "_links", lambda sets, sketch, known, depth, similar: depths.append(depth) or inner(sets, sketch, known, depth, similar))
+    """Regions of touching chains leave pairs to the second join, and it finds links."""
+    found = []
+    inner = jaccard_join._near
+
+    def near(*args, apart=False):
+        out = inner(*args, apart=apart)
+        found.append((apart, out.where("linked").count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_near", near)
     rows = list(enumerate(chains(random.Random(3), 6, 40)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in jaccard_join.components(df).collect()), key=str) == joined_by_hand(rows)
-    assert max(depths) >= 1
+    assert found[0][0] is False and found[1][0] and found[1][1] > 0
 
 
 def test_jaccard_join_edges(spark, monkeypatch):
