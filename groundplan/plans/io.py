@@ -18,7 +18,7 @@ from groundplan.streaming import arrivals, retries
 
 col = F.col
 #: Columns of the first schedule that the tables hold.
-_HELD = ("property_reference", "block_reference", "address", "postcode", "units", "sum_insured", "property_type", "uprn", "epc_rating", "enrichment_status", "wall_construction")
+_HELD = ("property_reference", "block_reference", "address", "postcode", "units", "sum_insured", "property_type", "uprn", "epc_rating", "enrichment_status", "wall_construction", "roof_construction", "storeys")
 
 
 def scratch(s: Silver, label: str) -> str:
