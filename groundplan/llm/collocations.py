@@ -10,7 +10,8 @@
 3. A partition counts the n-grams that its pivots own. Each n-gram has one owner, so its
    count is whole there, and those below ``least`` end there. Pivots of over ``HOT``
    occurrences are salted by fragment; their n-grams' parts are summed once more.
-4. Cuts, scores, containment and ranks are joins and a window over the frequent phrases.
+4. Cuts, scores and containment are joins over the frequent phrases. A language's are
+   ranked in parts, and the best of the parts once more.
 
 A partition has about ``PART`` words, whatever the input; none holds all of a hot word.
 Buckets only decide on owners and blanks, so equal counts or shared buckets do not change
@@ -41,6 +42,8 @@ REPORT = 2000
 BUCKETS = 1 << 20
 PART = 1_000_000
 HOT = 250_000
+#: Parts in which a language's phrases are ranked first.
+RANK_PARTS = 64
 #: Words of a task that are added up together, and different words that it remembers.
 TOGETHER, REMEMBERED = 1_000_000, 300_000
 _STOP = b"."
@@ -238,8 +241,11 @@ def collocations(docs: DataFrame, least: int = LEAST, report: int = REPORT, lang
     cut = cut.withColumns({"s1": _score("f1", "f23"), "s2": _score("f12", "f3")})
     early = F.col("s1") <= F.col("s2")
     triples = cut.select("lang", F.concat_ws(" ", "word1", "word2", "word3").alias("phrase"), "a", F.when(early, F.col("f1")).otherwise(F.col("f12")).alias("l"), F.when(early, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    best = pairs.unionByName(triples).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= report)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    ranked = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= report)
+    # a language's best are among the best of each of its parts, so no task ranks all of its phrases
+    parts = ranked(pairs.unionByName(triples).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))), "lang", "part")
+    best = ranked(parts, "lang")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
