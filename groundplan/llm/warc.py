@@ -70,30 +70,30 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         least, most = most, most * CLASS_STEP
 
 
-def _headers(block: bytes) -> dict[str, str] | None:
-    found = {}
-    for line in block.split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+def _headers(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
+    """The named fields after the version line at ``at`` and the place behind the blank line; None at the first line that is no field."""
+    found, place = {}, data.find(b"\r\n", at) + 2
+    while (stop := data.find(b"\r\n", place)) > place:
+        name, colon, value = data[place:stop].partition(b":")
         if not colon:
             return None
         found[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    return found
+        place = stop + 2
+    return (found, place + 2) if stop == place else None
 
 
 def record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, payload and end of the valid record that starts at ``at``, else None."""
+    """Headers, payload and end of the valid record that starts at ``at``, else None; nothing is copied before its end mark is seen."""
     if not VERSION.match(data, at):
         return None
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
+    parsed = _headers(data, at)
+    if parsed is None or not parsed[0].get("content-length", "").isdigit():
         return None
-    headers = _headers(data[at:stop])
-    if headers is None or not headers.get("content-length", "").isdigit():
-        return None
-    end = stop + 4 + int(headers["content-length"])
-    payload = data[stop + 4 : end]
+    headers, start = parsed
+    end = start + int(headers["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         return None
+    payload = data[start:end]
     named = headers.get("warc-payload-digest", "").removeprefix("sha256:")
     if named and headers.get("warc-type") != "revisit" and hashlib.sha256(payload).hexdigest() != named:
         return None
