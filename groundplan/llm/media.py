@@ -99,6 +99,8 @@ def _riff(value: _Value, at: int) -> int:
 
 def _png(value: _Value, at: int) -> int:
     data, place, view = value.data, at + 8, memoryview(value.data)
+    if data[place : place + 8] != b"\0\0\0\rIHDR":  # always the first chunk, of 13 bytes
+        return 0
     stop = value.last(b"IEND", place, len(data)) + 8
     while place + 12 <= len(data):
         n = int.from_bytes(data[place : place + 4], "big")
