@@ -40,12 +40,12 @@ from groundplan.llm.common import table, written
 LEAST = 10
 REPORT = 2000
 BUCKETS = 1 << 20
-PART = 1_000_000
+PART = 500_000
 HOT = 250_000
 #: Parts in which a language's phrases are ranked first.
 RANK_PARTS = 64
 #: Words of a task that are added up together, and different words that it remembers.
-TOGETHER, REMEMBERED = 1_000_000, 300_000
+TOGETHER, REMEMBERED = 400_000, 200_000
 _STOP = b"."
 _CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _STOP * 10)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
