@@ -82,15 +82,6 @@ VIEWS: dict[str, str] = {
     "uprn_points": "SELECT c_custkey AS uprn, CAST((c_custkey * 7919) % 601 AS DOUBLE) AS easting, CAST((c_custkey * 104729) % 607 AS DOUBLE) AS northing FROM {customer}",
     "centroids": "SELECT s_suppkey AS postcode, CAST((s_suppkey * 7907) % 601 AS DOUBLE) AS easting, CAST((s_suppkey * 104711) % 607 AS DOUBLE) AS northing FROM {supplier}",
 }
-
-
-def _columns_of(view: str) -> str:
-    """The select list of a view over the assessments' base tables."""
-    return VIEWS[view].split("SELECT ", 1)[1].split("FROM {lineitem}")[0].strip()
-
-
-#: Both kinds of assessments from one join of their base tables: a struct of each kind's columns, of which a plan keeps the used ones.
-REPORTS = f"SELECT o_custkey AS block_id, l_linestatus = 'F' AS is_fra, struct({_columns_of('fra_features')}) AS fra, struct({_columns_of('fraew_features')}) AS fraew FROM {{lineitem}} l JOIN {{orders}} o ON o.o_orderkey = l.l_orderkey WHERE l_linestatus IN ('F', 'O')"
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "benchmark", "conversations", "embeddings")
 
 
