@@ -11,10 +11,9 @@ before them ended in are carried over: both walks of a block are followed until
 in one state, from where on they are the same, and the phrases are counted anew up to
 there. So the parse is that of the text in one piece.
 
-The sample: of each language at most ``SAMPLE_DOCS`` labelled rows, whole, those of up to
-``SAMPLE_CHARS`` characters first and of these the ones with the least hash, and no more
-of them than ``SAMPLE_SYMBOLS`` letters hold (only a language without a text so short is
-learned from that many of its shortest text's). Every letter of the sample is
+The sample: of each language at most ``SAMPLE_DOCS`` labelled rows of up to ``SAMPLE_CHARS``
+characters, those with the least hash, all whole; a language without a row so short is
+learned from its shortest row with a letter, whole. Every letter of the sample is
 told from every other: the ``SINGLE`` most frequent ones are a symbol each, the others
 a sequence of three.
 
@@ -40,8 +39,7 @@ from pyspark.sql import types as T
 from groundplan.llm.common import held_out, table
 
 SAMPLE_DOCS = 24
-SAMPLE_CHARS = 4_000
-SAMPLE_SYMBOLS = 36_000
+SAMPLE_CHARS = 2_000
 SINGLE = 61
 DIGITS = 32
 BLOCK = 1024
@@ -55,21 +53,19 @@ def letters_of(text: str) -> str:
 
 
 def training_sample(docs: DataFrame, train: F.Column, text_col: str, lang_col: str) -> dict[str, str]:
-    """Whole labelled texts of each language, reduced to letters; at most SAMPLE_DOCS rows of a language are read."""
+    """Whole labelled texts of each language, reduced to letters; at most SAMPLE_DOCS rows of a language are learned from."""
     code = F.xxhash64(text_col)
-    known = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = known.select(F.col(lang_col).alias("lang"), code.alias("code"), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0)).alias("over")).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("over", "code"))
-    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("lang", "code", "rank")
+    chosen = rows.withColumn("rank", rank).where((F.col("rank") == 1) | (F.col("over") == 0) & (F.col("rank") <= SAMPLE_DOCS)).select("lang", "code", "rank")
     texts = known.select(F.col(lang_col).alias("lang"), code.alias("code"), F.col(text_col).alias("text"))
     picked = texts.join(F.broadcast(chosen), ["lang", "code"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     found: dict[str, str] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.lang, r.rank)):
         letters = letters_of(r.text)
-        if letters and r.lang not in found:
-            found[r.lang] = letters[:SAMPLE_SYMBOLS]
-        elif letters and len(found[r.lang]) + len(letters) < SAMPLE_SYMBOLS:
-            found[r.lang] += f" {letters}"
+        if letters:
+            found[r.lang] = f"{found[r.lang]} {letters}" if r.lang in found else letters
     return found
 
 

@@ -3,14 +3,17 @@
 A rule is a host suffix with a path prefix, ``allow`` or ``block``; of the rules that fit
 a URL the longest decides. The others are judged by a tree of path templates per host:
 
-* A URL's path is cut at ``/`` into at most ``DEPTH`` segments (what lies deeper is one
-  more segment), each first reduced to its shape: digits become ``#``, hexadecimal
-  strings of 8 and more with digits and letters ``%``; everything else is kept.
+* A URL's path is cut at ``/`` into segments, each first reduced to its shape: digits
+  become ``#``, hexadecimal strings of 8 and more with digits and letters ``%``;
+  everything else is kept.
 * Going down the tree, a branch becomes a wildcard ``*`` if it is variable (less than
   ``SUPPORT`` pages of its host below it) or statistically like its siblings: its share
   of labelled bad pages does not differ from that of all its siblings together by more
   than ``Z`` standard errors. Branches that differ are kept apart. Every level is one
   aggregation by (host, template so far, segment) and one by (host, template so far).
+  A path below whose template there is no other path is finished with its segments as
+  they are, so there are as many levels as different paths of a host have in common, not
+  as many as the deepest path has.
 * A template's badness is its labelled bad share, smoothed by ``PRIOR`` pages of its
   host's share, which in turn is smoothed by the overall share, a quarter if nothing is
   labelled. At ``REJECT`` or more the template's pages are blocked; so none are without a label.
@@ -33,7 +36,6 @@ from groundplan.llm.common import table, written
 
 #: Fixed rules: (verdict, host suffix, path prefix).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DEPTH = 4
 SUPPORT = 4
 Z = 1.96
 PRIOR = 8
@@ -67,31 +69,37 @@ def shape(segment: Column) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Exactly DEPTH + 1 shapes; those that a path lacks are null."""
-    parts = F.split(F.substr(path, F.lit(2)), "/")
-    return F.transform(F.concat(F.slice(parts, 1, DEPTH), F.array(F.when(F.size(parts) > DEPTH, F.array_join(F.slice(parts, F.lit(DEPTH + 1), F.greatest(F.size(parts) - DEPTH, F.lit(0))), "/")))), shape)
+    """The shapes of all segments of a path."""
+    return F.transform(F.split(F.substr(path, F.lit(2)), "/"), shape)
+
+
+def grown(tree: DataFrame, depth: int) -> DataFrame:
+    """``tree`` (host, shapes, n, seen, bad, template), whose templates are ``depth`` segments long, with one more, and whether it is ``done``."""
+    here = tree.withColumn("segment", F.get("shapes", F.lit(depth)))
+    sums = [F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad")]
+    branches = here.groupBy("host", "template", "segment").agg(*sums, F.count("*").alias("leaves"))
+    pooled = branches.groupBy("host", "template").agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"), F.count("*").alias("siblings"), F.sum("leaves").alias("all_leaves"))
+    rest_seen, rest_bad = F.col("all_seen") - F.col("seen"), F.col("all_bad") - F.col("bad")
+    mean = (F.col("all_bad") + 1) / (F.col("all_seen") + 2)
+    error = F.sqrt(mean * (1 - mean) * (1 / F.greatest("seen", F.lit(1)) + 1 / F.greatest(rest_seen, F.lit(1))))
+    apart = F.abs(F.col("bad") / F.greatest("seen", F.lit(1)) - rest_bad / F.greatest(rest_seen, F.lit(1))) > Z * error
+    kept = (F.col("siblings") == 1) | ((F.col("n") >= SUPPORT) & (F.col("seen") > 0) & (rest_seen > 0) & apart)
+    named = branches.join(pooled, ["host", "template"]).select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), F.when(kept, F.col("segment")).otherwise("*").alias("name"), (F.col("all_leaves") == 1).alias("alone"))
+    joined = here.join(named, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & F.col("segment").eqNullSafe(F.col("s")))
+    rest = F.slice("shapes", F.lit(depth + 1), F.size("shapes"))
+    tail = F.when(F.col("segment").isNull(), "").when(F.col("alone"), F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise(F.concat(F.lit("/"), "name"))
+    return joined.select("host", "shapes", "n", "seen", "bad", F.concat("template", tail).alias("template"), (F.col("segment").isNull() | F.col("alone")).alias("done"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """Per (host, shapes): its ``template`` and smoothed ``badness``. ``pages``: host, shapes, bad (null if not labelled)."""
     leaves = pages.groupBy("host", "shapes").agg(F.count("*").alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = leaves.withColumn("template", F.lit(""))
-    for depth in range(DEPTH + 1):
-        tree = written(tree, "templates")  # each level reads it three times
-        segment = F.get("shapes", F.lit(depth))
-        branches = tree.groupBy("host", "template", segment.alias("segment")).agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
-        pooled = branches.groupBy("host", "template").agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"), F.count("*").alias("siblings"))
-        rest_seen, rest_bad = F.col("all_seen") - F.col("seen"), F.col("all_bad") - F.col("bad")
-        mean = (F.col("all_bad") + 1) / (F.col("all_seen") + 2)
-        error = F.sqrt(mean * (1 - mean) * (1 / F.greatest("seen", F.lit(1)) + 1 / F.greatest(rest_seen, F.lit(1))))
-        apart = F.abs(F.col("bad") / F.greatest("seen", F.lit(1)) - rest_bad / F.greatest(rest_seen, F.lit(1))) > Z * error
-        kept = (F.col("siblings") == 1) | ((F.col("n") >= SUPPORT) & (F.col("seen") > 0) & (rest_seen > 0) & apart)
-        named = branches.join(pooled, ["host", "template"]).select("host", "template", "segment", F.when(F.col("segment").isNull(), "").when(kept, F.col("segment")).otherwise("*").alias("name"))
-        here = tree.withColumn("segment", F.get("shapes", F.lit(depth)))
-        right = named.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), "name")
-        joined = here.join(right, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & F.col("segment").eqNullSafe(F.col("s")))
-        tree = joined.select("host", "shapes", "n", "seen", F.col("bad"), F.concat("template", F.when(F.col("segment").isNotNull(), F.concat(F.lit("/"), "name")).otherwise("")).alias("template"))
-    tree = written(tree, "templates")
+    level = written(leaves.select("*", F.lit("").alias("template"), F.lit(False).alias("done")), "templates")  # each level reads it three times
+    finished, depth = level.where("done"), 0
+    while not level.where("not done").isEmpty():
+        level = written(grown(level.where("not done").drop("done"), depth), "templates")
+        finished, depth = finished.unionByName(level.where("done")), depth + 1
+    tree = finished.drop("done")
     by_template = tree.groupBy("host", "template").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     by_host = by_template.groupBy("host").agg(F.sum("seen").alias("host_seen"), F.sum("bad").alias("host_bad"))
     overall = by_host.agg(F.sum("host_seen").alias("seen"), F.sum("host_bad").alias("bad")).first()  # two numbers
@@ -127,43 +135,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same tree in SQL: a chain of common tables, three for each level."""
-    segment = [f"s{k}" for k in range(DEPTH + 1)]
-    shaped = ", ".join(f"CASE WHEN regexp_matches({x}, '^[0-9A-Fa-f]{{8,}}$') AND regexp_matches({x}, '[0-9]') AND regexp_matches({x}, '[A-Fa-f]') THEN '%' ELSE regexp_replace({x}, '[0-9]+', '#', 'g') END AS {x}" for x in segment)
-    cut = ", ".join(f"parts[{k + 1}] AS s{k}" for k in range(DEPTH)) + f", CASE WHEN len(parts) > {DEPTH} THEN array_to_string(parts[{DEPTH + 1}:len(parts)], '/') END AS s{DEPTH}"
+    """The same tree in SQL: a step of the recursion for each level, down to the deepest path, without the shortcut for lone paths."""
+    shaped = "CASE WHEN regexp_matches(x, '^[0-9A-Fa-f]{8,}$') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Fa-f]') THEN '%' ELSE regexp_replace(x, '[0-9]+', '#', 'g') END"
     rules = sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))
     fits = lambda suffix, prefix: f"(host = '{suffix}' OR ends_with(host, '.{suffix}')) AND starts_with(path, '{prefix}')"
     rule = "CASE " + " ".join(f"WHEN {fits(s, p)} THEN '{s}{p}'" for _, s, p in rules) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(s, p)} THEN '{k}'" for k, s, p in rules) + " END"
-    keys = ", ".join(segment)
-    parts = [
-        "labelled AS (SELECT doc_id AS key, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1)",
-        "parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages)",
-        f"cut AS (SELECT page_id, host, path, {cut} FROM (SELECT p.*, string_split(substr(path, 2), '/') AS parts FROM parsed p) x)",
-        f"work AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS by_rule, TRY_CAST(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1) AS BIGINT) AS key, {shaped} FROM cut)",
-        f"t0 AS (SELECT host, {keys}, count(*) AS n, count(bad) AS seen, coalesce(sum(bad), 0) AS bad, '' AS template FROM work LEFT JOIN labelled ON work.key = labelled.key GROUP BY host, {keys})",
-    ]
-    for d in range(DEPTH + 1):
-        mean = "((all_bad + 1.0) / (all_seen + 2))"
-        rest = "greatest(all_seen - seen, 1)"
-        error = f"sqrt({mean} * (1 - {mean}) * (1.0 / greatest(seen, 1) + 1.0 / {rest}))"
-        apart = f"abs(bad * 1.0 / greatest(seen, 1) - (all_bad - bad) * 1.0 / {rest}) > {Z} * {error}"
-        parts += [
-            f"b{d} AS (SELECT host, template, s{d} AS segment, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(seen) AS DOUBLE) AS seen, CAST(sum(bad) AS DOUBLE) AS bad FROM t{d} GROUP BY 1, 2, 3)",
-            f"p{d} AS (SELECT host, template, sum(seen) AS all_seen, sum(bad) AS all_bad, count(*) AS siblings FROM b{d} GROUP BY 1, 2)",
-            f"n{d} AS (SELECT b.host, b.template, segment, CASE WHEN segment IS NULL THEN '' WHEN siblings = 1 OR (n >= {SUPPORT} AND seen > 0 AND all_seen - seen > 0 AND {apart}) THEN segment ELSE '*' END AS name FROM b{d} b JOIN p{d} p ON b.host = p.host AND b.template = p.template)",
-            f"t{d + 1} AS (SELECT t.host, {', '.join('t.' + x for x in segment)}, t.n, t.seen, t.bad, concat(t.template, CASE WHEN segment IS NOT NULL THEN concat('/', name) ELSE '' END) AS template FROM t{d} t JOIN n{d} n ON t.host = n.host AND t.template = n.template AND t.s{d} IS NOT DISTINCT FROM n.segment)",
-        ]
-    last = f"t{DEPTH + 1}"
-    parts += [
-        f"bt AS (SELECT host, template, CAST(sum(seen) AS DOUBLE) AS seen, CAST(sum(bad) AS DOUBLE) AS bad FROM {last} GROUP BY 1, 2)",
-        "bh AS (SELECT host, sum(seen) AS host_seen, sum(bad) AS host_bad FROM bt GROUP BY 1)",
-        "al AS (SELECT (sum(host_bad) + 1) / (sum(host_seen) + 4) AS share FROM bh)",
-        f"sc AS (SELECT bt.host, template, (bad + {PRIOR} * ((host_bad + {PRIOR} * share) / (host_seen + {PRIOR}))) / (seen + {PRIOR}) AS badness FROM bt JOIN bh ON bt.host = bh.host CROSS JOIN al)",
-    ]
-    same = " AND ".join(f"w.{x} IS NOT DISTINCT FROM t.{x}" for x in segment)
-    final = f"SELECT w.page_id, w.host, w.path, w.rule, coalesce(w.by_rule, CASE WHEN sc.badness >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, t.template, round(sc.badness, 6) AS badness FROM work w LEFT JOIN {last} t ON w.host = t.host AND {same} LEFT JOIN sc ON sc.host = t.host AND sc.template = t.template"
-    return "WITH " + ",\n".join(parts) + "\n" + final
+    mean = "((all_bad + 1.0) / (all_seen + 2))"
+    rest = "greatest(all_seen - b_seen, 1)"
+    error = f"sqrt({mean} * (1 - {mean}) * (1.0 / greatest(b_seen, 1) + 1.0 / {rest}))"
+    apart = f"abs(b_bad * 1.0 / greatest(b_seen, 1) - (all_bad - b_bad) * 1.0 / {rest}) > {Z} * {error}"
+    kept = f"siblings = 1 OR (b_n >= {SUPPORT} AND b_seen > 0 AND all_seen - b_seen > 0 AND {apart})"
+    return f"""WITH RECURSIVE labelled AS (SELECT doc_id AS key, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
+work AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS by_rule, TRY_CAST(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1) AS BIGINT) AS key, list_transform(string_split(substr(path, 2), '/'), lambda x: {shaped}) AS shapes FROM parsed),
+leaves AS (SELECT host, shapes, CAST(count(*) AS DOUBLE) AS n, CAST(count(bad) AS DOUBLE) AS seen, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM work LEFT JOIN labelled ON work.key = labelled.key GROUP BY host, shapes),
+deepest AS (SELECT max(len(shapes)) AS m FROM leaves),
+tree AS (SELECT host, shapes, n, seen, bad, '' AS template, 0 AS d FROM leaves
+ UNION ALL
+ SELECT host, shapes, n, seen, bad, concat(template, CASE WHEN segment IS NULL THEN '' WHEN {kept} THEN concat('/', segment) ELSE '/*' END), d + 1
+ FROM (SELECT *, sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY host, template) AS siblings FROM
+  (SELECT *, sum(n) OVER (PARTITION BY host, template, segment) AS b_n, sum(seen) OVER (PARTITION BY host, template, segment) AS b_seen, sum(bad) OVER (PARTITION BY host, template, segment) AS b_bad,
+    row_number() OVER (PARTITION BY host, template, segment ORDER BY shapes) AS nth, sum(seen) OVER (PARTITION BY host, template) AS all_seen, sum(bad) OVER (PARTITION BY host, template) AS all_bad
+   FROM (SELECT tree.*, shapes[d + 1] AS segment FROM tree, deepest WHERE d < m) a) b) c),
+last AS (SELECT tree.* FROM tree, deepest WHERE d = m),
+bt AS (SELECT host, template, CAST(sum(seen) AS DOUBLE) AS seen, CAST(sum(bad) AS DOUBLE) AS bad FROM last GROUP BY 1, 2),
+bh AS (SELECT host, sum(seen) AS host_seen, sum(bad) AS host_bad FROM bt GROUP BY 1),
+al AS (SELECT (sum(host_bad) + 1) / (sum(host_seen) + 4) AS share FROM bh),
+sc AS (SELECT bt.host, template, (bad + {PRIOR} * ((host_bad + {PRIOR} * share) / (host_seen + {PRIOR}))) / (seen + {PRIOR}) AS badness FROM bt JOIN bh ON bt.host = bh.host CROSS JOIN al)
+SELECT w.page_id, w.host, w.path, w.rule, coalesce(w.by_rule, CASE WHEN sc.badness >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, t.template, round(sc.badness, 6) AS badness
+FROM work w LEFT JOIN last t ON w.host = t.host AND w.shapes = t.shapes LEFT JOIN sc ON sc.host = t.host AND sc.template = t.template"""
 
 
 ORACLE_SQL = _oracle()

@@ -121,6 +121,37 @@ def test_url_templates_follow_labels(spark):
     assert {r.template for r in found} == {"/bad/#", "/good/#"}
 
 
+def test_url_templates_at_any_depth(spark, tmp_path):
+    """Paths of up to twelve segments, with some that end where others go on, against the same tree in SQL."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(4)
+    trunk = ["a", "b", "c", "d", "e", "f", "g"]
+    urls = [f"http://{rng.choice(['x', 'y'])}.net/" + "/".join([*trunk[: rng.randint(0, 7)], *(rng.choice(["u", "v", "w7", "", "0a1b2c3d"]) for _ in range(rng.randint(0, 5))), str(k)]) for k in range(400)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, *urls[:20], None, "http://x.net"])], "page_id long, url string")
+    marks = spark.createDataFrame([(k, rng.randint(0, 1)) for k in range(0, 400, 2)], "doc_id long, quality int")
+    found = url_filter.judge(pages, url_filter.labels_of(marks)).collect()
+    duck = duckdb.connect()
+    for name, df in (("pages", pages), ("labels", marks)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    assert sorted(map(tuple, found)) == sorted(duck.sql(url_filter.ORACLE_SQL).fetchall())
+    deep = spark.createDataFrame([(k, f"http://h.net/a/b/c/d/e/f/{'bad' if k % 2 else 'good'}/{k}") for k in range(80)], "page_id long, url string")
+    verdicts = url_filter.judge(deep, spark.createDataFrame([(k, k % 2) for k in range(60)], "key long, bad int")).collect()
+    assert {(r.template, r.verdict) for r in verdicts} == {("/a/b/c/d/e/f/bad/#", "block"), ("/a/b/c/d/e/f/good/#", "allow")}
+
+
+def test_language_sample_has_whole_rows(spark):
+    """Rows within the length are all whole, up to the number; a language with long rows alone is learned from the shortest."""
+    rows = [(k, f"{chr(97 + k % 26)} word" * 60, "en") for k in range(40)] + [(50, "mot " * 3000, "fr"), (51, "mot " * 2000, "fr"), (52, "...", "fr"), (53, None, "fr"), (54, "123", "de")]
+    sample = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), "text", "lang")
+    assert set(sample) == {"en", "fr"} and sample["fr"] == ("mot " * 2000).strip()
+    whole = {language_id.letters_of(t) for _, t, lang in rows if lang == "en"}
+    assert len(whole) > language_id.SAMPLE_DOCS and sum(sample["en"].count(w) for w in whole) == language_id.SAMPLE_DOCS
+
+
 def test_media(docs, none):
     found = media.sniff(media.store(docs), "doc_id", "declared", "media", keep=("n_bytes",)).collect()
     for r in found:
