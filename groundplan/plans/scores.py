@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundplan.functions import address, bands, geo, rules, scoring, values
-from groundplan.operators import detect, graph, similar
+from groundplan.operators import detect, graph, json_schema, similar
 from groundplan.operators import relational as ops
+from groundplan.plans import record_schemas
 from groundplan.plans.aggregates import FORM_SQL
 from groundplan.plans.registry import RATIO_SQL, query
 from groundplan.plans.relational import ASSESSED, assessed_blocks, latest_fra, latest_fraew, near_points
@@ -286,6 +287,43 @@ def record_checks(s: Silver) -> DataFrame:
     return s.properties.select("property_id", F.array_join(errors(checks), "|").alias("errors"))
 
 
+_TYPES_SQL = ", ".join(f"'{t}'" for t in ("Apartment", "Terraced", "Semi-Detached", "Detached", "Bungalow", "Maisonette"))
+
+
+@query("sco_33_property", f"""SELECT property_id, concat_ws('|', CASE WHEN uprn IS NOT NULL AND length(uprn) <> 12 THEN '$.uprn: pattern' END, CASE WHEN ha_id NOT IN ('ha_0', 'ha_1') THEN '$.region: enum' END,
+  CASE WHEN postcode IS NOT NULL AND property_id % 7 = 0 THEN '$.postcode: pattern' END, CASE WHEN property_id % 31 = 0 AND latitude IS NOT NULL THEN '$.lat: type' WHEN latitude < 49 OR latitude > 61 THEN '$.lat: minimum' END,
+  CASE WHEN longitude < -8 OR longitude > 2 THEN '$.lon: minimum' END, CASE WHEN build_year < 1900 AND property_id % 2 = 0 THEN '$.buildYear: minimum' END, CASE WHEN property_type NOT IN ({_TYPES_SQL}) THEN '$.type: enum' END,
+  CASE WHEN tenure = 'Social rent' THEN '$.tenure: enum' END, CASE WHEN units IS NOT NULL AND property_id % 5 = 0 THEN '$.numberOfUnits: minimum' END, CASE WHEN property_id % 9 = 0 THEN '$.odd: additionalProperties' END) AS errors FROM properties""")
+def property_records(s: Silver) -> DataFrame:
+    """Properties as JSON records against the property schema; some fields are spoilt, so that each kind of rule has something to find."""
+    nth = lambda n: col("property_id") % n == 0
+    region = F.when(col("ha_id") == "ha_0", "Scotland").when(col("ha_id") == "ha_1", "South West").otherwise("Elsewhere")
+    record = {
+        "id": col("property_id"), "uprn": col("uprn"), "address": col("address"), "region": region, "postcode": F.when(nth(7), F.concat("postcode", F.lit("?"))).otherwise(col("postcode")),
+        "lon": col("longitude"), "buildYear": F.when(nth(2) & (col("build_year") < 1900), col("build_year") - 1000).otherwise(col("build_year")), "type": col("property_type"), "tenure": col("tenure"),
+        "epcRating": col("epc_rating"), "sumInsured": col("sum_insured"), "numberOfUnits": F.when(nth(5), F.lit(0) * col("units")).otherwise(col("units")), "odd": F.when(nth(9), True),
+    }
+    # a field that is a number in some records and a text in others is put in as a map's
+    latitude = F.when(nth(31), F.to_json(F.create_map(F.lit("lat"), col("latitude").cast("string")))).otherwise(F.to_json(F.create_map(F.lit("lat"), col("latitude"))))
+    plain = F.to_json(F.struct(*(c.alias(k) for k, c in record.items())))
+    text = F.when(col("latitude").isNull(), plain).otherwise(F.concat(F.regexp_replace(plain, r"\}$", ","), F.substr(latitude, F.lit(2))))
+    return s.properties.select("property_id", F.array_join(json_schema.violations_of_text(record_schemas.PROPERTY, text), "|").alias("errors"))
+
+
+@query("sco_33_upload", """SELECT upload_id, concat_ws('|', CASE WHEN upload_id % 7 = 0 THEN '$.message: required' END, CASE WHEN upload_id % 3 = 0 THEN '$.columns[1]: type' END, CASE WHEN upload_id % 4 = 0 THEN '$.data[0]: type' END,
+  CASE WHEN upload_id % 5 = 0 THEN '$.column_mapping.b: type' END, CASE WHEN upload_id % 11 = 0 THEN '$.row_count: type' WHEN upload_id % 13 = 0 THEN '$.row_count: minimum' END) AS errors FROM uploads WHERE upload_id % 17 <> 0
+ UNION ALL SELECT upload_id, '$: json' FROM uploads WHERE upload_id % 17 = 0""")
+def upload_records(s: Silver) -> DataFrame:
+    """Answers to uploads as JSON texts against their schema: items of arrays, members of any name, and texts that are cut off."""
+    nth = lambda n: col("upload_id") % n == 0
+    parts = [
+        F.lit('{"success": true'), F.when(nth(7), "").otherwise(F.concat(F.lit(', "message": '), F.to_json(F.array("status")).substr(F.lit(2), F.length("status") + 2))),
+        F.when(nth(3), ', "columns": ["a", 7]').otherwise(', "columns": ["a", "b"]'), F.when(nth(4), ', "data": [[1], {}]').otherwise(', "data": [{"a": null}]'),
+        F.when(nth(5), ', "column_mapping": {"a": "b", "b": null}').otherwise(', "column_mapping": {}'), F.lit(', "row_count": '), F.when(nth(11), "1.5").when(nth(13), "-1").otherwise("12.0"), F.when(nth(17), "").otherwise("}"),
+    ]
+    return s.uploads.select("upload_id", F.array_join(json_schema.violations_of_text(record_schemas.UPLOAD_RESPONSE, F.concat(*parts)), "|").alias("errors"))
+
+
 # --- values ----------------------------------------------------------------
 
 _MONEY = "CASE o_orderkey % 5 WHEN 0 THEN concat('£', CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR), ',000') WHEN 1 THEN ' 0 ' WHEN 2 THEN 'n/a' WHEN 3 THEN NULL ELSE CAST(o_orderkey AS VARCHAR) END"

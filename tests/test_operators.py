@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groundplan.functions import address, bands, geo, rules, scoring, values
-from groundplan.operators import detect, documents, graph, ingest, relational, similar, spatial, validate
+from groundplan.operators import detect, documents, graph, ingest, json_schema, relational, similar, spatial, validate
 from groundplan.sources import exports, readers, snapshots, workbook
 from groundplan.streaming import arrivals
 
@@ -301,3 +301,34 @@ def test_repairs_and_retention(spark):
     policies = spark.createDataFrame([("a", 365, True), ("b", 1, False)], "data_type string, retention_days int, auto_delete boolean")
     kept, audit = retention.enforce(rows, policies, "id", F.lit(date(2024, 6, 1)))
     assert sorted(r.id for r in kept.collect()) == [2, 3, 4] and [(r.id, r.deleted_on) for r in audit.collect()] == [(1, date(2024, 6, 1))]
+
+
+def test_json_schemas(spark):
+    from groundplan.plans import record_schemas
+
+    schema = {
+        "definitions": {"small": {"type": "integer", "exclusiveMaximum": 5}},
+        "type": "object", "required": ["a", "b c"],
+        "properties": {"a": {"$ref": "#/definitions/small"}, "b c": {"type": ["string", "null"], "minLength": 2, "maxLength": 3}, "d": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"anyOf": [{"const": "x"}, {"type": "number", "multipleOf": 0.5}]}}, "e": False, "f": {"not": {"enum": [None, True, 2]}}},
+        "patternProperties": {"^n_": {"type": "object", "additionalProperties": {"oneOf": [{"type": "integer"}, {"minimum": 3}]}}},
+        "additionalProperties": False,
+    }
+    cases = {
+        '{"a": 1, "b c": null}': [], '{"a": 4.0, "b c": "😀z"}': [], '{"a": 5, "b c": "long"}': ["$.a: exclusiveMaximum", "$.b c: maxLength"],
+        '{"a": "1"}': ["$.b c: required", "$.a: type"], '{"a": 1, "b c": "xy", "d": [], "e": 0}': ["$.d: minItems", "$.e: false"],
+        '{"a": 1, "b c": "xy", "d": ["x", 0.25, 1.5]}': ["$.d: maxItems", "$.d[1]: anyOf"], '{"a": 1, "b c": "xy", "f": 2.0}': ["$.f: not"], '{"a": 1, "b c": "xy", "f": "2"}': [],
+        '{"a": 1, "b c": "xy", "n_1": {"k": 3}, "n_2": {"k": 2, "l": "s"}, "n_3": [], "o": {}}': ["$.n_1.k: oneOf", "$.n_3: type", "$.o: additionalProperties"],
+        "[]": ["$: type"], "null": ["$: type"], "{": ["$: json"], "": ["$: json"],
+    }
+    texts = [*cases, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", json_schema.violations_of_text(schema, F.col("t")).alias("v"))
+    assert {texts[r.k]: r.v for r in df.collect()} == cases | {None: ["$: json"]}
+    for wrong in ({"contains": {}}, {"$ref": "other.json"}, {"enum": [[1]]}, {"definitions": {"a": {"items": {"$ref": "#/definitions/a"}}}, "$ref": "#/definitions/a"}):
+        with pytest.raises(ValueError):
+            json_schema.violations(wrong, F.lit(None))
+    scores = {"detected_type": "year", "confidence": 0.9, "all_scores": {"year": 1, "date": 0.2}, "format": "%Y", "unique_count": 3}
+    import json
+
+    found = spark.createDataFrame([(json.dumps({"built": scores, "x": {**scores, "format": "%Y%m%d", "confidence": 1.5, "all_scores": {"colour": 1}}}), json.dumps({"id": True, "uprn": 1.5, "new": []}))], "d string, s string")
+    row = found.select(json_schema.violations_of_text(record_schemas.DETECTION, F.col("d")).alias("d"), json_schema.violations_of_text(record_schemas.STANDARDIZED, F.col("s")).alias("s")).first()
+    assert sorted(row.d) == ["$.built.format: enum", "$.x.all_scores.colour: additionalProperties", "$.x.confidence: maximum"] and sorted(row.s) == ["$.id: type", "$.uprn: type"]
