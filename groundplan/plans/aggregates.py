@@ -384,6 +384,6 @@ def first_gap(s: Silver) -> DataFrame:
 
 @query("density_summary", "SELECT n, count(*) AS points FROM (SELECT a.uprn, count(*) AS n FROM uprn_points a JOIN uprn_points b ON sqrt((a.easting - b.easting) * (a.easting - b.easting) + (a.northing - b.northing) * (a.northing - b.northing)) <= 30 GROUP BY 1) x GROUP BY 1")
 def density_summary(s: Silver) -> DataFrame:
-    counts = spatial.within(s.uprn_points, s.uprn_points.withColumnRenamed("uprn", "other"), 30).groupBy("uprn").agg(F.count("*").alias("n"))
+    counts = spatial.sums_within(s.uprn_points, 30, {"n": F.lit(1)})
     return counts.groupBy("n").agg(F.count("*").alias("points"))
 
