@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from groundplan.sources.snapshots import SnapshotTable
+from groundplan.operators.lineage_cut import cut
+from groundplan.sources.snapshots import SnapshotTable, Staged
 
 #: What ``enriched`` adds.
 ADDED = "uprn string, enrichment_status string"
@@ -39,18 +40,24 @@ def enriched(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def enrich(stream: DataFrame, known: DataFrame, table: SnapshotTable, key: str, checkpoint: str, rows: int = 5_000, writer: str = "enrichment") -> StreamingQuery:
-    """Enriches a stream of rows into ``table``; stop and start it with the same ``checkpoint`` and ``writer``."""
+    """Enriches a stream of rows into ``table``; stop and start it with the same ``checkpoint`` and ``writer``.
+
+    What is ``known`` is computed once, and a batch is read, joined and written once,
+    however many commits it takes.
+    """
+    known = cut(known)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            size = batch.count()
-            parts = max(1, -(-size // rows))
-            for k in range(parts):
-                if table.has(writer, [number, k]):
-                    continue
-                part = batch.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) if parts > 1 else batch
-                table.append(enriched(part, known), writer, [number, k], {"part": k + 1, "parts": parts})
+            parts = max(1, -(-batch.count() // rows))
+            left = [k for k in range(parts) if not table.has(writer, [number, k])]
+            if not left:
+                return
+            dealt = batch.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).where(F.col("_part") >= left[0])
+            staged = table.stage(enriched(dealt, known).repartition(len(left), "_part"), "_part")
+            for k in left:
+                table.append(staged.get(k, Staged("", 0)), writer, [number, k], {"part": k + 1, "parts": parts})
         finally:
             batch.unpersist()
 

@@ -107,6 +107,19 @@ def test_attempts_in_any_order_and_split(spark, tmp_path):
         assert table.read().groupBy("upload_id", "step").count().where("count > 1").isEmpty()
 
 
+def test_a_batch_of_many_commits_is_joined_once(spark, tmp_path, monkeypatch):
+    joins, plain = [], enrichment.enriched
+    monkeypatch.setattr(enrichment, "enriched", lambda *a: joins.append(1) or plain(*a))
+    source, schema = str(tmp_path / "in"), "property_id long, postcode string, address string"
+    spark.range(300).selectExpr("id AS property_id", "'AB1 2CD' AS postcode", "concat(id, ' High Street') AS address").coalesce(1).write.parquet(source)
+    known = enrichment.references(spark.createDataFrame([("AB1 2CD", "7 high street", "11")], "postcode string, address string, uprn string"))
+    table = SnapshotTable(spark, str(tmp_path / "t"), schema + ", " + enrichment.ADDED)
+    enrichment.enrich(spark.readStream.schema(schema).parquet(source), known, table, "property_id", str(tmp_path / "c"), rows=10).awaitTermination()
+    assert len(joins) == 1 and table.last()["version"] == 29 and table.last()["rows"] == 300
+    assert [e["part"] for e in table.history()] == list(range(1, 31)) and max(b["rows"] - a["rows"] for a, b in zip(table.history(), table.history()[1:])) < 40
+    assert sorted((r.property_id, r.uprn) for r in table.read().collect() if r.uprn) == [(7, "11")] and table.vacuum() == 0 and table.read().count() == 300
+
+
 def test_enrichment_goes_on_where_it_broke(spark, tmp_path, monkeypatch):
     known = enrichment.references(spark.createDataFrame([("AB1 2CD", "1 High Street, Town", "11"), ("ab12cd", "1 high street town", "10"), ("AB1 2CD", "2 Low Road", None)], "postcode string, address string, uprn string"))
     source = str(tmp_path / "in")
