@@ -343,8 +343,7 @@ def substring_attach(s: Silver) -> DataFrame:
 def greedy_assignment(s: Silver) -> DataFrame:
     """Points to shapes one to one, the first point first; rows only, as SQL has no such pass. Candidates meet by grid cell."""
     shapes = s.centroids.select(col("postcode").alias("shape"), "easting", "northing")
-    near = spatial.within(shapes, s.uprn_points.select(col("uprn").alias("point"), "easting", "northing"), 45)
-    return spatial.greedy_pairs(near)
+    return spatial.greedy_within(s.uprn_points.select(col("uprn").alias("point"), "easting", "northing"), shapes, 45)
 
 
 @query("agg_overdue_by_block", "SELECT block_id, coalesce(overdue_action_count, 0) AS overdue FROM (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY block_id ORDER BY assessment_date DESC NULLS LAST, created_seq DESC, fra_id DESC) AS rn FROM fra_features f) x WHERE rn = 1) y")
