@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from groundplan.functions import address, values
 from groundplan.functions.bands import age_band
+from groundplan.operators.lineage_cut import cut
 from groundplan.operators.numbering import numbered
 
 #: Words that mark sheets, headers and columns.
@@ -58,6 +59,8 @@ FIELDS = {
 }
 FRAGMENTS = (("address line 1", "address line 2", "address line 3"), ("add 1", "add 2", "add 3"), ("add_1", "add_2", "add_3"), ("hse no", "street", "flat"), ("address 1", "address 2", "address 3"))
 HEADER_SCAN = 10
+#: So many plans, a row a sheet, are broadcast to the rows; more are joined by shuffles, a sheet in so many shares.
+BROADCAST_PLANS, SHARES = 20_000, 64
 
 
 @dataclass
@@ -139,11 +142,24 @@ def _mapped(headers: list[str | None]) -> tuple[dict[str, int], list[int]]:
     return column_map(headers)
 
 
-def plans(rows: DataFrame) -> DataFrame:
-    """(path, sheet_idx, sheet, header_row, columns, parts, rows): of each sheet with a column that is known. The mapper sees one header a sheet."""
-    sizes = rows.groupBy("path", "sheet_idx").agg(F.count("*").alias("rows"))
+def _planned(rows: DataFrame) -> DataFrame:
+    """(path, sheet_idx, sheet, header_row, columns, parts): of each sheet with a column that is known. The mapper sees one header a sheet."""
     mapped = header_scores(rows).withColumn("m", _mapped("cells")).select("path", "sheet_idx", "sheet", F.col("row_idx").alias("header_row"), "m.columns", "m.parts")
-    return mapped.where((F.size("columns") > 0) | (F.size("parts") > 0)).join(sizes, ["path", "sheet_idx"])
+    return mapped.where((F.size("columns") > 0) | (F.size("parts") > 0))
+
+
+def plans(rows: DataFrame) -> DataFrame:
+    """The plan of each sheet with a column that is known, with its number of ``rows``."""
+    return _planned(rows).join(rows.groupBy("path", "sheet_idx").agg(F.count("*").alias("rows")), ["path", "sheet_idx"])
+
+
+def with_plans(rows: DataFrame, wanted: DataFrame, most: int = BROADCAST_PLANS) -> DataFrame:
+    """``rows`` with the plans (path, sheet_idx, ...) of their sheets; a sheet of any length is many tasks."""
+    on = ["path", "sheet_idx"]
+    if wanted.count() <= most:
+        return rows.join(F.broadcast(wanted), on)
+    shares = wanted.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return rows.withColumn("_share", F.pmod("row_idx", F.lit(SHARES))).join(shares, [*on, "_share"]).drop("_share")
 
 
 def plan(rows: DataFrame) -> list[SheetPlan]:
@@ -269,8 +285,10 @@ def properties(rows: DataFrame) -> DataFrame:
     """All workbooks' properties, by the plan of each sheet; of a repeated reference of a workbook the first by sheet and row."""
     from groundplan.operators.relational import first_per_group
 
-    wanted = plans(rows).where(F.map_contains_key("columns", F.lit("property_reference")) | F.map_contains_key("columns", F.lit("address")) | (F.size("parts") > 0)).drop("sheet", "rows")
+    wanted = cut(_planned(rows).where(F.map_contains_key("columns", F.lit("property_reference")) | F.map_contains_key("columns", F.lit("address")) | (F.size("parts") > 0)).drop("sheet"))
     if wanted.isEmpty():
         raise ValueError("no sheet has a reference or an address column")
-    body = rows.join(wanted, ["path", "sheet_idx"]).where((F.col("row_idx") > F.col("header_row")) & keep_row(F.col("cells")))
-    return first_per_group(_typed(body), ["path", "property_reference"], [F.col("sheet_idx"), F.col("row_idx")])
+    body = with_plans(rows, wanted).where((F.col("row_idx") > F.col("header_row")) & keep_row(F.col("cells")))
+    # references seldom repeat: dealt first, so that no task sorts all rows of its part of the input to drop some
+    dealt = _typed(body).repartition("path", "property_reference")
+    return first_per_group(dealt, ["path", "property_reference"], [F.col("sheet_idx"), F.col("row_idx")])

@@ -18,9 +18,12 @@ RANGES = 64
 
 
 def ranged(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """``df`` with the number of its range of ``order``, a number or date, as ``_range``."""
+    """``df`` with the number of its range of ``order``, a number or date, as ``_range``; no plan over its rows if it has none."""
     shares = [k / ranges for k in range(1, ranges)]
-    edges = df.agg(F.percentile_approx(order, F.array(*map(F.lit, shares)), F.lit(100 * ranges)).alias("e")).first().e or []
+    found = df.agg(F.percentile_approx(order, F.array(*map(F.lit, shares)), F.lit(100 * ranges)).alias("e"), F.count("*").alias("n")).first()
+    if not found.n:
+        return df.where(F.lit(False)).withColumn("_range", F.lit(0))
+    edges = found.e or []
     cuts = F.array(*(F.lit(e) for e in sorted(set(edges)))) if edges else F.array().cast("array<int>")
     return df.withColumn("_range", F.size(F.filter(cuts, lambda e: e < F.col(order))) if edges else F.lit(0))
 
