@@ -225,11 +225,11 @@ def joined(rows: DataFrame, primary: SheetPlan, plan_: JoinPlan, secondary: Shee
     typed = extract(rows.where(F.col("sheet") == plan_.sheet), secondary, "_key", key)
     fields = [f for f in plan_.fields if f in typed.columns]
     # of a key that comes several times, the first row that has the field
-    first = typed.groupBy("_key").agg(F.min("row_idx").alias("order"), *(F.min_by(f, F.when(F.col(f).isNotNull(), F.col("row_idx"))).alias(f"_{f}") for f in fields))
-    base = extract(rows, primary, "_key", cell(plan_.primary_key)).withColumn("id", F.xxhash64("path", "sheet_idx", "row_idx"))
-    matches = lookup.by_reference(base.select("id", F.col("_key").alias("key")), first.select(F.col("_key").alias("key"), "order"))
-    filled = base.join(matches.select("id", "matched"), "id", "left").join(first.withColumnRenamed("_key", "matched").drop("order"), "matched", "left")
-    return filled.select(*((F.coalesce(c, f"_{c}").alias(c) if c in fields else F.col(c)) for c in base.columns if c not in ("id", "_key")))
+    first = cut(typed.groupBy("_key").agg(F.min("row_idx").alias("order"), *(F.min_by(f, F.when(F.col(f).isNotNull(), F.col("row_idx"))).alias(f"_{f}") for f in fields)))
+    base = extract(rows, primary, "_key", cell(plan_.primary_key))
+    matches = lookup.references(base.select(F.col("_key").alias("key")), first.select(F.col("_key").alias("key"), "order")).select(F.col("key").alias("_key"), "matched")
+    filled = base.join(matches.join(first.withColumnRenamed("_key", "matched").drop("order"), "matched").drop("matched"), "_key", "left")
+    return filled.select(*((F.coalesce(c, f"_{c}").alias(c) if c in fields else F.col(c)) for c in base.columns if c != "_key"))
 
 
 def keep_row(cells: Column) -> Column:
