@@ -17,8 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundplan.functions import address
+from groundplan.operators.lineage_cut import cut
 
 FUZZY, SHORTEST, SEED = 0.85, 12, 3
+#: A table of distinct texts of at most so many rows and characters is broadcast; a larger one is joined by a shuffle.
+BROADCAST_TEXTS, BROADCAST_CHARS = 100_000, 20_000_000
+
+
+def with_texts(df: DataFrame, found: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``df`` joined to ``found``, a row for each of its distinct texts ``keys``; a text of very many rows is no task of its own."""
+    held = cut(found)
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum((F.coalesce(F.length(k), F.lit(0)) for k in keys), F.lit(0))), F.lit(0)).alias("chars")).first()
+    return df.join(F.broadcast(held) if size.n <= BROADCAST_TEXTS and size.chars <= BROADCAST_CHARS else held, keys, how)
 
 
 def _ratios(batches: Iterator[pa.RecordBatch], junk: bool) -> Iterator[pa.RecordBatch]:
@@ -44,7 +54,7 @@ def with_ratio(df: DataFrame, a: Column, b: Column, name: str) -> DataFrame:
     """``df`` with the similarity of two columns as ``name``."""
     keyed = df.withColumns({"_a": F.coalesce(a, F.lit("")), "_b": F.coalesce(b, F.lit(""))})
     found = ratios(keyed.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("ratio").alias(name))
-    return keyed.join(found, ["_a", "_b"]).select(*df.columns, name)
+    return with_texts(keyed, found, ["_a", "_b"]).select(*df.columns, name)
 
 
 def _segments(c: str) -> Column:
@@ -59,7 +69,7 @@ def with_segment_share(df: DataFrame, a: Column, b: Column, name: str) -> DataFr
     each = both.select("_s", "_t", F.size("left").alias("n"), F.posexplode("left").alias("i", "x"), "right").select("_s", "_t", "n", "i", "x", F.explode_outer("right").alias("y"))
     close = with_ratio(each, F.col("x"), F.col("y"), "ratio").groupBy("_s", "_t", "n", "i").agg(F.max(F.when(F.col("y").isNotNull(), F.col("ratio"))).alias("best"))
     shares = close.groupBy("_s", "_t").agg((F.count_if(F.col("best") >= FUZZY) / F.first("n")).alias(name))
-    return keyed.join(shares, ["_s", "_t"], "left").select(*df.columns, F.coalesce(name, F.lit(0.0)).alias(name))
+    return with_texts(keyed, shares, ["_s", "_t"], "left").select(*df.columns, F.coalesce(name, F.lit(0.0)).alias(name))
 
 
 def with_comparison(df: DataFrame, a: Column, b: Column) -> DataFrame:
