@@ -11,6 +11,7 @@ rule is passed over silently; so does a schema that refers to itself.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from functools import reduce
 
@@ -127,7 +128,7 @@ def _checked(schema: Mapping | bool, v: _Value, path: Column, root: Mapping, ins
         elif keyword == "required":
             found += [at_once(v.is_a("object") & _member(v, key).isNull(), keyword, child(key)) for key in given]
         elif keyword == "properties":
-            found += [_bound(F.array_compact(F.array(_member(v, key))), lambda x: below(sub, x, child(key))) for key, sub in given.items() if sub not in (True, {})]
+            found += _of_named(given, members, lambda sub, x, key: below(sub, x, child(key)))
         elif keyword == "patternProperties":
             found += [each(members(lambda e: e["key"].rlike(pattern)), sub, child) for pattern, sub in given.items()]
         elif keyword == "additionalProperties" and given is not True:
@@ -148,6 +149,28 @@ def _checked(schema: Mapping | bool, v: _Value, path: Column, root: Mapping, ins
     return found
 
 
+def _of_named(given: Mapping, members: Callable, judged: Callable[[object, _Value, Column], Column]) -> list[Column]:
+    """The violations of an object's members that ``given`` names, in its order; one rule for all names of equal schemas.
+
+    Only members that a record has are looked at, so many names that it lacks cost nothing.
+    """
+    alike: dict[str, tuple[object, list[str]]] = {}
+    for key, sub in given.items():
+        if sub not in (True, {}):
+            alike.setdefault(json.dumps(sub), (sub, []))[1].append(key)
+    names = [key for _, keys in alike.values() for key in keys]
+    if not names:
+        return []
+    place = F.create_map(*(F.lit(x) for k, key in enumerate(given) for x in (key, k)))
+
+    def rules(key: Column, x: _Value) -> Column:
+        return reduce(lambda rest, group: F.when(key.isin(*group[1]), judged(group[0], x, key)).otherwise(rest), alike.values(), _none())
+
+    each = F.transform(members(lambda e: e["key"].isin(*names)), lambda e: F.struct(e["key"].alias("key"), _bound(F.array(e["value"]), lambda x: rules(e["key"], x)).alias("broken")))
+    broken = F.transform(F.filter(each, lambda r: F.size(r["broken"]) > 0), lambda r: F.struct(F.try_element_at(place, r["key"]).alias("place"), r["broken"].alias("broken")))
+    return [F.coalesce(F.flatten(F.transform(F.array_sort(broken), lambda r: r["broken"])), _none())]
+
+
 def _joined(rules: list[Column]) -> Column:
     return F.concat(*rules) if rules else _none()
 
