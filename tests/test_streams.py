@@ -107,6 +107,24 @@ def test_attempts_in_any_order_and_split(spark, tmp_path):
         assert table.read().groupBy("upload_id", "step").count().where("count > 1").isEmpty()
 
 
+def test_attempts_share_timers_and_end_at_the_watermark(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", retries.PROVIDER)
+    rng = random.Random(4)
+    events = [(f"u{n % 20}", START + timedelta(seconds=7 * n, microseconds=n), n, rng.choice(["completed", "permanent", "slow", "slow"])) for n in range(1500)]
+    mark = (events[-1][1] - timedelta(hours=2)).replace(microsecond=1000)  # watermarks are whole milliseconds
+    events += [("at", mark, 5000, "slow"), ("below", mark - timedelta(microseconds=300), 5001, "completed"), ("above", mark + timedelta(microseconds=1), 5002, "slow"), ("due", mark - timedelta(seconds=60), 5003, "slow")]
+    schema = "upload_id string, attempted_at timestamp, attempt_id long, outcome string, error string"
+    spark.createDataFrame([*((*e, "e") for e in events), ("odd", mark, None, None, None), ("never", None, 1, "slow", "e"), ("odd", mark, 6000, "slow", "e")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    table = SnapshotTable(spark, str(tmp_path / "t"), retries.STEPS)
+    query = arrivals.into_table(retries.attempts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "2 hours"), table, "w", str(tmp_path / "c"))
+    query.awaitTermination()
+    last = {r.upload_id: (r.attempts, r.status, r.started_at, r.next_attempt_at, r.completed_at, r.due) for r in table.current(["upload_id"], F.col("step")).collect()}
+    assert last.pop("odd")[:2] == (2, "retrying") and table.current(["upload_id"], F.col("step")).where("upload_id = 'odd'").first().last_error is None
+    assert last == attempts_by_hand(events, mark) and {"at", "below", "due"} < set(last) and last["due"][-1] == 1
+    timers = sum(op.customMetrics["numRegisteredTimers"] for p in query.recentProgress for op in p.stateOperators)
+    assert 0 < timers <= 2 * 25
+
+
 def test_a_batch_of_many_commits_is_joined_once(spark, tmp_path, monkeypatch):
     joins, plain = [], enrichment.enriched
     monkeypatch.setattr(enrichment, "enriched", lambda *a: joins.append(1) or plain(*a))
